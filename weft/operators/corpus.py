@@ -105,10 +105,10 @@ def _slice_rows(stream: DataFrame, lo: Column, hi: Column) -> DataFrame:
     s, e = F.col("start"), F.col("start") + F.col("n_tokens")
     a = F.greatest(s, lo)
     b = F.least(e, hi)
-    return (stream.filter(b > a)
-            .withColumn("ids", F.slice("ids", (a - s + 1).cast("int"), (b - a).cast("int")))
-            .withColumn("start", a)
-            .withColumn("n_tokens", b - a))
+    return stream.filter(b > a).withColumns({  # evaluated together, on the input row
+        "ids": F.slice("ids", (a - s + 1).cast("int"), (b - a).cast("int")),
+        "start": a,
+        "n_tokens": b - a})
 
 
 def train_val_split(stream: DataFrame, keys: Sequence[str], val_fraction: float = VAL_FRACTION,
@@ -145,10 +145,10 @@ def shard_pieces(stream: DataFrame, tokens_per_shard: int = TOKENS_PER_SHARD) ->
     x = stream.filter(F.col("n_tokens") > 0).withColumn("shard", F.explode(F.sequence(first, last)))
     lo = F.greatest(s, F.col("shard") * S)
     hi = F.least(e, (F.col("shard") + 1) * S)
-    return (x.withColumn("ids", F.slice("ids", (lo - s + 1).cast("int"), (hi - lo).cast("int")))
-            .withColumn("offset", lo - F.col("shard") * S)
-            .withColumn("n_tokens", hi - lo)
-            .drop("start"))
+    return x.withColumns({
+        "ids": F.slice("ids", (lo - s + 1).cast("int"), (hi - lo).cast("int")),
+        "offset": lo - F.col("shard") * S,
+        "n_tokens": hi - lo}).drop("start")
 
 
 def assemble_shards(shard_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -254,3 +254,28 @@ def corpus_limits(df: DataFrame, keys: Sequence[str], text: str = "text", max_by
               .when(F.col("byte_length") > warn_bytes, "warn_large")
               .otherwise("ok"))
     return agg.withColumn("status", status).drop("_has_text")
+
+
+# --- chat rendering (A-27) ----------------------------------------------------
+
+# fixed role template: "<|role|>\n" + content + "<|end|>\n"; generation prompt "<|assistant|>\n"
+CHAT_OPEN = "<|{role}|>\n"
+CHAT_CLOSE = "<|end|>\n"
+CHAT_GENERATION_PROMPT = "<|assistant|>\n"
+
+
+def chat_format(conv: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role",
+                text: str = "text", add_generation_prompt: bool = False) -> DataFrame:
+    """A-27: render each message through the fixed role template.
+
+    The rendered conversation is kept as ordered pieces with ``char_start``
+    offsets (like ``assemble_corpus``), so a huge conversation never becomes
+    one string in one task.  With ``add_generation_prompt`` one extra piece
+    follows the last message."""
+    piece = F.concat(F.lit("<|"), F.col(role), F.lit("|>\n"), F.col(text), F.lit(CHAT_CLOSE))
+    p = conv.select(key, F.col(order).cast("long").alias(order), piece.alias("piece"))
+    if add_generation_prompt:
+        last = conv.groupBy(key).agg(F.max(order).cast("long").alias(order))
+        p = p.unionByName(last.select(key, (F.col(order) + 1).alias(order), F.lit(CHAT_GENERATION_PROMPT).alias("piece")))
+    p = p.withColumn("_len", F.length("piece").cast("long"))
+    return prefix_sum(p, [key], [order], "_len", "char_start", exclusive=True).drop("_len")
