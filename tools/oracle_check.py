@@ -17,6 +17,7 @@ import traceback
 sys.path.insert(0, __file__.rsplit("/tools/", 1)[0])
 
 import duckdb  # noqa: E402
+import pandas as pd  # noqa: E402
 
 from weft.plans.catalog import load_all  # noqa: E402
 from weft.session import get_spark  # noqa: E402
@@ -24,20 +25,22 @@ from weft.sources.tables import TABLES  # noqa: E402
 
 
 def norm(v):
-    if v is None:
-        return None
-    if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        if math.isinf(v):
-            return "inf" if v > 0 else "-inf"
-        return round(v, 6) + 0.0
-    if hasattr(v, "tolist"):
+    """Canonical value: None for null/NaN (pandas turns null longs into NaN),
+    integral floats as ints, other floats rounded to 6 decimals."""
+    if hasattr(v, "tolist") and not isinstance(v, (list, tuple)):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
     if isinstance(v, dict):
         return tuple(sorted((k, norm(x)) for k, x in v.items()))
+    if v is None or (not isinstance(v, (str, bytes)) and pd.isna(v)):
+        return None
+    if isinstance(v, float):
+        if math.isinf(v):
+            return "inf" if v > 0 else "-inf"
+        if v.is_integer():
+            return int(v)
+        return round(v, 6) + 0.0
     return v
 
 

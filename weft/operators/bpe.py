@@ -37,7 +37,7 @@ def pair_counts(words: DataFrame, symbols: str = "symbols", freq: str = "freq")
 def frequency_vocab(wc: DataFrame, min_freq: int, first_id: int = len(SPECIAL_TOKENS)) -> DataFrame:
     """Word-level vocabulary: words with freq >= min_freq, ids by (freq desc, word)."""
     v = wc.filter(F.col("freq") >= min_freq)
-    v = row_index(v, [], [F.col("freq").desc(), F.col("word")], "id")
+    v = row_index(v, [], [-F.col("freq"), F.col("word")], "id")
     return v.select("word", (F.col("id") + first_id).alias("id"))
 
 

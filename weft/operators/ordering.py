@@ -4,46 +4,115 @@ A plain ``Window.partitionBy(key).orderBy(o)`` ships every row of a key to a
 single task; a key that holds a third of the data then becomes one giant task.
 The helpers here use a two-level scheme instead:
 
-1. ``repartitionByRange(n, key, o)`` — Spark samples the sort key and cuts the
-   data into ``n`` balanced, contiguous blocks.  A hot key spans many blocks.
-2. Inside each (block, key) a window computes the local running value.
-3. A small table of per-(block, key) totals (at most ``n + #keys`` rows) gets a
-   running offset with a window over *blocks* of the same key.
-4. The offsets are joined back on (block, key).  The window output is already
-   hash-partitioned and sorted on (block, key), so the sort-merge join only
-   moves the small table; AQE turns it into a broadcast when it is small.
-
-Both branches read the same range exchange, so Spark reuses it
-(``ReusedExchange``) and the block ids agree.
+1. **Blocks.**  A sample of the sort key ``(keys..., order...)`` is sorted by
+   Spark and cut into ``n`` quantile bounds (at most ``n - 1`` literals).  Each
+   row's block is the number of bounds below its key (binary search, a pure
+   expression).  Blocks are contiguous, balanced ranges of the sort order; a hot
+   key spans many blocks.  Because the bounds are literals, the block of a row
+   is deterministic: re-computing a lost partition, or evaluating the plan in
+   two branches, gives the same answer.
+2. Inside each (block, key) a window computes the local running value; the
+   window's exchange (hash on block, key) is the only shuffle of the full data.
+3. A small table of per-(block, key) totals (partial aggregation, at most
+   ``n x keys-per-block`` rows) gets a running offset with a window over blocks.
+4. The offsets are joined back on (block, key): the big side is already
+   partitioned on those columns, so only the small table moves (AQE broadcasts
+   it when small; with no keys it has ``n`` rows and is broadcast outright).
+
+Order expressions must be ascending (negate a numeric column for descending).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLK = "_blk"
+SAMPLES_PER_BLOCK = 32
+SAMPLE_SEED = 20250101
 
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def _names(xs) -> list[str]:
-    return [x for x in xs if isinstance(x, str)]
-
-
 def n_blocks(df: DataFrame) -> int:
     """Number of range blocks: the session's shuffle partition count."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _sort_key(keys: Sequence[str], order: Sequence) -> Column:
+    fields = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    fields += [c.alias(f"o{i}") for i, c in enumerate(_cols(order))]
+    return F.struct(*fields)
+
+
+def range_bounds(df: DataFrame, key: Column, n: int) -> list:
+    """``n - 1`` quantile bounds of ``key`` from a sample of ~``32 n`` rows.
+
+    The sample is sorted by Spark (so bound order is Spark's order) and only
+    the bounds reach the driver: their count is fixed by ``n``."""
+    if n <= 1:
+        return []
+    total = df.count()
+    if total == 0:
+        return []
+    frac = min(1.0, SAMPLES_PER_BLOCK * n / total)
+    s = df.select(key.alias("k"))
+    if frac < 1.0:
+        s = s.sample(False, frac, SAMPLE_SEED)
+    # the sample is bounded (~32 n rows), so a global window over it is fine
+    s = s.withColumn("_r", F.row_number().over(Window.orderBy("k")) - 1).cache()
+    m = s.count()
+    ranks = sorted({(m * i) // n for i in range(1, n)} - {0})  # quantile ranks inside the sample
+    picked = s.filter(F.col("_r").isin(ranks)).orderBy("_r").select("k").collect()
+    s.unpersist()
+    return [r["k"] for r in picked]
+
+
+def _literal_bounds(bounds: list, key_type) -> Column:
+    def lit_struct(row):
+        return F.struct(*[F.lit(row[i]).cast(f.dataType).alias(f.name) for i, f in enumerate(key_type.fields)])
+    return F.array(*[lit_struct(b) for b in bounds])
+
+
+def block_of(key: Column, bounds: list, key_type) -> Column:
+    """Number of bounds strictly below ``key`` — a binary search over literal bounds."""
+    nb = len(bounds)
+    if nb == 0:
+        return F.lit(0)
+    arr = _literal_bounds(bounds, key_type)
+    steps = max(1, math.ceil(math.log2(nb + 1)))
+
+    # the key travels inside the accumulator: the lambda references no outer column
+    def step(acc, _):
+        lo, hi, k = acc["lo"], acc["hi"], acc["k"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        below = F.element_at(arr, F.least(mid, F.lit(nb - 1)) + 1) < k
+        go = lo < hi
+        return F.struct(F.when(go & below, mid + 1).otherwise(lo).alias("lo"),
+                        F.when(go & ~below, mid).otherwise(hi).alias("hi"), k.alias("k"))
+    init = F.struct(F.lit(0).alias("lo"), F.lit(nb).alias("hi"), key.alias("k"))
+    res = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)
+    return res["lo"]
+
+
 def blocked(df: DataFrame, keys: Sequence[str], order: Sequence, n: int | None = None) -> DataFrame:
-    """Range-partition on (keys, order) and tag every row with its block id."""
+    """Tag every row with a deterministic block id over the (keys, order) sort order."""
     n = n or n_blocks(df)
-    return df.repartitionByRange(n, *_cols(keys), *_cols(order)).withColumn(BLK, F.spark_partition_id())
+    with_key = df.withColumn("_sk", _sort_key(keys, order))
+    bounds = range_bounds(with_key, F.col("_sk"), n)
+    key_type = with_key.schema["_sk"].dataType
+    return with_key.withColumn(BLK, block_of(F.col("_sk"), bounds, key_type)).drop("_sk")
+
+
+def _join_offsets(local: DataFrame, offsets: DataFrame, keys: list) -> DataFrame:
+    if not keys:
+        return local.join(F.broadcast(offsets), [BLK], "inner")  # at most n rows
+    return local.join(offsets, [BLK, *keys], "inner")
 
 
 def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value, out: str,
@@ -61,13 +130,33 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value, out:
     totals = b.groupBy(BLK, *keys).agg(F.sum("_v").alias("_bt"))
     w_blk = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(BLK, *keys, F.coalesce(F.sum("_bt").over(w_blk), F.lit(0)).alias("_off"))
-    res = local.join(offsets, on=[BLK, *keys], how="inner")
+    res = _join_offsets(local, offsets, keys)
     run = F.col("_off") + F.col("_loc")
     if exclusive:
         run = run - F.col("_v")
     return res.withColumn(out, run).drop("_v", "_loc", "_off", BLK)
 
 
+def prefix_agg(df: DataFrame, keys: Sequence[str], order: Sequence, value, out: str, fn: str = "max",
+               exclusive: bool = False, n: int | None = None) -> DataFrame:
+    """Running max / min of ``value`` per key in ``order`` (nulls ignored), same
+    two-level scheme as ``prefix_sum``.  ``exclusive`` excludes the current row."""
+    keys = list(keys)
+    agg = {"max": F.max, "min": F.min}[fn]
+    comb = {"max": F.greatest, "min": F.least}[fn]
+    val = F.col(value) if isinstance(value, str) else value
+    b = blocked(df.withColumn("_v", val), keys, order, n)
+    hi = -1 if exclusive else 0
+    w_local = Window.partitionBy(BLK, *keys).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, hi)
+    local = b.withColumn("_loc", agg("_v").over(w_local))
+    totals = b.groupBy(BLK, *keys).agg(agg("_v").alias("_bt"))
+    w_blk = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(BLK, *keys, agg("_bt").over(w_blk).alias("_off"))
+    res = _join_offsets(local, offsets, keys)
+    # greatest/least skip nulls, so an empty side never hides the other
+    return res.withColumn(out, comb(F.col("_off"), F.col("_loc"))).drop("_v", "_loc", "_off", BLK)
+
+
 def row_index(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "idx",
               n: int | None = None) -> DataFrame:
     """0-based position of each row inside its key, in ``order`` (skew-safe row_number)."""
@@ -85,11 +174,11 @@ def lag_value(df: DataFrame, keys: Sequence[str], order: Sequence, col: str, out
     b = blocked(df, keys, order, n)
     w = Window.partitionBy(BLK, *keys).orderBy(*_cols(order))
     local = b.withColumn("_lag", F.lag(col).over(w)).withColumn("_rn", F.row_number().over(w))
-    order_struct = F.struct(*_cols(order))
+    order_struct = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_cols(order))])
     last = b.groupBy(BLK, *keys).agg(F.max_by(F.col(col), order_struct).alias("_last"))
     w_blk = Window.partitionBy(*keys).orderBy(BLK)
     prev = last.select(BLK, *keys, F.lag("_last").over(w_blk).alias("_prev_last"))
-    res = local.join(prev, on=[BLK, *keys], how="inner")
+    res = _join_offsets(local, prev, keys)
     return (res.withColumn(out, F.when(F.col("_rn") == 1, F.col("_prev_last")).otherwise(F.col("_lag")))
             .drop("_lag", "_rn", "_prev_last", BLK))
 

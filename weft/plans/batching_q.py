@@ -1 +1,253 @@
-"""Registered queries."""
+"""Registered sampler / batching / collation / hold-out queries (section B).
+
+Items: ``orders`` (ordered by o_orderdate, o_orderkey).  Sequences: per order,
+prompt = first two line quantities, target = the rest, mask = line not
+returned ('R'); vocabulary 1..50 with bos 51, eos 52, mask 53.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from weft.functions import text as T
+from weft.functions.hashing import hash32_sql, uniform_sql
+from weft.operators import batching as B
+from weft.operators import corpus as C
+from weft.plans import sqlfrag as Q
+from weft.plans.catalog import register
+from weft.sources.tables import Tables
+
+BOS, EOS, MASK = 51, 52, 53
+SEED = 99
+
+
+def ids_md5(c):
+    return F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
+
+
+def md5_sql(x):
+    return f"md5(array_to_string({x}, ','))"
+
+
+def indexed_orders(spark, sf_dir):
+    o = Tables(spark, sf_dir).orders.select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus")
+    return B.sequential_index(o, ["o_orderdate", "o_orderkey"], "idx")
+
+
+IDX_SQL = """io AS (SELECT o_orderkey, o_totalprice, o_orderstatus,
+                   CAST(ROW_NUMBER() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) AS idx FROM orders)"""
+
+
+@register("b01_sequential_index", "B-01", sql=f"WITH {IDX_SQL} SELECT o_orderkey, idx FROM io")
+def b01_sequential_index(spark, sf_dir):
+    return indexed_orders(spark, sf_dir).select("o_orderkey", "idx")
+
+
+@register("b02_random_sample", "B-02", sql=f"""WITH {IDX_SQL},
+n AS (SELECT COUNT(*) AS n FROM io),
+x AS (SELECT o_orderkey, idx, epoch, {uniform_sql(SEED, 'epoch', 'idx')} AS h FROM io, (SELECT unnest(range(2)) AS epoch) t),
+p AS (SELECT o_orderkey, CAST(ROW_NUMBER() OVER (ORDER BY epoch, h, idx) - 1 AS BIGINT) AS pos FROM x)
+SELECT pos, o_orderkey FROM p WHERE pos < (SELECT n * 3 // 2 FROM n)""")
+def b02_random_sample(spark, sf_dir):
+    """1.5 epochs without replacement: one full permutation, then half of a second one."""
+    io = indexed_orders(spark, sf_dir)
+    n = io.count() * 3 // 2
+    return B.random_sample(io, n, SEED, "idx").select("pos", "o_orderkey")
+
+
+@register("b03_sample_replacement", "B-03", sql=f"""WITH {IDX_SQL},
+n AS (SELECT COUNT(*) AS n FROM io),
+d AS (SELECT pos, CAST(floor({uniform_sql(SEED, 'pos')} * (SELECT n FROM n)) AS BIGINT) AS idx FROM (SELECT unnest(range((SELECT n FROM n))) AS pos))
+SELECT CAST(pos AS BIGINT) AS pos, o_orderkey FROM d JOIN io USING (idx)""")
+def b03_sample_replacement(spark, sf_dir):
+    io = indexed_orders(spark, sf_dir)
+    return B.random_sample(io, io.count(), SEED, "idx", replacement=True).select("pos", "o_orderkey")
+
+
+@register("b04_batches", "B-04 B-05 B-06 B-08", sql=f"""WITH {IDX_SQL},
+b AS (SELECT idx // 32 AS batch, idx, o_orderkey, o_totalprice, o_orderstatus FROM io),
+n AS (SELECT COUNT(*) AS n FROM io)
+SELECT CAST(batch AS BIGINT) AS batch, CAST(COUNT(*) AS BIGINT) AS n_rows, md5(array_to_string(list(o_orderkey ORDER BY idx), ',')) AS keys_md5,
+       array_to_string(list(o_orderstatus ORDER BY idx), '') AS statuses,
+       batch < (SELECT n // 32 FROM n) AS kept_if_drop_last,
+       (SELECT CAST(n // 32 AS BIGINT) FROM n) AS len_drop_last, (SELECT CAST((n + 31) // 32 AS BIGINT) FROM n) AS len_keep_last
+FROM b GROUP BY batch""")
+def b04_batches(spark, sf_dir):
+    io = indexed_orders(spark, sf_dir)
+    b = B.batch_ids(io, "idx", 32)
+    kept = B.batch_ids(io, "idx", 32, drop_last=True).select("batch").distinct().withColumn("kept_if_drop_last", F.lit(True))
+    cols = B.collate_columns(b, "batch", "idx", ["o_orderkey", "o_orderstatus"])
+    sizes = b.groupBy("batch").agg(F.count("*").alias("n_rows"))
+    return (cols.join(sizes, "batch").join(kept, "batch", "left")
+            .select("batch", "n_rows", ids_md5(F.col("columns.o_orderkey")).alias("keys_md5"),
+                    F.array_join("columns.o_orderstatus", "").alias("statuses"),
+                    F.coalesce("kept_if_drop_last", F.lit(False)).alias("kept_if_drop_last"),
+                    B.loader_length(io, 32, True).alias("len_drop_last"), B.loader_length(io, 32, False).alias("len_keep_last")))
+
+
+def sequences(spark, sf_dir):
+    li = Tables(spark, sf_dir).lineitem
+    s = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"), (F.col("l_returnflag") != "R").alias("m")))).alias("_l"))
+    return s.select("l_orderkey", F.slice("_l.q", 1, 2).alias("prompt"),
+                    F.slice("_l.q", 3, 100).alias("target"), F.slice("_l.m", 3, 100).alias("mask"))
+
+
+SEQ_SQL = """s AS (SELECT l_orderkey, list(CAST(l_quantity AS INTEGER) ORDER BY l_linenumber, l_partkey, l_suppkey) AS q,
+                  list(l_returnflag <> 'R' ORDER BY l_linenumber, l_partkey, l_suppkey) AS m FROM lineitem GROUP BY l_orderkey),
+sq AS (SELECT l_orderkey, q[1:2] AS prompt, q[3:] AS target, m[3:] AS mask FROM s)"""
+
+
+@register("b09_collate_stack", "B-09 B-10", sql=f"""WITH {SEQ_SQL}, {IDX_SQL},
+b AS (SELECT io.idx // 8 AS batch, io.idx, len(sq.target) AS n FROM io JOIN sq ON io.o_orderkey = sq.l_orderkey)
+SELECT CAST(batch AS BIGINT) AS batch, CASE WHEN MIN(n) = MAX(n) THEN 'ok' ELSE 'ragged' END AS status,
+       CAST(SUM(n) AS BIGINT) AS n_tokens FROM b GROUP BY batch""")
+def b09_collate_stack(spark, sf_dir):
+    io = B.batch_ids(indexed_orders(spark, sf_dir), "idx", 8)
+    x = io.join(sequences(spark, sf_dir), io.o_orderkey == F.col("l_orderkey"))
+    st = B.collate_stack(x, "batch", "idx", "target")
+    tot = B.collate_custom(x.select("batch", F.size("target").cast("long").alias("n_tokens")), "batch",
+                           {"bigint": F.sum})
+    return st.join(tot, "batch").select("batch", "status", "n_tokens")
+
+
+@register("b12_mask_tokens", "B-12", sql=f"""WITH {SEQ_SQL}
+SELECT l_orderkey,
+  {md5_sql(f"list_transform(target, lambda v, i: CASE WHEN {uniform_sql(SEED, 'l_orderkey', 'i - 1')} < 0.3 THEN {MASK} ELSE v END)")} AS input_md5,
+  {md5_sql(f"list_transform(target, lambda v, i: CASE WHEN {uniform_sql(SEED, 'l_orderkey', 'i - 1')} < 0.3 THEN v ELSE -100 END)")} AS labels_md5
+FROM sq""")
+def b12_mask_tokens(spark, sf_dir):
+    s = sequences(spark, sf_dir)
+    inp, lab, _ = B.mask_tokens(F.col("target"), 0.3, MASK, SEED, F.col("l_orderkey"))
+    return s.select("l_orderkey", ids_md5(inp).alias("input_md5"), ids_md5(lab).alias("labels_md5"))
+
+
+@register("b13_collate_autoregressive", "B-13 B-16", sql=f"""WITH {SEQ_SQL},
+f AS (SELECT l_orderkey, prompt, target, mask, list_concat([{BOS}], prompt, target, [{EOS}]) AS fs FROM sq),
+a AS (SELECT l_orderkey, prompt, target, mask, fs[1:len(fs) - 1] AS inp,
+        list_transform(fs[2:], lambda v, i: CASE WHEN i - 1 < len(prompt) THEN -100
+             WHEN i - 1 - len(prompt) < len(mask) AND NOT mask[i - len(prompt)] THEN -100 ELSE v END) AS lab FROM f)
+SELECT l_orderkey, {md5_sql('inp')} AS input_md5, {md5_sql('lab')} AS labels_md5,
+  {md5_sql(f"list_concat(list_transform(target, lambda v, i: CASE WHEN NOT mask[i] THEN {MASK} ELSE v END), [{EOS}])")} AS visible_md5
+FROM a""")
+def b13_collate_autoregressive(spark, sf_dir):
+    s = sequences(spark, sf_dir)
+    inp, lab, _ = B.collate_autoregressive("prompt", "target", "mask", bos=BOS, eos=EOS, ignore_prompt=True)
+    vis = B.visible_target("target", "mask", MASK, eos=EOS)
+    return s.select("l_orderkey", ids_md5(inp).alias("input_md5"), ids_md5(lab).alias("labels_md5"), ids_md5(vis).alias("visible_md5"))
+
+
+@register("b14_collate_bidirectional", "B-14", sql=f"""WITH {SEQ_SQL},
+f AS (SELECT l_orderkey, list_concat(prompt, target) AS fs, len(prompt) AS pl, mask FROM sq),
+k AS (SELECT l_orderkey, fs, list_transform(fs, lambda v, i: {{'u': {uniform_sql(SEED, 'l_orderkey', 'i - 1')}, 'i': i - 1,
+        'e': i - 1 >= pl AND COALESCE(mask[i - pl], true)}}) AS keyed FROM f),
+g AS (SELECT *, list_min(list_transform(list_filter(keyed, lambda s: s.e), lambda s: {{'u': s.u, 'i': s.i}})) AS forced FROM k),
+p AS (SELECT l_orderkey, fs, forced, list_transform(keyed, lambda s: s.e AND (s.u < 0.15 OR s.i = forced.i)) AS picked FROM g)
+SELECT l_orderkey, CASE WHEN forced IS NULL THEN NULL ELSE {md5_sql(f"list_transform(fs, lambda v, i: CASE WHEN picked[i] THEN {MASK} ELSE v END)")} END AS input_md5,
+       CASE WHEN forced IS NULL THEN NULL ELSE {md5_sql("list_transform(fs, lambda v, i: CASE WHEN picked[i] THEN v ELSE -100 END)")} END AS labels_md5
+FROM p""")
+def b14_collate_bidirectional(spark, sf_dir):
+    s = sequences(spark, sf_dir)
+    inp, lab = B.collate_bidirectional("prompt", "target", "mask", MASK, SEED, F.col("l_orderkey"), ratio=0.15)
+    return s.select("l_orderkey", F.when(inp.isNotNull(), ids_md5(inp)).alias("input_md5"),
+                    F.when(lab.isNotNull(), ids_md5(lab)).alias("labels_md5"))
+
+
+@register("b15_collate_encoder_decoder", "B-15", sql=f"""WITH {SEQ_SQL}
+SELECT l_orderkey, {md5_sql('prompt')} AS encoder_md5, {md5_sql(f'list_concat([{BOS}], target)')} AS decoder_input_md5,
+       {md5_sql(f"list_concat(list_transform(target, lambda v, i: CASE WHEN NOT mask[i] THEN -100 ELSE v END), [{EOS}])")} AS decoder_labels_md5
+FROM sq""")
+def b15_collate_encoder_decoder(spark, sf_dir):
+    s = sequences(spark, sf_dir)
+    enc, dec_in, dec_lab = B.collate_encoder_decoder("prompt", "target", "mask", bos=BOS, eos=EOS)
+    return s.select("l_orderkey", ids_md5(enc).alias("encoder_md5"), ids_md5(dec_in).alias("decoder_input_md5"),
+                    ids_md5(dec_lab).alias("decoder_labels_md5"))
+
+
+@register("b17_right_pad", "B-17", sql=f"""WITH {SEQ_SQL}, {IDX_SQL},
+b AS (SELECT io.idx // 16 AS batch, sq.l_orderkey, sq.target FROM io JOIN sq ON io.o_orderkey = sq.l_orderkey),
+m AS (SELECT *, MAX(len(target)) OVER (PARTITION BY batch) AS mx FROM b)
+SELECT l_orderkey, {md5_sql("list_concat(target, list_transform(range(mx - len(target)), lambda k: COALESCE(target[-1], 0)))")} AS padded_md5,
+       CAST(len(target) AS INTEGER) AS n_attended FROM m""")
+def b17_right_pad(spark, sf_dir):
+    io = B.batch_ids(indexed_orders(spark, sf_dir), "idx", 16)
+    x = io.join(sequences(spark, sf_dir), io.o_orderkey == F.col("l_orderkey")).select("batch", "l_orderkey", "target")
+    p = B.right_pad(x, "batch", "target")
+    return p.select("l_orderkey", ids_md5(F.col("padded")).alias("padded_md5"),
+                    F.aggregate("attention_mask", F.lit(0), lambda a, v: a + v).alias("n_attended"))
+
+
+# --- hold-out exclusion over documents / benchmark ------------------------------------
+
+def _para_keys(df, id_col, name):
+    keep = [c for c in df.columns if c != "text"]
+    p = df.select(*keep, F.posexplode(T.split_paragraphs(F.col("text"))).alias("para_idx", "para"))
+    ids = T.char_ids(F.col("para"))
+    empty = F.array().cast("array<int>")
+    return p.withColumn("key", B.sequence_key(F.lit(name), empty, ids))
+
+
+HELDOUT_SQL = f"""tr AS (SELECT doc_id, source, unnest(l) AS para, unnest(range(len(l))) AS para_idx
+        FROM (SELECT doc_id, source, {Q.split_paragraphs('text')} AS l FROM documents)),
+ho AS (SELECT unnest({Q.split_paragraphs('text')}) AS para FROM benchmark),
+trk AS (SELECT doc_id, source, para_idx, 'chars|0|' || length(para) || '||' || array_to_string({Q.char_ids('para')}, ',') AS key FROM tr),
+hok AS (SELECT DISTINCT 'chars|0|' || length(para) || '||' || array_to_string({Q.char_ids('para')}, ',') AS key FROM ho),
+fl AS (SELECT trk.*, key IN (SELECT key FROM hok) AS excluded FROM trk)"""
+
+
+@register("b19_exclude_heldout", "B-18 B-19", sql=f"""WITH {HELDOUT_SQL}
+SELECT doc_id, CAST(para_idx AS INTEGER) AS para_idx FROM fl WHERE NOT excluded""")
+def b19_exclude_heldout(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    train = _para_keys(t.documents.select("doc_id", "text"), "doc_id", "chars")
+    held = _para_keys(t.benchmark.select("item_id", "text"), "item_id", "chars")
+    return B.exclude_heldout(train, held).select("doc_id", "para_idx")
+
+
+@register("b20_low_diversity_guard", "B-20", sql=f"""WITH {HELDOUT_SQL},
+i AS (SELECT *, SUM(CASE WHEN excluded THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY doc_id, para_idx) AS island FROM fl),
+r AS (SELECT source, island, COUNT(*) AS run FROM i WHERE excluded GROUP BY source, island),
+s AS (SELECT DISTINCT source FROM fl)
+SELECT s.source, CAST(COALESCE(MAX(run), 0) AS BIGINT) AS max_consecutive_excluded, COALESCE(MAX(run), 0) >= 10 AS too_many_skips
+FROM s LEFT JOIN r USING (source) GROUP BY s.source""")
+def b20_low_diversity_guard(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    train = _para_keys(t.documents.select("doc_id", "source", "text"), "doc_id", "chars")
+    held = _para_keys(t.benchmark.select("item_id", "text"), "item_id", "chars").select("key").distinct()
+    flags = train.join(held.withColumn("excluded", F.lit(True)), "key", "left").fillna({"excluded": False})
+    return B.low_diversity_guard(flags, ["source"], ["doc_id", "para_idx"])
+
+
+def _seed_mix_sql(x: str) -> str:
+    from weft.functions.hashing import _let_sql, _xs_sql, imul32_sql
+    x = _let_sql(x, lambda v: imul32_sql(_xs_sql(v, 16), B.SEED_MIX_C1))
+    x = _let_sql(x, lambda v: imul32_sql(_xs_sql(v, 15), B.SEED_MIX_C2))
+    return _let_sql(x, lambda v: _xs_sql(v, 16))
+
+
+def _sample_seed_sql(base: int, dataset: str, idx: str, scope: str = "sample") -> str:
+    const = (base & 0xFFFFFFFF) ^ B._seed_mix_int(B.fnv1a32(dataset)) ^ B._seed_mix_int(B.fnv1a32(scope))
+    m = _seed_mix_sql(f"xor(CAST({const} AS BIGINT), {_seed_mix_sql(f'(CAST({idx} AS BIGINT) & 4294967295)')})")
+    return f"(CASE WHEN {m} = 0 THEN 1 ELSE {m} END)"
+
+
+def _parse_seed_sql(x: str) -> str:
+    h = (f"list_reduce(list_transform(string_split({x}, ''), lambda c: CAST(unicode(c) AS BIGINT)), "
+         f"lambda a, c: (a * 31 + c) & 4294967295, CAST(0 AS BIGINT))")
+    lead = f"regexp_extract({x}, '^\\s*([+-]?\\d+)', 1)"
+    return (f"CASE WHEN length({lead}) > 0 THEN CAST({lead} AS BIGINT) "
+            f"ELSE abs(CASE WHEN {h} >= 2147483648 THEN {h} - 4294967296 ELSE {h} END) END")
+
+
+@register("b21_sample_seeds", "B-21 B-22", sql=f"""
+SELECT doc_id, CAST({_sample_seed_sql(42, 'documents', 'doc_id')} AS BIGINT) AS sample_seed,
+       CAST({_parse_seed_sql('source')} AS BIGINT) AS source_seed, CAST({_parse_seed_sql('CAST(n_chars AS VARCHAR)')} AS BIGINT) AS nchars_seed
+FROM documents""")
+def b21_sample_seeds(spark, sf_dir):
+    d = Tables(spark, sf_dir).documents
+    return d.select("doc_id", B.sample_seed(42, "documents", F.col("doc_id")).alias("sample_seed"),
+                    B.parse_seed(F.col("source")).alias("source_seed"),
+                    B.parse_seed(F.col("n_chars").cast("string")).alias("nchars_seed"))
+
+
+__all__ = ["C", "hash32_sql"]

@@ -1 +1 @@
-"""Registered queries."""
+"""Registered queries (capture, section E)."""

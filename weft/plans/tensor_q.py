@@ -27,12 +27,12 @@ def R(c):
 
 def lineitem_scalars(spark, sf_dir):
     li = Tables(spark, sf_dir).lineitem
-    return li.select("l_orderkey", "l_linenumber",
+    return li.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"),
                      (F.col("l_discount") * 10 - 0.5).alias("x"), (F.col("l_tax") * 10).alias("y"),
                      F.col("l_quantity").alias("q"), (F.col("l_extendedprice") / 1000).alias("p"))
 
 
-LI_SQL = """li AS (SELECT l_orderkey, l_linenumber, l_discount * 10 - 0.5 AS x, l_tax * 10 AS y,
+LI_SQL = """li AS (SELECT l_orderkey, l_linenumber, l_partkey AS part, l_suppkey AS supp, l_discount * 10 - 0.5 AS x, l_tax * 10 AS y,
                    l_quantity AS q, l_extendedprice / 1000 AS p FROM lineitem)"""
 EMB_SQL = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 
