@@ -25,9 +25,14 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# the same class as a character set for btrim (native, no regex)
+JS_SPACE_CHARS = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + \
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def js_trim(x) -> Column:
     """String.prototype.trim: strip JS whitespace (incl. NBSP, BOM) at both ends."""
-    return F.regexp_replace(_c(x), f"^{JS_SPACE}+|{JS_SPACE}+$", "")
+    return F.btrim(_c(x), F.lit(JS_SPACE_CHARS))
 
 
 def is_blank(x) -> Column:

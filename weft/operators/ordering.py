@@ -163,24 +163,29 @@ def row_index(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "i
     return prefix_sum(df, keys, order, F.lit(1).cast("long"), out, exclusive=True, n=n)
 
 
-def lag_value(df: DataFrame, keys: Sequence[str], order: Sequence, col: str, out: str,
+def lag_value(df: DataFrame, keys: Sequence[str], order: Sequence, col, out: str | None = None,
               n: int | None = None) -> DataFrame:
     """Value of ``col`` on the previous row of the same key (null on the first row).
 
+    ``col`` may be a dict {column: output name} to lag several columns in one pass.
     Inside a block the window ``lag`` is exact; the first row of a block takes
     the last value of the previous block of the same key from a small table.
     """
     keys = list(keys)
+    cols = dict(col) if isinstance(col, dict) else {col: out}
     b = blocked(df, keys, order, n)
     w = Window.partitionBy(BLK, *keys).orderBy(*_cols(order))
-    local = b.withColumn("_lag", F.lag(col).over(w)).withColumn("_rn", F.row_number().over(w))
+    local = b.withColumn("_rn", F.row_number().over(w))
+    for i, c in enumerate(cols):
+        local = local.withColumn(f"_lag{i}", F.lag(c).over(w))
     order_struct = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_cols(order))])
-    last = b.groupBy(BLK, *keys).agg(F.max_by(F.col(col), order_struct).alias("_last"))
+    last = b.groupBy(BLK, *keys).agg(*[F.max_by(F.col(c), order_struct).alias(f"_last{i}") for i, c in enumerate(cols)])
     w_blk = Window.partitionBy(*keys).orderBy(BLK)
-    prev = last.select(BLK, *keys, F.lag("_last").over(w_blk).alias("_prev_last"))
+    prev = last.select(BLK, *keys, *[F.lag(f"_last{i}").over(w_blk).alias(f"_prev{i}") for i in range(len(cols))])
     res = _join_offsets(local, prev, keys)
-    return (res.withColumn(out, F.when(F.col("_rn") == 1, F.col("_prev_last")).otherwise(F.col("_lag")))
-            .drop("_lag", "_rn", "_prev_last", BLK))
+    for i, o in enumerate(cols.values()):
+        res = res.withColumn(o, F.when(F.col("_rn") == 1, F.col(f"_prev{i}")).otherwise(F.col(f"_lag{i}")))
+    return res.drop("_rn", BLK, *[f"_lag{i}" for i in range(len(cols))], *[f"_prev{i}" for i in range(len(cols))])
 
 
 def group_total(df: DataFrame, keys: Sequence[str], value, out: str) -> DataFrame:

@@ -27,8 +27,7 @@ def metric_log(events: DataFrame) -> DataFrame:
 def throughput(log: DataFrame, tokens_per_step: int) -> DataFrame:
     """D-17: steps/s and tokens/s between consecutive log points of a run (0 without a time delta)."""
     x = log.withColumn("_t", F.unix_micros(F.col("logged_at").cast("timestamp")))
-    x = lag_value(x, ["run_id"], ["logged_at", "event_id"], "_t", "_t_prev")
-    x = lag_value(x, ["run_id"], ["logged_at", "event_id"], "step", "_s_prev")
+    x = lag_value(x, ["run_id"], ["logged_at", "event_id"], {"_t": "_t_prev", "step": "_s_prev"})
     dt = (F.col("_t") - F.col("_t_prev")) / 1e6
     sps = F.when(F.col("_t_prev").isNotNull() & (dt > 0), (F.col("step") - F.col("_s_prev")) / dt).otherwise(F.lit(0.0))
     return x.withColumn("steps_per_sec", sps).withColumn("tokens_per_sec", sps * tokens_per_step).drop("_t", "_t_prev", "_s_prev")

@@ -9,6 +9,7 @@ from weft.operators import corpus as C
 from weft.operators import bpe as B
 from weft.plans import sqlfrag as Q
 from weft.plans.catalog import register
+from weft.session import checkpoint_dir
 from weft.sources.tables import Tables
 
 KEYS = ["source"]
@@ -28,10 +29,14 @@ def docs(spark, sf_dir):
 
 
 def char_stream(spark, sf_dir, eos=T.CHAR_EOS):
-    """documents -> non-blank -> paragraphs -> 4000-char chunks -> char ids -> stream offsets."""
+    """documents -> non-blank -> paragraphs -> 4000-char chunks -> char ids -> stream offsets.
+
+    The token stream is the staging table of the corpus pipeline: it is written
+    once to the checkpoint folder and every shard / window / split reads it."""
     pieces = C.paragraph_pieces(C.drop_blank(docs(spark, sf_dir)))
     pieces = pieces.withColumn("ids", T.char_ids(F.col("piece"))).drop("piece")
-    return C.flatten_tokens(pieces, KEYS, ORDER, eos=eos)
+    checkpoint_dir(spark)
+    return C.flatten_tokens(pieces, KEYS, ORDER, eos=eos).checkpoint(eager=True)
 
 
 @register("corpus_windows", "A-03 A-05 A-06 A-08 A-28 A-29 A-31 A-36 B-11", sql=f"""

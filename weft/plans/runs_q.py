@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weft.operators import optim as OP
 from weft.operators import runs as RN
 from weft.plans.catalog import register
+from weft.session import checkpoint_dir
 from weft.sources.tables import Tables
 
 TOKENS_PER_STEP = 32 * 128  # batch x sequence length
@@ -21,7 +22,9 @@ def R(c, d=6):
 
 
 def log(spark, sf_dir):
-    return RN.metric_log(Tables(spark, sf_dir).events)
+    """The metric log table (implicit steps assigned once, then read by every report)."""
+    checkpoint_dir(spark)
+    return RN.metric_log(Tables(spark, sf_dir).events).checkpoint(eager=True)
 
 
 LOG_SQL = """lg AS (SELECT user_id AS run_id, event_type AS metric, value AS y, ts AS logged_at, event_id,
