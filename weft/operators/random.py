@@ -71,8 +71,9 @@ def multinomial_rows(df: DataFrame, w: str, n: int, seed: int, id_col: str, repl
         pick = F.array_min(F.transform("_cum", lambda c, j: F.when(c >= F.col("_thr"), j)))
         return x.select(id_col, "draw", pick.alias("sample"))
     keyed = F.transform(F.col(w).cast("array<double>"), lambda v, j: F.struct(
-        (-F.pow(uniform(seed, F.col(id_col), j), 1.0 / v)).alias("k"), j.alias("j")))
-    top = F.slice(F.array_sort(F.filter(keyed, lambda s: ~F.isnan(s["k"]))), 1, n)
+        F.when(v > 0, -F.pow(uniform(seed, F.col(id_col), j), F.lit(1.0) / v)).alias("k"), j.alias("j")))
+    # zero-weight items can never be drawn
+    top = F.slice(F.array_sort(F.filter(keyed, lambda s: s["k"].isNotNull())), 1, n)
     return df.select(id_col, F.posexplode(F.transform(top, lambda s: s["j"])).alias("draw", "sample"))
 
 
