@@ -35,5 +35,5 @@ def register(name: str, rows: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     # importing the plan modules fills the registry
-    from weft.plans import corpus_q, batching_q, tensor_q, evaluate_q, runs_q, capture_q  # noqa: F401
+    from weft.plans import corpus_q, batching_q, tensor_q, evaluate_q, runs_q, capture_q, stream_q  # noqa: F401
     return REGISTRY
