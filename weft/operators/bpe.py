@@ -7,6 +7,7 @@ tokenizer.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,3 +87,143 @@ def pad_truncate(ids: Column, max_len: int, pad_id: int = PAD_ID, side: str = "r
         out, mask = F.concat(pad, kept), F.concat(zeros, ones)
     del n
     return out, mask
+
+
+# --- byte-level BPE (A-10, A-18 .. A-21, A-25) ---------------------------------------
+
+# fixed value: the GPT-2 pre-tokenisation pattern (contractions, letters, numbers, other, spaces)
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_to_unicode() -> list[str]:
+    """The byte-level alphabet: printable bytes ('!'..'~', '¡'..'¬', '®'..'ÿ') stand for
+    themselves, every other byte b maps to chr(256 + k) in increasing byte order."""
+    keep = set(range(ord("!"), ord("~") + 1)) | set(range(ord("¡"), ord("¬") + 1)) | set(range(ord("®"), ord("ÿ") + 1))
+    out, k = [], 0
+    for b in range(256):
+        if b in keep:
+            out.append(chr(b))
+        else:
+            out.append(chr(256 + k))
+            k += 1
+    return out
+
+
+def byte_level_pieces(text, add_prefix_space: bool = False, use_regex: bool = True) -> Column:
+    """A-10: GPT-2 regex split, then each piece's UTF-8 bytes mapped to printable code points."""
+    c = F.col(text) if isinstance(text, str) else text
+    if add_prefix_space:
+        c = F.when(c.startswith(" "), c).otherwise(F.concat(F.lit(" "), c))
+    pieces = F.regexp_extract_all(c, F.lit(BYTE_LEVEL_PATTERN), 0) if use_regex else F.array(c)
+    table = F.array(*[F.lit(ch) for ch in byte_to_unicode()])
+    def bytes_of(p):
+        hexes = F.regexp_extract_all(F.hex(F.encode(p, "UTF-8")), F.lit("[0-9A-F]{2}"), 0)
+        return F.array_join(F.transform(hexes, lambda h: F.element_at(table, F.conv(h, 16, 10).cast("int") + 1)), "")
+    return F.transform(pieces, bytes_of)
+
+
+def byte_level_decode(tokens: Column) -> Column:
+    """A-25 (byte-level decoder): map every code point back to its byte and decode UTF-8
+    (invalid sequences become U+FFFD)."""
+    inv = {ch: b for b, ch in enumerate(byte_to_unicode())}
+    m = F.create_map(*[x for ch, b in inv.items() for x in (F.lit(ch), F.lit(f"{b:02X}"))])
+    hexes = F.transform(F.split(F.array_join(tokens, ""), ""), lambda ch: F.coalesce(m[ch], F.lit("")))
+    return F.decode(F.unhex(F.array_join(hexes, "")), "UTF-8")
+
+
+def _merge_symbols(symbols: Column, left: str, right: str) -> Column:
+    """Replace each (left, right) neighbour pair, scanning left to right."""
+    merged = left + right
+
+    def step(acc, s):
+        last = F.try_element_at(acc["out"], F.lit(-1))
+        hit = (~acc["just"]) & (last == F.lit(left)) & (s == F.lit(right))
+        out = F.when(hit, F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.lit(merged)))) \
+            .otherwise(F.concat(acc["out"], F.array(s)))
+        return F.struct(out.alias("out"), hit.alias("just"))
+    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("just"))
+    return F.aggregate(symbols, init, step)["out"]
+
+
+def train_bpe(words: DataFrame, vocab_size: int | None = None, min_frequency: int = 2,
+              special_tokens: list[str] = SPECIAL_TOKENS, max_merges: int | None = None,
+              checkpoint_every: int = 1) -> tuple[list[str], list[tuple[str, str]]]:
+    """A-18: train byte-level BPE on a (word, freq) table (words already byte-mapped).
+
+    Ids: specials first, then the alphabet (characters seen, by code point), then one
+    id per merge.  Each round counts adjacent pairs weighted by frequency (partial
+    aggregation), takes the most frequent pair — ties to the smallest (left id, right id) —
+    and merges it in every word, left to right.  Stops at ``vocab_size`` / ``max_merges``
+    or when the best count drops below ``min_frequency``.  Only the distinct-word table
+    is iterated; its lineage is cut with ``checkpoint()`` every ``checkpoint_every`` rounds
+    (each round's plan then stays one merge deep).
+    Returns (vocab in id order, merges)."""
+    from weft.session import checkpoint_dir
+    spark = words.sparkSession
+    checkpoint_dir(spark)
+    w = words.select(F.split("word", "").alias("symbols"), F.col("freq").cast("long").alias("freq"))
+    w = w.filter(F.size("symbols") > 0).checkpoint(eager=True)
+    alphabet = sorted(r[0] for r in w.select(F.explode("symbols")).distinct().collect())
+    vocab = list(special_tokens) + [a for a in alphabet if a not in special_tokens]
+    ids = {t: i for i, t in enumerate(vocab)}
+    merges: list[tuple[str, str]] = []
+    rounds = 0
+    while (vocab_size is None or len(vocab) < vocab_size) and (max_merges is None or len(merges) < max_merges):
+        pc = pair_counts(w)
+        top = pc.orderBy(F.col("freq").desc()).limit(64).collect()  # candidates for the tie-break only
+        if not top or top[0]["freq"] < min_frequency:
+            break
+        best_n = top[0]["freq"]
+        tied = [r for r in top if r["freq"] == best_n]
+        if len(tied) == len(top):  # more ties than fetched: get all of them (still one row per pair)
+            tied = pc.filter(F.col("freq") == best_n).collect()
+        left, right = min(((r["left_sym"], r["right_sym"]) for r in tied), key=lambda p: (ids[p[0]], ids[p[1]]))
+        merges.append((left, right))
+        new = left + right
+        if new not in ids:
+            ids[new] = len(vocab)
+            vocab.append(new)
+        # only words holding both symbols can change; the others keep their arrays untouched
+        has = F.array_contains("symbols", left) & F.array_contains("symbols", right)
+        w = w.withColumn("symbols", F.when(has, _merge_symbols(F.col("symbols"), left, right)).otherwise(F.col("symbols")))
+        rounds += 1
+        if rounds % checkpoint_every == 0:
+            w = w.checkpoint(eager=True)
+    return vocab, merges
+
+
+def bpe_apply_udf(merges: list[tuple[str, str]], vocab: list[str], unk_id: int = UNK_ID):
+    """A-19 + A-21: a pandas UDF that encodes distinct byte-mapped words: repeatedly merge
+    the lowest-rank pair present (ties leftmost); pieces missing from the vocab become unk."""
+    ranks = {p: i for i, p in enumerate(merges)}
+    ids = {t: i for i, t in enumerate(vocab)}
+
+    def encode_word(word: str) -> list[int]:
+        syms = list(word)
+        while len(syms) > 1:
+            best, at = None, -1
+            for i in range(len(syms) - 1):
+                r = ranks.get((syms[i], syms[i + 1]))
+                if r is not None and (best is None or r < best):
+                    best, at = r, i
+            if best is None:
+                break
+            syms[at:at + 2] = [syms[at] + syms[at + 1]]
+        return [ids.get(s, unk_id) for s in syms]
+
+    @F.pandas_udf("array<int>")
+    def apply(words: pd.Series) -> pd.Series:
+        return words.map(encode_word)
+    return apply
+
+
+def bpe_encode(docs: DataFrame, key: str, text: str, vocab: list[str], merges: list[tuple[str, str]],
+               bos: int | None = BOS_ID, eos: int | None = EOS_ID) -> DataFrame:
+    """A-20: pre-tokenise -> byte map -> BPE on *distinct* words (joined back) -> ids in
+    text order -> post-process.  Returns (key, ids)."""
+    p = docs.select(key, F.posexplode(byte_level_pieces(F.col(text))).alias("pos", "word"))
+    distinct = p.select("word").distinct()
+    enc = distinct.withColumn("wid", bpe_apply_udf(merges, vocab)(F.col("word")))
+    x = p.join(enc, "word")
+    per_doc = x.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "wid"))).alias("_p"))
+    return per_doc.select(key, post_process(F.flatten(F.col("_p.wid")), bos, eos).alias("ids"))

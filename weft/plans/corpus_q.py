@@ -8,7 +8,7 @@ from weft.functions import text as T
 from weft.operators import corpus as C
 from weft.operators import bpe as B
 from weft.plans import sqlfrag as Q
-from weft.plans.catalog import register
+from weft.plans.catalog import REGISTRY, register
 from weft.session import checkpoint_dir
 from weft.sources.tables import Tables
 
@@ -383,3 +383,71 @@ FROM shl WHERE off // {CONTEXT} < shard_len // {CONTEXT} AND (shard > 0 OR off /
 def a38_resume_cursor(spark, sf_dir):
     w = C.context_windows(C.shard_pieces(char_stream(spark, sf_dir), SHARD), KEYS, CONTEXT)
     return C.resume_from(w, 0, 100).groupBy("source").agg(F.count("*").alias("n_remaining"))
+
+
+# --- byte-level BPE (no SQL oracle: RE2 has no look-ahead; checked against `tokenizers` in tests) ---
+
+BPE_MERGES = 20
+
+
+_BPE_CACHE: dict = {}
+
+
+def _bpe_model(spark, sf_dir):
+    """Train once per (application, folder): the encode query reuses the trained model."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BPE_CACHE:
+        _BPE_CACHE[key] = _train_bpe_model(spark, sf_dir)
+    return _BPE_CACHE[key]
+
+
+def _train_bpe_model(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    words = d.select(F.explode(B.byte_level_pieces(F.col("text"))).alias("word")).groupBy("word").agg(
+        F.count("*").alias("freq"))
+    return B.train_bpe(words, max_merges=BPE_MERGES)
+
+
+@register("a10_byte_level_pretokenize", "A-10")
+def a10_byte_level_pretokenize(spark, sf_dir):
+    p = docs(spark, sf_dir).select("doc_id", B.byte_level_pieces(F.col("text")).alias("p"))
+    return p.select("doc_id", F.size("p").alias("n_pieces"), F.md5(F.array_join("p", "|")).alias("pieces_md5"))
+
+
+@register("a18_train_bpe", "A-17 A-18")
+def a18_train_bpe(spark, sf_dir):
+    """Vocabulary (specials, alphabet, 20 merges) trained on every document."""
+    vocab, merges = _bpe_model(spark, sf_dir)
+    rows = [(i, t) for i, t in enumerate(vocab)]
+    return spark.createDataFrame(rows, "id int, token string")
+
+
+@register("a20_bpe_encode_decode", "A-19 A-20 A-21 A-23 A-25")
+def a20_bpe_encode_decode(spark, sf_dir):
+    """Encode every document with the trained model (bos/eos template) and decode it back."""
+    vocab, merges = _bpe_model(spark, sf_dir)
+    d = docs(spark, sf_dir)
+    enc = B.bpe_encode(d, "doc_id", "text", vocab, merges)
+    vocab_df = spark.createDataFrame([(i, t) for i, t in enumerate(vocab)], "id long, word string")
+    body = enc.select("doc_id", F.posexplode(F.slice("ids", 2, F.size("ids") - 2)).alias("pos", "id"))
+    toks = B.ids_to_tokens(body, vocab_df).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_t"))
+    dec = toks.select("doc_id", B.byte_level_decode(F.col("_t.token")).alias("decoded"))
+    return (enc.join(dec, "doc_id").join(d, "doc_id")
+            .select("doc_id", F.size("ids").alias("n_ids"), ids_md5(F.col("ids")).alias("ids_md5"),
+                    (F.col("decoded") == F.col("text")).alias("roundtrip_ok")))
+
+
+@register("a32_shard_files_roundtrip", "A-31 A-32 A-33", sql=REGISTRY["a31_shard_tokens"].sql)
+def a32_shard_files_roundtrip(spark, sf_dir):
+    """Shards written as header + uint16 files under the checkpoint folder, read back and validated."""
+    import uuid
+    from weft.sources.files import read_bin_shards, write_bin_shards
+    s = C.shard_pieces(C.train_val_split(char_stream(spark, sf_dir), KEYS, val_cap=SHARD), SHARD)
+    sh = C.assemble_shards(s, ["source", "split"]).withColumnRenamed("source", "dataset")
+    root = f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex[:8]}"
+    write_bin_shards(sh, root).write.format("noop").mode("overwrite").save()
+    back = read_bin_shards(spark, root).filter(F.col("status") == "ok")
+    src = F.regexp_extract("path", "dataset=([^/]+)/", 1)
+    return back.select(src.alias("source"), "split", "shard", F.size("tokens").cast("long").alias("n_tokens"),
+                       ids_md5(F.col("tokens")).alias("tokens_md5"))

@@ -528,3 +528,24 @@ def c96_quantize(spark, sf_dir):
     isum = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, t: a + t)
     return z.select("vec_id", "blk", R(F.col("z.b8.d")).alias("d8"), isum(F.col("z.b8.q")).alias("q8_sum"),
                     isum(F.col("z.b4.q")).alias("q4_sum"), R(F.col("z.e8")).alias("rmse8"), R(F.col("z.e4")).alias("rmse4"))
+
+
+@register("c99_npy_roundtrip", "C-99", sql=f"""WITH {EL_SQL}
+SELECT vec_id, j, {r('CAST(CAST(val AS FLOAT) AS DOUBLE)')} AS val FROM el""")
+def c99_npy_roundtrip(spark, sf_dir):
+    """Embeddings saved as one float32 .npy per block of 100 rows (shape [rows, 64]), read back."""
+    import uuid
+    from weft.session import checkpoint_dir
+    from weft.sources.files import read_npy, write_npy
+    e = emb(spark, sf_dir)
+    blocks = (e.withColumn("blk", F.floor(F.col("vec_id") / 100)).groupBy("blk")
+              .agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("_r")))  # 100 rows per group
+    t = blocks.select(F.concat(F.lit("emb_"), F.col("blk").cast("string")).alias("name"),
+                      F.array(F.size("_r").cast("long"), F.lit(64).cast("long")).alias("shape"),
+                      F.flatten(F.col("_r.v")).alias("values"), F.col("_r.vec_id").alias("ids"))
+    root = f"{checkpoint_dir(spark)}/npy-{uuid.uuid4().hex[:8]}"
+    write_npy(t, root).write.format("noop").mode("overwrite").save()
+    back = read_npy(spark, root).join(t.select("name", "ids"), "name")
+    x = back.select(F.posexplode("values").alias("k", "val"), "ids")
+    return x.select(F.element_at("ids", (F.floor(F.col("k") / 64) + 1).cast("int")).alias("vec_id"),
+                    (F.col("k") % 64).cast("int").alias("j"), R(F.col("val")).alias("val"))
