@@ -251,3 +251,99 @@ def b21_sample_seeds(spark, sf_dir):
 
 
 __all__ = ["C", "hash32_sql"]
+
+
+# --- synthetic tasks (one sample per order: idx = o_orderkey) -------------------------------
+
+from weft.operators import tasks as TK  # noqa: E402
+
+TASK_SEED = 2024
+
+
+def _u_sql(k):
+    return uniform_sql(TASK_SEED, "o_orderkey", k)
+
+
+def _draws_sql(start, length, n):
+    return f"list_transform(range({start}, {start + length}), lambda k: CAST(floor({_u_sql('k')} * {n}) AS INTEGER))"
+
+
+TASK_SQL = {
+    "addition": ("[a, 21, s - a, 22]", "[s]",
+                 f"CAST(floor({_u_sql(0)} * 21) AS INTEGER) AS s, CASE WHEN s = 0 THEN 0 ELSE CAST(floor({_u_sql(1)} * s) AS INTEGER) END AS a"),
+    "modular_addition": ("[a, 501, s - a, 502]", "[s % 113]",
+                         f"CAST(floor({_u_sql(0)} * 501) AS INTEGER) AS s, CASE WHEN s = 0 THEN 0 ELSE CAST(floor({_u_sql(1)} * s) AS INTEGER) END AS a"),
+    "parity": ("p", "[CAST(list_sum(p) % 2 AS INTEGER)]", f"{_draws_sql(0, 4, 2)} AS p"),
+    "random": ("p", "t", f"{_draws_sql(0, 5, 10)} AS p, {_draws_sql(5, 1, 10)} AS t"),
+    "repeat": ("p", "p", f"{_draws_sql(0, 3, 5)} AS p"),
+    "reverse": ("p", "list_reverse(p)", f"{_draws_sql(0, 3, 5)} AS p"),
+    "sort": ("p", "list_sort(p)", f"{_draws_sql(0, 5, 26)} AS p"),
+    "zeros": ("CAST([] AS INTEGER[])", "[0, 0, 0, 0, 0]", "1 AS unused"),
+    "slapjack": ("p", "list_transform(p, lambda c, i: CASE WHEN c = 10 OR (i >= 2 AND c = p[i - 1]) OR (i >= 3 AND c = p[i - 2]) THEN 1 ELSE 0 END)",
+                 f"{_draws_sql(0, 5, 13)} AS p"),
+    "marked_addition": ("flatten(list_transform(range(8), lambda j: [v[j + 1], m[j + 1] + 11]))",
+                        "[least(list_sum(list_transform(range(8), lambda j: v[j + 1] * m[j + 1])), 30)]",
+                        f"{_draws_sql(0, 8, 11)} AS v, {_draws_sql(8, 8, 2)} AS m"),
+    "copy_memory": ("list_concat(p, list_transform(range(12), lambda x: 10), [11])", "p", f"{_draws_sql(0, 3, 10)} AS p"),
+    "temporal_order": ("list_transform(f, lambda x, i: CASE WHEN i - 1 = px THEN 10 WHEN i - 1 = py THEN 11 ELSE x END)",
+                       "CASE WHEN px < py THEN [10, 11] ELSE [11, 10] END",
+                       f"CAST(floor({_u_sql(0)} * 13) AS INTEGER) AS px, CAST(floor({_u_sql(1)} * 12) AS INTEGER) AS q, "
+                       f"CASE WHEN q >= px THEN q + 1 ELSE q END AS py, {_draws_sql(2, 13, 10)} AS f"),
+}
+
+
+def _task_sql():
+    parts = []
+    for name, (p, t, defs) in TASK_SQL.items():
+        parts.append(f"SELECT '{name}' AS task, o_orderkey AS idx, md5(array_to_string({p}, ',')) AS prompt_md5, "
+                     f"md5(array_to_string({t}, ',')) AS target_md5 FROM (SELECT o_orderkey, {defs} FROM orders)")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("b23_toy_tasks", "B-23 B-24 B-25 B-26 B-29 B-30 B-31 B-32 B-33 B-34 B-35 B-37 B-39", sql=_task_sql())
+def b23_toy_tasks(spark, sf_dir):
+    """Twelve task generators, one sample per order (any index regenerates on its own)."""
+    o = Tables(spark, sf_dir).orders.select("o_orderkey")
+    idx = F.col("o_orderkey")
+    out = None
+    for name in TASK_SQL:
+        p, t = TK.TASKS[name](idx, TASK_SEED)
+        q = o.select(F.lit(name).alias("task"), F.col("o_orderkey").alias("idx"), ids_md5(p).alias("prompt_md5"),
+                     ids_md5(t).alias("target_md5"))
+        out = q if out is None else out.unionByName(q)
+    return out
+
+
+@register("b27_dyck", "B-27 B-38")
+def b27_dyck(spark, sf_dir):
+    """Dyck-2 words of length 10, one per order, with a balance check and the task vocabulary size."""
+    o = Tables(spark, sf_dir).orders.select("o_orderkey")
+    _, seq = TK.dyck(F.col("o_orderkey"), TASK_SEED, 10, 2)
+    s = o.select("o_orderkey", seq.alias("seq"))
+    depth = F.aggregate("seq", F.struct(F.lit(0).alias("d"), F.lit(0).alias("lo")), lambda a, t: F.struct(
+        (a["d"] + F.when(F.pmod(t, F.lit(2)) == 0, 1).otherwise(-1)).alias("d"),
+        F.least(a["lo"], a["d"] + F.when(F.pmod(t, F.lit(2)) == 0, 1).otherwise(-1)).alias("lo")))
+    return s.select("o_orderkey", F.size("seq").alias("length"), ids_md5(F.col("seq")).alias("seq_md5"),
+                    ((depth["d"] == 0) & (depth["lo"] >= 0)).alias("balanced"),
+                    F.size(F.filter(TK.dyck_mask(F.col("seq")), lambda b: b)).alias("n_closing"),
+                    F.lit(TK.task_vocab_size("dyck")).alias("vocab_size"))
+
+
+@register("b40_task_labels", "B-40 B-41", sql="""
+WITH s AS (SELECT l_orderkey, list(CAST(l_quantity AS INTEGER) % 13 ORDER BY l_linenumber, l_partkey, l_suppkey) AS q FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, CAST(list_sum(q) AS BIGINT) AS sum_label, CAST(list_sum(q) % 2 AS BIGINT) AS parity_label,
+       md5(array_to_string(list_sort(q), ',')) AS sorted_md5, md5(array_to_string(list_reverse(q), ',')) AS reversed_md5,
+       md5(array_to_string(list_transform(q, lambda c, i: CASE WHEN c = 10 OR (i >= 2 AND c = q[i - 1]) OR (i >= 3 AND c = q[i - 2]) THEN 1 ELSE 0 END), ',')) AS slaps_md5,
+       CAST(len(q) + 2 AS INTEGER) AS block_size, CAST(ceil((len(q) + 16) / 8) * 8 AS BIGINT) AS rounded_vocab
+FROM s""")
+def b40_task_labels(spark, sf_dir):
+    """Task rules recomputed on any int arrays: per order, line quantities mod 13 (card ranks)."""
+    li = Tables(spark, sf_dir).lineitem
+    s = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", F.pmod(F.col("l_quantity").cast("int"), F.lit(13)).alias("q")))).alias("_l"))
+    s = s.select("l_orderkey", F.col("_l.q").alias("q"))
+    L = TK.label_rules(F.col("q"))
+    return s.select("l_orderkey", L["sum"].alias("sum_label"), L["parity"].alias("parity_label"),
+                    ids_md5(L["sorted"]).alias("sorted_md5"), ids_md5(L["reversed"]).alias("reversed_md5"),
+                    ids_md5(L["slaps"]).alias("slaps_md5"), (F.size("q") + 2).alias("block_size"),
+                    TK.round_vocab(F.size("q") + 16, 8).alias("rounded_vocab"))
