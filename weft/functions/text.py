@@ -151,3 +151,12 @@ def normalize_text(x, lowercase: bool = False, strip_left: bool = False, strip_r
     if prepend:
         c = F.concat(F.lit(prepend), c)
     return c
+
+
+def split_added_tokens(x, tokens: list[str]) -> Column:
+    """A-15: split a text into sections around added (special) tokens, longest match first;
+    special tokens become their own sections and empty sections are dropped."""
+    import re as _re
+    alt = "|".join(_re.escape(t) for t in sorted(tokens, key=len, reverse=True))
+    marked = F.regexp_replace(_c(x), f"({alt})", "\u0000$1\u0000")
+    return F.filter(F.split(marked, "\u0000"), lambda s: F.length(s) > 0)

@@ -451,3 +451,32 @@ def a32_shard_files_roundtrip(spark, sf_dir):
     src = F.regexp_extract("path", "dataset=([^/]+)/", 1)
     return back.select(src.alias("source"), "split", "shard", F.size("tokens").cast("long").alias("n_tokens"),
                        ids_md5(F.col("tokens")).alias("tokens_md5"))
+
+
+CHAT_SPECIALS = ["<|user|>", "<|assistant|>", "<|system|>", "<|end|>"]
+
+
+@register("a15_split_added_tokens", "A-15", sql="""
+WITH p AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece FROM conversations),
+s AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(piece, '(<\\|assistant\\|>|<\\|system\\|>|<\\|user\\|>|<\\|end\\|>)', chr(0) || '\\1' || chr(0), 'g'), chr(0)), lambda x: length(x) > 0) AS secs FROM p)
+SELECT conv_id, turn, CAST(len(secs) AS INTEGER) AS n_sections, md5(array_to_string(secs, '|')) AS sections_md5 FROM s""")
+def a15_split_added_tokens(spark, sf_dir):
+    """Rendered chat pieces split around their special tokens."""
+    c = C.chat_format(Tables(spark, sf_dir).conversations)
+    secs = T.split_added_tokens(F.col("piece"), CHAT_SPECIALS)
+    return c.select("conv_id", "turn", F.size(secs).alias("n_sections"), F.md5(F.array_join(secs, "|")).alias("sections_md5"))
+
+
+@register("a01_read_text_corpus", "A-01", sql="""
+SELECT doc_id, md5(substr(text, 1, 500)) AS text_md5, CAST(length(substr(text, 1, 500)) AS INTEGER) AS n_chars FROM documents""")
+def a01_read_text_corpus(spark, sf_dir):
+    """Documents written as UTF-8 files (one per document, under the checkpoint folder) and read
+    back as a text corpus cut to its first 500 characters."""
+    import uuid
+    from weft.sources.files import read_text_corpus, write_text_files
+    root = f"{checkpoint_dir(spark)}/text-{uuid.uuid4().hex[:8]}"
+    d = docs(spark, sf_dir).select("doc_id", "text")
+    write_text_files(d, root, "doc_id", "text").write.format("noop").mode("overwrite").save()
+    back = read_text_corpus(spark, f"{root}/*.txt", max_chars=500)
+    did = F.regexp_extract("path", "/([0-9]+)[.]txt$", 1).cast("long")
+    return back.select(did.alias("doc_id"), F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))

@@ -134,3 +134,19 @@ def read_npy(spark: SparkSession, root: str) -> DataFrame:
                                 "shape": [list(a.shape) for a in arrs],
                                 "values": [a.astype(np.float64).ravel().tolist() for a in arrs]})
     return b.select("path", "content").mapInPandas(parse, "name string, shape array<long>, values array<double>")
+
+
+def write_text_files(df: DataFrame, root: str, name: str, text: str) -> DataFrame:
+    """One UTF-8 file ``{root}/{name}.txt`` per row, written by the task that holds the row."""
+    def write(it):
+        for pdf in it:
+            paths = []
+            for n, t in zip(pdf[name], pdf[text]):
+                p = f"{root.rstrip('/')}/{n}.txt"
+                fs, fp = _fs(p)
+                fs.create_dir(os.path.dirname(fp), recursive=True)
+                with fs.open_output_stream(fp) as f:
+                    f.write((t or "").encode("utf-8"))
+                paths.append(p)
+            yield pd.DataFrame({"path": paths})
+    return df.select(F.col(name).cast("string").alias(name), text).mapInPandas(write, "path string")
