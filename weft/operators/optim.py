@@ -166,3 +166,84 @@ def count_parameters(params: DataFrame, shape: str = "shape", values: str | None
     if values:
         aggs.append(F.sum(F.aggregate(F.col(values).cast("array<double>"), F.lit(0.0), lambda a, v: a + v)).alias("param_sum"))
     return params.agg(*aggs)
+
+
+def param_groups(params: DataFrame, name: str = "param_name", kind: str = "kind", module_type: str = "type_name") -> DataFrame:
+    """D-39: decay / no_decay membership: buffers are not optimised; biases and the weights of
+    normalisation modules are not decayed; everything else is.  Adds ``group`` and flags
+    ``overlap`` (both rules) and ``missing`` (neither) — both must be false."""
+    is_buf = F.col(kind) == "buffer"
+    no_decay = F.col(name).endswith("bias") | F.col(module_type).contains("Norm")
+    decay = ~no_decay
+    return params.filter(~is_buf).withColumn("group", F.when(no_decay, "no_decay").otherwise("decay")).withColumn(
+        "overlap", no_decay & decay).withColumn("missing", ~no_decay & ~decay)
+
+
+def lr_sequential(t, schedules: Sequence, milestones: Sequence[int], base: float) -> Column:
+    """D-34: schedule k runs from milestone k-1 (its own step 0 there) and starts from the rate
+    the previous schedule reached; each schedule is ``fn(step, start_lr) -> Column`` and
+    ``start_fn(step, start_lr) -> float`` gives its value at a step (evaluated on the driver for
+    the few milestones).  Milestones must increase and number len(schedules) - 1."""
+    if len(milestones) != len(schedules) - 1 or any(b <= a for a, b in zip(milestones, milestones[1:])):
+        raise ValueError("milestones must be strictly increasing, one fewer than schedules")
+    starts = [base]
+    for k, m in enumerate(milestones):
+        prev_start = milestones[k - 1] if k > 0 else 0
+        starts.append(schedules[k][1](m - prev_start, starts[-1]))
+    tc = _c(t)
+    expr = None
+    bounds = [0, *milestones]
+    for k in range(len(schedules) - 1, -1, -1):
+        e = schedules[k][0](tc - bounds[k], starts[k])
+        expr = e if expr is None else F.when(tc < milestones[k], e).otherwise(expr)
+    return expr
+
+
+def fit_linear(rows: DataFrame, features: Sequence[str], target: str, steps: int, lr: float,
+               momentum: float = 0.0, max_grad_norm: float | None = None) -> list[dict]:
+    """D-43: full-batch gradient descent of y = w.x + b under MSE.  Each step is one aggregate
+    over the (cached) rows with the current weights inlined as literals (D-42), optional
+    gradient clipping (D-41) and an SGD update (D-35) on the driver — the weights are a few
+    numbers.  Returns the per-step history."""
+    data = rows.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("_y")).cache()
+    w, b = [0.0] * len(features), 0.0
+    buf = None
+    hist = []
+    n = data.count()
+    for step in range(steps):
+        yh = sum((F.lit(wi) * F.col(f) for wi, f in zip(w, features)), F.lit(b))
+        r = yh - F.col("_y")
+        g = data.agg(*[F.sum(r * F.col(f)).alias(f"g{i}") for i, f in enumerate(features)], F.sum(r).alias("gb"),
+                     F.sum(r * r).alias("sse")).first()
+        grad = [2.0 * g[f"g{i}"] / n for i in range(len(features))] + [2.0 * g["gb"] / n]
+        if max_grad_norm is not None:
+            tot = sum(x * x for x in grad) ** 0.5
+            grad = [x * min(1.0, max_grad_norm / (tot + 1e-6)) for x in grad]
+        if momentum:
+            buf = [0.0] * len(grad) if buf is None else [momentum * bi + gi for bi, gi in zip(buf, grad)]
+            upd = buf
+        else:
+            upd = grad
+        params = [*w, b]
+        params = [p - lr * u for p, u in zip(params, upd)]
+        w, b = params[:-1], params[-1]
+        hist.append({"step": step, "loss": g["sse"] / n, **{f"w{i}": v for i, v in enumerate(w)}, "b": b})
+    data.unpersist()
+    return hist
+
+
+def write_checkpoint(state: DataFrame, skeleton: dict, root: str) -> None:
+    """D-45: tensors as Parquet rows (step, name, shape, values) and the nested structure as JSON."""
+    import json
+    state.write.mode("overwrite").parquet(f"{root}/tensors")
+    spark = state.sparkSession
+    spark.createDataFrame([(json.dumps(skeleton),)], "skeleton string").coalesce(1).write.mode("overwrite").text(f"{root}/skeleton")
+
+
+def load_checkpoint(spark, root: str, expected: Sequence[str]) -> tuple[DataFrame, dict]:
+    """D-45 lenient load: tensors whose name is not expected are skipped (semi join)."""
+    import json
+    tensors = spark.read.parquet(f"{root}/tensors")
+    keep = spark.createDataFrame([(e,) for e in expected], "name string")
+    sk = json.loads(spark.read.text(f"{root}/skeleton").first()[0])
+    return tensors.join(keep, "name", "left_semi"), sk

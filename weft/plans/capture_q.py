@@ -225,3 +225,30 @@ def e24_module_index(spark, sf_dir):
     m, _ = tree(spark, sf_dir)
     i = CP.module_index(oplog(spark, sf_dir, m))
     return i.select("module_path", "n_ops", F.array_join("ops", ",").alias("ops"), "first_seq", "last_seq")
+
+
+@register("d39_param_groups", "D-39", sql=f"""WITH {TREE_SQL},
+p AS (SELECT nodes.path, 'acctbal' AS param_name, nodes.type_name FROM nodes JOIN customer ON nodes.key = customer.c_custkey
+      UNION ALL SELECT path, 'norm.bias', type_name FROM nodes WHERE depth = 2)
+SELECT path, param_name, CASE WHEN ends_with(param_name, 'bias') OR contains(type_name, 'Norm') THEN 'no_decay' ELSE 'decay' END AS "group"
+FROM p""")
+def d39_param_groups(spark, sf_dir):
+    """Decay groups of the module parameters (customers: weight-like balances; nations: a bias;
+    buffers are left out)."""
+    from weft.operators.optim import param_groups
+    m, _ = tree(spark, sf_dir)
+    p = params(spark, sf_dir, m).join(m.select("path", "type_name"), "path")
+    nb = m.filter(F.col("depth") == 2).select("path", F.lit("norm.bias").alias("param_name"), F.lit("parameter").alias("kind"),
+                                              F.array(F.lit(0.0)).alias("values"), "type_name")
+    g = param_groups(p.unionByName(nb))
+    return g.select("path", "param_name", "group")
+
+
+@register("d43_fit_linear", "D-43 D-41 D-42 D-35")
+def d43_fit_linear(spark, sf_dir):
+    """20 full-batch steps fitting extendedprice/1e5 ~ w * quantity/50 + b over every line item."""
+    from weft.operators.optim import fit_linear
+    li = Tables(spark, sf_dir).lineitem.select((F.col("l_quantity") / 50).alias("x"),
+                                               (F.col("l_extendedprice") / 1e5).alias("y"))
+    hist = fit_linear(li, ["x"], "y", steps=20, lr=0.5, momentum=0.9, max_grad_norm=5.0)
+    return spark.createDataFrame([(h["step"], h["loss"], h["w0"], h["b"]) for h in hist], "step int, loss double, w double, b double")
