@@ -176,3 +176,87 @@ def label_rules(seq: Column) -> dict[str, Column]:
     s = F.aggregate(seq, F.lit(0).cast("long"), lambda a, x: a + x)
     return {"sum": s, "parity": F.pmod(s, F.lit(2)), "sorted": F.array_sort(seq), "reversed": F.reverse(seq),
             "slaps": slap_rule(seq), "repeat": seq}
+
+
+# --- Elman grammar (B-28) and its template metrics (D-08) --------------------------------
+
+# fixed values: word categories and the 16 three-slot sentence templates (None = PAD)
+ELMAN_CATEGORIES = {
+    "NOUN_HUM": ["man", "woman", "boy", "girl"],
+    "NOUN_ANIM": ["cat", "mouse", "dog"],
+    "NOUN_INANIM": ["book", "rock", "pencil"],
+    "NOUN_AGRESS": ["dragon", "monster"],
+    "NOUN_FRAG": ["glass", "plate"],
+    "NOUN_FOOD": ["apple", "banana", "orange", "pie", "pizza", "sandwich"],
+    "VERB_INTRAN": ["think", "sleep"],
+    "VERB_TRAN": ["see", "chase"],
+    "VERB_AGPAT": ["move", "break"],
+    "VERB_PERCEPT": ["smell", "see"],
+    "VERB_DESTROY": ["break", "smash"],
+    "VERB_EAT": ["eat", "consume"],
+}
+ELMAN_TEMPLATES = [
+    ["NOUN_HUM", "VERB_EAT", "NOUN_FOOD"],
+    ["NOUN_HUM", "VERB_PERCEPT", "NOUN_INANIM"],
+    ["NOUN_HUM", "VERB_DESTROY", "NOUN_FRAG"],
+    ["NOUN_HUM", "VERB_INTRAN", None],
+    ["NOUN_HUM", "VERB_TRAN", "NOUN_HUM"],
+    ["NOUN_HUM", "VERB_AGPAT", "NOUN_INANIM"],
+    ["NOUN_HUM", "VERB_AGPAT", None],
+    ["NOUN_ANIM", "VERB_EAT", "NOUN_FOOD"],
+    ["NOUN_ANIM", "VERB_TRAN", "NOUN_ANIM"],
+    ["NOUN_ANIM", "VERB_AGPAT", "NOUN_INANIM"],
+    ["NOUN_ANIM", "VERB_AGPAT", None],
+    ["NOUN_INANIM", "VERB_AGPAT", None],
+    ["NOUN_AGRESS", "VERB_DESTROY", "NOUN_FRAG"],
+    ["NOUN_AGRESS", "VERB_EAT", "NOUN_HUM"],
+    ["NOUN_AGRESS", "VERB_EAT", "NOUN_ANIM"],
+    ["NOUN_AGRESS", "VERB_EAT", "NOUN_FOOD"],
+]
+
+
+def elman_vocab() -> list[str]:
+    """Words in first-seen order over the categories, then PAD (bos/eos/mask follow)."""
+    seen = []
+    for words in ELMAN_CATEGORIES.values():
+        for w in words:
+            if w not in seen:
+                seen.append(w)
+    return seen + ["PAD"]
+
+
+def _elman_templates_literal() -> Column:
+    def slot(s):
+        return F.lit(None).cast("array<string>") if s is None else F.array(*[F.lit(w) for w in ELMAN_CATEGORIES[s]])
+    return F.array(*[F.array(*[slot(s) for s in t]) for t in ELMAN_TEMPLATES])
+
+
+def elman(idx: Column, seed: int) -> tuple[Column, Column]:
+    """B-28: a template (draw 0), then one word per slot (draw 1 + slot); PAD for empty slots.
+    Returns (words, ids) with ids = positions in ``elman_vocab()``."""
+    tpl = F.element_at(_elman_templates_literal(), _draw(seed, idx, 0, len(ELMAN_TEMPLATES)) + 1)
+    words = F.transform(tpl, lambda s, j: F.when(s.isNull(), F.lit("PAD")).otherwise(
+        F.element_at(s, (F.floor(_u(seed, idx, j + 1) * F.size(s)) + 1).cast("int"))))
+    vocab = elman_vocab()
+    m = F.create_map(*[x for i, w in enumerate(vocab) for x in (F.lit(w), F.lit(i))])
+    return words, F.transform(words, lambda w: m[w])
+
+
+def elman_metrics(words: Column) -> Column:
+    """D-08: best in-order prefix match of the first (up to) three words against every
+    template; per-token matches; length_correct (3 words), matched_template / valid_statement."""
+    n = F.least(F.size(words), F.lit(3))
+
+    def prefix(tpl):
+        def step(acc, i):
+            s = F.element_at(tpl, i + 1)
+            w = F.element_at(words, i + 1)
+            ok = F.when(s.isNull(), w == "PAD").otherwise(F.array_contains(s, w))
+            go = acc["go"] & (i < n) & ok
+            return F.struct(go.alias("go"), (acc["k"] + F.when(go, 1).otherwise(0)).alias("k"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(2)), F.struct(F.lit(True).alias("go"), F.lit(0).alias("k")), step)["k"]
+    best = F.array_max(F.transform(_elman_templates_literal(), prefix))
+    matches = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(-1))), lambda i: i < best)
+    return F.struct(best.alias("best_prefix"), (F.size(words) == 3).alias("length_correct"),
+                    (best == 3).alias("matched_template"), (best == 3).alias("valid_statement"),
+                    F.when(n > 0, matches).otherwise(F.array().cast("array<boolean>")).alias("matches"))

@@ -347,3 +347,36 @@ def b40_task_labels(spark, sf_dir):
                     ids_md5(L["sorted"]).alias("sorted_md5"), ids_md5(L["reversed"]).alias("reversed_md5"),
                     ids_md5(L["slaps"]).alias("slaps_md5"), (F.size("q") + 2).alias("block_size"),
                     TK.round_vocab(F.size("q") + 16, 8).alias("rounded_vocab"))
+
+
+def _elman_sql():
+    def slot(s):
+        return "NULL" if s is None else "[" + ", ".join(f"'{w}'" for w in TK.ELMAN_CATEGORIES[s]) + "]"
+    tpls = "[" + ", ".join("[" + ", ".join(slot(s) for s in t) + "]" for t in TK.ELMAN_TEMPLATES) + "]"
+    return tpls
+
+
+@register("b28_elman", "B-28 D-08", sql=f"""
+WITH g AS (SELECT o_orderkey, {_elman_sql()}[CAST(floor({_u_sql(0)} * 16) AS INTEGER) + 1] AS tpl,
+                  {_elman_sql()}[CAST(floor({uniform_sql(TASK_SEED + 1, 'o_orderkey', '0')} * 16) AS INTEGER) + 1] AS tpl2 FROM orders),
+w AS (SELECT o_orderkey, list_transform(tpl, lambda s, j: CASE WHEN s IS NULL THEN 'PAD' ELSE s[CAST(floor({_u_sql('j')} * len(s)) AS INTEGER) + 1] END) AS words,
+             list_transform(tpl2, lambda s, j: CASE WHEN s IS NULL THEN 'PAD' ELSE s[CAST(floor({uniform_sql(TASK_SEED + 1, 'o_orderkey', 'j')} * len(s)) AS INTEGER) + 1] END) AS words2 FROM g),
+p AS (SELECT o_orderkey, words, [words[1], words[2], words2[3]] AS pred FROM w),
+m AS (SELECT o_orderkey, words, pred, list_max(list_transform({_elman_sql()}, lambda t:
+        CASE WHEN NOT (CASE WHEN t[1] IS NULL THEN pred[1] = 'PAD' ELSE list_contains(t[1], pred[1]) END) THEN 0
+             WHEN NOT (CASE WHEN t[2] IS NULL THEN pred[2] = 'PAD' ELSE list_contains(t[2], pred[2]) END) THEN 1
+             WHEN NOT (CASE WHEN t[3] IS NULL THEN pred[3] = 'PAD' ELSE list_contains(t[3], pred[3]) END) THEN 2 ELSE 3 END)) AS best FROM p)
+SELECT o_orderkey AS idx, array_to_string(words, ' ') AS sentence, array_to_string(pred, ' ') AS prediction,
+       CAST(best AS INTEGER) AS best_prefix, best = 3 AS matched_template FROM m""")
+def b28_elman(spark, sf_dir):
+    """One Elman sentence per order; the prediction keeps its first two words and takes the third
+    from a second sample, then is scored against the templates."""
+    o = Tables(spark, sf_dir).orders.select("o_orderkey")
+    words, _ = TK.elman(F.col("o_orderkey"), TASK_SEED)
+    words2, _ = TK.elman(F.col("o_orderkey"), TASK_SEED + 1)
+    x = o.select("o_orderkey", words.alias("words"), words2.alias("w2"))
+    x = x.withColumn("pred", F.array(F.col("words")[0], F.col("words")[1], F.col("w2")[2]))
+    m = TK.elman_metrics(F.col("pred"))
+    return x.select(F.col("o_orderkey").alias("idx"), F.array_join("words", " ").alias("sentence"),
+                    F.array_join("pred", " ").alias("prediction"), m["best_prefix"].alias("best_prefix"),
+                    m["matched_template"].alias("matched_template"))
