@@ -123,3 +123,16 @@ def hash32_sql(seed, *parts: str) -> str:
 
 def uniform_sql(seed, *parts: str) -> str:
     return f"(CAST({hash32_sql(seed, *parts)} AS DOUBLE) / 4294967296.0)"
+
+
+def hash32_py(seed: int, *parts: int) -> int:
+    """The same chain on Python ints (for per-row helpers inside tasks)."""
+    h = mix32_int(seed)
+    for p in parts:
+        folded = (p & M32) ^ ((p >> 32) & M32)
+        h = mix32_int((h ^ (folded + GOLDEN)) & M32)
+    return h
+
+
+def uniform_py(seed: int, *parts: int) -> float:
+    return hash32_py(seed, *parts) / 4294967296.0

@@ -9,6 +9,7 @@ not reproduced; the task rules are.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -260,3 +261,51 @@ def elman_metrics(words: Column) -> Column:
     return F.struct(best.alias("best_prefix"), (F.size(words) == 3).alias("length_correct"),
                     (best == 3).alias("matched_template"), (best == 3).alias("valid_statement"),
                     F.when(n > 0, matches).otherwise(F.array().cast("array<boolean>")).alias("matches"))
+
+
+def two_sum_sample(idx: int, seed: int, length: int = 4, max_number: int = 15, max_retries: int = 10):
+    """B-36 for one index: a pair (a, b) at distinct places with t = a + b; every other filler is
+    drawn from values that cannot form another pair summing to t (not a, not b, not the
+    complement of an earlier filler).  Up to ``max_retries`` attempts; None when all fail.
+    Draw k of the sample is uniform_py(seed, idx, k)."""
+    from weft.functions.hashing import uniform_py
+    k = 0
+
+    def integer(lo, hi):  # inclusive bounds
+        nonlocal k
+        v = lo + int(uniform_py(seed, idx, k) * (hi - lo + 1))
+        k += 1
+        return v
+    max_el = max_number // 2
+    for _ in range(max_retries):
+        i = integer(0, length - 1)
+        j = integer(0, length - 1)
+        while j == i:
+            j = integer(0, length - 1)
+        a, b = integer(0, max_el), integer(0, max_el)
+        t = a + b
+        nums = [None] * length
+        nums[i], nums[j] = a, b
+        seen, ok = [], True
+        for p in range(length):
+            if p in (i, j):
+                continue
+            banned = {a, b} | {t - y for y in seen if 0 <= t - y <= max_el}
+            allowed = [v for v in range(max_el + 1) if v not in banned]
+            if not allowed:
+                ok = False
+                break
+            nums[p] = allowed[integer(0, len(allowed) - 1)]
+            seen.append(nums[p])
+        if ok:
+            return nums + [t], [nums[i], nums[j]]
+    return None
+
+
+def two_sum_udf(seed: int, length: int = 4, max_number: int = 15):
+    """A pandas UDF over an index column -> struct(prompt, target) (null when infeasible)."""
+    @F.pandas_udf("prompt array<int>, target array<int>")
+    def gen(ids: pd.Series) -> pd.DataFrame:
+        out = [two_sum_sample(int(i), seed, length, max_number) for i in ids]
+        return pd.DataFrame({"prompt": [o[0] if o else None for o in out], "target": [o[1] if o else None for o in out]})
+    return gen

@@ -380,3 +380,17 @@ def b28_elman(spark, sf_dir):
     return x.select(F.col("o_orderkey").alias("idx"), F.array_join("words", " ").alias("sentence"),
                     F.array_join("pred", " ").alias("prediction"), m["best_prefix"].alias("best_prefix"),
                     m["matched_template"].alias("matched_template"))
+
+
+@register("b36_two_sum", "B-36")
+def b36_two_sum(spark, sf_dir):
+    """One two-sum instance per order with a uniqueness check of its solution (rows-only: the
+    retry loop runs in a per-row helper)."""
+    o = Tables(spark, sf_dir).orders.select("o_orderkey")
+    g = o.select("o_orderkey", TK.two_sum_udf(TASK_SEED)(F.col("o_orderkey")).alias("s"))
+    nums = F.slice("s.prompt", 1, 4)
+    t = F.element_at("s.prompt", 5)
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.transform(
+        F.sequence(F.lit(0), F.lit(3)), lambda j: F.when((i < j) & (F.element_at(nums, i + 1) + F.element_at(nums, j + 1) == t), 1).otherwise(0))))
+    return g.select("o_orderkey", ids_md5(F.col("s.prompt")).alias("prompt_md5"), ids_md5(F.col("s.target")).alias("target_md5"),
+                    (F.aggregate(pairs, F.lit(0), lambda a, x: a + x) == 1).alias("unique_solution"))
