@@ -56,3 +56,28 @@ def s08_stream_op_chain(spark, sf_dir):
     ev = ST.table_stream(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("op"))
     ops = ev.join(F.broadcast(paths), "user_id")  # stream-static join; the tree is one row per customer
     return ST.run_to_table(ST.stream_op_chain(ops, ["view", "click", "purchase"], [ST.NEXT, "subsequent"]), "chain")
+
+
+@register("s01_stream_token_offsets", "S-01 S-02", sql=f"""WITH {__import__('weft.plans.sqlfrag', fromlist=['x']).pieces_cte()},
+{__import__('weft.plans.sqlfrag', fromlist=['x']).stream_cte()}
+SELECT source, CAST(COUNT(*) AS BIGINT) AS n_pieces, CAST(SUM(n_tokens) AS BIGINT) AS n_tokens, CAST(SUM(start) AS BIGINT) AS start_sum
+FROM stream GROUP BY source""")
+def s01_stream_token_offsets(spark, sf_dir):
+    """Documents arrive as a stream; paragraphs and chunks are char-encoded (+eos) and every piece
+    gets its corpus offset from per-corpus state.  Run twice on one checkpoint: the second run
+    finds no new input, so the table has neither gaps nor duplicates (S-02)."""
+    import os
+    import uuid
+    from weft.functions import text as T
+    from weft.operators import corpus as C
+    from weft.session import checkpoint_dir
+
+    def build():
+        d = C.drop_blank(ST.table_stream(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+        p = C.paragraph_pieces(d).withColumn("ids", F.concat(T.char_ids(F.col("piece")), F.array(F.lit(T.CHAR_EOS))))
+        return ST.stream_token_offsets(p.drop("piece"), "source", ["doc_id", "para_idx", "chunk_idx"])
+    base = os.path.join(checkpoint_dir(spark), f"stream-offsets-{uuid.uuid4().hex[:8]}")
+    ST.run_to_table(build(), "offsets", checkpoint=base)
+    out = ST.run_to_table(build(), "offsets", checkpoint=base)  # restart: resumes, adds nothing
+    return out.groupBy("source").agg(F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"),
+                                     F.sum("start").alias("start_sum"))

@@ -181,3 +181,23 @@ def stream_incremental_decode(tokens: DataFrame, key: str, pos: str, tok: str, d
 
 __all__ = ["table_stream", "run_to_table", "stream_log_metrics", "stream_throughput", "stream_batches",
            "stream_op_chain", "stream_incremental_decode", "incremental_decode_step", "NEXT"]
+
+
+# --- S-01 streamed token stream with per-corpus offsets ---------------------------------------
+
+def stream_token_offsets(pieces: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """S-01: pieces (key, order..., ids) arriving in micro-batches get their ``start`` offset in
+    the token stream of their corpus; the state of a corpus is the next free offset.  Pieces of a
+    corpus are assumed to arrive in order across micro-batches (files in order)."""
+    cols = [key, *order, "n_tokens"]
+
+    def fn(k, pdfs, state: GroupState):
+        pdf = pd.concat(list(pdfs)).sort_values(list(order))
+        start = state.get[0] if state.exists else 0
+        offs = pdf["n_tokens"].cumsum().shift(1, fill_value=0) + start
+        state.update((int(start + pdf["n_tokens"].sum()),))
+        yield pdf.assign(start=offs.astype("int64"))[[*cols, "start"]]
+
+    x = pieces.withColumn("n_tokens", F.size("ids").cast("long")).select(*cols)
+    schema = ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for c in cols) + ", start long"
+    return x.groupBy(key).applyInPandasWithState(fn, schema, "next_offset long", "append", GroupStateTimeout.NoTimeout)
