@@ -30,8 +30,12 @@ def md5_sql(x):
 
 
 def indexed_orders(spark, sf_dir):
+    """Orders with their position in (o_orderdate, o_orderkey) order, staged once in the
+    checkpoint folder: samplers and batchers read the index several times."""
+    from weft.session import checkpoint_dir
     o = Tables(spark, sf_dir).orders.select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus")
-    return B.sequential_index(o, ["o_orderdate", "o_orderkey"], "idx")
+    checkpoint_dir(spark)
+    return B.sequential_index(o, ["o_orderdate", "o_orderkey"], "idx").checkpoint(eager=True)
 
 
 IDX_SQL = """io AS (SELECT o_orderkey, o_totalprice, o_orderstatus,
