@@ -38,12 +38,14 @@ l AS (SELECT label, -(v[label + 1] - m - lse) AS nll, -(list_avg(v) - m - lse) A
 SELECT label, {r('SUM(nll)', 4)} AS loss_sum, CAST(COUNT(*) AS BIGINT) AS n_valid, {r('AVG(nll)')} AS loss_mean,
        {r('exp(AVG(nll))')} AS perplexity, {r('AVG(0.9 * nll + 0.1 * unif)')} AS smooth_mean FROM l GROUP BY label""")
 def d01_cross_entropy(spark, sf_dir):
+    """Plain and label-smoothed (alpha 0.1) cross entropy per label in one scan and one aggregation."""
     e = emb(spark, sf_dir)
-    ce = EV.cross_entropy(e, "v", "label", ["label"])
-    sm = EV.cross_entropy(e, "v", "label", ["label"], alpha=0.1).select("label", F.col("loss_mean").alias("smooth_mean"))
-    return ce.join(sm, "label").select("label", R(F.col("loss_sum"), 4).alias("loss_sum"), "n_valid",
-                                       R(F.col("loss_mean")).alias("loss_mean"), R(F.col("perplexity")).alias("perplexity"),
-                                       R(F.col("smooth_mean")).alias("smooth_mean"))
+    x = e.select("label", EV.nll_row(F.col("v"), "label").alias("nll"),
+                 EV.smoothed_row(F.col("v"), "label", 0.1).alias("sm"))
+    g = x.groupBy("label").agg(F.sum("nll").alias("loss_sum"), F.count("nll").alias("n_valid"), F.avg("sm").alias("smooth_mean"))
+    mean = F.when(F.col("n_valid") > 0, F.col("loss_sum") / F.col("n_valid")).otherwise(0.0)
+    return g.select("label", R(F.col("loss_sum"), 4).alias("loss_sum"), "n_valid", R(mean).alias("loss_mean"),
+                    R(F.exp(mean)).alias("perplexity"), R(F.col("smooth_mean")).alias("smooth_mean"))
 
 
 @register("d05_mse_fit", "D-05 D-42", sql=f"""
