@@ -81,3 +81,23 @@ def s01_stream_token_offsets(spark, sf_dir):
     out = ST.run_to_table(build(), "offsets", checkpoint=base)  # restart: resumes, adds nothing
     return out.groupBy("source").agg(F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"),
                                      F.sum("start").alias("start_sum"))
+
+
+@register("s07_incremental_decode", "S-07")
+def s07_incremental_decode(spark, sf_dir):
+    """Conversation text arrives as a stream of char tokens (position = turn * 1e6 + offset);
+    per conversation the decoder emits text only when the decoded tail grew and ends with an
+    alphanumeric character.  ``emitted_ok``: every emitted piece ends alphanumeric and no more
+    characters are emitted than the conversation holds (aggregates only; no text is assembled)."""
+    from weft.functions import text as T
+    conv = ST.table_stream(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    toks = conv.select("conv_id", "turn", F.posexplode(T.char_ids(F.col("text"))).alias("k", "tok"))
+    toks = toks.select("conv_id", (F.col("turn") * 1000000 + F.col("k")).alias("pos"), "tok")
+    out = ST.run_to_table(ST.stream_incremental_decode(toks, "conv_id", "pos", "tok",
+                                                       lambda ids: "".join(chr(i) for i in ids)), "decode")
+    n_text = Tables(spark, sf_dir).conversations.groupBy("conv_id").agg(F.sum(F.length("text")).alias("n_text"))
+    per = out.groupBy("conv_id").agg(F.sum(F.length("text")).alias("n_emitted"), F.count("*").alias("n_pieces"),
+                                     F.min(F.col("text").rlike("[\\p{L}\\p{N}]$").cast("int")).alias("_alnum_end"))
+    return (per.join(n_text, "conv_id")
+            .select("conv_id", "n_emitted", "n_pieces",
+                    ((F.col("n_emitted") <= F.col("n_text")) & (F.col("_alnum_end") == 1)).alias("emitted_ok")))
