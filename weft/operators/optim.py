@@ -240,10 +240,12 @@ def write_checkpoint(state: DataFrame, skeleton: dict, root: str) -> None:
     spark.createDataFrame([(json.dumps(skeleton),)], "skeleton string").coalesce(1).write.mode("overwrite").text(f"{root}/skeleton")
 
 
-def load_checkpoint(spark, root: str, expected: Sequence[str]) -> tuple[DataFrame, dict]:
-    """D-45 lenient load: tensors whose name is not expected are skipped (semi join)."""
+def load_checkpoint(spark, root: str, expected) -> tuple[DataFrame, dict]:
+    """D-45 lenient load: tensors whose name is not expected (a list, or a DataFrame with a
+    ``name`` column) are skipped with a semi join."""
     import json
     tensors = spark.read.parquet(f"{root}/tensors")
-    keep = spark.createDataFrame([(e,) for e in expected], "name string")
+    keep = expected.select("name").distinct() if isinstance(expected, DataFrame) else \
+        spark.createDataFrame([(e,) for e in expected], "name string")
     sk = json.loads(spark.read.text(f"{root}/skeleton").first()[0])
     return tensors.join(keep, "name", "left_semi"), sk

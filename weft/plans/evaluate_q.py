@@ -12,7 +12,7 @@ from weft.functions import arrays as A
 from weft.operators import evaluate as EV
 from weft.operators import optim as OP
 from weft.operators.random import argmax_sample
-from weft.plans.catalog import register
+from weft.plans.catalog import REGISTRY, register
 from weft.plans.tensor_q import EMB_SQL, LI_SQL, emb, lineitem_scalars
 from weft.sources.tables import Tables
 
@@ -257,3 +257,21 @@ SELECT CAST(SUM(len(v)) AS BIGINT) AS n_params, {r('SUM(list_sum(v))', 4)} AS pa
 def d44_count_parameters(spark, sf_dir):
     p = emb(spark, sf_dir).select(F.array(F.size("v").cast("long")).alias("shape"), "v")
     return OP.count_parameters(p, "shape", "v").select("n_params", R(F.col("param_sum"), 4).alias("param_sum"))
+
+
+@register("d45_checkpoint_resume", "D-45", sql=REGISTRY["d36_adam"].sql)
+def d45_checkpoint_resume(spark, sf_dir):
+    """Adam step 1, its state written as a checkpoint table (Parquet + JSON skeleton) in the
+    checkpoint folder, read back leniently and resumed for step 2: equals two uninterrupted steps."""
+    import uuid
+    from weft.session import checkpoint_dir
+    pg = param_grads(spark, sf_dir)
+    kw = dict(lr=0.01, betas=(0.9, 0.999), eps=1e-8, weight_decay=0.1, amsgrad=False, decoupled=False, keys=KEYS)
+    s1 = OP.adam_step(pg.select(*KEYS, "param", "grad"), **kw)
+    root = f"{checkpoint_dir(spark)}/optim-{uuid.uuid4().hex[:8]}"
+    OP.write_checkpoint(s1, {"optimizer": "adam", "step": 1, "keys": KEYS}, root)
+    state, skeleton = OP.load_checkpoint(spark, root, pg.select("name"))
+    keys = skeleton["keys"]
+    pg2 = state.select(*keys, "param").join(pg.select(*keys, F.col("grad2").alias("grad")), keys)
+    s2 = OP.adam_step(pg2, state=state.drop("param"), **kw)
+    return s2.select(*keys, R(F.col("param")).alias("param"))
