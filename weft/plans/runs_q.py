@@ -152,3 +152,15 @@ def d28_lr_schedules(spark, sf_dir):
                      F.round(OP.lr_multistep(t, 0.1, [5, 20, 20], 0.1), 8).alias("lr_multistep"),
                      F.round(OP.lr_exponential(t, 0.1, 0.97), 8).alias("lr_exponential"),
                      F.round(OP.lr_cosine(t, 0.1, 60, 0.001), 8).alias("lr_cosine"))
+
+
+@register("d34_lr_sequential", "D-34", sql=f"""WITH {LOG_SQL}
+SELECT run_id, step, round(CASE WHEN step < 10 THEN 0.1 * (0.1 + 0.9 * least(step, 8) / 8.0)
+                                ELSE 0.1 * pow(0.95, step - 10) END, 8) AS lr FROM lg""")
+def d34_lr_sequential(spark, sf_dir):
+    """Warm-up (linear 0.1 -> 1 of base over 8 steps) then, from milestone 10, exponential decay
+    starting from the rate the warm-up reached, over every logged step."""
+    warm = (lambda t, s: F.lit(s) * (0.1 + 0.9 * F.least(t, F.lit(8)) / 8.0), lambda t, s: s * (0.1 + 0.9 * min(t, 8) / 8.0))
+    expo = (lambda t, s: F.lit(s) * F.pow(F.lit(0.95), t), lambda t, s: s * 0.95 ** t)
+    lg = log(spark, sf_dir)
+    return lg.select("run_id", "step", F.round(OP.lr_sequential(F.col("step"), [warm, expo], [10], 0.1), 8).alias("lr"))
