@@ -53,8 +53,8 @@ def _sort_key(keys: Sequence[str], order: Sequence) -> Column:
 def range_bounds(df: DataFrame, key: Column, n: int) -> list:
     """``n - 1`` quantile bounds of ``key`` from a sample of ~``32 n`` rows.
 
-    The sample is sorted by Spark (so bound order is Spark's order) and only
-    the bounds reach the driver: their count is fixed by ``n``."""
+    The sample is sorted by Spark (so bound order is Spark's order); what reaches
+    the driver is the sorted sample, whose size is fixed by ``n`` (not by the data)."""
     if n <= 1:
         return []
     total = df.count()
@@ -64,13 +64,12 @@ def range_bounds(df: DataFrame, key: Column, n: int) -> list:
     s = df.select(key.alias("k"))
     if frac < 1.0:
         s = s.sample(False, frac, SAMPLE_SEED)
-    # the sample is bounded (~32 n rows), so a global window over it is fine
-    s = s.withColumn("_r", F.row_number().over(Window.orderBy("k")) - 1).cache()
-    m = s.count()
-    ranks = sorted({(m * i) // n for i in range(1, n)} - {0})  # quantile ranks inside the sample
-    picked = s.filter(F.col("_r").isin(ranks)).orderBy("_r").select("k").collect()
-    s.unpersist()
-    return [r["k"] for r in picked]
+    # the sample holds ~32 n keys (bounded by n, not by the data): Spark sorts it and the
+    # driver picks the quantile ranks
+    keys = [r["k"] for r in s.orderBy("k").collect()]
+    m = len(keys)
+    ranks = sorted({(m * i) // n for i in range(1, n)} - {0})
+    return [keys[r] for r in ranks]
 
 
 def _literal_bounds(bounds: list, key_type) -> Column:
