@@ -14,13 +14,14 @@ from weft.session import checkpoint_dir
 from weft.sources.tables import Tables
 
 
-def tree(spark, sf_dir):
+def tree(spark, sf_dir, with_closure: bool = True):
     """Module tree and closure, each written once to the checkpoint folder: every
-    selector step joins them again, so their lineage is cut instead of re-planned."""
+    selector step joins them again, so their lineage is cut instead of re-planned.
+    Op-log queries only need the tree (``with_closure=False``)."""
     t = Tables(spark, sf_dir)
     checkpoint_dir(spark)
     m = CP.module_tree(t.region, t.nation, t.customer).checkpoint(eager=True)
-    return m, CP.closure(m).checkpoint(eager=True)
+    return m, (CP.closure(m).checkpoint(eager=True) if with_closure else None)
 
 
 def oplog(spark, sf_dir, modules):
@@ -181,7 +182,7 @@ l AS (SELECT *, LAG(op) OVER (PARTITION BY module_path ORDER BY seq) AS prev FRO
 SELECT module_path, seq FROM l WHERE op = 'click' AND prev = 'view'""")
 def e16_op_next(spark, sf_dir):
     """``@view + @click`` over every module."""
-    m, _ = tree(spark, sf_dir)
+    m, _ = tree(spark, sf_dir, with_closure=False)
     return CP.op_next(oplog(spark, sf_dir, m), "view", "click").select("module_path", "seq")
 
 
@@ -191,7 +192,7 @@ l AS (SELECT *, MAX(CASE WHEN op = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION B
 SELECT module_path, seq FROM l WHERE op = 'purchase' AND seen = 1""")
 def e17_op_subsequent(spark, sf_dir):
     """``@signup ~ @purchase``."""
-    m, _ = tree(spark, sf_dir)
+    m, _ = tree(spark, sf_dir, with_closure=False)
     return CP.op_subsequent(oplog(spark, sf_dir, m), "signup", "purchase").select("module_path", "seq")
 
 
@@ -199,7 +200,7 @@ def e17_op_subsequent(spark, sf_dir):
 def e18_op_chain(spark, sf_dir):
     """``@view + @click ~ @purchase`` with overlapping progress (no SQL oracle: a stateful
     automaton; checked against a brute-force replay in tests)."""
-    m, _ = tree(spark, sf_dir)
+    m, _ = tree(spark, sf_dir, with_closure=False)
     return CP.op_chain(oplog(spark, sf_dir, m), ["view", "click", "purchase"], [NEXT, SUBSEQUENT]).select("module_path", "seq")
 
 
@@ -222,7 +223,7 @@ def e19_slice_capture(spark, sf_dir):
 SELECT module_path, CAST(COUNT(*) AS BIGINT) AS n_ops, array_to_string(list_sort(list(DISTINCT op)), ',') AS ops,
        MIN(seq) AS first_seq, MAX(seq) AS last_seq FROM ops GROUP BY module_path""")
 def e24_module_index(spark, sf_dir):
-    m, _ = tree(spark, sf_dir)
+    m, _ = tree(spark, sf_dir, with_closure=False)
     i = CP.module_index(oplog(spark, sf_dir, m))
     return i.select("module_path", "n_ops", F.array_join("ops", ",").alias("ops"), "first_seq", "last_seq")
 

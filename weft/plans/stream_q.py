@@ -51,7 +51,7 @@ def s04_stream_exclude_heldout(spark, sf_dir):
 @register("s08_stream_op_chain", "S-08")
 def s08_stream_op_chain(spark, sf_dir):
     """``@view + @click ~ @purchase`` as ops arrive (equals e18_op_chain on the same log)."""
-    m, _ = CQ.tree(spark, sf_dir)
+    m, _ = CQ.tree(spark, sf_dir, with_closure=False)
     paths = m.filter(F.col("key").isNotNull()).select(F.col("path").alias("module_path"), F.col("key").alias("user_id"))
     ev = ST.table_stream(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("op"))
     ops = ev.join(F.broadcast(paths), "user_id")  # stream-static join; the tree is one row per customer
