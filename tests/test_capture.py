@@ -86,3 +86,8 @@ def test_slice_capture(spark):
     assert got == [7.0, 11.0]
     got2 = spark.range(1).select(CP.slice_capture(v, [3, 4], [Ellipsis, 0]).alias("x")).first().x
     assert got2 == [0.0, 4.0, 8.0]
+
+
+def test_select_site(spark):
+    caps = spark.createDataFrame([("model/a", "input", 1.0), ("model/a", "output", 2.0)], "path string, site string, v double")
+    assert [r.v for r in CP.select_site(caps, "output").collect()] == [2.0]
