@@ -78,9 +78,33 @@ def test_unit_cache_overflow(monkeypatch, sp):
     monkeypatch.setattr(subword_units, "MOST_UNITS", 3)
     c = piece_codec.PieceCodec(MODEL)
     assert c.units is not None
-    for _, t in ODD:
-        ids, decimal = c.encode(t or "")
-        assert ids.tolist() == sp.encode(t or "") + [2] and decimal == " ".join(map(str, ids.tolist())) and len(c.cache) <= 3
+    texts = [t or "" for _, t in ODD]
+    for _ in range(2):
+        for t, (ids, decimal) in zip(texts, c.encode(texts)):
+            assert ids.tolist() == sp.encode(t) + [2] and decimal == " ".join(map(str, ids.tolist()))
+        assert len(c.cache.young) <= 3 and len(c.cache.older) <= 3
+
+
+def test_byte_units(bpe):
+    """Texts made of hard pieces: units must never be cut where a token could cross."""
+    import random
+
+    from weft.llm import subword_units
+    b, rng = subword_units.ByteBpe(BPE), random.Random(2)
+    bits = ["a", "B9", "é", "ß", "'s", "'", "’s", ",", "...", "_", "x_y", "½", "Ⅷ", "日本", "\u0301", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c",
+            "\x85", "-", "$", "%%%", "👩‍👧", "<|endoftext|>", "we'll", "I'M", "\u200b", "ΑΒ", "12"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(1, 14))) for _ in range(3000)]
+    for t, ids in zip(texts, b.ids(texts)):
+        assert ids.tolist() == bpe.encode(t, add_special_tokens=False).ids, t
+
+
+def test_piece_units(sp):
+    import random
+    c, rng = piece_codec.PieceCodec(MODEL), random.Random(3)
+    bits = ["a", "the", " ", "  ", "▁", "\n", ",", "日", "é", "\u0301", "👩‍👧", "x", "ing", "\t", "\u00a0", "</s>", "1"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(0, 14))) for _ in range(3000)]
+    for t, (ids, _) in zip(texts, c.encode(texts)):
+        assert ids.tolist() == sp.encode(t) + [2], t
 
 
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import text_or_empty
-from weft.llm.subword_units import UnitCache
+from weft.llm.subword_units import UnitCache, le_bytes
 
 MARK = "▁"
 
@@ -85,7 +85,10 @@ class PieceCodec:
                    and not any(p.type == p.USER_DEFINED for p in proto.pieces))
         self.units = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+") if by_word else None
         # the model itself puts a space before a text, but not before an empty one
-        self.cache = UnitCache(lambda u: sp.encode(u[1:]) if len(u) > 1 else [sp.piece_to_id(MARK)])
+        mark = [sp.piece_to_id(MARK)]
+        self.cache = UnitCache(lambda units: [
+            (le_bytes(ids), " ".join(map(str, ids)))
+            for ids in (i if len(u) > 1 else mark for u, i in zip(units, sp.encode([u[1:] for u in units], num_threads=1)))])
 
     def normalize(self, text: str) -> tuple[bytes, np.ndarray]:
         """Normalised UTF-8 and, for each of its bytes and its end, the original byte offset."""
@@ -140,16 +143,16 @@ class PieceCodec:
             del align[-len(mark):]
         return bytes(out), np.array([*align, at], np.int64)
 
-    def encode(self, text: str) -> tuple[np.ndarray, str]:
-        """Ids with the end id, and the ids in decimal, joined by one space."""
-        if not text:
-            return np.array([self.eos], "<u4"), str(self.eos)
+    def encode(self, texts: list) -> list:
+        """For each text its ids with the end id, and the ids in decimal, joined by one space."""
         if self.units is None:
-            ids = [*self.sp.encode(text), self.eos]
-            return np.array(ids, "<u4"), " ".join(map(str, ids))
-        found = [self.cache[u] for u in self.units.findall(" " + text)]
-        ids = np.frombuffer(b"".join([f[0] for f in found] + [self.eos.to_bytes(4, "little")]), "<u4")
-        return ids, " ".join([f[1] for f in found] + [str(self.eos)])
+            ids = [[*i, self.eos] for i in self.sp.encode(texts, num_threads=1)]
+            return [(np.array(i, "<u4"), " ".join(map(str, i))) for i in ids]
+        end, out = (le_bytes([self.eos]), str(self.eos)), []
+        for found in self.cache.by_text([self.units.findall(" " + t) if t else [] for t in texts]):
+            found.append(end)
+            out.append((np.frombuffer(b"".join([f[0] for f in found]), "<u4"), " ".join([f[1] for f in found])))
+        return out
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Original byte spans ``[start, end)`` of the pieces; a byte piece has its byte's place, the
@@ -188,8 +191,7 @@ ARROW = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.in
 SLICE = 256
 
 
-def _row(c: PieceCodec, text: str, want: set) -> dict:
-    ids, decimal = c.encode(text)
+def _row(c: PieceCodec, text: str, ids: np.ndarray, decimal: str, want: set) -> dict:
     out = {"n_tokens": len(ids)}
     if want & {"starts", "ends", "spans_crc32"}:
         starts, ends = c.spans(text, ids)
@@ -226,7 +228,8 @@ def encode(docs: DataFrame, model_path: str, outputs=("ids", "starts", "ends"),
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
                 part = b.slice(i, SLICE)
-                rows = [_row(c, t, want) for t in part.column(width).to_pylist()]
+                texts = part.column(width).to_pylist()
+                rows = [_row(c, t, *e, want) for t, e in zip(texts, c.encode(texts))]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], *(pa.array([r[k] for r in rows], types[k]) for k in names)],
                     names=[*part.schema.names[:-1], *names])

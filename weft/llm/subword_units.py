@@ -8,41 +8,75 @@ of units is bounded: it is emptied when full, and long units are not kept.
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 
-MOST_UNITS, LONGEST = 300_000, 48
+#: Units of each of two generations, and the longest unit that is kept.
+MOST_UNITS, LONGEST = 250_000, 48
 
 #: Unicode's White_Space, which the byte-level pre-tokenizer's \s means.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Letters and digits, and the signs before which a token that ends with one of them ends (an
+#: apostrophe may belong to the token).
+_ALNUM, _SIGNS = "0-9A-Za-zÀ-ÖØ-öø-ÿ", "!-&(-/:-@\\[-^`{-~"
 
 
-class UnitCache(dict):
-    """unit -> (ids as little-endian uint32 bytes, the ids in decimal, space-joined)."""
+def le_bytes(ids: list) -> bytes:
+    """Ids as little-endian uint32."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
 
-    def __missing__(self, unit):
-        ids = self.encode(unit)
-        value = np.asarray(ids, "<u4").tobytes(), " ".join(map(str, ids))
-        if len(unit) <= LONGEST:
-            if len(self) >= MOST_UNITS:
-                self.clear()
-            self[unit] = value
-        return value
+class UnitCache:
+    """unit -> what ``encode`` (of a list of units) makes of it.
+
+    When full, the units become the older generation, from which those that are met again
+    come back; the older generation before is forgotten."""
+
+    def __init__(self, encode):
+        self.encode, self.young, self.older = encode, {}, {}
+
+    def values(self, units: list) -> list:
+        found = list(map(self.young.get, units))
+        if None in found:
+            missing = [i for i, v in enumerate(found) if v is None]
+            new = dict.fromkeys([units[i] for i in missing])
+            unknown = []
+            for u in new:
+                new[u] = self.older.get(u)
+                if new[u] is None:
+                    unknown.append(u)
+            new.update(zip(unknown, self.encode(unknown)))
+            for i in missing:
+                found[i] = new[units[i]]
+            self.keep(new)
+        return found
+
+    def keep(self, new: dict) -> None:
+        for u, v in new.items():
+            if len(u) <= LONGEST:
+                if len(self.young) >= MOST_UNITS:
+                    self.older, self.young = self.young, {}
+                self.young[u] = v
+
+    def by_text(self, units: list) -> list:
+        """Values of lists of units, one list a text."""
+        found, out, at = self.values([u for x in units for u in x]), [], 0
+        for x in units:
+            out.append(found[at:at + len(x)])
+            at += len(x)
+        return out
 
 
 class ByteBpe:
     """A byte-level BPE of the tokenizers library, without special tokens in texts.
 
-    Its pre-tokenizer ends a token before a space that follows a visible character, and
-    splits white space from what follows it, so a run of visible characters with the
-    space before it is encoded alone.
+    Its pre-tokenizer ends a token before a space that follows a visible character, between a
+    letter or digit and a sign, and splits white space from what follows it; so a word with
+    the space before it, or else a run of visible characters, is encoded alone.
     """
 
-    UNITS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+    UNITS = re.compile(f" ?[{_ALNUM}]++(?![^{_WS}{_SIGNS}])| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
     def __init__(self, path: str):
         import os
@@ -52,11 +86,12 @@ class ByteBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache = UnitCache(lambda u: self.tokenizer.encode(u, add_special_tokens=False).ids)
+        self.cache = UnitCache(lambda units: [
+            le_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)])
 
-    def ids(self, text: str) -> np.ndarray:
-        cache = self.cache
-        return np.frombuffer(b"".join([cache[u][0] for u in self.UNITS.findall(text)]), "<u4")
+    def ids(self, texts: list) -> list:
+        """Ids of each text, as uint32 arrays."""
+        return [np.frombuffer(b"".join(x), "<u4") for x in self.cache.by_text([self.UNITS.findall(t) for t in texts])]
 
 
 _LOADED: dict = {}

@@ -22,6 +22,7 @@ from weft.llm.common import shared_path, staged, text_or_empty
 from weft.llm.subword_units import byte_bpe
 
 BLOCK_IDS = 1 << 20
+SLICE = 256  # rows encoded at once
 SPAN = 1024  # blocks whose totals are scanned together
 
 
@@ -55,8 +56,9 @@ def write_flat(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
         tail = np.array([end_id], f"<u{width}").tobytes()
         for b in batches:
             sink = sink or fs.open_output_stream(f"{path}/{name}")
-            for text in b.column(1).to_pylist():
-                sink.write(bpe.ids(text).astype(f"<u{width}").tobytes() + tail)
+            for i in range(0, b.num_rows, SLICE):
+                for ids in bpe.ids(b.column(1).slice(i, SLICE).to_pylist()):
+                    sink.write(ids.astype(f"<u{width}").tobytes() + tail)
             n = b.num_rows
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f"{folder}/{name}"] * n), pa.array(np.arange(nth, nth + n)), b.column(0), pa.array([width] * n, pa.int32())],

@@ -52,7 +52,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
                 part = b.slice(i, SLICE)
-                ids = [np.concatenate((bpe.ids(t), tail)).astype(np.int32) for t in part.column(1).to_pylist()]
+                ids = [np.concatenate((x, tail)).astype(np.int32) for x in bpe.ids(part.column(1).to_pylist())]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 starts = start + np.cumsum(sizes) - sizes
                 start += int(sizes.sum())
