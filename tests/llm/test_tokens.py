@@ -5,12 +5,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import ODD, docs
-from weft.llm import common, piece_codec, queries, token_scan, token_store
+from weft.llm import piece_codec, queries, token_scan, token_store
 
 SF = "/root/testdata/sf0.001"
 MODEL, BPE = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
@@ -80,7 +81,7 @@ def test_unit_cache_overflow(monkeypatch, sp):
     assert c.units is not None
     texts = [t or "" for _, t in ODD]
     for _ in range(2):
-        for t, (ids, decimal) in zip(texts, c.encode(texts)):
+        for t, (ids, decimal) in zip(texts, c.encode(pa.array(texts))):
             assert ids.tolist() == sp.encode(t) + [2] and decimal == " ".join(map(str, ids.tolist()))
         assert len(c.cache.young) <= 3 and len(c.cache.older) <= 3
 
@@ -94,16 +95,26 @@ def test_byte_units(bpe):
     bits = ["a", "B9", "é", "ß", "'s", "'", "’s", ",", "...", "_", "x_y", "½", "Ⅷ", "日本", "\u0301", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c",
             "\x85", "-", "$", "%%%", "👩‍👧", "<|endoftext|>", "we'll", "I'M", "\u200b", "ΑΒ", "12"]
     texts = ["".join(rng.choices(bits, k=rng.randrange(1, 14))) for _ in range(3000)]
-    for t, ids in zip(texts, b.ids(texts)):
+    for t, ids in zip(texts, b.ids(pa.array(texts))):
         assert ids.tolist() == bpe.encode(t, add_special_tokens=False).ids, t
 
 
+def test_slices():
+    from weft.llm import subword_units
+    n, old = [0, 5, 3, 40, 1, 1, 0, 9], subword_units.SLICE_BYTES
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(["é"[:0] + "x" * k for k in n])], names=["i", "t"])
+    subword_units.SLICE_BYTES = 9
+    got = [s.column(0).to_pylist() for s in subword_units.slices(batch, 1)]
+    subword_units.SLICE_BYTES = old
+    assert sum(got, []) == list(range(8)) and len(got) > 2 and list(subword_units.slices(batch.slice(0, 0), 1)) == []
+
+
 def test_piece_units(sp):
     import random
     c, rng = piece_codec.PieceCodec(MODEL), random.Random(3)
     bits = ["a", "the", " ", "  ", "▁", "\n", ",", "日", "é", "\u0301", "👩‍👧", "x", "ing", "\t", "\u00a0", "</s>", "1"]
     texts = ["".join(rng.choices(bits, k=rng.randrange(0, 14))) for _ in range(3000)]
-    for t, (ids, _) in zip(texts, c.encode(texts)):
+    for t, (ids, _) in zip(texts, c.encode(pa.array(texts))):
         assert ids.tolist() == sp.encode(t) + [2], t
 
 
@@ -142,32 +153,29 @@ def test_token_files_whole_table(spark, bpe):
 
 
 def test_token_files_odd_rows(spark, bpe):
-    path = common.shared_path(spark, "test-tokens")
-    token_store.write_tokens(docs(spark, ODD), path, BPE, 0, files=3)
-    rows = token_store.read_ids(spark, path).collect()
+    files = token_store.write_tokens(docs(spark, ODD), BPE, 0, files=3)
     want = sorted(((i, [*ids, 0]) for i, ids in plain_ids(bpe, ODD)), key=str)
-    assert sorted(((r.doc_id, r.ids) for r in rows), key=str) == want
-    back = sorted(token_store.read_back(spark, path).collect(), key=lambda r: r.start)
+    assert sorted(((r.doc_id, r.ids) for r in token_store.read_rows(spark, files).collect()), key=str) == want
+    back = sorted(token_store.read_back(files).collect(), key=lambda r: r.start)
     assert [r.start for r in back] == np.cumsum([0] + [r.n_tokens for r in back[:-1]]).tolist()
     assert [r.doc_id for r in back] == sorted((i for i, _ in ODD), key=lambda i: -1 if i is None else i)
-    assert [r.start for r in sorted(token_store.read_counts(spark, path).collect(), key=lambda r: r.start)] == [r.start for r in back]
-    assert [r.ids for r in token_store.read_ids(spark, path, [6]).collect()] == [[*bpe.encode("one").ids, 0]]
-    empty = common.shared_path(spark, "test-tokens")
-    token_store.write_tokens(docs(spark, []), empty, BPE, 0, files=2)
-    assert token_store.read_back(spark, empty).count() == 0
-
+    assert [r.ids for r in token_store.read_rows(spark, files, [6]).collect()] == [[*bpe.encode("one").ids, 0]]
+    none = token_store.write_tokens(docs(spark, []), BPE, 0, files=2)
+    assert token_store.read_back(none).count() == 0 and token_store.read_rows(spark, none).count() == 0
 
-def test_token_file_format(spark):
-    """Delta pages without dictionary for ids, an offset index for every column."""
-    import glob
 
+def test_token_file_format(spark, monkeypatch):
+    """Delta pages without dictionary for ids, row groups of about the set size, page indexes, pruned reads."""
     import pyarrow.parquet as pq
-    path = common.shared_path(spark, "test-format")
-    token_store.write_tokens(spark.read.parquet(f"{SF}/documents.parquet"), path, BPE, 0, files=1)
-    meta = pq.ParquetFile(max(glob.glob(path.removeprefix("file:") + "/*.parquet"))).metadata
+    monkeypatch.setattr(token_store, "GROUP_IDS", 20_000)
+    files = token_store.write_tokens(spark.read.parquet(f"{SF}/documents.parquet"), BPE, 0, files=1)
+    meta = pq.ParquetFile(files.first().file.removeprefix("file:")).metadata
+    assert meta.num_rows == 200 and meta.num_row_groups > 3
     cols = {meta.row_group(0).column(i).path_in_schema: meta.row_group(0).column(i) for i in range(meta.num_columns)}
     ids = cols["ids.list.element"]
     assert "DELTA_BINARY_PACKED" in ids.encodings and not ids.has_dictionary_page and all(c.has_offset_index for c in cols.values())
+    plan = token_store.read_rows(spark, files, [5]).select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in plan.split("ReadSchema")[1] and "PushedFilters: [In(doc_id" in plan or "EqualTo(doc_id" in plan
 
 
 def test_counts_whole_table(spark, bpe):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import text_or_empty
-from weft.llm.subword_units import UnitCache, le_bytes
+from weft.llm.subword_units import UnitCache, le_bytes, slices, spell, without_gc, words
 
 MARK = "▁"
 
@@ -143,15 +143,30 @@ class PieceCodec:
             del align[-len(mark):]
         return bytes(out), np.array([*align, at], np.int64)
 
-    def encode(self, texts: list) -> list:
+    def encode(self, texts: pa.Array) -> list:
         """For each text its ids with the end id, and the ids in decimal, joined by one space."""
+        with without_gc():
+            return self._encode(texts)
+
+    def _encode(self, texts: pa.Array) -> list:
         if self.units is None:
-            ids = [[*i, self.eos] for i in self.sp.encode(texts, num_threads=1)]
+            ids = [[*i, self.eos] for i in self.sp.encode(texts.to_pylist(), num_threads=1)]
             return [(np.array(i, "<u4"), " ".join(map(str, i))) for i in ids]
-        end, out = (le_bytes([self.eos]), str(self.eos)), []
-        for found in self.cache.by_text([self.units.findall(" " + t) if t else [] for t in texts]):
-            found.append(end)
-            out.append((np.frombuffer(b"".join([f[0] for f in found]), "<u4"), " ".join([f[1] for f in found])))
+        end, out = (le_bytes([self.eos]), str(self.eos)), [None] * len(texts)
+        # texts in which each space begins a word of its own (and so has one mark)
+        plain, codes, begin, found = words(texts, f"  |^ | $|{MARK}|^$")
+        codes = np.insert(codes, begin[1:], len(found))
+        begin += np.arange(len(begin))
+        values = [*self.cache.values([" " + w for w in found]), end]
+        flat, ends = spell(codes, [v[0] for v in values])
+        decimal, codes, ends = [v[1] for v in values], codes.tolist(), ends[begin].tolist()
+        for i, at, to, c, d in zip(plain.tolist(), ends[:-1], ends[1:], begin[:-1].tolist(), begin[1:].tolist()):
+            out[i] = flat[at:to], " ".join([decimal[k] for k in codes[c:d]])
+        odd = [i for i, x in enumerate(out) if x is None]
+        texts = [texts[i].as_py() for i in odd]
+        for i, x in zip(odd, self.cache.by_text([self.units.findall(" " + t) if t else [] for t in texts])):
+            x.append(end)
+            out[i] = np.frombuffer(b"".join([f[0] for f in x]), "<u4"), " ".join([f[1] for f in x])
         return out
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,8 +202,6 @@ OUTPUTS = {
     "decoded": "string", "decoded_sha256": "string", "spans_crc32": "long",
 }
 ARROW = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
-#: Rows whose results are held at once.
-SLICE = 256
 
 
 def _row(c: PieceCodec, text: str, ids: np.ndarray, decimal: str, want: set) -> dict:
@@ -226,10 +239,9 @@ def encode(docs: DataFrame, model_path: str, outputs=("ids", "starts", "ends"),
         c = codec(model_path)
         types = {k: ARROW[OUTPUTS[k]] for k in names}
         for b in batches:
-            for i in range(0, b.num_rows, SLICE):
-                part = b.slice(i, SLICE)
-                texts = part.column(width).to_pylist()
-                rows = [_row(c, t, *e, want) for t, e in zip(texts, c.encode(texts))]
+            for part in slices(b, width):
+                texts = part.column(width)
+                rows = [_row(c, t, *e, want) for t, e in zip(texts.to_pylist(), c.encode(texts))]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], *(pa.array([r[k] for r in rows], types[k]) for k in names)],
                     names=[*part.schema.names[:-1], *names])

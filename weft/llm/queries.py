@@ -36,9 +36,8 @@ def op3_exact_dedup(spark, sf_dir):
 
 def op4_token_output(spark, sf_dir):
     """All documents as token files in order of doc_id, read back."""
-    path = common.shared_path(spark, "tokens")
-    token_store.write_tokens(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path(BYTE_BPE), END_ID)
-    return token_store.read_back(spark, path)
+    return token_store.read_back(token_store.write_tokens(
+        read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), END_ID))
 
 
 def op5_nearest(spark, sf_dir):

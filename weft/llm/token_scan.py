@@ -19,24 +19,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.llm.common import shared_path, staged, text_or_empty
-from weft.llm.subword_units import byte_bpe
+from weft.llm.files import filesystem
+from weft.llm.subword_units import byte_bpe, slices
 
 BLOCK_IDS = 1 << 20
-SLICE = 256  # rows encoded at once
 SPAN = 1024  # blocks whose totals are scanned together
 
 
-def _filesystem(uri: str):
-    """pyarrow's file system for a Hadoop-style URI, and the path in it."""
-    from pyarrow import fs
-
-    for ours, theirs in (("s3a://", "s3://"), ("s3n://", "s3://")):
-        uri = theirs + uri[len(ours):] if uri.startswith(ours) else uri
-    if uri.startswith("file:"):
-        uri = "/" + uri[len("file:"):].lstrip("/")
-    return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
-
-
 def write_flat(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every row into flat files of uint16 (if all ids fit) or uint32 below the shared
     folder.  Returns the list of what was written, ``(file, nth, doc_id, width)``, itself staged.
@@ -50,14 +39,14 @@ def write_flat(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
     def run(batches):
         bpe = byte_bpe(tokenizer_path)
         width = 2 if max(bpe.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        fs, path = _filesystem(folder)
+        fs, path = filesystem(folder)
         fs.create_dir(path, recursive=True)
         name, nth, sink = f"{uuid.uuid4().hex}.bin", 0, None
         tail = np.array([end_id], f"<u{width}").tobytes()
         for b in batches:
             sink = sink or fs.open_output_stream(f"{path}/{name}")
-            for i in range(0, b.num_rows, SLICE):
-                for ids in bpe.ids(b.column(1).slice(i, SLICE).to_pylist()):
+            for part in slices(b, 1):
+                for ids in bpe.ids(part.column(1)):
                     sink.write(ids.astype(f"<u{width}").tobytes() + tail)
             n = b.num_rows
             yield pa.RecordBatch.from_arrays(
@@ -80,7 +69,7 @@ def scan_flat(spark: SparkSession, files: DataFrame, end_id: int, block_ids: int
     """
     def sizes(batches):
         for b in batches:
-            got = [_filesystem(f) for f in b.column(0).to_pylist()]
+            got = [filesystem(f) for f in b.column(0).to_pylist()]
             size = [fs.get_file_info(p).size or 0 for fs, p in got]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(size, pa.int64())], names=["file", "width", "bytes"])
 
@@ -92,7 +81,7 @@ def scan_flat(spark: SparkSession, files: DataFrame, end_id: int, block_ids: int
     def scan(batches):
         for b in batches:
             for file, width, n_ids, block in zip(*(c.to_pylist() for c in b.columns)):
-                fs, path = _filesystem(file)
+                fs, path = filesystem(file)
                 at, n = block * block_ids, min(block_ids, n_ids - block * block_ids)
                 with fs.open_input_file(path) as f:
                     f.seek(at * width)
