@@ -156,8 +156,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
     hash of their id and used as whole texts.  Rows without language or letters teach nothing."""
     lang = F.col(lang_col).cast("string")
     slim = docs.where(lang.isNotNull() & (fold(id_col) != 0)).select(F.col(id_col).alias("pick"), lang.alias("lang"))
+    # a threshold on the hash leaves a few more than wanted of each language, however many there are
+    share = (per_language + 4 * per_language ** 0.5) / F.col("n")
+    sizes = slim.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
+    few = slim.join(sizes, slim.lang == sizes.of).where(F.pmod(F.xxhash64("pick"), F.lit(1 << 30)) < share * (1 << 30))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("pick"), "pick"))
-    chosen = slim.withColumn("nth", nth).where(F.col("nth") <= per_language)
+    chosen = few.withColumn("nth", nth).where(F.col("nth") <= per_language)
     # at most per_language ids a language
     rows = docs.where(lang.isNotNull()).join(F.broadcast(chosen.select("pick").distinct()), F.col(id_col).eqNullSafe(F.col("pick"))) \
         .select(lang.alias("lang"), text_or_empty(text_col).alias("t"))
