@@ -75,8 +75,7 @@ def test_pieces_odd_rows(spark, sp):
 
 
 def test_unit_cache_overflow(monkeypatch, sp):
-    from weft.llm import subword_units
-    monkeypatch.setattr(subword_units, "MOST_UNITS", 3)
+    monkeypatch.setattr(piece_codec, "UNITS", 3)
     c = piece_codec.PieceCodec(MODEL)
     assert c.units is not None
     texts = [t or "" for _, t in ODD]

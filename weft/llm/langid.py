@@ -190,19 +190,20 @@ def identify(docs: DataFrame, model: Model, keep=("doc_id",), text_col: str = "t
     A null text or one without letters: ``und``, score 0, rejected.  Ties go to the language that
     sorts first; repeated rows are told alike; an empty table gives no rows.
     """
-    kept, width = [F.col(f"`{k}`") for k in keep], len(keep)
-    src = docs.select(*kept, text_or_empty(text_col).alias("__text"))
+    kept, at = [F.col(f"`{k}`") for k in keep], list(keep).index(text_col) if text_col in keep else len(keep)
+    src = docs.select(*kept, *([] if text_col in keep else [F.col(text_col).alias("__text")]))
+    n = len(keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
 
     def run(batches):
         m = shared.value
         for b in batches:
-            told = [m.predict(t) for t in b.column(width).to_pylist()]
+            told = [m.predict(t.as_py() or "") for t in b.column(at)]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.float64()),
+                [*b.columns[:n], pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.float64()),
                  pa.array([t[2] for t in told], pa.bool_())],
-                names=[*b.schema.names[:-1], "lang_pred", "score", "rejected"])
+                names=[*b.schema.names[:n], "lang_pred", "score", "rejected"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]),
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:n]),
                         "lang_pred string, score double, rejected boolean"])
     return src.mapInArrow(run, schema)

@@ -26,6 +26,8 @@ from weft.llm.common import text_or_empty
 from weft.llm.subword_units import UnitCache, le_bytes, slices, spell, without_gc, words
 
 MARK = "▁"
+#: Units of a generation and bytes of a slice: workers outlive the job, so they keep little.
+UNITS, SLICE = 100_000, 4 << 20
 
 
 class CharMap:
@@ -88,7 +90,8 @@ class PieceCodec:
         mark = [sp.piece_to_id(MARK)]
         self.cache = UnitCache(lambda units: [
             (le_bytes(ids), " ".join(map(str, ids)))
-            for ids in (i if len(u) > 1 else mark for u, i in zip(units, sp.encode([u[1:] for u in units], num_threads=1)))])
+            for ids in (i if len(u) > 1 else mark for u, i in zip(units, sp.encode([u[1:] for u in units], num_threads=1)))],
+            most=UNITS)
 
     def normalize(self, text: str) -> tuple[bytes, np.ndarray]:
         """Normalised UTF-8 and, for each of its bytes and its end, the original byte offset."""
@@ -239,7 +242,7 @@ def encode(docs: DataFrame, model_path: str, outputs=("ids", "starts", "ends"),
         c = codec(model_path)
         types = {k: ARROW[OUTPUTS[k]] for k in names}
         for b in batches:
-            for part in slices(b, width):
+            for part in slices(b, width, SLICE):
                 texts = part.column(width)
                 rows = [_row(c, t, *e, want) for t, e in zip(texts.to_pylist(), c.encode(texts))]
                 yield pa.RecordBatch.from_arrays(

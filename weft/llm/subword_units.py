@@ -40,8 +40,8 @@ class UnitCache:
     When full, the units become the older generation, from which those that are met again
     come back; the older generation before is forgotten."""
 
-    def __init__(self, encode):
-        self.encode, self.young, self.older = encode, {}, {}
+    def __init__(self, encode, most: int = 0):
+        self.encode, self.most, self.young, self.older = encode, most or MOST_UNITS, {}, {}
 
     def values(self, units: list) -> list:
         found = list(map(self.young.get, units))
@@ -62,7 +62,7 @@ class UnitCache:
     def keep(self, new: dict) -> None:
         for u, v in new.items():
             if len(u) <= LONGEST:
-                if len(self.young) >= MOST_UNITS:
+                if len(self.young) >= self.most:
                     self.older, self.young = self.young, {}
                 self.young[u] = v
 
@@ -87,9 +87,10 @@ def without_gc():
             gc.enable()
 
 
-def slices(batch: pa.RecordBatch, column: int):
-    """Runs of a batch's rows with about ``SLICE_BYTES`` of text each, one row at least."""
-    part = (np.asarray(pc.binary_length(batch.column(column))).astype(np.int64).cumsum() - 1) // SLICE_BYTES
+def slices(batch: pa.RecordBatch, column: int, size: int = 0):
+    """Runs of a batch's rows with about ``size`` bytes of text each (``SLICE_BYTES`` by default), one
+    row at least."""
+    part = (np.asarray(pc.binary_length(batch.column(column))).astype(np.int64).cumsum() - 1) // (size or SLICE_BYTES)
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     yield from (batch.slice(i, j - i) for i, j in zip(cuts[:-1], cuts[1:]) if j > i)
 
