@@ -18,8 +18,9 @@ from weft.llm.queries import MIX, PIECE_MODEL
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language the classifier, learned from the labelled rows of ``docs``, doesn't reject."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return langid.identify(rows, langid.train(docs), keep=("row",)).where("not rejected").select("row.*")
+    names = [f"column_{c}" for c in docs.columns]  # none of them the operator's own
+    told = langid.identify(docs.toDF(*names), langid.train(docs), keep=names, text_col="column_text")
+    return told.where("not rejected").select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns)])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
