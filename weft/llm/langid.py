@@ -23,6 +23,8 @@ from weft.llm.common import text_or_empty
 BUCKETS, DIM, GRAMS = 1 << 13, 16, (2, 3, 4)
 #: Labelled rows a language that training may see (their counts by bucket go to the driver).
 PER_LANGUAGE = 500
+#: Languages at most that a model tells apart, those with the most rows.
+MOST_LANGUAGES = 1000
 #: Share of correctly told rows kept back that the rejection threshold may lose.
 LOSE = 0.001
 UNKNOWN = "und"
@@ -153,13 +155,13 @@ def fold(id_col="doc_id"):
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text",
           lang_col: str = "lang") -> Model:
     """Fit on at most ``per_language`` rows of each language outside the held-out fold, chosen by a
-    hash of their id and used as whole texts.  Rows without language or letters teach nothing."""
+    hash of their id and used as whole texts (of ``MOST_LANGUAGES`` at most).  Rows without language or letters teach nothing."""
     lang = F.col(lang_col).cast("string")
     slim = docs.where(lang.isNotNull() & (fold(id_col) != 0)).select(F.col(id_col).alias("pick"), lang.alias("lang"))
     # a threshold on the hash leaves a few more than wanted of each language, however many there are
     share = (per_language + 4 * per_language ** 0.5) / F.col("n")
-    sizes = slim.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
-    few = slim.join(sizes, slim.lang == sizes.of).where(F.pmod(F.xxhash64("pick"), F.lit(1 << 30)) < share * (1 << 30))
+    sizes = slim.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "of").limit(MOST_LANGUAGES)
+    few = slim.join(F.broadcast(sizes), slim.lang == sizes.of).where(F.pmod(F.xxhash64("pick"), F.lit(1 << 30)) < share * (1 << 30))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("pick"), "pick"))
     chosen = few.withColumn("nth", nth).where(F.col("nth") <= per_language)
     # at most per_language ids a language
