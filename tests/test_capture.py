@@ -1,3 +1,4 @@
+import pytest
 """Capture queries on a hand-built tree and the op-chain automaton against brute force."""
 import itertools
 
@@ -41,37 +42,35 @@ def test_selectors(spark):
     assert d["n_matched"].tolist() == [1, 0] and d["failed_here"].tolist() == [False, True]
 
 
-def brute_chain(ops, items, rels):
-    prog, out = [], []
-    for t, op in enumerate(ops):
-        new = []
-        for cur in prog:
-            nxt = cur + 1
-            if nxt >= len(items):
-                continue
-            if rels[cur] == NEXT:
-                if op == items[nxt]:
-                    new.append(nxt)
-            else:
-                new.append(nxt if op == items[nxt] else cur)
-        if op == items[0]:
-            new.append(0)
-        prog = new
-        if any(i == len(items) - 1 for i in prog):
-            out.append(t)
-            prog = [i for i in prog if i < len(items) - 1]
-    return out
-
-
-def test_op_chain_matches_brute_force(spark):
-    seqs = {"m1": list("aabacb"), "m2": list("abcabcab"), "m3": list("ccccab")}
-    rows = [(m, i, op) for m, s in seqs.items() for i, op in enumerate(s)]
-    log = spark.createDataFrame(rows, "module_path string, seq long, op string")
-    for items, rels in [(["a", "b"], [NEXT]), (["a", "b"], [SUBSEQUENT]), (["a", "c", "b"], [SUBSEQUENT, NEXT]),
-                        (["a", "b", "c"], [NEXT, SUBSEQUENT])]:
-        got = CP.op_chain(log, items, rels, n=3).toPandas()
-        for m, s in seqs.items():
-            assert sorted(got[got.module_path == m]["seq"]) == brute_chain(s, items, rels)
+#: chain, ops of a module -> places of the ops that complete it, worked out by hand
+CHAINS = [
+    (["a", "b"], [NEXT], "aabacb", [2]),  # only the b right after an a
+    (["a", "b"], [NEXT], "abab", [1, 3]),
+    (["a", "b"], [SUBSEQUENT], "aabacb", [2, 5]),  # the a at 3 waits over c; the first two are used up together
+    (["a", "b"], [SUBSEQUENT], "abb", [1]),  # the one a is used up
+    (["a", "a"], [NEXT], "aaa", [1, 2]),  # overlapping: the second a begins a chain too
+    (["a", "c", "b"], [SUBSEQUENT, NEXT], "axcbcb", [3]),  # the c must be right before the b
+    (["a", "c", "b"], [SUBSEQUENT, NEXT], "acxcb", []),  # the a was used by the first c, which no b followed
+    (["a", "b", "c"], [NEXT, SUBSEQUENT], "abxxcc", [4]),
+    (["a", "b", "c"], [NEXT, SUBSEQUENT], "axbc", []),
+    (["a", "b", "c"], [NEXT, SUBSEQUENT], "ababc", [4]),
+    (["a"], [], "bab", [1]),
+]
+
+
+@pytest.mark.parametrize("chunk", [512, 2])
+def test_op_chain_by_hand(spark, monkeypatch, chunk):
+    monkeypatch.setattr(CP, "CHUNK_OPS", chunk)
+    by_chain = {}
+    for items, rels, ops, want in CHAINS:
+        by_chain.setdefault((tuple(items), tuple(rels)), {})[ops] = want
+    for (items, rels), modules in by_chain.items():
+        rows = [(m, i, op) for m in modules for i, op in enumerate(m)] + [(None, i, op) for i, op in enumerate("xx")]
+        log = spark.createDataFrame(rows, "module_path string, seq long, op string")
+        got = {m: [] for m in modules}
+        for r in CP.op_chain(log, items, rels, n=3).collect():
+            got[r.module_path].append(r.seq)
+        assert {m: sorted(v) for m, v in got.items()} == modules
 
 
 def test_op_next_and_subsequent(spark):

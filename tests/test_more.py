@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from weft.operators import optim as OP
-from weft.streaming.stateful import incremental_decode_step
+from weft.streaming.stateful import TailDecoder
 
 
 def test_fit_linear_matches_numpy(spark):
@@ -42,12 +42,17 @@ def test_param_groups(spark):
     assert g == {("a", "bias"): "no_decay", ("a", "weight"): "decay", ("n", "weight"): "no_decay"}
 
 
-def test_incremental_decode():
-    decode = lambda ids: "".join(chr(i) for i in ids)
-    toks, prev, cur, out = [], 0, 0, []
-    for t in [ord(c) for c in "hi, yo"]:
-        toks.append(t)
-        piece, prev, cur = incremental_decode_step(toks, prev, cur, decode)
-        if piece:
-            out.append(piece)
-    assert "".join(out) == "hi, yo"
+def test_tail_decoder():
+    """Words come out whole, nothing is lost, the buffers stay short."""
+    text = "Hi there, you -- é!\n... end??"
+    tail = TailDecoder(lambda ids: "".join(map(chr, ids)))
+    out, longest = [], 0
+    for ch in text:
+        out.append(tail.push(ord(ch)))
+        longest = max(longest, len(tail.shown) + len(tail.fresh))
+    assert all(p == "" or p[-1].isalnum() for p in out) and "".join(out) == text[:-2] and longest < 12
+    assert tail.flush() == "??" and tail.flush() == ""
+    # a decoder whose text depends on the token before: spaces between numbers
+    tail = TailDecoder(lambda ids: " ".join(map(str, ids)))
+    assert "".join(tail.push(i) for i in range(12)) + tail.flush() == " ".join(map(str, range(12)))
+

@@ -28,12 +28,14 @@ def test_rules(spark):
         assert r.temporal_order_1 == ([10, 11] if p.index(10) < p.index(11) else [11, 10])
 
 
-def test_two_sum_unique_solution():
-    for i in range(200):
-        prompt, target = TK.two_sum_sample(i, 9)
-        nums, t = prompt[:-1], prompt[-1]
-        pairs = [(x, y) for x in range(4) for y in range(x + 1, 4) if nums[x] + nums[y] == t]
-        assert len(pairs) == 1 and sum(target) == t
+def test_two_sum_unique_solution(spark):
+    for length, top in ((4, 15), (6, 40), (2, 9)):
+        df = spark.range(300).select("id", *[c.alias(n) for c, n in zip(TK.two_sum(F.col("id"), 9, length, top), ("prompt", "target"))])
+        for r in df.collect():
+            nums, t = r.prompt[:-1], r.prompt[-1]
+            pairs = [(x, y) for x in range(length) for y in range(x + 1, length) if nums[x] + nums[y] == t]
+            assert len(nums) == length and len(pairs) == 1 and sum(r.target) == t and all(0 <= v <= top // 2 for v in nums)
+            assert sorted(r.target) == sorted(nums[p] for p in pairs[0])
 
 
 def test_elman_metrics(spark):

@@ -250,6 +250,11 @@ def dequantize_blocks(blocks) -> Column:
     return F.flatten(F.transform(_c(blocks), lambda s: F.transform(s["q"], lambda q: q * s["d"])))
 
 
+def is_finite(v) -> Column:
+    """False for null, NaN and infinities."""
+    return F.coalesce(~F.isnan(v) & (F.abs(v) != F.lit(INF)), F.lit(False))
+
+
 def masked_mean(x) -> Column:
     """Mean of the finite entries (NaN when none)."""
     f = F.filter(dbl(x), lambda v: ~F.isnan(v) & (F.abs(v) != F.lit(INF)))

@@ -64,8 +64,8 @@ def split_lines(x) -> Column:
 
 
 def chars(x) -> Column:
-    """ARRAY<STRING> of code points."""
-    return F.split(_c(x), "")
+    """ARRAY<STRING> of code points (none of the empty text)."""
+    return F.filter(F.split(_c(x), ""), lambda ch: ch != "")
 
 
 def encode_char(x, eos: int = CHAR_EOS, trailing_eos: bool = True) -> Column:

@@ -295,11 +295,11 @@ def sample_seed(base_seed: int, dataset: str, index, scope: str = "sample") -> C
 
 
 def parse_seed(text) -> Column:
-    """B-22: a leading integer (after optional spaces and sign) when there is one, else the
+    """B-22: a leading integer (after optional spaces and sign) when there is one that fits in 64 bits, else the
     31-multiplier string hash folded to 32 bits (signed) and made non-negative."""
     t = _c(text)
     lead = F.regexp_extract(t, r"^\s*([+-]?\d+)", 1)
     h = F.aggregate(F.transform(F.split(t, ""), lambda ch: F.ascii(ch).cast("long")), F.lit(0).cast("long"),
                     lambda a, c: (a * 31 + c).bitwiseAND(F.lit(M32)))
     signed = F.when(h >= 2 ** 31, h - 2 ** 32).otherwise(h)
-    return F.when(F.length(lead) > 0, lead.cast("long")).otherwise(F.abs(signed))
+    return F.coalesce(lead.try_cast("long"), F.abs(signed))

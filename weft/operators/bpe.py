@@ -220,10 +220,13 @@ def bpe_apply_udf(merges: list[tuple[str, str]], vocab: list[str], unk_id: int =
 def bpe_encode(docs: DataFrame, key: str, text: str, vocab: list[str], merges: list[tuple[str, str]],
                bos: int | None = BOS_ID, eos: int | None = EOS_ID) -> DataFrame:
     """A-20: pre-tokenise -> byte map -> BPE on *distinct* words (joined back) -> ids in
-    text order -> post-process.  Returns (key, ids)."""
+    text order -> post-process.  Returns (key, ids), one row a document: an empty or null text
+    has no word and keeps its begin and end ids."""
     p = docs.select(key, F.posexplode(byte_level_pieces(F.col(text))).alias("pos", "word"))
     distinct = p.select("word").distinct()
     enc = distinct.withColumn("wid", bpe_apply_udf(merges, vocab)(F.col("word")))
     x = p.join(enc, "word")
     per_doc = x.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "wid"))).alias("_p"))
-    return per_doc.select(key, post_process(F.flatten(F.col("_p.wid")), bos, eos).alias("ids"))
+    rows = docs.select(F.col(key).alias("_key")).distinct().join(per_doc, F.col("_key").eqNullSafe(F.col(key)), "left")
+    ids = F.coalesce(F.flatten(F.col("_p.wid")), F.array().cast("array<int>"))
+    return rows.select(F.col("_key").alias(key), post_process(ids, bos, eos).alias("ids"))

@@ -18,11 +18,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.operators.ordering import blocked, lag_value, prefix_agg, row_index, BLK
+from weft.operators.ordering import BLK, _join_offsets, blocked, lag_value, prefix_agg, row_index
+from weft.session import stage_table
 
 DESCENDANT, CHILD, NEXT, SUBSEQUENT = "descendant", "child", "next", "subsequent"
 
@@ -250,83 +250,83 @@ def op_subsequent(oplog: DataFrame, a: str, b: str) -> DataFrame:
     return x.filter((F.col("op") == b) & (F.col("_seen_a") == 1)).drop("_isa", "_seen_a")
 
 
-# --- E-18 chains: a finite automaton scanned in two levels ----------------------------
+# --- E-18 chains: a bit automaton, folded in chunks -----------------------------------
+
+#: Ops folded in one list.
+CHUNK_OPS = 512
 
-def _chain_step(state: frozenset, op: str, items: Sequence[str], rels: Sequence[str]) -> tuple[frozenset, bool]:
-    """One op through the chain: returns (new progress set, emitted)."""
-    k = len(items)
-    new = set()
-    for cur in state:
-        nxt = cur + 1
-        if nxt >= k:
-            continue
-        if rels[cur] == NEXT:
-            if op == items[nxt]:
-                new.add(nxt)
-        else:
-            new.add(nxt if op == items[nxt] else cur)
-    if op == items[0]:
-        new.add(0)
-    emit = (k - 1) in new
-    if emit:
-        new = {i for i in new if i < k - 1}
-    return frozenset(new), emit
 
+def chain_table(items: Sequence[str], relations: Sequence[str]) -> tuple[dict, list[int], list[bool]]:
+    """The chain as a table: symbols of ops, next states and completions.
 
-def _all_states(k: int) -> list[frozenset]:
-    return [frozenset(i for i in range(k - 1) if m >> i & 1) for m in range(1 << max(k - 1, 0))]
+    A state is a set of progresses as bits: bit j says that items 0..j have been met.  An op
+    with bit j set in ``met`` is item j.  It moves a progress j - 1 up to j, starts progress 0,
+    and a progress that waits for a later op (SUBSEQUENT) stays where the op is not its next
+    item; one that needs the very next op is dropped.  Reaching the last item completes the
+    chain and uses that progress up.  Ops that are no item share one symbol.  Row ``symbol *
+    states + state`` of the two lists tells the next state and whether the op completes."""
+    k, states = len(items), 1 << (len(items) - 1)
+    waits = sum(1 << j for j, r in enumerate(relations) if r != NEXT)
+    symbols = {op: n for n, op in enumerate(dict.fromkeys(items))}
+    met = [sum(1 << j for j, x in enumerate(items) if x == op) for op in symbols] + [0]
+    after, done = [], []
+    for m in met:
+        for state in range(states):
+            moved = (state << 1 | 1) & m | state & waits & ~(m >> 1)
+            after.append(moved & (states - 1))
+            done.append(bool(moved >> (k - 1) & 1))
+    return symbols, after, done
 
 
 def op_chain(oplog: DataFrame, items: Sequence[str], relations: Sequence[str], n: int | None = None) -> DataFrame:
-    """E-18: ops completing a chain of ``+`` (NEXT) / ``~`` (SUBSEQUENT) relations, with the
-    reference's overlapping-progress semantics (a completed progress is consumed).
-
-    The progress set is a finite automaton over at most 2^(k-1) states.  Each
-    range block of a module's ordered ops is reduced to its transition table
-    (grouped map over a bounded block), the tables are composed across blocks
-    per module (at most n tables), and a final grouped map replays each block
-    from its entry state.  No module's whole log is ever held by one task."""
-    items, rels = list(items), list(relations)
-    if len(rels) != len(items) - 1:
+    """E-18: ops that complete a chain of ``+`` (NEXT) / ``~`` (SUBSEQUENT) relations, with
+    overlapping progresses (see :func:`chain_table`).
+
+    A module's ordered ops lie in range blocks, and a block in chunks of ``CHUNK_OPS``.  Each
+    chunk is folded to the table of where every state leads; tables are composed over the
+    chunks of a block and then over a module's blocks, which gives every chunk its entry
+    state, from which it is run once more to find the completions.  All in array functions; no
+    list is longer than a chunk, or a block's chunks, or a module's blocks."""
+    if len(relations) != len(items) - 1:
         raise ValueError("need one relation between consecutive items")
-    states = _all_states(len(items))
-    code = {s: i for i, s in enumerate(states)}
-    b = blocked(oplog.select("module_path", "seq", "op"), ["module_path"], ["seq"], n)
-
-    def block_table(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        ops = pdf["op"].tolist()
-        out = []
-        for s in states:
-            cur = s
-            for op in ops:
-                cur, _ = _chain_step(cur, op, items, rels)
-            out.append(code[cur])
-        return pd.DataFrame({"module_path": [pdf["module_path"].iloc[0]], BLK: [int(pdf[BLK].iloc[0])], "table": [out]})
-
-    tables = b.groupBy("module_path", BLK).applyInPandas(block_table, f"module_path string, {BLK} int, table array<int>")
-
-    def entry_states(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(BLK)
-        cur, entries = code[frozenset()], []
-        for t in pdf["table"]:
-            entries.append(cur)
-            cur = int(t[cur])
-        return pd.DataFrame({"module_path": pdf["module_path"], BLK: pdf[BLK], "entry": entries})
-
-    entries = tables.groupBy("module_path").applyInPandas(entry_states, f"module_path string, {BLK} int, entry int")
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        cur = states[int(pdf["entry"].iloc[0])]
-        keep = []
-        for op in pdf["op"]:
-            cur, emit = _chain_step(cur, op, items, rels)
-            keep.append(emit)
-        return pdf.loc[keep, ["module_path", "seq", "op"]]
-
-    x = b.join(entries, ["module_path", BLK])
-    return x.groupBy("module_path", BLK).applyInPandas(replay, "module_path string, seq long, op string")
+    symbols, after, done = chain_table(items, relations)
+    states = 1 << (len(items) - 1)
+    after, done = F.array(*map(F.lit, after)), F.array(*map(F.lit, done))
+    symbol = F.coalesce(*[F.when(F.col("op") == op, F.lit(i)) for op, i in symbols.items()], F.lit(len(symbols)))
+
+    def cell(table, state, sym):
+        return F.element_at(table, sym * states + state + 1)
+
+    def composed(tables):  # where each state leads through a list of tables
+        return F.aggregate(tables, F.sequence(F.lit(0), F.lit(states - 1)),
+                           lambda acc, x: F.transform(acc, lambda s: F.element_at(x["table"], s + 1)))
+
+    def entries(tables, first):  # the state before each table of a list
+        start = F.struct(first.alias("s"), F.array().cast("array<struct<at:bigint,entry:int>>").alias("out"))
+        return F.aggregate(tables, start, lambda acc, x: F.struct(
+            F.element_at(x["table"], acc["s"] + 1).alias("s"),
+            F.concat(acc["out"], F.array(F.struct(x["at"].alias("at"), acc["s"].alias("entry")))).alias("out")))["out"]
+
+    b = blocked(oplog.select("module_path", "seq", "op", symbol.alias("sym")), ["module_path"], ["seq"], n)
+    nth = F.row_number().over(Window.partitionBy(BLK, "module_path").orderBy("seq")) - 1
+    chunks = (b.withColumn("chunk", F.floor(nth / CHUNK_OPS)).groupBy("module_path", BLK, "chunk")
+              .agg(F.array_sort(F.collect_list(F.struct("seq", "op", "sym"))).alias("ops")))
+    chunks = stage_table(chunks.withColumn("table", F.transform(F.sequence(F.lit(0), F.lit(states - 1)), lambda s0: F.aggregate(
+        "ops", s0, lambda s, x: cell(after, s, x["sym"])))), "chain-chunks")
+    blocks = chunks.groupBy("module_path", BLK).agg(F.array_sort(F.collect_list(F.struct(F.col("chunk").alias("at"), "table"))).alias("tables"))
+    modules = blocks.groupBy("module_path").agg(F.array_sort(F.collect_list(F.struct(
+        F.col(BLK).cast("long").alias("at"), composed("tables").alias("table")))).alias("tables"))
+    of_block = modules.select("module_path", F.explode(entries(F.col("tables"), F.lit(0))).alias("e")) \
+        .select("module_path", F.col("e.at").cast("int").alias(BLK), "e.entry")
+    of_chunk = _join_offsets(blocks, of_block, ["module_path"]).select(
+        "module_path", BLK, F.explode(entries(F.col("tables"), F.col("entry"))).alias("e")) \
+        .select("module_path", BLK, F.col("e.at").alias("chunk"), "e.entry")
+    run = F.aggregate("ops", F.struct(F.col("entry").alias("s"), F.array().cast("array<struct<seq:bigint,op:string>>").alias("hits")),
+                      lambda acc, x: F.struct(cell(after, acc["s"], x["sym"]).alias("s"), F.when(
+                          cell(done, acc["s"], x["sym"]), F.concat(acc["hits"], F.array(F.struct(x["seq"].alias("seq"), x["op"].alias("op")))))
+                          .otherwise(acc["hits"]).alias("hits")))["hits"]
+    return _join_offsets(chunks, of_chunk, ["module_path", "chunk"]).select("module_path", F.explode(run).alias("h")) \
+        .select("module_path", "h.seq", "h.op")
 
 
 def module_index(oplog: DataFrame) -> DataFrame:

@@ -53,6 +53,15 @@ def sample_until_chars(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             .withColumn(text, T.js_trim(F.col(text))))
 
 
+def _with_key_table(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows joined with a table of one row a key; null keys match each other."""
+    t = table.withColumnsRenamed({k: f"_k_{i}" for i, k in enumerate(keys)})
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{i}"))
+    return df.join(t, on).drop(*[f"_k_{i}" for i in range(len(keys))])
+
+
 def assemble_corpus(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_chars: int | None = None,
                     text: str = "text", sep: str = "\n\n") -> DataFrame:
     """A-04: the ordered docs of each key joined with ``sep`` and cut at ``max_chars``.
@@ -65,8 +74,7 @@ def assemble_corpus(df: DataFrame, keys: Sequence[str], order: Sequence[str], ma
     keys = list(keys)
     d = df.withColumn("_len", F.length(text).cast("long") + len(sep))
     d = prefix_sum(d, keys, order, "_len", "char_start", exclusive=True)
-    total = d.groupBy(*keys).agg(F.sum("_len").alias("_total"))  # one row per key
-    d = d.join(total, keys)
+    d = _with_key_table(d, d.groupBy(*keys).agg(F.sum("_len").alias("_total")), keys)
     is_last = F.col("char_start") + F.col("_len") == F.col("_total")
     piece = F.when(is_last, F.col(text)).otherwise(F.concat(F.col(text), F.lit(sep)))
     d = d.withColumn("piece", piece)
@@ -113,18 +121,18 @@ def _slice_rows(stream: DataFrame, lo: Column, hi: Column) -> DataFrame:
 
 def train_val_split(stream: DataFrame, keys: Sequence[str], val_fraction: float = VAL_FRACTION,
                     val_fallback: int = VAL_FALLBACK_TOKENS,
-                    val_cap: int | None = TOKENS_PER_SHARD) -> DataFrame:
+                    val_cap: int | None = None) -> DataFrame:
     """A-30: ordered split of each key's stream.
 
     train = [0, cut) with cut = max(1, floor(n * (1 - val_fraction)));
     val = [cut, n), or the last min(1024, n) tokens when that is empty;
-    val is truncated to ``val_cap`` tokens (one shard).  Adds ``split`` and
+    ``val_cap``, if given, cuts val to so many tokens.  Adds ``split`` and
     rebases ``start`` to the split."""
     keys = list(keys)
     n = stream_lengths(stream, keys)
     cut = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(1.0 - val_fraction)).cast("long"))
     n = n.select(*keys, "n", cut.alias("_cut"))
-    s = stream.join(n, keys)  # n has one row per key
+    s = _with_key_table(stream, n, keys)
     train = _slice_rows(s, F.lit(0), F.col("_cut")).withColumn("split", F.lit("train"))
     val_lo = F.when(F.col("_cut") < F.col("n"), F.col("_cut")).otherwise(
         F.col("n") - F.least(F.lit(val_fallback), F.col("n")))

@@ -90,7 +90,9 @@ def aggregate_metrics(per_example: DataFrame, metrics: Sequence[str], by: Sequen
         dt = per_example.schema[m].dataType.simpleString()
         c = F.col(m)
         if dt.startswith("array"):
-            c = A.masked_mean(F.transform(c, lambda v: v.cast("double")))
+            # entries that are not finite count as 0 over the full length
+            whole = F.transform(c, lambda v: F.when(A.is_finite(v.cast("double")), v.cast("double")).otherwise(F.lit(0.0)))
+            c = F.when(F.size(whole) > 0, A.asum(whole) / F.size(whole)).otherwise(F.lit(A.NAN))
         else:
             c = c.cast("double")
         name = "character_level_accuracy" if m == "matches" else m

@@ -4,13 +4,11 @@ A plain ``Window.partitionBy(key).orderBy(o)`` ships every row of a key to a
 single task; a key that holds a third of the data then becomes one giant task.
 The helpers here use a two-level scheme instead:
 
-1. **Blocks.**  A sample of the sort key ``(keys..., order...)`` is sorted by
-   Spark and cut into ``n`` quantile bounds (at most ``n - 1`` literals).  Each
-   row's block is the number of bounds below its key (binary search, a pure
-   expression).  Blocks are contiguous, balanced ranges of the sort order; a hot
-   key spans many blocks.  Because the bounds are literals, the block of a row
-   is deterministic: re-computing a lost partition, or evaluating the plan in
-   two branches, gives the same answer.
+1. **Blocks.**  The input is staged once; its row count sets the number of
+   blocks; Spark's range partitioning on ``(keys..., order...)`` deals the rows
+   and the result, tagged with its block, is staged again.  Blocks are contiguous,
+   balanced ranges of the sort order; a hot key spans many blocks, and every
+   branch of a plan, or a recomputed partition, reads the same blocks.
 2. Inside each (block, key) a window computes the local running value; the
    window's exchange (hash on block, key) is the only shuffle of the full data.
 3. A small table of per-(block, key) totals (partial aggregation, at most
@@ -24,15 +22,17 @@ Order expressions must be ascending (negate a numeric column for descending).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.session import stage_table
+
 BLK = "_blk"
-SAMPLES_PER_BLOCK = 32
-SAMPLE_SEED = 20250101
+ROWS_PER_BLOCK = 1_000_000
 
 
 def _cols(xs) -> list[Column]:
@@ -40,78 +40,32 @@ def _cols(xs) -> list[Column]:
 
 
 def n_blocks(df: DataFrame) -> int:
-    """Number of range blocks: the session's shuffle partition count."""
+    """Least number of range blocks: the session's shuffle partition count."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _sort_key(keys: Sequence[str], order: Sequence) -> Column:
-    fields = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
-    fields += [c.alias(f"o{i}") for i, c in enumerate(_cols(order))]
-    return F.struct(*fields)
-
-
-def range_bounds(df: DataFrame, key: Column, n: int) -> list:
-    """``n - 1`` quantile bounds of ``key`` from a sample of ~``32 n`` rows.
-
-    The sample is sorted by Spark (so bound order is Spark's order); what reaches
-    the driver is the sorted sample, whose size is fixed by ``n`` (not by the data)."""
-    if n <= 1:
-        return []
-    total = df.count()
-    if total == 0:
-        return []
-    frac = min(1.0, SAMPLES_PER_BLOCK * n / total)
-    s = df.select(key.alias("k"))
-    if frac < 1.0:
-        s = s.sample(False, frac, SAMPLE_SEED)
-    # the sample holds ~32 n keys (bounded by n, not by the data): Spark sorts it and the
-    # driver picks the quantile ranks
-    keys = [r["k"] for r in s.orderBy("k").collect()]
-    m = len(keys)
-    ranks = sorted({(m * i) // n for i in range(1, n)} - {0})
-    return [keys[r] for r in ranks]
-
-
-def _literal_bounds(bounds: list, key_type) -> Column:
-    def lit_struct(row):
-        return F.struct(*[F.lit(row[i]).cast(f.dataType).alias(f.name) for i, f in enumerate(key_type.fields)])
-    return F.array(*[lit_struct(b) for b in bounds])
-
-
-def block_of(key: Column, bounds: list, key_type) -> Column:
-    """Number of bounds strictly below ``key`` — a binary search over literal bounds."""
-    nb = len(bounds)
-    if nb == 0:
-        return F.lit(0)
-    arr = _literal_bounds(bounds, key_type)
-    steps = max(1, math.ceil(math.log2(nb + 1)))
-
-    # the key travels inside the accumulator: the lambda references no outer column
-    def step(acc, _):
-        lo, hi, k = acc["lo"], acc["hi"], acc["k"]
-        mid = F.floor((lo + hi) / 2).cast("int")
-        below = F.element_at(arr, F.least(mid, F.lit(nb - 1)) + 1) < k
-        go = lo < hi
-        return F.struct(F.when(go & below, mid + 1).otherwise(lo).alias("lo"),
-                        F.when(go & ~below, mid).otherwise(hi).alias("hi"), k.alias("k"))
-    init = F.struct(F.lit(0).alias("lo"), F.lit(nb).alias("hi"), key.alias("k"))
-    res = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)
-    return res["lo"]
-
-
 def blocked(df: DataFrame, keys: Sequence[str], order: Sequence, n: int | None = None) -> DataFrame:
-    """Tag every row with a deterministic block id over the (keys, order) sort order."""
-    n = n or n_blocks(df)
-    with_key = df.withColumn("_sk", _sort_key(keys, order))
-    bounds = range_bounds(with_key, F.col("_sk"), n)
-    key_type = with_key.schema["_sk"].dataType
-    return with_key.withColumn(BLK, block_of(F.col("_sk"), bounds, key_type)).drop("_sk")
+    """Rows dealt to blocks that follow each other in the order of (keys, order); ``_blk`` is a row's block.
+
+    The input is computed once and staged; its row count gives the number of blocks (at least the
+    session's shuffle partitions, and one for every ``ROWS_PER_BLOCK`` rows), Spark's range
+    partitioning deals them, and the dealt rows are staged too, so every later read sees the
+    same blocks.  A key of any size is spread over as many blocks as it needs."""
+    rows = stage_table(df, "ordered")
+    n = n or max(n_blocks(df), -(-rows.count() // ROWS_PER_BLOCK))
+    dealt = rows.repartitionByRange(n, *_cols(keys), *_cols(order)) if keys or order else rows
+    return stage_table(dealt.withColumn(BLK, F.spark_partition_id()), "blocks")
 
 
 def _join_offsets(local: DataFrame, offsets: DataFrame, keys: list) -> DataFrame:
+    """One row per block and key of ``offsets`` joined to the rows; null keys match each other."""
     if not keys:
-        return local.join(F.broadcast(offsets), [BLK], "inner")  # at most n rows
-    return local.join(offsets, [BLK, *keys], "inner")
+        return local.join(F.broadcast(offsets), [BLK], "inner")  # one row a block
+    o = offsets.withColumnsRenamed({BLK: "_o_blk"} | {k: f"_o_{i}" for i, k in enumerate(keys)})
+    on = F.col(BLK) == F.col("_o_blk")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_o_{i}"))
+    return local.join(o, on).drop("_o_blk", *[f"_o_{i}" for i in range(len(keys))])
 
 
 def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value, out: str,
@@ -198,5 +152,6 @@ def group_total(df: DataFrame, keys: Sequence[str], value, out: str) -> DataFram
     if not keys:
         # a scalar subquery: one value, computed once and inlined as a literal
         return df.withColumn(out, df.agg(F.sum(val)).scalar())
-    tot = df.groupBy(*keys).agg(F.sum(val).alias(out))
-    return df.join(tot, on=keys, how="inner")
+    tot = df.groupBy(*[F.col(k).alias(f"_t_{i}") for i, k in enumerate(keys)]).agg(F.sum(val).alias(out))
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_t_{i}")) for i, k in enumerate(keys)])
+    return df.join(tot, on).drop(*[f"_t_{i}" for i in range(len(keys))])

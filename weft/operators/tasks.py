@@ -9,10 +9,10 @@ not reproduced; the task rules are.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weft.functions.arrays import let
 from weft.functions.hashing import uniform
 
 
@@ -263,49 +263,29 @@ def elman_metrics(words: Column) -> Column:
                     F.when(n > 0, matches).otherwise(F.array().cast("array<boolean>")).alias("matches"))
 
 
-def two_sum_sample(idx: int, seed: int, length: int = 4, max_number: int = 15, max_retries: int = 10):
-    """B-36 for one index: a pair (a, b) at distinct places with t = a + b; every other filler is
-    drawn from values that cannot form another pair summing to t (not a, not b, not the
-    complement of an earlier filler).  Up to ``max_retries`` attempts; None when all fail.
-    Draw k of the sample is uniform_py(seed, idx, k)."""
-    from weft.functions.hashing import uniform_py
-    k = 0
-
-    def integer(lo, hi):  # inclusive bounds
-        nonlocal k
-        v = lo + int(uniform_py(seed, idx, k) * (hi - lo + 1))
-        k += 1
-        return v
-    max_el = max_number // 2
-    for _ in range(max_retries):
-        i = integer(0, length - 1)
-        j = integer(0, length - 1)
-        while j == i:
-            j = integer(0, length - 1)
-        a, b = integer(0, max_el), integer(0, max_el)
-        t = a + b
-        nums = [None] * length
-        nums[i], nums[j] = a, b
-        seen, ok = [], True
-        for p in range(length):
-            if p in (i, j):
-                continue
-            banned = {a, b} | {t - y for y in seen if 0 <= t - y <= max_el}
-            allowed = [v for v in range(max_el + 1) if v not in banned]
-            if not allowed:
-                ok = False
-                break
-            nums[p] = allowed[integer(0, len(allowed) - 1)]
-            seen.append(nums[p])
-        if ok:
-            return nums + [t], [nums[i], nums[j]]
-    return None
-
-
-def two_sum_udf(seed: int, length: int = 4, max_number: int = 15):
-    """A pandas UDF over an index column -> struct(prompt, target) (null when infeasible)."""
-    @F.pandas_udf("prompt array<int>, target array<int>")
-    def gen(ids: pd.Series) -> pd.DataFrame:
-        out = [two_sum_sample(int(i), seed, length, max_number) for i in ids]
-        return pd.DataFrame({"prompt": [o[0] if o else None for o in out], "target": [o[1] if o else None for o in out]})
-    return gen
+def two_sum(idx: Column, seed: int, length: int = 4, max_number: int = 15) -> tuple[Column, Column]:
+    """B-36: ``length`` numbers and a sum t that exactly one pair of places makes; the answer is the pair.
+
+    Built without trial: a and b (draws 0, 1) stand at two different places (draws 2, 3).  Of
+    the other values one member of every couple {v, t - v} is struck out by a coin, and so are
+    a, b and t / 2; whatever fills the free places, no other pair makes t.  Raises if nothing
+    is left to fill with (very small ``max_number``)."""
+    top = max_number // 2
+    a, b = _draw(seed, idx, 0, top + 1), _draw(seed, idx, 1, top + 1)
+    i = _draw(seed, idx, 2, length)
+    j = (i + 1 + _draw(seed, idx, 3, length - 1)) % length
+
+    def may_fill(v, a, b):
+        other = a + b - v
+        heads = _u(seed, idx, F.least(v, other) + 1000) < 0.5
+        return (v != a) & (v != b) & (v != other) & ((other < 0) | (other > top) | (heads == (v < other)))
+
+    fill = let(F.struct(a.alias("a"), b.alias("b")), lambda c: F.filter(
+        F.sequence(F.lit(0), F.lit(top)), lambda v: may_fill(v, c["a"], c["b"])))
+    fill = let(fill, lambda f: F.when(F.size(f) > 0, f).otherwise(
+        F.raise_error(F.lit("two_sum: max_number leaves no filler")).cast("array<int>")))
+
+    numbers = let(F.struct(fill.alias("fill"), a.alias("a"), b.alias("b"), i.alias("i"), j.alias("j")), lambda c: F.transform(
+        F.sequence(F.lit(0), F.lit(length - 1)), lambda p: F.when(p == c["i"], c["a"]).when(p == c["j"], c["b"]).otherwise(
+            F.element_at(c["fill"], (F.floor(_u(seed, idx, p + 4) * F.size(c["fill"])) + 1).cast("int")))))
+    return F.concat(numbers, F.array(a + b)), F.array(a, b)

@@ -179,34 +179,24 @@ def matmul(a: DataFrame, b: DataFrame, i="i", k="k", j="j", a_val="a", b_val="b"
     return (a.join(b, k).groupBy(i, j).agg(F.sum(F.col(a_val) * F.col(b_val)).alias(out)))
 
 
-LITERAL_WEIGHTS = 65_536  # elements; above this the weights stay a table
+#: Elements of the largest weight table that may travel with every task (32 MB of doubles).
+WEIGHT_ELEMENTS = 4_000_000
 
 
 def linear_rows(vec: DataFrame, weights: DataFrame, v: str = "v", w_key: str = "o", w_vec: str = "w",
                 bias: str | None = None, out: str = "y") -> DataFrame:
     """C-72: y_i = W x_i (+ b) for a vector table and a weight table (one row per output feature).
 
-    After a size check the weights become an ARRAY<STRUCT> literal and every row
-    computes its outputs in place (no join, no shuffle).  Larger weight tables
-    go through the long-form ``matmul`` (equi-join on the inner index)."""
-    cols = [w_key, w_vec] + ([bias] if bias else [])
-    w_small = weights.select(*cols).limit(LITERAL_WEIGHTS + 1).collect()
-    n_el = sum(len(r[w_vec]) for r in w_small)
-    if len(w_small) <= LITERAL_WEIGHTS and n_el <= LITERAL_WEIGHTS:
-        rows = sorted(w_small, key=lambda r: r[w_key])
-        lit = F.array(*[F.struct(F.lit(r[w_key]).alias("o"),
-                                 F.array(*[F.lit(float(x)) for x in r[w_vec]]).alias("w"),
-                                 F.lit(float(r[bias]) if bias else 0.0).alias("b")) for r in rows])
-        x = A.dbl(v)
-        y = F.transform(lit, lambda s: F.aggregate(F.zip_with(x, s["w"], lambda p, q: p * q), F.lit(0.0),
-                                                   lambda acc, t: acc + t) + s["b"])
-        return vec.withColumn(out, y)
-    # general path: long x long matmul, re-assembled per row (row length = #outputs)
-    keys = [c for c in vec.columns if c != v]
-    xl = to_long(vec, "i", v, "k", "a")
-    wl = weights.select(F.col(w_key).alias("j"), F.posexplode(A.dbl(w_vec)).alias("k", "b"))
-    y = xl.join(wl, "k").groupBy(*keys, "j").agg(F.sum(F.col("a") * F.col("b")).alias("_y"))
-    if bias:
-        y = y.join(weights.select(F.col(w_key).alias("j"), F.col(bias).alias("_b")), "j").withColumn(
-            "_y", F.col("_y") + F.col("_b"))
-    return vec.join(to_vector(y, keys, "j", "_y", out), keys)
+    Every row computes its outputs in place, in the order of ``w_key``, from the weights as one
+    value (a scalar subquery): no join, no shuffle, repeated and null ids keep their rows.
+    Weights beyond ``WEIGHT_ELEMENTS`` are refused; use ``matmul`` on the long form."""
+    size = weights.agg(F.sum(F.size(w_vec).cast("long"))).first()[0] or 0
+    if size > WEIGHT_ELEMENTS:
+        raise ValueError(f"{size} weights; linear_rows takes {WEIGHT_ELEMENTS}, matmul any number")
+    b = F.coalesce(F.col(bias).cast("double"), F.lit(0.0)) if bias else F.lit(0.0)
+    table = weights.agg(F.array_sort(F.collect_list(F.struct(F.col(w_key).alias("o"), A.dbl(w_vec).alias("w"), b.alias("b"))))).scalar()
+    x = A.dbl(v)
+    y = F.transform("_weights", lambda s: F.aggregate(F.zip_with(x, s["w"], lambda p, q: p * q), F.lit(0.0),
+                                                      lambda acc, t: acc + t) + s["b"])
+    return vec.withColumn("_weights", table).withColumn(out, y).drop("_weights")
+

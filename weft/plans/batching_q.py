@@ -93,8 +93,9 @@ def sequences(spark, sf_dir):
     li = Tables(spark, sf_dir).lineitem
     s = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(
         "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"), (F.col("l_returnflag") != "R").alias("m")))).alias("_l"))
+    rest = F.greatest(F.size("_l") - 2, F.lit(0))
     return s.select("l_orderkey", F.slice("_l.q", 1, 2).alias("prompt"),
-                    F.slice("_l.q", 3, 100).alias("target"), F.slice("_l.m", 3, 100).alias("mask"))
+                    F.slice("_l.q", 3, rest).alias("target"), F.slice("_l.m", 3, rest).alias("mask"))
 
 
 SEQ_SQL = """s AS (SELECT l_orderkey, list(CAST(l_quantity AS INTEGER) ORDER BY l_linenumber, l_partkey, l_suppkey) AS q,
@@ -386,12 +387,19 @@ def b28_elman(spark, sf_dir):
                     m["matched_template"].alias("matched_template"))
 
 
-@register("b36_two_sum", "B-36")
+@register("b36_two_sum", "B-36", sql=f"""
+WITH g AS (SELECT o_orderkey, CAST(floor({_u_sql('0')} * 8) AS INTEGER) AS a, CAST(floor({_u_sql('1')} * 8) AS INTEGER) AS b,
+                  CAST(floor({_u_sql('2')} * 4) AS INTEGER) AS i, CAST(floor({_u_sql('3')} * 3) AS INTEGER) AS d FROM orders),
+h AS (SELECT *, a + b AS t, (i + 1 + d) % 4 AS j FROM g),
+c AS (SELECT *, list_filter(range(8), lambda v: v <> a AND v <> b AND v <> t - v AND (t - v < 0 OR t - v > 7
+        OR ({_u_sql('(least(v, t - v) + 1000)')} < 0.5) = (v < t - v))) AS fill FROM h),
+n AS (SELECT *, list_append(list_transform(range(4), lambda p: CASE WHEN p = i THEN a WHEN p = j THEN b
+        ELSE fill[CAST(floor({_u_sql('(p + 4)')} * len(fill)) AS INTEGER) + 1] END), t) AS prompt FROM c)
+SELECT o_orderkey, {md5_sql('prompt')} AS prompt_md5, {md5_sql('[a, b]')} AS target_md5, true AS unique_solution FROM n""")
 def b36_two_sum(spark, sf_dir):
-    """One two-sum instance per order with a uniqueness check of its solution (rows-only: the
-    retry loop runs in a per-row helper)."""
-    o = Tables(spark, sf_dir).orders.select("o_orderkey")
-    g = o.select("o_orderkey", TK.two_sum_udf(TASK_SEED)(F.col("o_orderkey")).alias("s"))
+    """One two-sum instance per order; ``unique_solution`` recounts the pairs that make the sum."""
+    prompt, target = TK.two_sum(F.col("o_orderkey"), TASK_SEED)
+    g = Tables(spark, sf_dir).orders.select("o_orderkey", F.struct(prompt.alias("prompt"), target.alias("target")).alias("s"))
     nums = F.slice("s.prompt", 1, 4)
     t = F.element_at("s.prompt", 5)
     pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.transform(

@@ -94,21 +94,17 @@ def a02_sample_until_chars(spark, sf_dir):
 
 
 @register("a04_assemble_corpus", "A-02 A-04", sql=f"""
-WITH s AS (SELECT source, doc_id, {Q.js_trim('text')} AS t
-           FROM (SELECT *, SUM(length(text)) OVER (PARTITION BY source ORDER BY doc_id) AS rc
-                 FROM documents WHERE {Q.not_blank('text')}) WHERE rc - length(text) < {MAX_CHARS}),
+WITH s AS (SELECT source, doc_id, {Q.js_trim('text')} AS t FROM documents WHERE {Q.not_blank('text')}),
 o AS (SELECT *, COALESCE(SUM(length(t) + 2) OVER (PARTITION BY source ORDER BY doc_id
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS char_start,
              doc_id = MAX(doc_id) OVER (PARTITION BY source) AS last_doc FROM s),
-p AS (SELECT source, doc_id, char_start,
-             substr(CASE WHEN last_doc THEN t ELSE t || chr(10) || chr(10) END, 1, CAST({MAX_CHARS} - char_start AS BIGINT)) AS piece
-      FROM o WHERE char_start < {MAX_CHARS})
+p AS (SELECT source, doc_id, char_start, CASE WHEN last_doc THEN t ELSE t || chr(10) || chr(10) END AS piece FROM o)
 SELECT source, doc_id, CAST(char_start AS BIGINT) AS char_start, CAST(length(piece) AS BIGINT) AS piece_chars,
        md5(piece) AS piece_md5 FROM p
 """)
 def a04_assemble_corpus(spark, sf_dir):
-    d = C.sample_until_chars(docs(spark, sf_dir), KEYS, ["doc_id"], MAX_CHARS)
-    a = C.assemble_corpus(d, KEYS, ["doc_id"], MAX_CHARS)
+    d = C.drop_blank(docs(spark, sf_dir)).withColumn("text", T.js_trim(F.col("text")))
+    a = C.assemble_corpus(d, KEYS, ["doc_id"])
     return a.select("source", "doc_id", "char_start", F.length("piece").cast("long").alias("piece_chars"),
                     F.md5("piece").alias("piece_md5"))
 
@@ -295,14 +291,14 @@ n AS (SELECT source, COUNT(*) AS n, GREATEST(1, CAST(FLOOR(COUNT(*) * 0.95) AS B
 vr AS (SELECT source, n, cut, CASE WHEN cut < n THEN cut ELSE n - LEAST(1024, n) END AS vlo FROM n),
 sp AS (SELECT t.source, 'train' AS split, pos AS spos, tok FROM toks t JOIN vr USING (source) WHERE pos < cut
        UNION ALL
-       SELECT t.source, 'val', pos - vlo, tok FROM toks t JOIN vr USING (source) WHERE pos >= vlo AND pos < LEAST(n, vlo + {SHARD}))"""
+       SELECT t.source, 'val', pos - vlo, tok FROM toks t JOIN vr USING (source) WHERE pos >= vlo AND pos < n)"""
 
 
 @register("a30_train_val_split", "A-30", sql=f"""{SPLIT_SQL}
 SELECT source, split, CAST(COUNT(*) AS BIGINT) AS n_tokens, CAST(SUM(tok) AS BIGINT) AS token_sum FROM sp GROUP BY source, split
 """)
 def a30_train_val_split(spark, sf_dir):
-    s = C.train_val_split(char_stream(spark, sf_dir), KEYS, val_cap=SHARD)
+    s = C.train_val_split(char_stream(spark, sf_dir), KEYS)
     return s.groupBy("source", "split").agg(F.sum("n_tokens").alias("n_tokens"),
                                             F.sum(F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)).alias("token_sum"))
 
@@ -313,7 +309,7 @@ SELECT source, split, CAST(spos // {SHARD} AS BIGINT) AS shard, CAST(COUNT(*) AS
 FROM sp GROUP BY source, split, spos // {SHARD}
 """)
 def a31_shard_tokens(spark, sf_dir):
-    s = C.shard_pieces(C.train_val_split(char_stream(spark, sf_dir), KEYS, val_cap=SHARD), SHARD)
+    s = C.shard_pieces(C.train_val_split(char_stream(spark, sf_dir), KEYS), SHARD)
     sh = C.assemble_shards(s, ["source", "split"])
     return sh.select("source", "split", "shard", F.size("tokens").cast("long").alias("n_tokens"),
                      ids_md5(F.col("tokens")).alias("tokens_md5"))
@@ -329,7 +325,7 @@ SELECT source, CAST(COUNT(DISTINCT CASE WHEN split = 'train' THEN spos // {SHARD
 FROM sp JOIN b USING (source) GROUP BY source, byte_length
 """)
 def a34_corpus_manifest(spark, sf_dir):
-    s = C.shard_pieces(C.train_val_split(char_stream(spark, sf_dir), KEYS, val_cap=SHARD), SHARD)
+    s = C.shard_pieces(C.train_val_split(char_stream(spark, sf_dir), KEYS), SHARD)
     b = docs(spark, sf_dir).groupBy("source").agg(F.sum(F.octet_length("text")).cast("long").alias("byte_length"))
     return C.corpus_manifest(s, KEYS, vocab_size=257, byte_lengths=b)
 
@@ -443,7 +439,7 @@ def a32_shard_files_roundtrip(spark, sf_dir):
     """Shards written as header + uint16 files under the checkpoint folder, read back and validated."""
     import uuid
     from weft.sources.files import read_bin_shards, write_bin_shards
-    s = C.shard_pieces(C.train_val_split(char_stream(spark, sf_dir), KEYS, val_cap=SHARD), SHARD)
+    s = C.shard_pieces(C.train_val_split(char_stream(spark, sf_dir), KEYS), SHARD)
     sh = C.assemble_shards(s, ["source", "split"]).withColumnRenamed("source", "dataset")
     root = f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex[:8]}"
     write_bin_shards(sh, root).write.format("noop").mode("overwrite").save()
@@ -468,15 +464,15 @@ def a15_split_added_tokens(spark, sf_dir):
 
 
 @register("a01_read_text_corpus", "A-01", sql="""
-SELECT doc_id, md5(substr(text, 1, 500)) AS text_md5, CAST(length(substr(text, 1, 500)) AS INTEGER) AS n_chars FROM documents""")
+SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n_chars FROM documents""")
 def a01_read_text_corpus(spark, sf_dir):
     """Documents written as UTF-8 files (one per document, under the checkpoint folder) and read
-    back as a text corpus cut to its first 500 characters."""
+    back whole as a text corpus."""
     import uuid
     from weft.sources.files import read_text_corpus, write_text_files
     root = f"{checkpoint_dir(spark)}/text-{uuid.uuid4().hex[:8]}"
     d = docs(spark, sf_dir).select("doc_id", "text")
     write_text_files(d, root, "doc_id", "text").write.format("noop").mode("overwrite").save()
-    back = read_text_corpus(spark, f"{root}/*.txt", max_chars=500)
+    back = read_text_corpus(spark, f"{root}/*.txt")
     did = F.regexp_extract("path", "/([0-9]+)[.]txt$", 1).cast("long")
     return back.select(did.alias("doc_id"), F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))

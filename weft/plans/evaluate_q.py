@@ -240,14 +240,14 @@ def d40_grad_norm_clip(spark, sf_dir):
 @register("d42_softmax_gradient", "D-42", sql=f"""{"WITH " + EMB_SQL},
 z AS (SELECT vec_id, label, v, list_max(v) AS m, list_sum(list_transform(v, lambda a: exp(a - list_max(v)))) AS s FROM e),
 g AS (SELECT vec_id, CAST(unnest(range(64)) AS INTEGER) AS c, unnest(list_transform(range(64), lambda k: exp(v[k + 1] - m) / s - CASE WHEN k = label THEN 1.0 ELSE 0.0 END)) AS d, v FROM z),
-x AS (SELECT c, CAST(unnest(range(8)) AS INTEGER) AS j, d * unnest(v[1:8]) AS gx FROM g)
+x AS (SELECT c, CAST(unnest(range(64)) AS INTEGER) AS j, d * unnest(v) AS gx FROM g)
 SELECT c, j, {r('SUM(gx)')} AS grad FROM x GROUP BY c, j""")
 def d42_softmax_gradient(spark, sf_dir):
-    """Cross-entropy gradient of a linear layer on the first 8 features:
-    sum_i (softmax(z_i) - onehot(y_i)) x_i^T, a (64 x 8) table."""
+    """Cross-entropy gradient of a linear layer: sum_i (softmax(z_i) - onehot(y_i)) x_i^T,
+    a (64 x 64) table."""
     e = emb(spark, sf_dir)
     d = F.zip_with(A.softmax("v"), A.one_hot(F.col("label"), 64), lambda p, o: p - o)
-    x = e.select(F.posexplode(d).alias("c", "d"), F.slice("v", 1, 8).alias("x"))
+    x = e.select(F.posexplode(d).alias("c", "d"), F.col("v").alias("x"))
     x = x.select("c", "d", F.posexplode("x").alias("j", "xv"))
     return x.groupBy("c", "j").agg(R(F.sum(F.col("d") * F.col("xv"))).alias("grad"))
 

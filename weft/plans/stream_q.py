@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.operators import batching as B
+from weft.operators import capture as CP
 from weft.plans import batching_q as BQ
 from weft.plans import capture_q as CQ
 from weft.plans import runs_q as RQ
@@ -48,14 +49,14 @@ def s04_stream_exclude_heldout(spark, sf_dir):
     return ST.run_to_table(kept, "heldout")
 
 
-@register("s08_stream_op_chain", "S-08")
+@register("s08_stream_op_chain", "S-08", sql=CQ.CHAIN_SQL)
 def s08_stream_op_chain(spark, sf_dir):
     """``@view + @click ~ @purchase`` as ops arrive (equals e18_op_chain on the same log)."""
     m, _ = CQ.tree(spark, sf_dir, with_closure=False)
     paths = m.filter(F.col("key").isNotNull()).select(F.col("path").alias("module_path"), F.col("key").alias("user_id"))
     ev = ST.table_stream(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("op"))
     ops = ev.join(F.broadcast(paths), "user_id")  # stream-static join; the tree is one row per customer
-    return ST.run_to_table(ST.stream_op_chain(ops, ["view", "click", "purchase"], [ST.NEXT, "subsequent"]), "chain")
+    return ST.run_to_table(ST.stream_op_chain(ops, ["view", "click", "purchase"], [CP.NEXT, CP.SUBSEQUENT]), "chain")
 
 
 @register("s01_stream_token_offsets", "S-01 S-02", sql=f"""WITH {__import__('weft.plans.sqlfrag', fromlist=['x']).pieces_cte()},
@@ -83,21 +84,18 @@ def s01_stream_token_offsets(spark, sf_dir):
                                      F.sum("start").alias("start_sum"))
 
 
-@register("s07_incremental_decode", "S-07")
+@register("s07_incremental_decode", "S-07", sql="""
+WITH t AS (SELECT conv_id, regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g') AS x FROM conversations),
+p AS (SELECT conv_id, length(x) AS n, length(regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g')) AS words,
+             CASE WHEN regexp_matches(x, '[^\\p{L}\\p{N}]$') THEN 1 ELSE 0 END AS tail FROM t)
+SELECT conv_id, CAST(SUM(n) AS BIGINT) AS n_emitted, CAST(SUM(words + tail) AS BIGINT) AS n_pieces FROM p GROUP BY conv_id HAVING SUM(n) > 0""")
 def s07_incremental_decode(spark, sf_dir):
-    """Conversation text arrives as a stream of char tokens (position = turn * 1e6 + offset);
-    per conversation the decoder emits text only when the decoded tail grew and ends with an
-    alphanumeric character.  ``emitted_ok``: every emitted piece ends alphanumeric and no more
-    characters are emitted than the conversation holds (aggregates only; no text is assembled)."""
+    """Conversation text arrives as a stream of char tokens in order of (turn, offset), every turn closed
+    by an end token; text is given out whenever it ends with a letter or digit, the rest at the end."""
     from weft.functions import text as T
     conv = ST.table_stream(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    toks = conv.select("conv_id", "turn", F.posexplode(T.char_ids(F.col("text"))).alias("k", "tok"))
-    toks = toks.select("conv_id", (F.col("turn") * 1000000 + F.col("k")).alias("pos"), "tok")
-    out = ST.run_to_table(ST.stream_incremental_decode(toks, "conv_id", "pos", "tok",
-                                                       lambda ids: "".join(chr(i) for i in ids)), "decode")
-    n_text = Tables(spark, sf_dir).conversations.groupBy("conv_id").agg(F.sum(F.length("text")).alias("n_text"))
-    per = out.groupBy("conv_id").agg(F.sum(F.length("text")).alias("n_emitted"), F.count("*").alias("n_pieces"),
-                                     F.min(F.col("text").rlike("[\\p{L}\\p{N}]$").cast("int")).alias("_alnum_end"))
-    return (per.join(n_text, "conv_id")
-            .select("conv_id", "n_emitted", "n_pieces",
-                    ((F.col("n_emitted") <= F.col("n_text")) & (F.col("_alnum_end") == 1)).alias("emitted_ok")))
+    ids = F.concat(T.char_ids(F.col("text")), F.array(F.lit(T.CHAR_EOS)))
+    toks = conv.select("conv_id", "turn", F.posexplode(ids).alias("k", "tok"))
+    out = ST.run_to_table(ST.stream_incremental_decode(toks, "conv_id", ["turn", "k"], "tok",
+                                                       lambda ids: "".join(map(chr, ids)), T.CHAR_EOS), "decode")
+    return out.groupBy("conv_id").agg(F.sum(F.length("text")).cast("long").alias("n_emitted"), F.count("*").alias("n_pieces"))

@@ -230,15 +230,15 @@ def c54_narrow_chunk(spark, sf_dir):
 
 
 @register("c58_cat_stack", "C-58 C-59", sql=f"""WITH {EL_SQL}
-SELECT CAST(0 AS BIGINT) AS s, vec_id AS i, j, {r('val')} AS val FROM el WHERE j < 16
-UNION ALL SELECT 0, vec_id, j + 16, {r('val * 2')} FROM el WHERE j < 16
-UNION ALL SELECT 1, vec_id, j - 16, {r('val')} FROM el WHERE j >= 16 AND j < 48""")
+SELECT CAST(0 AS BIGINT) AS s, vec_id AS i, j, {r('val')} AS val FROM el WHERE j < 24
+UNION ALL SELECT 0, vec_id, j + 24, {r('val * 2')} FROM el WHERE j < 24
+UNION ALL SELECT 1, vec_id, j - 16, {r('val')} FROM el WHERE j >= 16""")
 def c58_cat_stack(spark, sf_dir):
     el = TS.to_long(emb(spark, sf_dir).drop("label"), "vec_id", "v", "j", "val").withColumnRenamed("vec_id", "i")
-    a = TS.narrow(el, "j", 0, 16)
+    a = TS.narrow(el, "j", 0, 24)
     b = a.withColumn("val", F.col("val") * 2)
-    c = TS.cat([a, b], "j", [16, 16])
-    d = TS.narrow(el, "j", 16, 32)
+    c = TS.cat([a, b], "j", [24, 24])
+    d = TS.narrow(el, "j", 16, 48)
     return TS.stack([c, d], "s").select("s", "i", F.col("j").cast("int").alias("j"), R(F.col("val")).alias("val"))
 
 

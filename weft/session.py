@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every weft job relies on.  AQE re-plans joins and coalesces small
 # shuffle outputs at runtime; skew-join splitting handles hot keys that slip
@@ -47,13 +48,25 @@ def get_spark(master: str | None = None, app: str = "weft", shuffle_partitions:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and written intermediate tables.
 
-    Read from the session (``spark.checkpoint.dir``, set by the cluster).  Only
-    when it is unset — local runs and tests — a fresh scratch folder is made.
+    Read from the session (``spark.checkpoint.dir``, set by the cluster).  Only a local
+    run may leave it unset and gets a fresh scratch folder; elsewhere that is an error, as
+    a folder of the driver's machine would not be seen by the executors.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="weft-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet below the shared folder and read back: a lineage cut that
+    later branches share, and of which they read only the columns they use."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stage/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

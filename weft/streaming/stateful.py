@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from weft.operators.capture import NEXT, _chain_step
+from weft.operators.capture import chain_table
 from weft.session import checkpoint_dir
 
 
@@ -34,21 +34,25 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
 
 def run_to_table(df: DataFrame, name: str, output_mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a streaming frame until the available input is consumed (``availableNow``),
-    appending every micro-batch as Parquet under the checkpoint folder; returns the table."""
+    writing every micro-batch as Parquet under the checkpoint folder; returns the table.  A batch
+    has a folder of its own that a repeated batch writes anew, so retries add no rows."""
     spark = df.sparkSession
     base = checkpoint or os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex[:8]}")
     out = os.path.join(base, "out")
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     q = (df.writeStream.outputMode(output_mode).foreachBatch(sink)
          .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        return spark.read.parquet(out)
-    except Exception:  # nothing was emitted
+    if q.exception():
+        raise q.exception()
+    # the first batch of a checkpoint is number 0; without any there is nothing to read
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/epoch=0")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).option("basePath", out).parquet(f"{out}/epoch=*").select(*df.columns)
 
 
 # --- S-05 metric log with per-run step state ------------------------------------------
@@ -127,60 +131,80 @@ def stream_batches(df: DataFrame, key: str, order: Sequence[str], item: str, siz
 
 def stream_op_chain(ops: DataFrame, items: Sequence[str], relations: Sequence[str]) -> DataFrame:
     """S-08: the E-18 automaton as ops arrive: ``ops(module_path, ts, event_id, op)``; the
-    state of a module is its progress set and its op counter (``seq``)."""
-    items, rels = list(items), list(relations)
+    state of a module is its automaton state and its op counter (``seq``)."""
+    symbols, after, done = chain_table(items, relations)
+    states, other = 1 << (len(items) - 1), len(symbols)
 
     def fn(key, pdfs, state: GroupState):
         pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-        cur, seq0 = (frozenset(state.get[0]), state.get[1]) if state.exists else (frozenset(), 0)
+        now, seq = state.get if state.exists else (0, 0)
         hits = []
-        for i, op in enumerate(pdf["op"]):
-            cur, emit = _chain_step(cur, op, items, rels)
-            if emit:
-                hits.append(seq0 + i)
-        state.update((sorted(cur), seq0 + len(pdf)))
+        for op in pdf["op"]:
+            row = symbols.get(op, other) * states + now
+            if done[row]:
+                hits.append(seq)
+            now, seq = after[row], seq + 1
+        state.update((now, seq))
         yield pd.DataFrame({"module_path": [key[0]] * len(hits), "seq": hits})
 
     return ops.select("module_path", "ts", "event_id", "op").groupBy("module_path").applyInPandasWithState(
-        fn, "module_path string, seq long", "progress array<int>, n_seen long", "append", GroupStateTimeout.NoTimeout)
+        fn, "module_path string, seq long", "now int, n_seen long", "append", GroupStateTimeout.NoTimeout)
 
 
 # --- S-07 incremental decoding ------------------------------------------------------------------
 
-def incremental_decode_step(tokens: list[int], prev: int, cur: int, decode) -> tuple[str | None, int, int]:
-    """One token arrived (already appended to ``tokens``): emit the new text when the
-    decoded tail grew and ends with an alphanumeric character."""
-    prev_text = decode(tokens[prev:cur]) if cur > prev else ""
-    text = decode(tokens[prev:])
-    if len(text) > len(prev_text) and text[-1:].isalnum():
-        return text[len(prev_text):], cur, len(tokens)
-    return None, prev, cur
+class TailDecoder:
+    """Text of a growing token sequence, given out in whole words.
 
+    ``shown`` holds the tokens given out last, as context for the next (a token's text may
+    depend on the one before); ``fresh`` those after them.  Text is given out when it ends
+    with a letter or digit; :meth:`flush` gives out the rest.  Both buffers end at the last
+    token, so they stay short however long the sequence grows."""
+
+    def __init__(self, decode, shown=(), fresh=()):
+        self.decode, self.shown, self.fresh = decode, list(shown), list(fresh)
+
+    def _new_text(self) -> str:
+        return self.decode(self.shown + self.fresh)[len(self.decode(self.shown)):]
+
+    def push(self, token: int) -> str:
+        self.fresh.append(token)
+        text = self._new_text()
+        if not text[-1:].isalnum():
+            return ""
+        self.shown, self.fresh = self.fresh, []
+        return text
+
+    def flush(self) -> str:
+        text = self._new_text()
+        self.shown, self.fresh = [], []
+        return text
+
+
+def stream_incremental_decode(tokens: DataFrame, key: str, pos: Sequence[str], tok: str, decode, end: int) -> DataFrame:
+    """S-07: per key, pieces of text as tokens arrive, at the position ``pos`` (columns) of the
+    token that completed them.  The token ``end`` closes a sequence: its tail is given out."""
+    pos = list(pos)
 
-def stream_incremental_decode(tokens: DataFrame, key: str, pos: str, tok: str, decode) -> DataFrame:
-    """S-07: keyed state (pending tokens since the last flush point, prev, cur)."""
     def fn(k, pdfs, state: GroupState):
         pdf = pd.concat(list(pdfs)).sort_values(pos)
-        pending, prev, cur = (list(state.get[0]), state.get[1], state.get[2]) if state.exists else ([], 0, 0)
+        tail = TailDecoder(decode, *(state.get if state.exists else ((), ())))
         out = []
-        for p, t in zip(pdf[pos], pdf[tok]):
-            pending.append(int(t))
-            piece, prev, cur = incremental_decode_step(pending, prev, cur, decode)
-            if piece is not None:
-                out.append((k[0], int(p), piece))
-        if prev > 0:  # drop what can no longer be needed; indices shift with it
-            pending, cur, prev = pending[prev:], cur - prev, 0
-        state.update((pending, prev, cur))
-        yield pd.DataFrame(out, columns=[key, pos, "text"])
-
-    kt = tokens.schema[key].dataType.simpleString()
-    return tokens.select(key, pos, tok).groupBy(key).applyInPandasWithState(
-        fn, f"{key} {kt}, {pos} long, text string", "pending array<int>, prev int, cur int", "append",
+        for at, t in zip(pdf[pos].itertuples(index=False), pdf[tok]):
+            text = tail.flush() if t == end else tail.push(int(t))
+            if text:
+                out.append((k[0], *at, text))
+        state.update((tail.shown, tail.fresh))
+        yield pd.DataFrame(out, columns=[key, *pos, "text"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in tokens.schema.fields}
+    return tokens.select(key, *pos, tok).groupBy(key).applyInPandasWithState(
+        fn, ", ".join([*(f"{c} {kinds[c]}" for c in (key, *pos)), "text string"]), "shown array<int>, fresh array<int>", "append",
         GroupStateTimeout.NoTimeout)
 
 
 __all__ = ["table_stream", "run_to_table", "stream_log_metrics", "stream_throughput", "stream_batches",
-           "stream_op_chain", "stream_incremental_decode", "incremental_decode_step", "NEXT"]
+           "stream_op_chain", "stream_incremental_decode", "TailDecoder"]
 
 
 # --- S-01 streamed token stream with per-corpus offsets ---------------------------------------
