@@ -131,3 +131,13 @@ def test_stream_read_failures_are_not_empty_tables(spark, tmp_path):
         src = spark.readStream.schema("a int").parquet(f"{tmp_path}/none")
         ST.run_to_table(src.select(F.raise_error(F.lit("x")).alias("b"), "a").where("a > 0 and 1 / 0 > 0"), "bad",
                         checkpoint="nosuchscheme://x/y")
+
+
+def test_shipped_package_can_be_imported(spark):
+    import subprocess
+    import sys
+
+    from weft.session import ship_package
+    archive = ship_package(spark)
+    code = "import weft.functions.hashing as h, sys; assert 'zip' in h.__file__"
+    subprocess.run([sys.executable, "-c", code], env={"PYTHONPATH": archive, "PATH": ""}, cwd="/tmp", check=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -42,9 +43,21 @@ def get_spark(master: str | None = None, app: str = "weft", shuffle_partitions:
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.sparkContext.master.startswith("local"):
+        ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> str:
+    """Send this package to the executors, whose Python functions import it; returns the archive.
+
+    Not needed where weft is installed on all machines or on their PYTHONPATH."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="weft-pkg-"), "weft"), "zip", root, "weft")
+    spark.sparkContext.addPyFile(archive)
+    return archive
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and written intermediate tables.
 
