@@ -91,6 +91,19 @@ def test_seed_beyond_64_bits(spark):
     assert [r.s for r in got][:2] == [12, -7] and got[2].s >= 0
 
 
+def test_null_elements_stay_null(spark):
+    from weft.functions import elementwise as E
+    df = spark.createDataFrame([(None, 2.0), (-4.0, None), (-4.0, 0.0), (9.0, 0.0), (0.0, 0.0)], "a double, b double")
+    a, b = F.col("a"), F.col("b")
+    fns = {"log": E.log(a), "sqrt": E.sqrt(a), "div": E.div(a, b), "recip": E.recip(b), "relu": E.relu(a), "max": E.maximum(a, b),
+           "min": E.minimum(a, b), "clamp": E.clamp(a, -1.0, 1.0), "u32": E.cast(a, "u32")}
+    rows = [r.asDict() for r in df.select(*[c.alias(n) for n, c in fns.items()]).collect()]
+    assert [n for n, v in rows[0].items() if v is None] == ["log", "sqrt", "div", "relu", "max", "min", "clamp", "u32"]
+    assert [n for n, v in rows[1].items() if v is None] == ["div", "recip", "max", "min", "u32"]
+    assert rows[1]["relu"] == 0 and rows[1]["clamp"] == -1 and rows[2]["div"] == float("-inf") and rows[3]["u32"] == 9
+    assert str(rows[4]["div"]) == "nan" and str(rows[1]["log"]) == "nan" and rows[4]["log"] == float("-inf")
+
+
 def test_stage_and_shared_folder(spark):
     assert stage_table(spark.range(5), "t").count() == 5 and checkpoint_dir(spark)
 

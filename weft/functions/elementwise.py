@@ -40,7 +40,7 @@ def exp(x):
 
 def log(x):
     x = _d(x)
-    return F.when(x > 0, F.ln(x)).when(x == 0, F.lit(-INF)).otherwise(F.lit(NAN))
+    return F.when(x > 0, F.ln(x)).when(x == 0, F.lit(-INF)).when(x.isNotNull(), F.lit(NAN))
 
 
 def sin(x):
@@ -66,14 +66,14 @@ def square(x):
 
 def sqrt(x):
     x = _d(x)
-    return F.when(x >= 0, F.sqrt(x)).otherwise(F.lit(NAN))
+    return F.when(x >= 0, F.sqrt(x)).when(x.isNotNull(), F.lit(NAN))
 
 
 def div(a, b):
     """a / b with IEEE results for b = 0: ±inf, NaN for 0/0."""
     a, b = _d(a), _d(b)
-    return (F.when(b != 0, a / b)
-            .when(a > 0, F.lit(INF)).when(a < 0, F.lit(-INF)).otherwise(F.lit(NAN)))
+    return (F.when(b != 0, a / b).when(b.isNull(), b)
+            .when(a > 0, F.lit(INF)).when(a < 0, F.lit(-INF)).when(a.isNotNull(), F.lit(NAN)))
 
 
 def recip(x):
@@ -99,7 +99,7 @@ def sigmoid(x):
 
 
 def relu(x):
-    return F.greatest(_d(x), F.lit(0.0))
+    return maximum(x, F.lit(0.0))
 
 
 def relu2(x):
@@ -163,11 +163,15 @@ def pow_(a, b):
 
 
 def maximum(a, b):
-    return F.greatest(_d(a), _d(b))
+    """The larger one; null if either is (``greatest`` would skip it)."""
+    a, b = _d(a), _d(b)
+    return F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))
 
 
 def minimum(a, b):
-    return F.least(_d(a), _d(b))
+    """The smaller one; null if either is."""
+    a, b = _d(a), _d(b)
+    return F.when(a.isNotNull() & b.isNotNull(), F.least(a, b))
 
 
 def addcdiv(x, a, b, value=1.0):
@@ -207,16 +211,17 @@ def where_cond(x, cond, on_false):
 def clamp(x, lo=None, hi=None):
     x = _d(x)
     if lo is not None:
-        x = F.greatest(x, _d(lo))
+        x = maximum(x, lo)
     if hi is not None:
-        x = F.least(x, _d(hi))
+        x = minimum(x, hi)
     return x
 
 
 def cast(x, dtype: str):
-    """dtype in f32/f16/bf16 (float), i32 (int), u32 (long, negative -> error as NULL)."""
+    """dtype in f32/f16/bf16 (float), i32 (int), u32 (long, negative -> NULL)."""
     spark_t = {"f32": "float", "f16": "float", "bf16": "float", "i32": "int", "u32": "long", "f64": "double"}[dtype]
-    return F.try_cast(_c(x), spark_t) if hasattr(F, "try_cast") else _c(x).cast(spark_t)
+    y = _c(x).try_cast(spark_t)
+    return F.when(y >= 0, y) if dtype == "u32" else y
 
 
 def sinusoid_freq(i: int, dim: int) -> float:
