@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 #: Bytes of text whose words are told apart at once.
 SLICE_BYTES = 10 << 20
 #: Units of each of two generations, and the longest unit that is kept.
-MOST_UNITS, LONGEST = 300_000, 48
+MOST_UNITS, LONGEST = 400_000, 48
 
 #: Unicode's White_Space, which the byte-level pre-tokenizer's \s means.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
