@@ -163,6 +163,19 @@ def test_token_files_odd_rows(spark, bpe):
     assert token_store.read_back(none).count() == 0 and token_store.read_rows(spark, none).count() == 0
 
 
+def test_token_files_recognise_added_tokens(spark, tmp_path):
+    """Against the library with nothing set: op4's ids of texts that hold an added token's content."""
+    rows = [*ODD, (20, "a <|endoftext|> b"), (21, "<|endoftext|>"), (22, "x<|endoftext|><|endoftext|>\n y  <|endoftext"), (23, "after it all")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    lib, start = Tokenizer.from_file(BPE), 0
+    assert lib.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    got = sorted(queries.op4_token_output(spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    for r, (i, t) in zip(got, sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1] or "")), strict=True):
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 0]
+        assert tuple(r) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_token_file_format(spark, monkeypatch):
     """Delta pages without dictionary for ids, row groups of about the set size, page indexes, pruned reads."""
     import pyarrow.parquet as pq

@@ -37,7 +37,7 @@ def op3_exact_dedup(spark, sf_dir):
 def op4_token_output(spark, sf_dir):
     """All documents as token files in order of doc_id, read back."""
     return token_store.read_back(token_store.write_tokens(
-        read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), END_ID))
+        read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), END_ID, specials=True))
 
 
 def op5_nearest(spark, sf_dir):

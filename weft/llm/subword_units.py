@@ -119,9 +119,13 @@ def spell(codes: np.ndarray, values: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ByteBpe:
-    """A byte-level BPE of the tokenizers library, without special tokens in texts.
+    """A byte-level BPE of the tokenizers library.
 
-    Its pre-tokenizer ends a token before a space that follows a visible character, between a
+    ``specials``: special tokens are recognised inside texts, as the library does by default;
+    else their strings are text like any other.  A text with the content of an added token that
+    is recognised goes to the library whole.
+
+    The pre-tokenizer ends a token before a space that follows a visible character, between a
     letter or digit and a sign, and splits white space from what follows it; so a word with
     the space before it, or else a run of visible characters, is encoded alone.
     """
@@ -132,7 +136,7 @@ class ByteBpe:
 
     UNITS = re.compile(f" ?[{_ALNUM}]++(?![^{_WS}{_SIGNS}])| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -140,7 +144,9 @@ class ByteBpe:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not specials
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if specials or not t.special]
+        self.added = "|".join(map(re.escape, added))
         self.cache = UnitCache(self._encode)
         # a unit of letters is one pre-token: its bytes, as the vocabulary spells them, go to the model alone
         letters = [chr(c) for c in range(32, 256) if c == 32 or self.LETTERS.fullmatch(chr(c))]
@@ -157,7 +163,14 @@ class ByteBpe:
     def ids(self, texts: pa.Array) -> list:
         """Ids of each text, as uint32 arrays."""
         with without_gc():
-            return self._ids(texts)
+            added = np.flatnonzero(pc.match_substring_regex(texts, self.added)) if self.added else ()
+            if not len(added):
+                return self._ids(texts)
+            out = [None] * len(texts)
+            for i in added.tolist():  # one at a time: such texts are few and may be long
+                out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
+            rest = iter(self._ids(texts.filter(pa.array([x is None for x in out]))))
+            return [next(rest) if x is None else x for x in out]
 
     def _ids(self, texts: pa.Array) -> list:
         plain, codes, begin, found = words(texts, self.ODD)
@@ -177,8 +190,8 @@ class ByteBpe:
 _LOADED: dict = {}
 
 
-def byte_bpe(path: str) -> ByteBpe:
-    """One tokenizer for each Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = ByteBpe(path)
-    return _LOADED[path]
+def byte_bpe(path: str, specials: bool = False) -> ByteBpe:
+    """One tokenizer of each kind for each Python worker."""
+    if (path, specials) not in _LOADED:
+        _LOADED[path, specials] = ByteBpe(path, specials)
+    return _LOADED[path, specials]

@@ -39,13 +39,14 @@ FORMAT = {
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, files: int = 0, folder: str | None = None,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", specials: bool = False) -> DataFrame:
     """Write ``(doc_id, ids, n_tokens, file_start)`` for every row, ids ending with ``end_id``; returns
     the staged list of files, ``(file, file_no, base, n_docs, n_ids)`` with the ids before each file.
 
     Null texts count as empty (the end id alone; without end id an empty list).  Null ids come
     first; rows with one id follow each other by text.  ``files``: how many ranges of ids, by
-    default the session's shuffle partitions.  An empty table writes no file.
+    default the session's shuffle partitions.  ``specials``: special tokens' strings inside texts
+    become their ids, the library's default.  An empty table writes no file.
     """
     import pyarrow.parquet as pq
 
@@ -54,7 +55,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, f
     folder = folder or shared_path(spark, "tokens")
 
     def run(batches):
-        bpe, start, sink, rows = byte_bpe(tokenizer_path), 0, None, 0
+        bpe, start, sink, rows = byte_bpe(tokenizer_path, specials), 0, None, 0
         tail = np.array([] if end_id is None else [end_id], "<u4")
         no = TaskContext.get().partitionId()
         fs, path = filesystem(folder)
