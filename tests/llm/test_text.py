@@ -182,6 +182,27 @@ def test_language_held_out(spark):
     assert sum(r.rejected for r in got) <= 0.01 * len(got) and all(0 <= r.score <= 1 for r in got)
 
 
+GIBBERISH = ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz   ", k=k)) for i, k in enumerate([60, 200, 1000] * 5)]
+
+
+def test_language_rejects_what_was_not_learned(spark):
+    """Each language in turn left out of the training, and gibberish; held-out rows of the others stay."""
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()
+            if langid.has_letter(r.text or "")]
+    counts = {r.doc_id: langid.bucket_counts(r.text) for r in rows}
+    learn, held = ([r for r in rows if (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) == h] for h in (False, True))
+    foreign = ["съешь же ещё этих мягких французских булок да выпей чаю", "日本語の文章を書いています。今日は天気がいいです。",
+               "a gyors barna róka átugrik a lusta kutya felett minden reggel"]
+    for out in [None, *sorted({r.lang for r in rows})]:
+        use = [r for r in learn if r.lang != out]
+        m = langid.fit(np.array([counts[r.doc_id] for r in use], np.float32), [r.lang for r in use])
+        clean = [m.predict(r.text)[2] for r in held if r.lang != out]
+        assert sum(clean) <= 0.02 * len(clean), out
+        assert all(m.predict(t)[2] for t in GIBBERISH + foreign), out
+        other = [m.predict(r.text)[2] for r in rows if r.lang == out]
+        assert sum(other) >= 0.9 * len(other), out
+
+
 def test_language_odd_rows(spark):
     model = langid.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     told = {r.doc_id: r for r in langid.identify(docs(spark, ODD).drop("score"), model).collect()}

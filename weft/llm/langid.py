@@ -5,8 +5,13 @@ text, letters only, words bounded by a space), hashed to buckets.  Embeddings an
 softmax are trained by stochastic gradient descent in numpy on a bounded sample of labelled
 rows; the sample is the only thing that reaches the driver.  Afterwards embeddings times
 weights fold into one table of a few numbers a bucket, so a text's logits are a mean of
-table rows.  A temperature fitted on rows kept back calibrates the scores, and rejection is
-a threshold on the calibrated score that those rows pass but for a stated share.
+table rows.  A temperature fitted on rows kept back calibrates the scores.
+
+Rejection has two thresholds, each of which correctly told rows kept back pass but for a
+stated share: on the calibrated score, and on how well the text's n-grams fit any learned
+language (their mean log probability there against the language's usual one, in units of
+one over the root of how many different n-grams carry the text).  The softmax alone cannot
+tell languages that were not learned, or gibberish, since it only compares the learned ones.
 """
 
 from __future__ import annotations
@@ -25,8 +30,11 @@ BUCKETS, DIM, GRAMS = 1 << 13, 16, (2, 3, 4)
 PER_LANGUAGE = 500
 #: Languages at most that a model tells apart, those with the most rows.
 MOST_LANGUAGES = 1000
-#: Share of correctly told rows kept back that the rejection threshold may lose.
-LOSE = 0.001
+#: Share of correctly told rows kept back that either rejection threshold may lose, and the rows
+#: that it takes to set one.
+LOSE, FEWEST = 0.001, 8
+#: Weight of the uniform distribution in a language's n-gram distribution, in n-grams.
+SMOOTH = 200
 UNKNOWN = "und"
 #: Bytes worked on at once.
 WINDOW = 1 << 20
@@ -82,25 +90,30 @@ class Model:
     bias: np.ndarray
     temperature: float
     least: float  # scores below it are rejected
+    grams: np.ndarray | None = None  # BUCKETS x languages: log probability of an n-gram
+    usual: np.ndarray | None = None  # its mean in a usual text of the language
+    floor: float = -np.inf  # texts that fit no language as well are rejected
 
     def logits(self, text: str) -> np.ndarray:
-        b, total, n = letters(text), np.zeros(len(self.languages)), 0
-        lap = max(GRAMS) - 1
-        for at in range(0, len(b), WINDOW):
-            for bucket, good in _buckets(b[at:at + WINDOW + lap]):
-                k = min(WINDOW, len(bucket))
-                hit = bucket[:k][good[:k]]
-                total += self.table[hit].sum(axis=0)
-                n += len(hit)
-        return total / max(n, 1) + self.bias
+        return self._logits(bucket_counts(text))
+
+    def _logits(self, c: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(c)
+        return c[at] @ self.table[at] / max(c.sum(), 1) + self.bias
+
+    def fits(self, c: np.ndarray) -> float:
+        """How well a text's n-grams fit the language that they fit best; 0 is usual, less is worse."""
+        at = np.flatnonzero(c)
+        return float(((c[at] @ self.grams[at] / max(c.sum(), 1) - self.usual) * _carriers(c)).max())
 
     def predict(self, text: str):
         """Language, calibrated score, rejected.  A text without letters: ``und``, 0, rejected."""
         if not self.languages or not has_letter(text):
             return UNKNOWN, 0.0, True
-        p = _softmax(self.logits(text)[None] / self.temperature)[0]
+        c = bucket_counts(text)
+        p = _softmax(self._logits(c)[None] / self.temperature)[0]
         k = int(p.argmax())
-        return self.languages[k], float(p[k]), bool(p[k] < self.least)
+        return self.languages[k], float(p[k]), bool(p[k] < self.least or self.grams is not None and self.fits(c) < self.floor)
 
 
 def _softmax(z):
@@ -108,9 +121,47 @@ def _softmax(z):
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _carriers(c):
+    """Root of the number of equally frequent n-grams that would vary as those counted (last axis)."""
+    c = np.asarray(c, np.float64)
+    return c.sum(axis=-1) / np.sqrt(np.maximum((c * c).sum(axis=-1), 1))
+
+
+def _grams(sums: np.ndarray) -> np.ndarray:
+    """Counts of n-grams (languages x BUCKETS) -> smoothed log probabilities (BUCKETS x languages)."""
+    return np.log((sums + SMOOTH / BUCKETS) / (sums.sum(axis=1, keepdims=True) + SMOOTH)).T
+
+
+def _low(values: np.ndarray) -> float:
+    """Value below which a share ``LOSE`` lies.  Fewer values than show it: their lowest, carried on as
+    in an exponential tail below the median; under ``FEWEST``: none."""
+    n = len(values)
+    if n < FEWEST:
+        return -np.inf
+    if n * LOSE >= 1:
+        return float(np.quantile(values, LOSE, method="lower"))
+    mid = np.median(values)
+    return float(mid - (mid - values.min()) * np.log(0.5 / LOSE) / np.log(0.5 * n))
+
+
+def _typical(counts: np.ndarray, y: np.ndarray, n: int, rng) -> tuple:
+    """``grams``, ``usual`` and ``floor`` of a model of ``n`` languages; each fifth of the rows is judged by the others."""
+    part = rng.permutation(len(y)) % 5
+    sums = np.zeros((5, n, BUCKETS))
+    for i, k in set(zip(part.tolist(), y.tolist())):
+        sums[i, k] = counts[(part == i) & (y == k)].sum(axis=0, dtype=np.float64)
+    whole, own, right = sums.sum(axis=0), np.zeros(len(y)), np.zeros(len(y), bool)
+    for i in range(5):
+        rows = np.flatnonzero(part == i)
+        v = counts[rows] @ _grams(whole - sums[i]).astype(np.float32) / np.maximum(counts[rows].sum(axis=1, keepdims=True), 1)
+        own[rows], right[rows] = v[np.arange(len(rows)), y[rows]], v.argmax(axis=1) == y[rows]
+    usual = np.array([np.median(own[y == k]) for k in range(n)])
+    return _grams(whole).astype(np.float32), usual, _low(((own - usual[y]) * _carriers(counts))[right]) - 1e-3
+
+
 def fit(counts: np.ndarray, lang: list, epochs: int = 30, rate: float = 0.5, seed: int = 7) -> Model:
     """Train on the bucket counts (rows x BUCKETS) and languages of the sample; every fifth row is
-    kept back for the temperature and the threshold."""
+    kept back for the temperature and the score's threshold."""
     names = sorted(set(lang))
     if not names:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
@@ -142,9 +193,10 @@ def fit(counts: np.ndarray, lang: list, epochs: int = 30, rate: float = 0.5, see
     best = min(np.geomspace(0.05, 20, 60), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(back)), y[back]] + 1e-12).mean())
     best = max(float(best), 0.25)  # few rows kept back cannot show more certainty than this
     p = _softmax(z / best)
-    right = p.max(axis=1)[p.argmax(axis=1) == y[back]]
-    least = min(float(np.quantile(right, LOSE, method="lower")), 1.5 / len(names)) if len(right) else 0.0
-    return Model(names, (e @ w * gain).astype(np.float32), c.astype(np.float64), best, least if len(names) > 1 else 0.0)
+    right = p.max(axis=1)[p.argmax(axis=1) == y[back]].astype(np.float64)
+    odds = _low(np.log(right / np.maximum(1 - right, 1e-9)))  # a score's tail is even on this scale
+    least = float(1 / (1 + np.exp(-odds))) if len(names) > 1 else 0.0
+    return Model(names, (e @ w * gain).astype(np.float32), c.astype(np.float64), best, least, *_typical(counts, y, len(names), rng))
 
 
 def fold(id_col="doc_id"):
@@ -189,7 +241,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
 def identify(docs: DataFrame, model: Model, keep=("doc_id",), text_col: str = "text") -> DataFrame:
     """The ``keep`` columns plus ``lang_pred, score, rejected`` of every whole text.
 
-    A null text or one without letters: ``und``, score 0, rejected.  Ties go to the language that
+    A null text or one without letters: ``und``, score 0, rejected.  A text of no learned language
+    keeps the likest one's name and is rejected.  Ties go to the language that
     sorts first; repeated rows are told alike; an empty table gives no rows.
     """
     kept, at = [F.col(f"`{k}`") for k in keep], list(keep).index(text_col) if text_col in keep else len(keep)
