@@ -203,6 +203,19 @@ def test_language_rejects_what_was_not_learned(spark):
         assert sum(other) >= 0.9 * len(other), out
 
 
+def test_language_sample_is_bounded_in_rows(spark, monkeypatch):
+    """Null and repeated ids, repeated rows: at most per_language rows a language are fetched, and enough of them."""
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda counts, lang: seen.append(sorted(lang)))
+    rows = [(None, f"no id {'x' * i}", "en") for i in range(300)] + [(1, f"one id {'y' * i}", "de") for i in range(300)] \
+        + [(2, "always the same", "fr")] * 300 + [(i, "one text", "es") for i in range(3, 303)] \
+        + [(2, "most are one row", "it")] * 300 + [(i, f"these differ {i}", "it") for i in range(1000, 1008)]
+    langid.train(docs(spark, rows), per_language=20)
+    got = {k: seen[0].count(k) for k in ("en", "de", "fr", "es", "it")}
+    taught = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in (2, *range(1000, 1008)))
+    assert got == {"en": 20, "de": 20, "fr": 1, "es": 20, "it": taught}
+
+
 def test_language_odd_rows(spark):
     model = langid.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     told = {r.doc_id: r for r in langid.identify(docs(spark, ODD).drop("score"), model).collect()}

@@ -207,18 +207,23 @@ def fold(id_col="doc_id"):
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text",
           lang_col: str = "lang") -> Model:
     """Fit on at most ``per_language`` rows of each language outside the held-out fold, chosen by a
-    hash of their id and used as whole texts (of ``MOST_LANGUAGES`` at most).  Rows without language or letters teach nothing."""
+    hash of their id and text and used as whole texts (of ``MOST_LANGUAGES`` at most).  Rows that
+    agree in language, id and text count once; rows without language or letters teach nothing."""
     lang = F.col(lang_col).cast("string")
-    slim = docs.where(lang.isNotNull() & (fold(id_col) != 0)).select(F.col(id_col).alias("pick"), lang.alias("lang"))
+    # a null id is like any other: the text tells the rows apart
+    rows = docs.where(lang.isNotNull() & (fold(id_col) != 0)).select(
+        F.xxhash64(id_col, F.xxhash64(text_col)).alias("pick"), lang.alias("lang"), text_or_empty(text_col).alias("t"))
+    slim = rows.select("pick", "lang")
     # a threshold on the hash leaves a few more than wanted of each language, however many there are
     share = (per_language + 4 * per_language ** 0.5) / F.col("n")
-    sizes = slim.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "of").limit(MOST_LANGUAGES)
-    few = slim.join(F.broadcast(sizes), slim.lang == sizes.of).where(F.pmod(F.xxhash64("pick"), F.lit(1 << 30)) < share * (1 << 30))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("pick"), "pick"))
-    chosen = few.withColumn("nth", nth).where(F.col("nth") <= per_language)
-    # at most per_language ids a language
-    rows = docs.where(lang.isNotNull()).join(F.broadcast(chosen.select("pick").distinct()), F.col(id_col).eqNullSafe(F.col("pick"))) \
-        .select(lang.alias("lang"), text_or_empty(text_col).alias("t"))
+    sizes = slim.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("rows"), F.approx_count_distinct("pick", 0.02).alias("n")) \
+        .orderBy(F.desc("rows"), "of").limit(MOST_LANGUAGES)
+    few = slim.join(F.broadcast(sizes), slim.lang == sizes.of).where(F.pmod("pick", F.lit(1 << 30)) < share * (1 << 30)) \
+        .select("lang", "pick").distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("pick", F.lit(1 << 30)), "pick"))
+    chosen = few.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "pick")
+    # at most per_language rows a language
+    rows = rows.join(F.broadcast(chosen), ["lang", "pick"]).dropDuplicates(["lang", "pick"]).select("lang", "t")
 
     def count(batches):
         for b in batches:
