@@ -38,6 +38,27 @@ def test_lines(html, want):
     assert html_text.lines(html)[0] == want
 
 
+@pytest.mark.parametrize("tag,zone", [
+    ('article style="overflow: hidden"', 0), ('article data-state="hidden" title="a hidden class=ad"', 0), ("article title='x' data-hidden=1", 0),
+    ('div title="The hidden river"', 1), ('div data-class="ad"', 1), ("div data-x='a class=ad b'", 1), ("div title=a/hidden", 1),
+    ('article class="post has-sidebar comments-open"', 0), ('main class="search"', 0), ('div class="main" class="ad"', 1),
+    ("article hidden", 2), ("article HIDDEN", 2), ('p title="x"hidden', 2), ("div hidden=until-found", 2), ("div aria-hidden = 'true'", 2),
+    ("div class=ad", 2), ('div title="a" class = "x ad"', 2), ('article class="comment"', 2), ('article class="comment-body" id=x', 2),
+    ('article id="div-comment-12"', 2), ('div class="comment" role="article"', 2), ('div role="article" class="comment"', 2),
+])
+def test_attributes_are_names_with_whole_values(tag, zone):
+    assert html_text.lines(f"<{tag}>text</{tag.split()[0]}>") == (["text"], [zone])
+
+
+def test_nested_comment_articles_go():
+    text, zones = html_text.lines('<article>Body<article class="comment depth-1">Reader<p>more</article>End</article><article class="comment">Other</article>')
+    assert [t for t, z in zip(text, zones) if z == html_text.MAIN] == ["Body", "End"]
+
+
+def test_long_blanks_in_tags_are_linear():
+    assert html_text.lines("<p a" + " " * 200_000 + "= b" + " " * 200_000 + ">x")[0] == ["x"]
+
+
 def test_long_nesting_is_linear():
     page = "<div>" * 3000 + "<article>" + "<p>word " * 20000 + "</article>"
     text, _ = html_text.lines(page)

@@ -49,7 +49,11 @@ CLOSES = {"p", "li", "dd", "dt", "option", "tr", "td", "th"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+#: Name and value of an attribute; a value is consumed whole.
+ATTRIBUTE = re.compile(r"([^\s/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: A word of class or id by which an article element is a reader's comment.
+COMMENT = re.compile(r"(?:^|\s)(?:(?:div|user|reader)[_-])?(?:comments?|repl(?:y|ies)|disqus)(?:[_-]+(?:area|block|body|box|card|container|content|"
+                     r"depth|entry|item|list|node|post|reply|section|text|thread|wrap|wrapper|\d+))*(?:$|\s)", re.I)
 #: Blanks in HTML text; a no-break space counts as white space too.
 BLANKS = re.compile(r"\s+")
 
@@ -58,16 +62,17 @@ def _zone(tag: str, attrs: str, inside: int) -> int:
     if tag in FURNITURE or (tag == "header" and inside != MAIN):
         return CHROME
     main = tag in ("article", "main")
-    if attrs and "=" in attrs or "hidden" in attrs:
+    if "=" in attrs or "hidden" in attrs.lower():
+        said: dict = {}
         for m in ATTRIBUTE.finditer(attrs):
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                return CHROME
-            if key in ("class", "id", "role"):
-                if key == "role" and value.lower() in ("main", "article"):
-                    main = True
-                elif DECLARED.search(value) and not main and tag != "body":
-                    return CHROME
+            said.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")  # the first of a name counts
+        if "hidden" in said or said.get("aria-hidden", "").strip().lower() == "true":
+            return CHROME
+        main = main or said.get("role", "").strip().lower() in ("main", "article")
+        declared = COMMENT if main else DECLARED
+        names = ("class", "id") if main else ("class", "id", "role")
+        if tag not in ("body", "main") and any(declared.search(said.get(k, "")) for k in names):
+            return CHROME
     return MAIN if main and inside != CHROME else inside
 
 
