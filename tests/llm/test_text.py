@@ -114,6 +114,17 @@ def test_template_lines_are_deleted_by_nearest_url(spark):
     assert html_text.main_text(pages(spark, [])).count() == 0
 
 
+def test_copies_on_a_host_keep_their_text(spark):
+    """Copies pair with the nearest page that has other lines, or with none; all rows of a group are told alike."""
+    body = "<div>Top</div><div>{}</div><div>Bottom</div>"
+    rows = [(1, "http://c.org/a", body.format("alpha")), (2, "http://c.org/a?id=2", body.format("alpha")), (3, "https://c.org/a/", body.format("alpha")),
+            (4, "http://d.org/a/1", body.format("beta")), (5, "http://d.org/a/1?id=5", body.format("beta")), (6, "http://d.org/a/2", body.format("gamma")),
+            (7, "http://d.org/z", body.format("beta")), (8, "http://e.org/1", body.format("beta"))]
+    got = sorted((r.page_id, r.text, r.n_template) for r in html_text.main_text(pages(spark, rows)).collect())
+    assert got == [*((i, "Top\nalpha\nBottom", 0) for i in (1, 2, 3)), (4, "beta", 2), (5, "beta", 2), (6, "gamma", 2), (7, "beta", 2),
+                   (8, "Top\nbeta\nBottom", 0)]
+
+
 def test_neighbours_over_many_ranges(spark):
     rng = random.Random(4)
     keys = [(f"u{i}", "big.org" if i % 3 else f"h{i % 7}.org", f"/{rng.choice('abc')}/{rng.randrange(30)}") for i in range(400)] + [("lone", "lone.org", "/")]

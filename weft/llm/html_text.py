@@ -4,10 +4,10 @@ Each page becomes a list of text lines (one per block element) with a zone: ``ma
 article or main elements, ``chrome`` inside elements that declare themselves menus, headers,
 footers, sidebars, notices, adverts, forms or comments, and ``open`` for the rest.
 
-Differencing: the pages of a host are put in order of their URL path and each is paired with
-the neighbour whose path shares the longer prefix with its own.  The two line sequences are
-aligned by longest common subsequence, and lines in the alignment are the host's template:
-they are deleted.
+Differencing: the distinct line sequences of a host are put in order of their URL path (of
+copies, the first one's) and each is paired with the neighbour whose path shares the longer
+prefix with its own.  The two line sequences are aligned by longest common subsequence, and
+lines in the alignment are the host's template: they are deleted, in copies alike.
 
 Which lines count: where a page declares a main zone, that is the text, whole, since a
 passage that two articles of a host share is still theirs.  Otherwise it is the open lines
@@ -222,28 +222,31 @@ def neighbours(keys: DataFrame) -> DataFrame:
 
 def template_lines(pages: DataFrame) -> DataFrame:
     """``pages(uid, url, html)`` -> ``(uid, has_main, shared array<int>)``: places of the lines that a
-    page shares, in order, with its nearest page."""
+    page shares, in order, with the nearest page of its host that has other lines."""
     def sequences(batches):
         for b in batches:
             got = [lines(h) for h in b.column(3).to_pylist()]
             hashes = [np.array([xxhash.xxh64_intdigest(t) for t in text], np.uint64).view(np.int64) for text, _ in got]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array(hashes, pa.list_(pa.int64())), pa.array([MAIN in z for _, z in got], pa.bool_())],
-                names=["uid", "host", "path", "seq", "has_main"])
+                [*b.columns[:3], pa.array(hashes, pa.list_(pa.int64())), pa.array([MAIN in z for _, z in got], pa.bool_()),
+                 pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in hashes], pa.binary())],
+                names=["uid", "host", "path", "seq", "has_main", "sig"])
 
     seqs = staged(pages.select("uid", *_url_parts(), "html").mapInArrow(
-        sequences, "uid string, host string, path string, seq array<long>, has_main boolean").dropDuplicates(["uid"]), "line-hashes")
-    pairs = neighbours(seqs.select("uid", "host", "path"))
+        sequences, "uid string, host string, path string, seq array<long>, has_main boolean, sig binary").dropDuplicates(["uid"]), "line-hashes")
+    first = seqs.groupBy("host", "sig").agg(F.min(F.struct("path", "uid")).alias("first"))  # one page of each line sequence of a host
+    pairs = neighbours(first.select("first.uid", "host", "first.path"))
     other = seqs.select(F.col("uid").alias("partner"), F.col("seq").alias("other"))
 
     def diff(batches):
         for b in batches:
             same = [common(np.array(x, np.int64), np.array(y, np.int64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.list_(pa.int32()))],
-                                             names=["uid", "has_main", "shared"])
+                                             names=["host", "sig", "shared"])
 
-    return (pairs.join(seqs.select("uid", "has_main", "seq"), "uid").join(other, "partner")
-            .select("uid", "has_main", "seq", "other").mapInArrow(diff, "uid string, has_main boolean, shared array<int>"))
+    told = (pairs.join(seqs.select("uid", "host", "sig", "seq"), "uid").join(other, "partner")
+            .select("host", "sig", "seq", "other").mapInArrow(diff, "host string, sig binary, shared array<int>"))
+    return seqs.join(told, ["host", "sig"]).select("uid", "has_main", "shared")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -251,8 +254,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
 
     ``text``: lines joined by a line feed, empty if there are none; ``n_template``: lines deleted as
     the host's template (0 where the page declares its main text).  A null html counts as
-    empty; a page without URL or alone on its host has no neighbour, so nothing of it is
-    deleted; rows that repeat get equal answers; an empty table gives no rows.
+    empty; a page without URL, or whose host has no page with other lines, has no neighbour, so
+    nothing of it is deleted; rows that repeat get equal answers; an empty table gives no rows.
     """
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
