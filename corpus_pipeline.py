@@ -29,8 +29,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: the one with the smallest doc_id."""
-    return rows_that_stay(docs, simhash.near_duplicates(docs, shingle=3, max_distance=2), "doc_id <=> component_id")
+    """One row of each group of near copies: the one with the smallest doc_id (see ``near_duplicates``)."""
+    return rows_that_stay(docs, simhash.near_duplicates(docs, shingle=3, max_distance=2), "stays")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -123,6 +123,15 @@ def test_pipeline_whole_table(spark):
     assert sorted(got) == sorted(want) and len(got) > 100
 
 
+def test_near_keeps_one_row_of_each_group(spark):
+    """Also where all ids of a group are null, or near texts share the smallest id."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    near = lambda t: t.upper()  # noqa: E731  the same fingerprint, another text
+    rows = [(None, a), (None, near(a)), (None, a.title()), (5, b), (5, near(b)), (9, b.title()), (None, c), (7, near(c))]
+    got = corpus_pipeline.near(spark, docs(spark, rows), SF).collect()
+    assert sorted((r.text.lower(), r.doc_id) for r in got) == [(a, None), (b, 5), (c, 7)]
+
+
 def test_stages_on_odd_rows(spark):
     """Every stage takes odd rows and an empty table, and keeps the columns."""
     labelled = [(100 + i, "the and of to in is that " * 5, "en", "s") for i in range(20)]

@@ -118,22 +118,26 @@ def links(fps: DataFrame, max_distance: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, text_hash`` (of the raw text), ``fp`` (signed),
-    ``component_id`` (the smallest doc_id linked with it, over any number of links) and
-    ``component_size`` (rows).
+    ``component_id`` (the smallest doc_id linked with it, over any number of links),
+    ``component_size`` (rows) and ``stays``: the row with the component's smallest doc_id (a null is
+    larger than any number), of those the one with the smallest text_hash.
 
     Null and empty texts have fingerprint 0 and are linked like others; rows with one doc_id
     count each; rows without doc_id keep a null id and join the component of their text;
     an empty table gives no rows; other columns are ignored.
     """
     rows = staged(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "distinct-fp")
+    fps = staged(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"),
+                                         F.count("*").alias("n")), "distinct-fp")
     root = components(links(fps.select("fp"), max_distance))
-    rooted = fps.join(root, fps.fp == root.node, "left").select("fp", "least_id", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = fps.join(root, fps.fp == root.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     rooted = staged(rooted, "rooted-fp")
-    whole = staged(rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("n").alias("component_size")),
+    whole = staged(rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("component_size")),
                    "components")
-    named = staged(rooted.select("fp", "root").join(whole, "root").select("fp", "component_id", "component_size"), "named-fp")
-    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "component_size")
+    named = staged(rooted.select("fp", "root").join(whole, "root").select("fp", "first", "component_size"), "named-fp")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", F.col("first.doc_id").alias("component_id"), "component_size",
+                                         stays.alias("stays"))
 
 
 def fingerprint_hex(col="fp"):
