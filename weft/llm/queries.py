@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weft.llm import (chat_format, common, digest_index, hamming_index, html_text, langid, mixing, piece_codec, simhash,
                       token_scan, token_store)
+from weft.llm.run_queries import op13_periodic_runs
 from weft.sources.tables import read_table
 
 PIECE_MODEL, BYTE_BPE = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -83,7 +84,8 @@ def op10_mixing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_sentencepiece, op3_exact_dedup, op4_token_output, op5_nearest,
-                                   op6_html_text, op7_chat_format, op8_token_counts, op9_language, op10_mixing)}
+                                   op6_html_text, op7_chat_format, op8_token_counts, op9_language, op10_mixing,
+                                   op13_periodic_runs)}
 
 _ESCAPED = "(length({0}) * 4 - length(replace({0}, '\\', '')) - length(replace({0}, '<', '')) - length(replace({0}, '>', '')))"
 
