@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from weft.llm import (chat_format, common, digest_index, hamming_index, html_text, langid, mixing, piece_codec, simhash,
+from weft.llm import (chat_format, common, digest_index, hamming_index, html_text, langid, mixing, piece_codec, recompression, simhash,
                       token_scan, token_store)
 from weft.llm.run_queries import op13_periodic_runs
 from weft.sources.tables import read_table
@@ -83,9 +83,15 @@ def op10_mixing(spark, sf_dir):
     return mixed.select("row.doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+def op11_substring_dedup(spark, sf_dir):
+    """All documents without the words of any 35-word window that starts twice among them."""
+    left = recompression.remove_repeated(read_table(spark, sf_dir, "documents"), window=35)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_sentencepiece, op3_exact_dedup, op4_token_output, op5_nearest,
                                    op6_html_text, op7_chat_format, op8_token_counts, op9_language, op10_mixing,
-                                   op13_periodic_runs)}
+                                   op11_substring_dedup, op13_periodic_runs)}
 
 _ESCAPED = "(length({0}) * 4 - length(replace({0}, '\\', '')) - length(replace({0}, '<', '')) - length(replace({0}, '>', '')))"
 
