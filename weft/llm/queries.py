@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from weft.llm import (chat_format, common, digest_index, hamming_index, html_text, langid, mixing, piece_codec, recompression, simhash,
+from weft.llm import (chat_format, common, digest_index, hamming_index, html_text, langid, mixing, piece_codec, ranked_search, recompression, simhash,
                       token_scan, token_store)
 from weft.llm.run_queries import op13_periodic_runs
 from weft.sources.tables import read_table
@@ -89,12 +89,20 @@ def op11_substring_dedup(spark, sf_dir):
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_ranked_search(spark, sf_dir):
+    """The 10 documents that match each benchmark item best, of all documents."""
+    return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_sentencepiece, op3_exact_dedup, op4_token_output, op5_nearest,
                                    op6_html_text, op7_chat_format, op8_token_counts, op9_language, op10_mixing,
-                                   op11_substring_dedup, op13_periodic_runs)}
+                                   op11_substring_dedup, op12_ranked_search, op13_periodic_runs)}
 
 _ESCAPED = "(length({0}) * 4 - length(replace({0}, '\\', '')) - length(replace({0}, '<', '')) - length(replace({0}, '>', '')))"
 
+_TERMS = (r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))")
+
 SQL = {
     "op3_exact_dedup": r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
@@ -129,4 +137,17 @@ r AS (SELECT d.*, n.source_size, n.target, n.passes, n.need,
 k AS (SELECT *, CASE WHEN upto <= need THEN 1
     WHEN upto - words <= need AND upto - need < need - (upto - words) THEN 1 ELSE 0 END AS extra FROM r)
 SELECT doc_id, size, source_size, target, CAST((passes + extra) * size AS BIGINT) AS taken FROM k""",
+    "op12_ranked_search": rf"""
+WITH t AS (SELECT doc_id, {_TERMS} AS term FROM documents),
+c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+s AS (SELECT count(*) AS all_docs, CAST(sum(n) AS BIGINT) AS all_terms FROM d),
+f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * all_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM f, s),
+q AS (SELECT DISTINCT item_id, {_TERMS} AS term FROM benchmark),
+r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * all_docs) // all_terms)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN c USING (term) JOIN d USING (doc_id), s GROUP BY item_id, doc_id),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+  FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""",
 }
