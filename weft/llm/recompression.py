@@ -39,20 +39,40 @@ from weft.llm.periodic_runs import mix
 
 #: Rounds after which symbols are low and high, and the rounds that also name runs.
 LOW, HIGH, RUN_ROUNDS = 6, 8, (0, 6)
-#: Words that are rewritten at once, and words whose hashes a task keeps.
-CHUNK, MOST_WORDS = 1 << 18, 200_000
+#: Words that are rewritten at once, and that are named at once.
+CHUNK, BLOCK = 1 << 16, 1 << 14
 _LEN_BITS = 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-class _WordNames(dict):
-    """word -> 64-bit name; forgets all when full."""
+def spaced(text: bytes) -> bytes:
+    """The text's words joined by one space."""
+    return b" ".join(text.split())  # bytes: at space and \x09-\x0D
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        self[word] = name = xxhash.xxh64_intdigest(word)
-        return name
+
+def word_bounds(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word of a spaced text that has one."""
+    space = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    return np.r_[0, space + 1], np.r_[space, len(joined)]
+
+
+def _spans(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Names of the stretches [lo, hi) of values, wherever they stand."""
+    n = len(values)
+    power = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE)])
+    back = np.cumprod(np.r_[np.uint64(1), np.full(n, _BACK)])
+    upto = np.r_[np.uint64(0), np.cumsum(values * power[:-1])]
+    return mix((upto[hi] - upto[lo]) * back[lo], (hi - lo).astype(np.uint64))
+
+
+def word_names(joined: bytes, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each word, some at a time."""
+    letters, out = np.frombuffer(joined, np.uint8), np.empty(len(lo), np.uint64)
+    for i in range(0, len(lo), BLOCK):
+        a, b = lo[i:i + BLOCK], hi[i:i + BLOCK]
+        out[i:i + BLOCK] = _spans(letters[a[0]:b[-1]].astype(np.uint64) + np.uint64(1), a - a[0], b - a[0])
+    return out
 
 
 class Symbols:
@@ -118,24 +138,16 @@ class Symbols:
         return self
 
 
-def _spans(names: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Names of the word stretches [lo, hi), wherever they stand."""
-    n = len(names)
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE)])
-        back = np.cumprod(np.r_[np.uint64(1), np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)))])
-        upto = np.r_[np.uint64(0), np.cumsum(names * power[:-1])]
-        return mix((upto[hi] - upto[lo]) * back[lo], (hi - lo).astype(np.uint64))
-
-
 def _chunks(rows, least: int):
-    """(row, words) of the texts with ``least`` words at least, together about CHUNK words at a time."""
+    """(row, spaced text, number of words) of the texts with ``least`` words at least, together about
+    CHUNK words at a time."""
     part, size = [], 0
     for row, text in rows:
-        words = text.split()  # bytes: at space and \x09-\x0D
-        if len(words) >= least:
-            part.append((row, words))
-            size += len(words)
+        joined = spaced(text)
+        n = joined.count(b" ") + 1
+        if n >= least:
+            part.append((row, joined, n))
+            size += n
             if size >= CHUNK:
                 yield part
                 part, size = [], 0
@@ -143,19 +155,22 @@ def _chunks(rows, least: int):
         yield part
 
 
-def _symbols(part, of: _WordNames):
-    sizes = np.array([len(w) for _, w in part])
-    names = np.fromiter((of[x] for _, w in part for x in w), np.uint64, int(sizes.sum()))
-    return names, sizes, np.cumsum(sizes) - sizes, Symbols(names, np.repeat(np.arange(len(part)), sizes))
+def _symbols(part):
+    """Word names, sizes and first words of the texts, their words' bounds and their symbols."""
+    sizes = np.array([n for _, _, n in part])
+    joined = b" ".join([t for _, t, _ in part])
+    lo, hi = word_bounds(joined)
+    names = word_names(joined, lo, hi)
+    return names, sizes, np.cumsum(sizes) - sizes, (lo, hi), Symbols(names, np.repeat(np.arange(len(part)), sizes))
 
 
-def low_names(part, window: int, of: _WordNames):
+def low_names(part, window: int):
     """(name, row, place) of the low symbols whose deciding words fit a window."""
-    names, _, begin, s = _symbols(part, of)
+    names, _, begin, _, s = _symbols(part)
     s.rounds(0, LOW)
     good = np.flatnonzero(s.inner & (s.hi - s.lo <= window))
     lo, hi, doc = s.lo[good], s.hi[good], s.doc[good]
-    rows = np.fromiter((r for r, _ in part), np.int64, len(part))
+    rows = np.fromiter((r for r, _, _ in part), np.int64, len(part))
     return _spans(names, lo, hi).view(np.int64), rows[doc], (lo - begin[doc]) << _LEN_BITS | (hi - lo)
 
 
@@ -186,17 +201,14 @@ def from_intervals(flat, n: int) -> np.ndarray:
     return mask
 
 
-def _digests(words: list, starts, ends) -> tuple[list, list]:
-    """128-bit digests of the word stretches, as two signed numbers each."""
-    joined = b" ".join(words)
-    at = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    first = np.r_[0, at][starts].tolist()
-    d = b"".join([xxhash.xxh3_128_digest(joined[i:j]) for i, j in zip(first, (at[np.asarray(ends) - 1] - 1).tolist())])
+def _digests(joined: bytes, first, ends) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of the stretches of bytes, as two signed numbers each."""
+    d = b"".join([xxhash.xxh3_128_digest(joined[i:j]) for i, j in zip(first.tolist(), ends.tolist())])
     both = np.frombuffer(d, "<i8").reshape(-1, 2)
     return both[:, 0], both[:, 1]
 
 
-def tiles(starts: np.ndarray, can: np.ndarray, n: int, window: int):
+def tiles(starts: np.ndarray, can: np.ndarray, window: int):
     """Of the symbol starts of one text: (first, next, end) of the tiles whose windows are all candidates."""
     ends = np.searchsorted(starts, starts[1:] + window - 1)  # no window of the symbol begins at or beyond next
     ok = ends < len(starts)
@@ -262,30 +274,29 @@ def remove_repeated(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
                                  text_or_empty(text_col).cast("binary").alias("text")), "row", k)
 
     def low(batches):
-        of = _WordNames()
         for b in batches:
             for part in _chunks(zip(b.column(0).to_pylist(), (t.as_py() for t in b.column(1))), window):
-                yield _batch(low_names(part, window, of), LOW_SCHEMA)
+                yield _batch(low_names(part, window), LOW_SCHEMA)
 
     lone = _once(texts.select("row", "text").mapInArrow(low, "name long, row long, place long"), "name")
 
     def high(batches):
-        of = _WordNames()
         for b in batches:
             places = dict(zip(b.column(0).to_pylist(), b.column(2)))
             for part in _chunks(zip(b.column(0).to_pylist(), (t.as_py() for t in b.column(1))), window):
-                can = {r: candidate_mask(len(w), _items(places[r]), window) for r, w in part}
-                part = [(r, w) for r, w in part if can[r].any()]
+                can = {r: candidate_mask(n, _items(places[r]), window) for r, _, n in part}
+                part = [x for x in part if can[x[0]].any()]
                 if not part:
                     continue
-                _, sizes, begin, s = _symbols(part, of)
+                _, sizes, begin, (lo, hi), s = _symbols(part)
                 s.rounds(0, HIGH)
                 cut = np.searchsorted(s.doc, np.arange(len(part) + 1))
                 out = []
-                for i, (row, words) in enumerate(part):
+                for i, (row, joined, _) in enumerate(part):
                     starts = np.r_[s.start[cut[i]:cut[i + 1]] - begin[i], sizes[i]]
-                    a, nxt, e = tiles(starts, can[row], len(words), window)
-                    out.append((row, intervals(can[row]), a, nxt, *_digests(words, a, e)))
+                    a, nxt, e = tiles(starts, can[row], window)
+                    at = begin[i]
+                    out.append((row, intervals(can[row]), a, nxt, *_digests(joined, lo[at + a] - lo[at], hi[at + e - 1] - lo[at])))
                 yield _batch([list(c) for c in zip(*out)], HIGH_SCHEMA)
 
     found = staged(texts.select("row", "text").join(lone.hint("shuffle_hash"), "row", "left").select("row", "text", "lone")
@@ -297,8 +308,9 @@ def remove_repeated(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     def windows(batches):
         for b in batches:
             for row, text, can, first, nxt, lone, shown in zip(*(b.column(i) for i in range(7))):
-                words = text.as_py().split()
-                rest = from_intervals(can.as_py(), len(words) - window + 1)
+                joined = spaced(text.as_py())
+                lo, hi = word_bounds(joined)
+                rest = from_intervals(can.as_py(), len(lo) - window + 1)
                 first, nxt = _items(first), _items(nxt)
                 shared = np.ones(len(first), bool)
                 shared[_items(lone)] = False
@@ -309,7 +321,7 @@ def remove_repeated(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
                 every = np.concatenate([at, *also])
                 if len(every):  # a place below zero is settled already
                     place = np.concatenate([at, *(-1 - x for x in also)])
-                    yield _batch([np.full(len(every), row.as_py()), place, *_digests(words, every, every + window)], WINDOW_SCHEMA)
+                    yield _batch([np.full(len(every), row.as_py()), place, *_digests(joined, lo[every], hi[every + window - 1])], WINDOW_SCHEMA)
 
     tested = (texts.select("row", "text").join(left.hint("shuffle_hash"), "row")
               .select("row", "text", "can", "first", "next", "lone", "shown").mapInArrow(windows, "row long, place int, n1 long, n2 long"))
@@ -319,8 +331,9 @@ def remove_repeated(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
         for b in batches:
             out = []
             for text, can, lone in zip(b.column(1), b.column(2), b.column(3)):
-                words = text.as_py().split()
-                n = len(words)
+                joined = spaced(text.as_py())
+                n = joined.count(b" ") + 1 if joined else 0
+                gone = 0
                 if can.is_valid:
                     rep = from_intervals(can.as_py(), n - window + 1)
                     rep[_items(lone)] = False
@@ -329,8 +342,11 @@ def remove_repeated(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + window, -1)
                     stay = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
-                    words = words if len(stay) == n else [words[i] for i in stay.tolist()]
-                out.append((n, n - len(words), b" ".join(words)))
+                    gone = n - len(stay)
+                    if gone:
+                        words = joined.split()
+                        joined = b" ".join([words[i] for i in stay.tolist()])
+                out.append((n, gone, joined))
             n, gone, kept = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
                                              names=["doc_id", "n_words", "n_removed", "kept"])
