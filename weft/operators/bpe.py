@@ -1,17 +1,20 @@
 """Vocabulary statistics, id lookup and byte-pair-encoding (A-16 .. A-25).
 
-Per-word work always runs on the *distinct* word table (small compared with
-the corpus) and is joined back, mirroring the per-word cache of the browser
-tokenizer.
+Training works on the table of distinct words (small compared with the corpus); encoding is in
+``weft.operators.tokenizer``.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import heapq
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.ordering import row_index
+from weft.session import checkpoint_dir, stage_table
 
 # fixed values: special tokens of the BPE path, ids 0..4 in this order
 SPECIAL_TOKENS = ["<unk>", "<pad>", "<bos>", "<eos>", "<mask>"]
@@ -75,7 +78,6 @@ def pad_truncate(ids: Column, max_len: int, pad_id: int = PAD_ID, side: str = "r
                  truncate: bool = True) -> tuple[Column, Column]:
     """A-24: pad to ``max_len`` with ``pad_id`` on ``side`` (attention mask 1/0),
     truncating longer arrays (from the right) when ``truncate``."""
-    n = F.size(ids)
     kept = F.slice(ids, 1, max_len) if truncate else ids
     k = F.size(kept)
     pad = F.array_repeat(F.lit(pad_id), F.greatest(F.lit(max_len) - k, F.lit(0)))
@@ -85,7 +87,6 @@ def pad_truncate(ids: Column, max_len: int, pad_id: int = PAD_ID, side: str = "r
         out, mask = F.concat(kept, pad), F.concat(ones, zeros)
     else:
         out, mask = F.concat(pad, kept), F.concat(zeros, ones)
-    del n
     return out, mask
 
 
@@ -131,102 +132,178 @@ def byte_level_decode(tokens: Column) -> Column:
     return F.decode(F.unhex(F.array_join(hexes, "")), "UTF-8")
 
 
-def _merge_symbols(symbols: Column, left: str, right: str) -> Column:
-    """Replace each (left, right) neighbour pair, scanning left to right."""
-    merged = left + right
-
-    def step(acc, s):
-        last = F.try_element_at(acc["out"], F.lit(-1))
-        hit = (~acc["just"]) & (last == F.lit(left)) & (s == F.lit(right))
-        out = F.when(hit, F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.lit(merged)))) \
-            .otherwise(F.concat(acc["out"], F.array(s)))
-        return F.struct(out.alias("out"), hit.alias("just"))
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("just"))
-    return F.aggregate(symbols, init, step)["out"]
+def merge_queue(symbols: list, merges: dict) -> list:
+    """Merge a symbol sequence: ``merges`` gives (left, right) -> (rank, merged); the pair of lowest
+    rank goes first, of equal ones the leftmost.  A queue of candidate pairs over a linked list, so
+    the work is n log n for n symbols."""
+    n = len(symbols)
+    if n < 2:
+        return symbols
+    symbols, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
+    queue = []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j < n and (found := merges.get((symbols[i], symbols[j]))) is not None:
+            heapq.heappush(queue, (found[0], i, symbols[i], symbols[j], found[1]))
+
+    for i in range(n - 1):
+        offer(i)
+    while queue:
+        _, i, left, right, merged = heapq.heappop(queue)
+        j = after[i]
+        if symbols[i] != left or j >= n or symbols[j] != right:
+            continue  # one of the two is part of another merge by now
+        symbols[i], symbols[j], after[i] = merged, None, after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        if before[i] >= 0:
+            offer(before[i])
+        offer(i)
+    return [x for x in symbols if x is not None]
+
+
+class _Segments:
+    """Symbol sequences with frequencies, whose pair counts follow each merge: only the sequences that
+    hold the merged pair are looked at."""
+
+    def __init__(self, rows):
+        self.parts = [[int(x) for x in seq.split(" ")] for seq, _ in rows]
+        self.freq = [n for _, n in rows]
+        self.count: dict[tuple, int] = defaultdict(int)
+        self.where: dict[tuple, set] = defaultdict(set)
+        for i, part in enumerate(self.parts):
+            self._add(i, part, self.freq[i])
+        self.queue = [(-n, l, r) for (l, r), n in self.count.items()]
+        heapq.heapify(self.queue)
+
+    def _add(self, i: int, part: list, n: int) -> set:
+        pairs = list(zip(part, part[1:]))
+        for p in pairs:
+            self.count[p] += n
+            if n > 0:
+                self.where[p].add(i)
+        return set(pairs)
+
+    def best(self) -> tuple | None:
+        """(-count, left, right) that is first: highest count, then smallest ids."""
+        while self.queue:
+            n, l, r = self.queue[0]
+            if self.count.get((l, r), 0) == -n and n < 0:
+                return self.queue[0]
+            heapq.heappop(self.queue)
+        return None
+
+    def merge(self, left: int, right: int, merged: int) -> None:
+        changed = set()
+        for i in self.where.pop((left, right), ()):
+            part, out, at = self.parts[i], [], 0
+            while at < len(part):
+                if at + 1 < len(part) and part[at] == left and part[at + 1] == right:
+                    out.append(merged)
+                    at += 2
+                else:
+                    out.append(part[at])
+                    at += 1
+            if len(out) < len(part):
+                changed |= self._add(i, part, -self.freq[i])
+                changed |= self._add(i, out, self.freq[i])
+                self.parts[i] = out
+        for p in changed:
+            if self.count[p] > 0:
+                heapq.heappush(self.queue, (-self.count[p], *p))
+
+
+def _pairs(symbols: Column) -> Column:
+    """Neighbouring ids as one number each."""
+    return F.transform(F.sequence(F.lit(1), F.size(symbols) - 1),
+                       lambda i: F.shiftleft(F.element_at(symbols, i), 32).bitwiseOR(F.element_at(symbols, i + 1)))
+
+
+def _hot_segments(w: DataFrame, hot: list[int]) -> DataFrame:
+    """``(seq, freq)``: words cut between neighbours that are no hot pair; equal stretches of two
+    symbols and more are counted together."""
+    s = F.col("symbols")
+    parts = F.transform(s, lambda x, i: F.concat(
+        x.cast("string"), F.when(i + 1 < F.size(s), F.when(
+            F.shiftleft(x, 32).bitwiseOR(F.get(s, i + 1)).isin(hot), F.lit(" ")).otherwise(F.lit("|"))).otherwise(F.lit(""))))
+    return (w.where(F.size(s) > 1).select(F.explode(F.split(F.array_join(parts, ""), r"\|")).alias("seq"), "freq")
+            .where(F.contains("seq", F.lit(" "))).groupBy("seq").agg(F.sum("freq").alias("freq")))
 
 
 def train_bpe(words: DataFrame, vocab_size: int | None = None, min_frequency: int = 2,
               special_tokens: list[str] = SPECIAL_TOKENS, max_merges: int | None = None,
-              checkpoint_every: int = 1) -> tuple[list[str], list[tuple[str, str]]]:
-    """A-18: train byte-level BPE on a (word, freq) table (words already byte-mapped).
-
-    Ids: specials first, then the alphabet (characters seen, by code point), then one
-    id per merge.  Each round counts adjacent pairs weighted by frequency (partial
-    aggregation), takes the most frequent pair — ties to the smallest (left id, right id) —
-    and merges it in every word, left to right.  Stops at ``vocab_size`` / ``max_merges``
-    or when the best count drops below ``min_frequency``.  Only the distinct-word table
-    is iterated; its lineage is cut with ``checkpoint()`` every ``checkpoint_every`` rounds
-    (each round's plan then stays one merge deep).
-    Returns (vocab in id order, merges)."""
-    from weft.session import checkpoint_dir
-    spark = words.sparkSession
-    checkpoint_dir(spark)
-    w = words.select(F.split("word", "").alias("symbols"), F.col("freq").cast("long").alias("freq"))
-    w = w.filter(F.size("symbols") > 0).checkpoint(eager=True)
-    alphabet = sorted(r[0] for r in w.select(F.explode("symbols")).distinct().collect())
+              hot_pairs: int = 1024, max_segments: int = 100_000) -> tuple[list[str], list[tuple[str, str]]]:
+    """A-18: train BPE on a (word, freq) table of distinct words (byte-mapped already for byte level).
+
+    Ids: specials first, then the alphabet (characters seen, by code point), then one id per merge.
+    The most frequent pair is merged in every word, left to right; ties go to the smallest
+    (left id, right id).  Stops at ``vocab_size`` / ``max_merges`` or when the best count drops below
+    ``min_frequency``.  Returns (vocab in id order, merges).
+
+    Rounds of many merges, with the outcome of one-by-one merging.  A round counts all pairs and
+    takes the first ``hot_pairs`` of the order (count, ids).  Counts of pairs there are only fall, and a
+    new symbol's pair is met at most as often as the pair it comes from and has a larger id.  So until
+    the best pair comes after the last hot one, merges happen only where all neighbours are hot: words
+    are cut at their other neighbours, equal stretches are counted by Spark, and at most
+    ``max_segments`` of them (else the round takes a quarter of the hot pairs) reach the driver, where
+    counts follow each merge through the stretches that hold its pair.  A merge that makes a
+    symbol known before ends its round, since the bound fails for it.  The round's merges are then
+    applied to the words in Arrow batches and the words staged; so jobs grow with rounds, not with merges,
+    and nothing that grows with the words is collected."""
+    checkpoint_dir(words.sparkSession)
+    w = words.where(F.length("word") > 0).select("word", F.col("freq").cast("long").alias("freq"))
+    w = stage_table(w, "bpe-words")
+    alphabet = sorted(r[0] for r in w.select(F.explode(F.filter(F.split("word", ""), lambda c: c != "")).alias("c")).distinct().collect())
     vocab = list(special_tokens) + [a for a in alphabet if a not in special_tokens]
     ids = {t: i for i, t in enumerate(vocab)}
     merges: list[tuple[str, str]] = []
-    rounds = 0
-    while (vocab_size is None or len(vocab) < vocab_size) and (max_merges is None or len(merges) < max_merges):
-        pc = pair_counts(w)
-        top = pc.orderBy(F.col("freq").desc()).limit(64).collect()  # candidates for the tie-break only
-        if not top or top[0]["freq"] < min_frequency:
-            break
-        best_n = top[0]["freq"]
-        tied = [r for r in top if r["freq"] == best_n]
-        if len(tied) == len(top):  # more ties than fetched: get all of them (still one row per pair)
-            tied = pc.filter(F.col("freq") == best_n).collect()
-        left, right = min(((r["left_sym"], r["right_sym"]) for r in tied), key=lambda p: (ids[p[0]], ids[p[1]]))
-        merges.append((left, right))
-        new = left + right
-        if new not in ids:
-            ids[new] = len(vocab)
-            vocab.append(new)
-        # only words holding both symbols can change; the others keep their arrays untouched
-        has = F.array_contains("symbols", left) & F.array_contains("symbols", right)
-        w = w.withColumn("symbols", F.when(has, _merge_symbols(F.col("symbols"), left, right)).otherwise(F.col("symbols")))
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            w = w.checkpoint(eager=True)
-    return vocab, merges
-
 
-def bpe_apply_udf(merges: list[tuple[str, str]], vocab: list[str], unk_id: int = UNK_ID):
-    """A-19 + A-21: a pandas UDF that encodes distinct byte-mapped words: repeatedly merge
-    the lowest-rank pair present (ties leftmost); pieces missing from the vocab become unk."""
-    ranks = {p: i for i, p in enumerate(merges)}
-    ids = {t: i for i, t in enumerate(vocab)}
-
-    def encode_word(word: str) -> list[int]:
-        syms = list(word)
-        while len(syms) > 1:
-            best, at = None, -1
-            for i in range(len(syms) - 1):
-                r = ranks.get((syms[i], syms[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
+    def room() -> bool:
+        return (vocab_size is None or len(vocab) < vocab_size) and (max_merges is None or len(merges) < max_merges)
+
+    def rewritten(df: DataFrame, first: str, of, passes: list) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                out = []
+                for seq in b.column(0).to_pylist():
+                    seq = of(seq)
+                    for p in passes:
+                        seq = merge_queue(seq, p)
+                    out.append(seq)
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64())), b.column(1)], names=["symbols", "freq"])
+
+        return stage_table(df.select(first, "freq").mapInArrow(run, "symbols array<long>, freq long"), "bpe-symbols")
+
+    letters = dict(ids)
+    w = rewritten(w, "word", lambda word: [letters[c] for c in word], [])
+    while room():
+        pc = w.where(F.size("symbols") > 1).select(F.explode(_pairs(F.col("symbols"))).alias("pair"), "freq") \
+            .groupBy("pair").agg(F.sum("freq").alias("n"))
+        top = pc.orderBy(F.desc("n"), "pair").limit(hot_pairs + 1).collect()
+        if not top or top[0]["n"] < min_frequency:
+            break
+        while True:
+            last = (-top[hot_pairs - 1]["n"], top[hot_pairs - 1]["pair"]) if len(top) > hot_pairs else None
+            rows = _hot_segments(w, [r["pair"] for r in top[:hot_pairs]]).limit(max_segments + 1).collect()
+            if len(rows) <= max_segments or hot_pairs == 1:
                 break
-            syms[at:at + 2] = [syms[at] + syms[at + 1]]
-        return [ids.get(s, unk_id) for s in syms]
-
-    @F.pandas_udf("array<int>")
-    def apply(words: pd.Series) -> pd.Series:
-        return words.map(encode_word)
-    return apply
-
-
-def bpe_encode(docs: DataFrame, key: str, text: str, vocab: list[str], merges: list[tuple[str, str]],
-               bos: int | None = BOS_ID, eos: int | None = EOS_ID) -> DataFrame:
-    """A-20: pre-tokenise -> byte map -> BPE on *distinct* words (joined back) -> ids in
-    text order -> post-process.  Returns (key, ids), one row a document: an empty or null text
-    has no word and keeps its begin and end ids."""
-    p = docs.select(key, F.posexplode(byte_level_pieces(F.col(text))).alias("pos", "word"))
-    distinct = p.select("word").distinct()
-    enc = distinct.withColumn("wid", bpe_apply_udf(merges, vocab)(F.col("word")))
-    x = p.join(enc, "word")
-    per_doc = x.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "wid"))).alias("_p"))
-    rows = docs.select(F.col(key).alias("_key")).distinct().join(per_doc, F.col("_key").eqNullSafe(F.col(key)), "left")
-    ids = F.coalesce(F.flatten(F.col("_p.wid")), F.array().cast("array<int>"))
-    return rows.select(F.col("_key").alias(key), post_process(ids, bos, eos).alias("ids"))
+            hot_pairs = max(1, hot_pairs // 4)
+        parts, passes, known = _Segments([(r["seq"], r["freq"]) for r in rows]), [{}], False
+        while room() and not known and (best := parts.best()) is not None:
+            n, l, r = best
+            if -n < min_frequency or (last is not None and (n, l << 32 | r) > last):
+                break
+            new = vocab[l] + vocab[r]
+            known = new in ids
+            if known and passes[-1]:
+                passes.append({})
+            elif not known:
+                ids[new] = len(vocab)
+                vocab.append(new)
+            passes[-1][l, r] = (len(merges), ids[new])
+            merges.append((vocab[l], vocab[r]))
+            parts.merge(l, r, ids[new])
+        if room():
+            w = rewritten(w, "symbols", lambda seq: seq, passes)
+    return vocab, merges

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weft.functions import text as T
 from weft.operators import corpus as C
 from weft.operators import bpe as B
+from weft.operators import tokenizer as TK
 from weft.plans import sqlfrag as Q
 from weft.plans.catalog import REGISTRY, register
 from weft.session import checkpoint_dir
@@ -381,30 +382,28 @@ def a38_resume_cursor(spark, sf_dir):
     return C.resume_from(w, 0, 100).groupBy("source").agg(F.count("*").alias("n_remaining"))
 
 
-# --- byte-level BPE (no SQL oracle: RE2 has no look-ahead; checked against `tokenizers` in tests) ---
+# --- byte-level BPE: pieces in SQL; training and encoding against `tokenizers` in tests ---
 
-BPE_MERGES = 20
+#: Vocabulary size that the query asks for (specials, alphabet and merges), a parameter of ``train_bpe``.
+BPE_VOCAB = 1024
 
-
-_BPE_CACHE: dict = {}
+# RE2 has no look-ahead: a mark before the last white space of a run stands for it
+_SQL_TABLE = "[" + ", ".join("'" + c.replace("'", "''") + "'" for c in B.byte_to_unicode()) + "]"
+_SQL_PIECES = (r"regexp_extract_all(regexp_replace(text, '(\s)(\s[^\s])', '\1' || chr(1) || '\2', 'g'), "
+               r"'''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x01]+|\s+')")
+_SQL_BYTES = (f"list_transform({_SQL_PIECES}, lambda p: array_to_string(list_transform("
+              f"regexp_extract_all(hex(encode(p)), '[0-9A-F][0-9A-F]'), lambda h: {_SQL_TABLE}[CAST('0x' || h AS INT) + 1]), ''))")
 
 
 def _bpe_model(spark, sf_dir):
-    """Train once per (application, folder): the encode query reuses the trained model."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BPE_CACHE:
-        _BPE_CACHE[key] = _train_bpe_model(spark, sf_dir)
-    return _BPE_CACHE[key]
-
-
-def _train_bpe_model(spark, sf_dir):
     d = docs(spark, sf_dir)
-    words = d.select(F.explode(B.byte_level_pieces(F.col("text"))).alias("word")).groupBy("word").agg(
-        F.count("*").alias("freq"))
-    return B.train_bpe(words, max_merges=BPE_MERGES)
+    vocab, merges = B.train_bpe(B.word_counts(d, B.byte_level_pieces), vocab_size=BPE_VOCAB)
+    return TK.BpeModel(tuple(vocab), tuple(merges), added=tuple(B.SPECIAL_TOKENS))
 
 
-@register("a10_byte_level_pretokenize", "A-10")
+@register("a10_byte_level_pretokenize", "A-10", sql=f"""
+SELECT doc_id, CAST(len(p) AS INTEGER) AS n_pieces, md5(array_to_string(p, '|')) AS pieces_md5
+FROM (SELECT doc_id, {_SQL_BYTES} AS p FROM documents)""")
 def a10_byte_level_pretokenize(spark, sf_dir):
     p = docs(spark, sf_dir).select("doc_id", B.byte_level_pieces(F.col("text")).alias("p"))
     return p.select("doc_id", F.size("p").alias("n_pieces"), F.md5(F.array_join("p", "|")).alias("pieces_md5"))
@@ -412,26 +411,22 @@ def a10_byte_level_pretokenize(spark, sf_dir):
 
 @register("a18_train_bpe", "A-17 A-18")
 def a18_train_bpe(spark, sf_dir):
-    """Vocabulary (specials, alphabet, 20 merges) trained on every document."""
-    vocab, merges = _bpe_model(spark, sf_dir)
-    rows = [(i, t) for i, t in enumerate(vocab)]
-    return spark.createDataFrame(rows, "id int, token string")
+    """Vocabulary of 1,024 tokens (specials, alphabet, merges) trained on every document."""
+    model = _bpe_model(spark, sf_dir)
+    return spark.createDataFrame(list(enumerate(model.vocab)), "id int, token string")
 
 
 @register("a20_bpe_encode_decode", "A-19 A-20 A-21 A-23 A-25")
 def a20_bpe_encode_decode(spark, sf_dir):
-    """Encode every document with the trained model (bos/eos template) and decode it back."""
-    vocab, merges = _bpe_model(spark, sf_dir)
-    d = docs(spark, sf_dir)
-    enc = B.bpe_encode(d, "doc_id", "text", vocab, merges)
-    vocab_df = spark.createDataFrame([(i, t) for i, t in enumerate(vocab)], "id long, word string")
-    body = enc.select("doc_id", F.posexplode(F.slice("ids", 2, F.size("ids") - 2)).alias("pos", "id"))
-    toks = B.ids_to_tokens(body, vocab_df).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_t"))
-    dec = toks.select("doc_id", B.byte_level_decode(F.col("_t.token")).alias("decoded"))
-    return (enc.join(dec, "doc_id").join(d, "doc_id")
-            .select("doc_id", F.size("ids").alias("n_ids"), ids_md5(F.col("ids")).alias("ids_md5"),
-                    (F.col("decoded") == F.col("text")).alias("roundtrip_ok")))
+    """Encode every document with the model trained on all of them (bos/eos template) and decode it back;
+    a document without a word has the two special ids."""
+    model = _bpe_model(spark, sf_dir)
+    d = docs(spark, sf_dir).select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "text")
+    enc = TK.encode(d, "text", model, ("doc_id", "text_md5"), parts=(([B.BOS_ID], 0), ("A", 0), ([B.EOS_ID], 0)))
+    enc = enc.select("doc_id", "text_md5", F.size("ids").alias("n_ids"), ids_md5(F.col("ids")).alias("ids_md5"),
+                     F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_attended"), "ids")
+    back = TK.decode_byte_level(enc, model, skip=(B.BOS_ID, B.EOS_ID))
+    return back.select("doc_id", "n_ids", "n_attended", "ids_md5", (F.md5("decoded") == F.col("text_md5")).alias("roundtrip_ok"))
 
 
 @register("a32_shard_files_roundtrip", "A-31 A-32 A-33", sql=REGISTRY["a31_shard_tokens"].sql)
