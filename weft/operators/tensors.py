@@ -20,18 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import arrays as A
+from weft.session import stage_table
 
-# Largest table we agree to broadcast without a shuffle join (rows).
-BROADCAST_ROWS = 1_000_000
+#: Largest table that a join may copy to every executor, in bytes of its rows written out.
+BROADCAST_BYTES = 64 << 20
 
 
-def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``small`` only after counting it; beyond the bound a plain
-    (shuffle) join is used.  The counted frame is cached so the count's work
-    is reused by the join that follows."""
-    small = small.cache()
-    n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
+def checked_broadcast(small: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``small`` staged, measured and marked for broadcast if its rows, written out as JSON (longer than
+    their binary form), stay within ``max_bytes``; beyond it the join is a plain shuffle join."""
+    small = stage_table(small, "measured")
+    size = small.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in small.columns]))))).first()[0] or 0
+    return F.broadcast(small) if size <= max_bytes else small
 
 
 def to_long(vec: DataFrame, i: str = "i", v: str = "v", j: str = "j", val: str = "val") -> DataFrame:
@@ -92,6 +92,44 @@ def tensor_stats(long: DataFrame, by: Sequence[str] = (), val: str = "val") -> D
                                  F.sqrt(F.sum(x * x)).alias("l2"))
 
 
+def matrix_report(vec: DataFrame, v: str = "v") -> DataFrame:
+    """C-45 / C-46 / C-48 of a matrix with one row array a row, by one aggregate: ``fro``,
+    ``norm_inf`` / ``norm_ninf`` (largest / smallest row sum of magnitudes), ``norm_1`` / ``norm_n1`` (column
+    sums), ``mean``, ``var`` (population), ``n_nan`` and ``n_inf``.
+
+    Rows are summed in place; each column sum is a partial aggregate, so a task passes on one row as wide
+    as the matrix (whose width a first look at the sizes gives).  Null rows and elements are skipped; no elements, nulls and 0."""
+    x = F.filter(A.dbl(v), lambda e: e.isNotNull())
+    add = lambda f: F.aggregate("_x", F.lit(0.0), lambda s, e: s + f(e))
+    rows = vec.select(A.dbl(v).alias("_all"), x.alias("_x")).where("_all IS NOT NULL").select(
+        "_all", F.size("_x").cast("long").alias("_n"), add(F.abs).alias("_abs"), add(lambda e: e).alias("_sum"), add(lambda e: e * e).alias("_sq"),
+        F.size(F.filter("_x", F.isnan)).cast("long").alias("_nan"),
+        F.size(F.filter("_x", lambda e: F.abs(e) == F.lit(float("inf")))).cast("long").alias("_inf"))
+    width = rows.agg(F.max(F.size("_all"))).first()[0] or 0
+    columns = [F.sum(F.abs(F.get("_all", F.lit(c)))).alias(f"_c{c}") for c in range(width)]
+    got = rows.agg(F.sum("_n").alias("n"), F.sum("_sum").alias("s"), F.sum("_sq").alias("q"), F.max("_abs").alias("norm_inf"),
+                   F.min("_abs").alias("norm_ninf"), F.coalesce(F.sum("_nan"), F.lit(0)).alias("n_nan"),
+                   F.coalesce(F.sum("_inf"), F.lit(0)).alias("n_inf"), *columns)
+    of = [F.col(f"_c{c}") for c in range(width)]
+    one = F.array_max(F.array(*of)) if of else F.lit(None).cast("double")
+    low = F.array_min(F.array(*of)) if of else F.lit(None).cast("double")
+    mean = F.col("s") / F.col("n")
+    return got.select(F.sqrt("q").alias("fro"), "norm_inf", "norm_ninf", one.alias("norm_1"), low.alias("norm_n1"), mean.alias("mean"),
+                      F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean).alias("var"), "n_nan", "n_inf")
+
+
+def all_close(pairs: DataFrame, key: str, x: str, y: str, atol: float = 1e-8, rtol: float = 1e-5) -> DataFrame:
+    """C-49 of two matrices whose rows stand side by side: ``all_close``, ``max_err``, ``mean_err`` and the place
+    (``worst_i, worst_j``, the smallest of equals) of the largest error.  Elements are compared where they
+    are (no join); where only one side has an element or is null, the matrices are not close."""
+    el = pairs.select(F.col(key).alias("i"), F.posexplode(F.arrays_zip(A.dbl(x).alias("x"), A.dbl(y).alias("y"))).alias("j", "e"))
+    err = F.abs(F.col("e.x") - F.col("e.y"))
+    d = el.select("i", "j", err.alias("err"), F.coalesce(err <= atol + rtol * F.abs(F.col("e.y")), F.lit(False)).alias("ok"))
+    worst = F.struct(F.col("err"), -F.col("i"), -F.col("j"))
+    return d.agg(F.coalesce(F.min("ok"), F.lit(True)).alias("all_close"), F.max("err").alias("max_err"), F.avg("err").alias("mean_err"),
+                 F.max_by("i", worst).alias("worst_i"), F.max_by("j", worst).alias("worst_j"))
+
+
 # --- C4 shape ops on the long encoding ------------------------------------------
 
 def reshape(long: DataFrame, n_cols_in: int, n_cols_out: int, i="i", j="j") -> DataFrame:
@@ -138,10 +176,10 @@ def stack(parts: Sequence[DataFrame], new_dim: str = "s") -> DataFrame:
     return out
 
 
-def tri(long: DataFrame, k: int = 0, upper: bool = True, i="i", j="j", val="val") -> DataFrame:
-    """C-61 triu / tril: zero outside the triangle (j - i >= k, or <= k)."""
+def tri(long: DataFrame, k: int = 0, upper: bool = True, i="i", j="j", val="val", out: str | None = None) -> DataFrame:
+    """C-61 triu / tril: zero outside the triangle (j - i >= k, or <= k), in place or as column ``out``."""
     keep = (F.col(j) - F.col(i) >= k) if upper else (F.col(j) - F.col(i) <= k)
-    return long.withColumn(val, F.when(keep, F.col(val)).otherwise(F.lit(0.0)))
+    return long.withColumn(out or val, F.when(keep, F.col(val)).otherwise(F.lit(0.0)))
 
 
 def index_write(dst: DataFrame, src: DataFrame, offsets: dict, keys: Sequence[str], val="val") -> DataFrame:
@@ -174,11 +212,6 @@ def scatter_add(base: DataFrame, src: DataFrame, keys: Sequence[str], val: str =
         F.sum(val).alias(val))
 
 
-def matmul(a: DataFrame, b: DataFrame, i="i", k="k", j="j", a_val="a", b_val="b", out="val") -> DataFrame:
-    """C-69 on the long encoding: C[i,j] = sum_k A[i,k] B[k,j] (equi-join on k, then sum)."""
-    return (a.join(b, k).groupBy(i, j).agg(F.sum(F.col(a_val) * F.col(b_val)).alias(out)))
-
-
 #: Elements of the largest weight table that may travel with every task (32 MB of doubles).
 WEIGHT_ELEMENTS = 4_000_000
 

@@ -15,6 +15,7 @@ from weft.functions import arrays as A
 from weft.functions import elementwise as E
 from weft.functions.hashing import uniform, uniform_sql
 from weft.operators import tensors as TS
+from weft.operators import tiles as TL
 from weft.plans.catalog import register
 from weft.sources.tables import Tables
 
@@ -158,20 +159,11 @@ cs AS (SELECT j, SUM(abs(val)) AS s FROM el GROUP BY j)
 SELECT {r('(SELECT sqrt(SUM(val * val)) FROM el)')} AS fro, {r('(SELECT MAX(s) FROM rs)')} AS norm_inf,
   {r('(SELECT MIN(s) FROM rs)')} AS norm_ninf, {r('(SELECT MAX(s) FROM cs)')} AS norm_1, {r('(SELECT MIN(s) FROM cs)')} AS norm_n1,
   {r('(SELECT AVG(val) FROM el)')} AS mean, {r('(SELECT greatest(0.0, AVG(val * val) - AVG(val) * AVG(val)) FROM el)')} AS var,
-  (SELECT CAST(SUM(CASE WHEN isnan(val) THEN 1 ELSE 0 END) AS BIGINT) FROM el) AS n_nan""")
+  (SELECT CAST(SUM(CASE WHEN isnan(val) THEN 1 ELSE 0 END) AS BIGINT) FROM el) AS n_nan,
+  (SELECT CAST(SUM(CASE WHEN isinf(val) THEN 1 ELSE 0 END) AS BIGINT) FROM el) AS n_inf""")
 def c45_matrix_norms(spark, sf_dir):
-    el = TS.to_long(emb(spark, sf_dir), "vec_id", "v", "j", "val")
-    fro = TS.matrix_norm(el, "fro", "vec_id", "j").select(R(F.col("norm")).alias("fro"))
-    ni = TS.matrix_norm(el, INF, "vec_id", "j").select(R(F.col("norm")).alias("norm_inf"))
-    nn = TS.matrix_norm(el, -INF, "vec_id", "j").select(R(F.col("norm")).alias("norm_ninf"))
-    n1 = TS.matrix_norm(el, 1, "vec_id", "j").select(R(F.col("norm")).alias("norm_1"))
-    nn1 = TS.matrix_norm(el, -1, "vec_id", "j").select(R(F.col("norm")).alias("norm_n1"))
-    st = TS.tensor_stats(el).select(R(F.col("mean")).alias("mean"), R(F.col("var")).alias("var"))
-    nan = el.agg(F.sum(F.isnan("val").cast("long")).alias("n_nan"))
-    out = fro
-    for d in (ni, nn, n1, nn1, st, nan):
-        out = out.join(d)  # one-row frames: each side has exactly one row
-    return out
+    m = TS.matrix_report(emb(spark, sf_dir).select("v"))
+    return m.select(*[R(F.col(c)).alias(c) for c in ("fro", "norm_inf", "norm_ninf", "norm_1", "norm_n1", "mean", "var")], "n_nan", "n_inf")
 
 
 @register("c47_zscore", "C-46 C-47", sql=f"""WITH {EL_SQL},
@@ -190,15 +182,10 @@ d AS (SELECT vec_id, j, abs(val - val2) AS err, abs(val - val2) <= 1e-4 + 1e-3 *
 SELECT CAST(MIN(CASE WHEN ok THEN 1 ELSE 0 END) AS INTEGER) AS all_close, {r('MAX(err)')} AS max_err, {r('AVG(err)')} AS mean_err,
        arg_max(vec_id, (err, -vec_id, -j)) AS worst_i, arg_max(j, (err, -vec_id, -j)) AS worst_j FROM d""")
 def c49_all_close(spark, sf_dir):
-    el = TS.to_long(emb(spark, sf_dir), "vec_id", "v", "j", "val")
-    b = el.select("vec_id", "j", F.round("val", 3).alias("val2"))
-    d = el.join(b, ["vec_id", "j"], "full_outer").select(
-        "vec_id", "j", F.abs(F.col("val") - F.col("val2")).alias("err"),
-        (F.abs(F.col("val") - F.col("val2")) <= 1e-4 + 1e-3 * F.abs(F.col("val2"))).alias("ok"))
-    worst = F.struct(F.col("err"), -F.col("vec_id"), -F.col("j"))
-    return d.agg(F.min(F.col("ok").cast("int")).alias("all_close"), R(F.max("err")).alias("max_err"),
-                 R(F.avg("err")).alias("mean_err"), F.max_by("vec_id", worst).alias("worst_i"),
-                 F.max_by("j", worst).alias("worst_j"))
+    both = emb(spark, sf_dir).select("vec_id", "v", F.transform(A.dbl("v"), lambda x: F.round(x, 3)).alias("w"))
+    m = TS.all_close(both, "vec_id", "v", "w", atol=1e-4, rtol=1e-3)
+    return m.select(F.col("all_close").cast("int").alias("all_close"), R(F.col("max_err")).alias("max_err"),
+                    R(F.col("mean_err")).alias("mean_err"), F.col("worst_i"), F.col("worst_j"))
 
 
 # --- C4 shape ops -----------------------------------------------------------------
@@ -258,9 +245,8 @@ SELECT vec_id AS i, j, {r('CASE WHEN j - (vec_id % 64) >= 1 THEN val ELSE 0.0 EN
 def c61_triu_tril(spark, sf_dir):
     el = TS.to_long(emb(spark, sf_dir).drop("label"), "vec_id", "v", "j", "val").withColumnRenamed("vec_id", "i")
     el = el.withColumn("r", F.col("i") % 64)  # each block of 64 rows is one square matrix
-    u = TS.tri(el, 1, True, "r", "j", "val").withColumnRenamed("val", "triu1")
-    lo = TS.tri(el, 0, False, "r", "j", "val").select("i", "j", F.col("val").alias("tril0"))
-    return u.join(lo, ["i", "j"]).select("i", "j", R(F.col("triu1")).alias("triu1"), R(F.col("tril0")).alias("tril0"))
+    both = TS.tri(TS.tri(el, 1, True, "r", "j", "val", "triu1"), 0, False, "r", "j", "val", "tril0")
+    return both.select("i", "j", R(F.col("triu1")).alias("triu1"), R(F.col("tril0")).alias("tril0"))
 
 
 @register("c62_index_write", "C-62", sql=f"""WITH {EL_SQL}
@@ -340,13 +326,41 @@ def centroids(spark, sf_dir):
         .withColumnRenamed("label", "o")
 
 
-@register("c69_matmul", "C-69 C-70 C-73", sql=f"""WITH {CENTROIDS_SQL}
+@register("c69_matmul", "C-69", sql=f"""WITH {CENTROIDS_SQL}
 SELECT el.vec_id AS i, w.o AS j, {r('SUM(el.val * w.b)')} AS val FROM el JOIN w ON el.j = w.k GROUP BY el.vec_id, w.o""")
 def c69_matmul(spark, sf_dir):
     el = TS.to_long(emb(spark, sf_dir).drop("label"), "vec_id", "v", "k", "a").withColumnRenamed("vec_id", "i")
     w = TS.to_long(centroids(spark, sf_dir), "o", "w", "k", "b").withColumnRenamed("o", "j")
-    return TS.matmul(el, w, "i", "k", "j", "a", "b", "val").select("i", F.col("j").cast("int").alias("j"),
-                                                                 R(F.col("val")).alias("val"))
+    return TL.matmul(el, w, "i", "k", "j", "a", "b", "val").select("i", F.col("j").cast("int").alias("j"), R(F.col("val")).alias("val"))
+
+
+HEAD_WIDTH = 16
+
+
+@register("c70_batched_gemm", "C-69 C-70", sql=f"""WITH {CENTROIDS_SQL}
+SELECT CAST(el.j // {HEAD_WIDTH} AS INTEGER) AS head, el.vec_id AS i, CAST(w.o AS INTEGER) AS j, {r('SUM(el.val * w.b) + 0.1 * w.o')} AS val
+FROM el JOIN w ON el.j = w.k GROUP BY el.j // {HEAD_WIDTH}, el.vec_id, w.o""")
+def c70_batched_gemm(spark, sf_dir):
+    """Embeddings as 4 heads of 16 components, each times the transposed class means, plus a bias."""
+    def heads(long, row, val):
+        return long.select(F.floor(F.col("j") / HEAD_WIDTH).cast("int").alias("head"), row, (F.col("j") % HEAD_WIDTH).alias("k"), F.col(val))
+
+    a = heads(TS.to_long(emb(spark, sf_dir).drop("label"), "vec_id", "v", "j", "a").withColumnRenamed("vec_id", "i"), "i", "a")
+    w = heads(TS.to_long(centroids(spark, sf_dir), "o", "w", "j", "b"), "o", "b")
+    bias = centroids(spark, sf_dir).select(F.col("o").alias("j"), (F.col("o") * 0.1).alias("bias"))
+    # W is stored (o, k): the transposed right factor
+    w = w.select("head", F.col("o").alias("k"), F.col("k").alias("j"), "b")
+    y = TL.matmul(a, w, "i", "k", "j", "a", "b", "val", batch=["head"], trans_b=True, bias=bias)
+    return y.select("head", "i", F.col("j").cast("int").alias("j"), R(F.col("val")).alias("val"))
+
+
+@register("c73_pairwise_dot", "C-73", sql=f"""WITH {CENTROIDS_SQL}
+SELECT el.vec_id AS i, CAST(w.o AS INTEGER) AS j, {r('SUM(el.val * w.b) * 0.125')} AS score FROM el JOIN w ON el.j = w.k GROUP BY el.vec_id, w.o""")
+def c73_pairwise_dot(spark, sf_dir):
+    """Scaled dot products of every embedding with every class mean."""
+    q = TS.to_long(emb(spark, sf_dir).drop("label"), "vec_id", "v", "d", "q").withColumnRenamed("vec_id", "i")
+    k = TS.to_long(centroids(spark, sf_dir), "o", "w", "d", "k").withColumnRenamed("o", "j")
+    return TL.pairwise_dot(q, k, 0.125).select("i", F.col("j").cast("int").alias("j"), R(F.col("score")).alias("score"))
 
 
 @register("c72_linear", "C-72", sql=f"""WITH {CENTROIDS_SQL}
