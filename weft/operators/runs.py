@@ -24,6 +24,39 @@ def metric_log(events: DataFrame) -> DataFrame:
     return row_index(e, ["run_id"], ["logged_at", "event_id"], "step")
 
 
+def logged_steps(calls: DataFrame, keys: Sequence[str], order: Sequence[str], at_step: str, start: DataFrame | None = None) -> DataFrame:
+    """D-19 with explicit steps: adds ``step`` and ``_next``, the run's step after the call.
+
+    A call without ``at_step`` is logged at the run's step, which then grows by one; a call with one is logged
+    there, and the run's step becomes it if that is larger.  ``start``: ``(keys..., next)``, steps of runs that
+    have begun.  With i implicit calls before a call, the run's step is i plus the largest of
+    its start and of (at_step - implicit calls before it) over the explicit calls before: a running sum
+    and a running maximum, so a long run is spread over blocks."""
+    keys, order = list(keys), list(order)
+    x = prefix_sum(calls, keys, order, F.when(F.col(at_step).isNull(), 1).otherwise(0).cast("long"), "_i", exclusive=True)
+    x = prefix_agg(x, keys, order, F.col(at_step) - F.col("_i"), "_m", fn="max", exclusive=True)
+    if start is None:
+        x = x.withColumn("_s", F.lit(0).cast("long"))
+    else:
+        known = start.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], F.col("next").alias("_s"))
+        on = F.lit(True)
+        for n, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"_k{n}"))
+        x = x.join(known, on, "left").drop(*[f"_k{n}" for n in range(len(keys))])
+    now = F.col("_i") + F.greatest(F.coalesce("_s", F.lit(0)), F.coalesce("_m", F.lit(0)))
+    step = F.coalesce(F.col(at_step), now).cast("long")
+    after = F.when(F.col(at_step).isNull(), now + 1).otherwise(F.greatest(now, F.col(at_step))).cast("long")
+    return x.withColumns({"step": step, "_next": after}).drop("_i", "_m", "_s")
+
+
+def known_runs(calls: DataFrame, runs: DataFrame, run_id: str = "run_id") -> DataFrame:
+    """D-19: the calls themselves; one for a run that ``runs`` doesn't have is an error when it is evaluated."""
+    known = runs.select(F.col(run_id).alias("_known")).distinct()
+    bad = F.raise_error(F.concat(F.lit("no such run: "), F.coalesce(F.col(run_id).cast("string"), F.lit("null"))))
+    return calls.join(known, F.col(run_id) == F.col("_known"), "left").withColumn(
+        run_id, F.when(F.col("_known").isNotNull(), F.col(run_id)).otherwise(bad)).drop("_known")
+
+
 def throughput(log: DataFrame, tokens_per_step: int) -> DataFrame:
     """D-17: steps/s and tokens/s between consecutive log points of a run (0 without a time delta)."""
     x = log.withColumn("_t", F.unix_micros(F.col("logged_at").cast("timestamp")))
