@@ -103,6 +103,16 @@ def flatten_tokens(pieces: DataFrame, keys: Sequence[str], order: Sequence[str],
     return prefix_sum(p, keys, order, "n_tokens", "start", exclusive=True)
 
 
+def encoded_stream(pieces: DataFrame, keys: Sequence[str], order: Sequence[str], piece: str = "piece",
+                   eos: int | None = T.CHAR_EOS) -> DataFrame:
+    """A-28 + A-29 of char-level ids: a piece of n characters has n ids (and ``eos``), so the pieces are put
+    in order as text and encoded once, where they lie."""
+    p = pieces.withColumn("n_tokens", (F.char_length(piece) + (0 if eos is None else 1)).cast("long"))
+    p = prefix_sum(p, keys, order, "n_tokens", "start", exclusive=True)
+    ids = T.char_ids(F.col(piece))
+    return p.withColumn("ids", ids if eos is None else F.concat(ids, F.array(F.lit(eos)))).drop(piece)
+
+
 def stream_lengths(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Total tokens per key (one row per key)."""
     return stream.groupBy(*keys).agg(F.sum("n_tokens").alias("n"))

@@ -10,7 +10,7 @@ from weft.operators import bpe as B
 from weft.operators import tokenizer as TK
 from weft.plans import sqlfrag as Q
 from weft.plans.catalog import REGISTRY, register
-from weft.session import checkpoint_dir
+from weft.session import checkpoint_dir, stage_table
 from weft.sources.tables import Tables
 
 KEYS = ["source"]
@@ -35,9 +35,7 @@ def char_stream(spark, sf_dir, eos=T.CHAR_EOS):
     The token stream is the staging table of the corpus pipeline: it is written
     once to the checkpoint folder and every shard / window / split reads it."""
     pieces = C.paragraph_pieces(C.drop_blank(docs(spark, sf_dir)))
-    pieces = pieces.withColumn("ids", T.char_ids(F.col("piece"))).drop("piece")
-    checkpoint_dir(spark)
-    return C.flatten_tokens(pieces, KEYS, ORDER, eos=eos).checkpoint(eager=True)
+    return stage_table(C.encoded_stream(pieces, KEYS, ORDER, eos=eos), "token-stream")
 
 
 @register("corpus_windows", "A-03 A-05 A-06 A-08 A-28 A-29 A-31 A-36 B-11", sql=f"""
