@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.functions.hashing import M32, uniform
 from weft.operators.ordering import prefix_sum, row_index
@@ -83,13 +84,38 @@ def collate_columns(batched: DataFrame, batch: str, order: str, fields: Sequence
     return agg.select(batch, F.struct(*[F.col(f"_rows.{f}").alias(f) for f in fields]).alias("columns"))
 
 
+def _collated(values: Column, kind: T.DataType) -> Column:
+    """The values of a batch (an array in row order) by their type: an object becomes an object of
+    collated fields, a list the list of collated positions, anything else stays as it is."""
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_collated(F.transform(values, lambda x: x[f.name]), f.dataType).alias(f.name) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        sizes = F.transform(values, lambda x: F.coalesce(F.size(x), F.lit(-1)))
+        size = F.array_max(sizes)
+        even = (F.array_min(sizes) == size) & (size >= 0)
+        at = F.when(~even, F.raise_error(F.lit("each element in list of batch should be of equal size"))).when(
+            size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: _collated(F.transform(values, lambda x: F.get(x, i)), kind.elementType))
+    return values
+
+
+def collate_nested(batched: DataFrame, batch: str, order: str, fields: Sequence[str]) -> DataFrame:
+    """B-08 for nested rows: ``(batch, columns)`` with one value array for each leaf of the fields' types.
+
+    Objects and lists (tuples) may nest in any way; lists of one place must be of equal size in
+    a batch, else evaluating it is an error.  One ordered collection a batch keeps all leaves
+    aligned; a null object gives null leaves; a null list is of no size and so an error."""
+    s = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *[F.col(f).alias(f) for f in fields])))
+    rows = batched.groupBy(batch).agg(s.alias("_rows"))
+    return rows.select(batch, F.struct(*[_collated(F.transform("_rows", lambda x: x[f]), batched.schema[f].dataType).alias(f)
+                                         for f in fields]).alias("columns"))
+
+
 def collate_stack(batched: DataFrame, batch: str, order: str, arr: str, dtype: str = "int") -> DataFrame:
     """B-09: stack equal-length numeric arrays of a batch; unequal lengths give status 'ragged'.
     Casts: u8 -> u32 (long), f64 -> f32 (float), bool -> int."""
-    x = batched.withColumn("_a", F.col(arr).cast(f"array<{dtype}>"))
     agg = batched.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(arr).alias("_a")))).alias("_r"),
                                      F.min(F.size(arr)).alias("_mn"), F.max(F.size(arr)).alias("_mx"))
-    del x
     return agg.select(batch, F.when(F.col("_mn") == F.col("_mx"), F.lit("ok")).otherwise(F.lit("ragged")).alias("status"),
                       F.when(F.col("_mn") == F.col("_mx"), F.col("_r._a").cast(f"array<array<{dtype}>>")).alias("stacked"))
 

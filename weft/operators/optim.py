@@ -11,9 +11,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.session import stage_table
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -70,7 +74,7 @@ def sgd_step(pg: DataFrame, lr: float, momentum: float = 0.0, dampening: float =
     The first momentum step stores a zero buffer and — without Nesterov — moves
     nothing.  Returns (keys, param, buf)."""
     if nesterov and (momentum <= 0 or dampening != 0):
-        raise ValueError("Nesterov momentum requires a momentum and zero dampening")
+        raise ValueError("nesterov needs a momentum above 0 and no dampening")
     keys = list(keys)
     x = pg if state is None else pg.join(state.select(*keys, F.col("buf").alias("_buf0")), keys, "left")
     if state is None:
@@ -232,6 +236,66 @@ def fit_linear(rows: DataFrame, features: Sequence[str], target: str, steps: int
     return hist
 
 
+def softmax_gradient_parts(rows: DataFrame, features: str, target: str, weights: np.ndarray) -> DataFrame:
+    """One row an Arrow batch: its summed gradient of the cross entropy by (class, feature and bias),
+    flat, followed by its summed loss and number of rows.  ``weights``: classes x (features + 1)."""
+    classes, width = weights.shape
+    model = rows.sparkSession.sparkContext.broadcast(weights)  # classes x features
+
+    def run(batches):
+        w = model.value
+        for b in batches:
+            if b.num_rows:
+                x = np.concatenate([b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, width - 1), np.ones((b.num_rows, 1))], axis=1)
+                y = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                z = x @ w.T
+                z -= z.max(axis=1, keepdims=True)
+                p = np.exp(z)
+                p /= p.sum(axis=1, keepdims=True)
+                loss = -np.log(p[np.arange(len(y)), y]).sum()
+                p[np.arange(len(y)), y] -= 1
+                yield pa.RecordBatch.from_arrays([pa.array([np.r_[(p.T @ x).ravel(), loss, len(y)]], pa.list_(pa.float64()))], names=["part"])
+
+    clean = rows.select(F.col(features).cast("array<double>").alias("x"), F.col(target).cast("long").alias("y"))
+    clean = clean.where((F.size("x") == width - 1) & F.col("y").between(0, classes - 1) & ~F.exists("x", lambda e: e.isNull()))
+    return clean.mapInArrow(run, "part array<double>")
+
+
+def fit_softmax(rows: DataFrame, features: str, target: str, classes: int, width: int, steps: int, lr,
+                betas: tuple[float, float] = (0.9, 0.999), eps: float = 1e-8) -> tuple[np.ndarray, list[float]]:
+    """D-43: softmax regression by full-batch Adam (D-36) with the learning rate ``lr(step)`` of a schedule (D-28 ...).
+
+    Each step is one pass over the (staged) rows: every batch sums its gradient in place, the sums are
+    added position by position with partial aggregation, and what comes to the driver is one number for each
+    weight, whatever the number of rows.  Rows with a null, a feature array of another width or
+    a class outside 0 .. ``classes`` - 1 teach nothing; no rows leave the weights at 0.
+    Returns (weights: classes x (width + 1), the bias last; mean loss before each step)."""
+    data = stage_table(rows.select(features, target), "fit")
+    w = np.zeros((classes, width + 1))
+    m, v, losses = np.zeros_like(w), np.zeros_like(w), []
+    for step in range(steps):
+        parts = softmax_gradient_parts(data, features, target, w).select(F.posexplode("part").alias("at", "g"))
+        total = {r["at"]: r["g"] for r in parts.groupBy("at").agg(F.sum("g").alias("g")).collect()}
+        if not total:
+            break
+        flat = np.array([total[i] for i in range(w.size + 2)])
+        grad = flat[:w.size].reshape(w.shape) / flat[-1]
+        losses.append(float(flat[-2] / flat[-1]))
+        m, v = betas[0] * m + (1 - betas[0]) * grad, betas[1] * v + (1 - betas[1]) * grad * grad
+        up, down = m / (1 - betas[0] ** (step + 1)), np.sqrt(v / (1 - betas[1] ** (step + 1))) + eps
+        w = w - lr(step) * up / down
+    return w, losses
+
+
+def predict_softmax(rows: DataFrame, features: str, weights: np.ndarray) -> DataFrame:
+    """``rows`` with ``predicted``, the class of the largest logit (the smallest of equals)."""
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in weights])
+    x = F.col(features).cast("array<double>")
+    logit = lambda w: F.aggregate(F.zip_with(F.concat(x, F.array(F.lit(1.0))), w, lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e)
+    z = F.transform(table, logit)
+    return rows.withColumn("_z", z).withColumn("predicted", (F.array_position("_z", F.array_max("_z")) - 1).cast("int")).drop("_z")
+
+
 def write_checkpoint(state: DataFrame, skeleton: dict, root: str) -> None:
     """D-45: tensors as Parquet rows (step, name, shape, values) and the nested structure as JSON."""
     import json

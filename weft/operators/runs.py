@@ -9,8 +9,12 @@ one run may hold a large share of the log.
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Sequence
+from decimal import ROUND_HALF_UP, Decimal, localcontext
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,3 +162,101 @@ def config_diff(curr: DataFrame, prev: DataFrame, key: str = "run_id", top: int
     text = F.when(F.col("_n") > top, F.concat(F.col("_shown"), F.lit(", etc "), (F.col("_n") - top).cast("string"),
                                               F.lit(" more"))).otherwise(F.col("_shown"))
     return agg.select(key, text.alias("diff"))
+
+
+# --- D-25 on nested configs -----------------------------------------------------------------
+
+LEAVES = "array<struct<path:string,kind:string,value:string>>"
+
+
+def _leaves_of(config: str | None) -> list[dict]:
+    """Paths (joined by a dot), kinds and JSON texts of all values that are neither object nor list."""
+    out, todo = [], [("", json.loads(config) if config else None)]
+    while todo:
+        path, value = todo.pop()
+        if isinstance(value, dict):
+            todo += [(f"{path}.{k}" if path else k, v) for k, v in value.items() if not isinstance(v, list)]
+        elif path:
+            kind = "bool" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "string" if value is not None else "null"
+            out.append({"path": path, "kind": kind, "value": value if kind == "string" else json.dumps(value)})
+    return out
+
+
+def nested_leaves(configs: DataFrame, key: str = "run_id", config: str = "config") -> DataFrame:
+    """``(key, path, kind, value)``: the leaves of a JSON config of any depth; lists are left out, a null
+    config has none."""
+    read = F.pandas_udf(lambda texts: texts.map(lambda t: _leaves_of(t if isinstance(t, str) else None)), LEAVES)
+    return configs.select(key, F.explode(read(F.col(config).cast("string"))).alias("leaf")).select(key, "leaf.*")
+
+
+def one_digit(n: float) -> str:
+    """A number rounded to one significant digit, halves away from zero, as ``2e3``."""
+    if n == 0:
+        return "0"
+    with localcontext(prec=1, rounding=ROUND_HALF_UP):
+        d = +Decimal(n)
+    return f"{'-' if d < 0 else ''}{d.as_tuple().digits[0]}e{d.adjusted()}"
+
+
+def number_change(a: float, b: float) -> str:
+    """How a changed number is shown: small integers in full; integers of one magnitude that share their
+    leading digit by what follows it; all others to one digit."""
+    whole = float(a).is_integer() and float(b).is_integer()
+    if whole and max(abs(a), abs(b)) < 100:
+        return f"{int(a)}→{int(b)}"
+    if whole and min(a, b) >= 0 and a and b:
+        size = math.floor(math.log10(a))
+        unit = 10 ** size
+        if math.floor(math.log10(b)) == size and abs(b - a) < unit:
+            lead = int(a) // unit
+            return f"{lead}e{size}+({int(a) - lead * unit}→{int(b) - lead * unit})"
+    return f"{one_digit(a)}⥵{one_digit(b)}"
+
+
+def _change(label: str, was: str | None, old: str | None, now: str | None, new: str | None) -> str:
+    if was == now == "bool":
+        return ("+" if new == "true" else "-") + label
+    if was == now == "number":
+        return f"{label}:{number_change(json.loads(old), json.loads(new))}"
+    show = lambda kind, v: "undefined" if kind is None else one_digit(json.loads(v)) if kind == "number" else v
+    return f"{label}:{show(was, old)}→{show(now, new)}"
+
+
+def nested_config_diff(curr: DataFrame, prev: DataFrame, key: str = "run_id", top: int = 3, labels: dict | None = None,
+                       boosts: dict | None = None) -> DataFrame:
+    """D-25: ``(key, diff)`` for every key with a changed leaf, from the leaves (:func:`nested_leaves`) of two configs.
+
+    Booleans show as ``+label`` / ``-label``, numbers by :func:`number_change`, all else as old→new, a missing
+    leaf as ``undefined``; numbers are equal by value.  ``labels``: path -> label or (label, boost); a leaf without
+    one is skipped (without ``labels`` the path is the label).  Order: highest boost first (its own or that of
+    any path prefix in ``boosts``, 0 otherwise), then label by code point; the first ``top`` are shown
+    and the others counted."""
+    paths = {p: (x, 0.0) if isinstance(x, str) else (x[0], float(x[1])) for p, x in (labels or {}).items()}
+    prefixes = dict(boosts or {})
+
+    def rank(path: str) -> float:
+        parts = path.split(".")
+        return max([0.0, paths.get(path, ("", 0.0))[1], *(float(prefixes.get(".".join(parts[:i]), 0)) for i in range(1, len(parts) + 1))])
+
+    def shown(pdf):
+        told = [(_change(paths.get(p, (p,))[0], *c), rank(p), paths.get(p, (p,))[0]) for p, *c in pdf.itertuples(index=False)]
+        return pd.DataFrame(told, columns=["text", "boost", "label"])
+
+    show = F.pandas_udf(lambda p, a, b, c, d: shown(pd.DataFrame({"p": p, "a": a, "b": b, "c": c, "d": d}).astype(object).where(
+        lambda x: x.notna(), None)), "text string, boost double, label string")
+    c, p = curr.alias("c"), prev.alias("p")
+    both = c.join(p, (F.col(f"c.{key}") == F.col(f"p.{key}")) & (F.col("c.path") == F.col("p.path")), "full_outer")
+    number = (F.col("c.kind") == "number") & (F.col("p.kind") == "number")
+    same = F.when(number, F.col("c.value").cast("double") == F.col("p.value").cast("double")).otherwise(
+        F.col("c.kind").eqNullSafe(F.col("p.kind")) & F.col("c.value").eqNullSafe(F.col("p.value")))
+    path = F.coalesce("c.path", "p.path")
+    changed = both.where(~F.coalesce(same, F.lit(False)))
+    if labels is not None:
+        changed = changed.where(path.isin(list(paths)))
+    lines = changed.select(F.coalesce(f"c.{key}", f"p.{key}").alias(key), show(path, F.col("p.kind"), F.col("p.value"), F.col("c.kind"), F.col("c.value")).alias("s"))
+    # a key's changes are at most the leaves of its two configs
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("s.boost"), "s.label"))
+    first = F.array_sort(F.collect_list(F.when(F.col("_r") <= top, F.struct("_r", "s.text"))))
+    agg = lines.withColumn("_r", nth).groupBy(key).agg(first.alias("_f"), F.count("*").alias("_n"))
+    rest = F.when(F.col("_n") > top, F.concat(F.lit(", etc "), (F.col("_n") - top).cast("string"), F.lit(" more"))).otherwise("")
+    return agg.select(key, F.concat(F.array_join("_f.text", ", "), rest).alias("diff"))

@@ -255,7 +255,25 @@ def b21_sample_seeds(spark, sf_dir):
                     B.parse_seed(F.col("n_chars").cast("string")).alias("nchars_seed"))
 
 
-__all__ = ["C", "hash32_sql"]
+@register("b08_collate_nested", "B-08", sql="""
+WITH l AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders),
+b AS (SELECT idx // 32 AS batch, list(o_orderkey ORDER BY idx) AS k, list(o_orderstatus ORDER BY idx) AS s,
+             list(round(o_totalprice, 2) ORDER BY idx) AS p, list(o_custkey ORDER BY idx) AS c FROM l GROUP BY idx // 32)
+SELECT CAST(batch AS BIGINT) AS batch, md5(array_to_string(k, ',')) AS keys_md5, md5(array_to_string(s, ',')) AS status_md5,
+       CAST(len(p) AS INTEGER) AS n, round(list_sum(p), 2) AS price_sum, md5(array_to_string(c, ',') || '|' || array_to_string(k, ',')) AS pair_md5 FROM b""")
+def b08_collate_nested(spark, sf_dir):
+    """Orders as nested objects with a pair (customer, order), collated 32 at a time."""
+    o = Tables(spark, sf_dir).orders
+    rows = o.select("o_orderkey", F.struct(F.col("o_orderkey").alias("id"), F.struct(F.col("o_orderstatus").alias("status"), F.round("o_totalprice", 2).alias("price"))
+                                           .alias("state")).alias("obj"), F.array("o_custkey", "o_orderkey").alias("pair"))
+    b = B.row_index(rows, [], ["o_orderkey"], "idx").withColumn("batch", F.floor(F.col("idx") / 32).cast("long"))
+    c = B.collate_nested(b, "batch", "idx", ["obj", "pair"])
+    text = lambda x: F.array_join(F.transform(x, lambda v: v.cast("string")), ",")
+    pair = F.col("columns.pair")
+    return c.select("batch", ids_md5(F.col("columns.obj.id")).alias("keys_md5"), F.md5(text(F.col("columns.obj.state.status"))).alias("status_md5"),
+                    F.size("columns.obj.state.price").alias("n"),
+                    F.round(F.aggregate("columns.obj.state.price", F.lit(0.0), lambda a, x: a + x), 2).alias("price_sum"),
+                    F.md5(F.concat(text(F.get(pair, F.lit(0))), F.lit("|"), text(F.get(pair, F.lit(1))))).alias("pair_md5"))
 
 
 # --- synthetic tasks (one sample per order: idx = o_orderkey) -------------------------------

@@ -264,3 +264,13 @@ def d43_fit_linear(spark, sf_dir):
                                                (F.col("l_extendedprice") / 1e5).alias("y"))
     hist = fit_linear(li, ["x"], "y", steps=20, lr=0.5, momentum=0.9, max_grad_norm=5.0)
     return spark.createDataFrame([(h["step"], h["loss"], h["w0"], h["b"]) for h in hist], "step int, loss double, w double, b double")
+
+
+@register("d43_fit_softmax", "D-43 D-33 D-36")
+def d43_fit_softmax(spark, sf_dir):
+    """20 Adam steps under a cosine schedule fit the embeddings' labels; every row's prediction."""
+    import math
+    from weft.operators.optim import fit_softmax, predict_softmax
+    e = Tables(spark, sf_dir).embeddings.select("vec_id", "embedding", "label")
+    w, _ = fit_softmax(e, "embedding", "label", 10, 64, 20, lambda t: 0.05 * (1 + math.cos(math.pi * t / 20)) / 2)
+    return predict_softmax(e, "embedding", w).select("vec_id", "label", "predicted")

@@ -164,3 +164,37 @@ def d34_lr_sequential(spark, sf_dir):
     expo = (lambda t, s: F.lit(s) * F.pow(F.lit(0.95), t), lambda t, s: s * 0.95 ** t)
     lg = log(spark, sf_dir)
     return lg.select("run_id", "step", F.round(OP.lr_sequential(F.col("step"), [warm, expo], [10], 0.1), 8).alias("lr"))
+
+
+_NESTED_SQL = """'{"train":{"steps":' || (event_id % 7) || ',"amp":' || CASE WHEN event_id % 3 = 0 THEN 'true' ELSE 'false' END
+  || ',"sched":{"name":"' || event_type || '"}},"seed":' || (event_id % 50) || '}'"""
+
+
+@register("d25_nested_config_diff", "D-25", sql=f"""WITH {RUNS_SQL},
+f AS (SELECT lg.run_id, MIN(lg.logged_at) AS created_at, arg_min(lg.event_id, (lg.logged_at, lg.event_id)) AS event_id FROM lg GROUP BY lg.run_id),
+c AS (SELECT f.run_id, f.created_at, f.event_id, event_type AS name FROM f JOIN events USING (event_id)),
+p AS (SELECT *, LAG(event_id) OVER (ORDER BY created_at, run_id) AS before, LAG(name) OVER (ORDER BY created_at, run_id) AS old FROM c),
+d AS (SELECT run_id, before, list_filter([
+    CASE WHEN name <> old THEN 'sched:' || old || '→' || name END,
+    CASE WHEN (event_id % 3 = 0) <> (before % 3 = 0) THEN CASE WHEN event_id % 3 = 0 THEN '+amp' ELSE '-amp' END END,
+    CASE WHEN event_id % 7 <> before % 7 THEN 'steps:' || (before % 7) || '→' || (event_id % 7) END,
+    CASE WHEN event_id % 50 <> before % 50 THEN 'seed:' || (before % 50) || '→' || (event_id % 50) END], lambda x: x IS NOT NULL) AS l FROM p)
+SELECT run_id, CASE WHEN before IS NULL THEN 'initial experiment' WHEN len(l) = 0 THEN 'no changes'
+  ELSE array_to_string(l[1:3], ', ') || CASE WHEN len(l) > 3 THEN ', etc ' || (len(l) - 3) || ' more' ELSE '' END END AS diff FROM d""")
+def d25_nested_config_diff(spark, sf_dir):
+    """Nested configs made of each run's first log event, compared with the previous run's; the scheduler
+    comes first, then the other training values, then the rest."""
+    ev = Tables(spark, sf_dir).events
+    config = F.to_json(F.struct(
+        F.struct((F.col("event_id") % 7).alias("steps"), (F.col("event_id") % 3 == 0).alias("amp"),
+                 F.struct(F.col("event_type").alias("name")).alias("sched")).alias("train"), (F.col("event_id") % 50).alias("seed")))
+    first = log(spark, sf_dir).groupBy("run_id").agg(F.min("logged_at").alias("created_at"), F.min_by("event_id", F.struct("logged_at", "event_id")).alias("event_id"))
+    cfg = first.join(ev.select("event_id", config.alias("config")), "event_id")
+    pr = RN.prev_run(cfg.select("run_id", "created_at", "config"))
+    old = RN.nested_leaves(cfg.select(F.col("run_id").alias("src"), "config"), "src").join(
+        pr.select("run_id", F.col("prev_run_id").alias("src")), "src").drop("src")
+    labels = {"train.steps": "steps", "train.amp": "amp", "train.sched.name": ("sched", 3), "seed": "seed"}
+    d = RN.nested_config_diff(RN.nested_leaves(pr.where("prev_run_id IS NOT NULL")), old, labels=labels, boosts={"train": 2})
+    return (pr.select("run_id", "prev_run_id").join(d, "run_id", "left")
+            .select("run_id", F.when(F.col("prev_run_id").isNull(), F.lit("initial experiment"))
+                    .otherwise(F.coalesce(F.col("diff"), F.lit("no changes"))).alias("diff")))
