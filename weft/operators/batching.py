@@ -254,6 +254,14 @@ def sequence_key(dataset, prompt, target, mask=None) -> Column:
     return F.concat_ws("|", *parts)
 
 
+def char_sequence_key(dataset, text) -> Column:
+    """B-18 for char-level targets without prompt or mask: the MD5 (16 bytes) of data set, length and text, in
+    which every character that the char vocabulary doesn't know is its unknown one, so keys are equal
+    exactly where the id sequences are, whose digits need not be written out."""
+    known = F.regexp_replace(_c(text), "[^\\x{00}-\\x{FF}]", "?")
+    return F.unhex(F.md5(F.concat_ws("|", _c(dataset).cast("string"), F.char_length(_c(text)).cast("string"), known)))
+
+
 def exclude_heldout(train: DataFrame, heldout: DataFrame, key: str = "key") -> DataFrame:
     """B-19: remove training rows whose key is in the held-out set.
 

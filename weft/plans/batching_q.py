@@ -187,9 +187,7 @@ def b17_right_pad(spark, sf_dir):
 def _para_keys(df, id_col, name):
     keep = [c for c in df.columns if c != "text"]
     p = df.select(*keep, F.posexplode(T.split_paragraphs(F.col("text"))).alias("para_idx", "para"))
-    ids = T.char_ids(F.col("para"))
-    empty = F.array().cast("array<int>")
-    return p.withColumn("key", B.sequence_key(F.lit(name), empty, ids))
+    return p.withColumn("key", B.char_sequence_key(F.lit(name), "para")).drop("para")
 
 
 HELDOUT_SQL = f"""tr AS (SELECT doc_id, source, unnest(l) AS para, unnest(range(len(l))) AS para_idx

@@ -469,3 +469,24 @@ def a01_read_text_corpus(spark, sf_dir):
     back = read_text_corpus(spark, f"{root}/*.txt")
     did = F.regexp_extract("path", "/([0-9]+)[.]txt$", 1).cast("long")
     return back.select(did.alias("doc_id"), F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
+
+
+PREPARED = ("char", "384")
+
+
+@register("a39_prepare_datasets", "A-39")
+def a39_prepare_datasets(spark, sf_dir):
+    """Documents of each language as a dataset, under the char vocabulary and a BPE vocabulary of 384 tokens trained
+    on it: shard files and manifest, checked against the files read back."""
+    import uuid
+    from weft.operators.prepare import prepare_datasets
+    from weft.sources.files import read_bin_shards
+    root = f"{checkpoint_dir(spark)}/prepared-{uuid.uuid4().hex[:8]}"
+    m = prepare_datasets(Tables(spark, sf_dir).documents.select("doc_id", "lang", "text"), PREPARED, root, "lang", ["doc_id"])
+    back = read_bin_shards(spark, f"{root}/shards").where("status = 'ok'")
+    pair = [F.regexp_extract("path", f"/{k}=([^/]+)/", 1).alias(k) for k in ("dataset", "vocab")]
+    files = back.select(*pair, "split", F.size("tokens").alias("n"), F.array_max("tokens").alias("top")).groupBy("dataset", "vocab", "split").agg(
+        F.count("*").alias("n_files"), F.sum("n").alias("n_read"), F.max("top").alias("largest_id"))
+    return m.join(files, ["dataset", "vocab", "split"], "left").select(
+        "dataset", "vocab", "split", "n_shards", "n_tokens", "vocab_size", ((F.col("n_files") == F.col("n_shards")) & (F.col("n_read") == F.col("n_tokens"))
+                                                                     & (F.col("largest_id") < F.col("vocab_size"))).alias("files_ok"))

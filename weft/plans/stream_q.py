@@ -196,7 +196,7 @@ def s04_stream_heldout_guard(spark, sf_dir):
     held = BQ._para_keys(t.benchmark.select("item_id", "text"), "item_id", "chars")
     paras = BQ._para_keys(t.documents.select("doc_id", "source", "text"), "doc_id", "chars").select("source", "doc_id", "para_idx", "key")
     for stream in _arrivals(paras, _ranges(t.documents, F.col("doc_id")), base):
-        query = EP.heldout_query(spark, base, held, "key", ["source"], ["doc_id", "para_idx"], "source string, doc_id long, para_idx int, key string",
+        query = EP.heldout_query(spark, base, held, "key", ["source"], ["doc_id", "para_idx"], "source string, doc_id long, para_idx int, key binary",
                                  MAX_SKIPS).run(stream)
     return EP.kept(query).select("source", "doc_id", "para_idx")
 

@@ -29,6 +29,19 @@ def _fs(path: str):
     return pafs.FileSystem.from_uri(path)
 
 
+def _put(path: str, data: bytes) -> None:
+    """A whole file at ``path``: written under a name of its own and then renamed, so that a task that dies
+    or runs twice leaves no part of a file where readers look."""
+    import uuid
+    fs, at = _fs(path)
+    folder, name = os.path.split(at)
+    fs.create_dir(folder, recursive=True)
+    own = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(own) as f:
+        f.write(data)
+    fs.move(own, at)
+
+
 def read_text_corpus(spark: SparkSession, path: str, max_chars: int | None = None) -> DataFrame:
     """A-01: whole files decoded as UTF-8 (malformed bytes -> U+FFFD), optionally cut to
     the first ``max_chars`` code points.  Returns (path, text)."""
@@ -79,10 +92,7 @@ def write_bin_shards(shards: DataFrame, root: str, keys=("dataset", "split", "sh
                 sub = "/".join(f"{k}={r[k]}" for k in keys[:-2])
                 d = f"{root.rstrip('/')}/{sub}" if sub else root.rstrip("/")
                 p = f"{d}/{r[keys[-2]]}-{int(r[keys[-1]]):04d}.bin"
-                fs, fp = _fs(p)
-                fs.create_dir(os.path.dirname(fp), recursive=True)
-                with fs.open_output_stream(fp) as f:
-                    f.write(shard_bytes(r["tokens"]))
+                _put(p, shard_bytes(r["tokens"]))
                 paths.append(p)
                 counts.append(len(r["tokens"]))
             yield pd.DataFrame({"path": paths, "n_tokens": counts})
@@ -114,10 +124,7 @@ def write_npy(tensors: DataFrame, root: str) -> DataFrame:
                 buf = io.BytesIO()
                 np.save(buf, arr)
                 p = f"{root.rstrip('/')}/{r['name']}.npy"
-                fs, fp = _fs(p)
-                fs.create_dir(os.path.dirname(fp), recursive=True)
-                with fs.open_output_stream(fp) as f:
-                    f.write(buf.getvalue())
+                _put(p, buf.getvalue())
                 paths.append(p)
             yield pd.DataFrame({"path": paths})
     return tensors.select("name", "shape", "values").mapInPandas(write, "path string")
@@ -143,10 +150,7 @@ def write_text_files(df: DataFrame, root: str, name: str, text: str) -> DataFram
             paths = []
             for n, t in zip(pdf[name], pdf[text]):
                 p = f"{root.rstrip('/')}/{n}.txt"
-                fs, fp = _fs(p)
-                fs.create_dir(os.path.dirname(fp), recursive=True)
-                with fs.open_output_stream(fp) as f:
-                    f.write((t or "").encode("utf-8"))
+                _put(p, (t or "").encode("utf-8"))
                 paths.append(p)
             yield pd.DataFrame({"path": paths})
     return df.select(F.col(name).cast("string").alias(name), text).mapInPandas(write, "path string")
