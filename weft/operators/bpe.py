@@ -307,3 +307,12 @@ def train_bpe(words: DataFrame, vocab_size: int | None = None, min_frequency: in
         if room():
             w = rewritten(w, "symbols", lambda seq: seq, passes)
     return vocab, merges
+
+
+def bpe_encode(docs: DataFrame, key: str, text: str, vocab: list[str], merges: list[tuple[str, str]],
+               bos: int | None = BOS_ID, eos: int | None = EOS_ID) -> DataFrame:
+    """A-20 in short: byte-level ids of every document between ``bos`` and ``eos`` as (key, ids); see
+    :func:`weft.operators.tokenizer.encode` for the policies, pairs and masks."""
+    from weft.operators import tokenizer as TK
+    words = TK.encode_words(docs.select(key, TK.words_of(text, model := TK.BpeModel(tuple(vocab), tuple(merges))).alias("words")), model)
+    return words.select(key, post_process(F.col("ids"), bos, eos).alias("ids"))
