@@ -30,10 +30,10 @@ def _tiles(m: DataFrame, batch: Sequence[str], row: str, col: str, val: str, til
     within = F.struct(F.pmod(F.col(row), F.lit(tile)).cast("int").alias("r"), F.pmod(F.col(col), F.lit(tile)).cast("int").alias("c"),
                       F.col(val).cast("double").alias("v"))
     rows = m.where(F.col(row).isNotNull() & F.col(col).isNotNull() & F.col(val).isNotNull())
-    # equal places add up first, so that a tile never has more than its elements
-    rows = rows.groupBy(*batch, row, col).agg(F.sum(F.col(val).cast("double")).alias(val))
-    return (rows.select(*batch, F.floor(F.col(row) / tile).cast("long").alias("_r"), F.floor(F.col(col) / tile).cast("long").alias("_c"),
-                        within.alias("e")).groupBy(*batch, "_r", "_c").agg(F.collect_list("e").alias(name)))
+    rows = rows.select(*batch, F.floor(F.col(row) / tile).cast("long").alias("_r"), F.floor(F.col(col) / tile).cast("long").alias("_c"), within.alias("e"))
+    # one shuffle, by tile: equal places add up first, so that a tile never has more than its elements
+    rows = rows.select(*batch, "_r", "_c", "e.*").repartition(*batch, "_r", "_c").groupBy(*batch, "_r", "_c", "r", "c").agg(F.sum("v").alias("v"))
+    return rows.groupBy(*batch, "_r", "_c").agg(F.collect_list(F.struct("r", "c", "v")).alias(name))
 
 
 def _dense(cell, tile: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,8 +60,8 @@ def matmul(a: DataFrame, b: DataFrame, i: str = "i", k: str = "k", j: str = "j",
     b_in, b_col = (j, k) if trans_b else (k, j)
     left = stage_table(_tiles(a, batch, a_row, a_in, a_val, tile, "_a").withColumnsRenamed({"_r": "_i", "_c": "_k"}), "row-tiles")
     right = _tiles(b, batch, b_in, b_col, b_val, tile, "_b").withColumnsRenamed({"_r": "_k", "_c": "_j"})
-    inner = left.select(*batch, "_k").distinct().count()
-    lanes = min(MOST_LANES, max(1, left.count() // (LANE_TILES * max(inner, 1))))
+    n_tiles, inner = left.agg(F.count("*"), F.approx_count_distinct(F.struct(*batch, "_k"))).first()
+    lanes = min(MOST_LANES, max(1, n_tiles // (LANE_TILES * max(inner, 1))))
     left = left.withColumn("_lane", F.pmod(F.col("_i"), F.lit(lanes)))
     right = right.withColumn("_lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
     pairs = left.join(right, [*batch, "_k", "_lane"]).select(*batch, "_i", "_j", "_a", "_b")
