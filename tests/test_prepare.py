@@ -11,11 +11,11 @@ from weft.sources.files import read_bin_shards
 def test_pairs_are_prepared_once_and_a_failed_pair_has_no_row(spark, tmp_path, monkeypatch):
     rows = [("a", 2, "second one\n\nwith two parts"), ("a", 1, "the first one"), ("b", 3, "the third one, the third"), ("b", 4, " \n"), (None, 5, "no set"), ("c", 6, "")]
     docs, root = spark.createDataFrame(rows, "set string, id long, text string"), f"{tmp_path}/out"
-    run = lambda: prepare.prepare_datasets(docs, ["char", "280"], root, "set", ["id"], per_shard=10)
+    run = lambda: prepare.prepare_datasets(docs, ["280", "char"], root, "set", ["id"], per_shard=10)
     real = prepare.write_bin_shards
 
     def failing(shards, *a, **k):
-        if shards.select("vocab").first()[0] == "280":
+        if shards.select("vocab").first()[0] == "char":
             raise RuntimeError("lost")
         return real(shards, *a, **k)
 
@@ -23,7 +23,7 @@ def test_pairs_are_prepared_once_and_a_failed_pair_has_no_row(spark, tmp_path, m
     with pytest.raises(RuntimeError, match="lost"):
         run()
     before = {(r.dataset, r.vocab) for r in prepare.done_pairs(spark, root).collect()}
-    assert before == {("a", "char"), ("b", "char")}
+    assert before == {("a", "280"), ("b", "280")}
     monkeypatch.setattr(prepare, "write_bin_shards", real)
     m = {(r.dataset, r.vocab, r.split): (r.n_shards, r.n_tokens, r.vocab_size) for r in run().collect()}
     assert {k[:2] for k in m} == {("a", "char"), ("a", "280"), ("b", "char"), ("b", "280")}
