@@ -76,3 +76,14 @@ def test_all_close_of_rows_side_by_side(spark):
     assert TS.all_close(rows, "i", "a", "a").first().all_close is True
     short = spark.createDataFrame([(1, [1.0], [1.0, 2.0])], rows.schema)
     assert TS.all_close(short, "i", "a", "b").first().all_close is False
+
+
+def test_squeeze_and_slices(spark):
+    m = spark.createDataFrame([(i, j, float(10 * i + j)) for i in range(4) for j in range(5)], "i long, j long, val double")
+    part = TS.slice_ranges(m, {"i": (1, 3), "j": (2, None)})
+    assert sorted(map(tuple, part.collect())) == [(i, j, float(10 * (i + 1) + j + 2)) for i in range(2) for j in range(3)]
+    assert TS.squeeze(TS.unsqueeze(m, "b"), "b").columns == m.columns
+    with pytest.raises(ValueError):
+        TS.unsqueeze(m, "j")
+    with pytest.raises(Exception, match="larger than one"):
+        TS.squeeze(m, "i").collect()

@@ -152,6 +152,27 @@ def narrow(long: DataFrame, dim: str, start: int, length: int) -> DataFrame:
     return long.filter((F.col(dim) >= start) & (F.col(dim) < start + length)).withColumn(dim, F.col(dim) - start)
 
 
+def slice_ranges(long: DataFrame, ranges: dict) -> DataFrame:
+    """C-54: keep ``[start, end)`` of several dimensions at once and rebase each to 0; an end of None is open."""
+    for dim, (start, end) in ranges.items():
+        keep = F.col(dim) >= start
+        long = long.filter(keep if end is None else keep & (F.col(dim) < end))
+    return long.withColumns({dim: F.col(dim) - start for dim, (start, _) in ranges.items()})
+
+
+def unsqueeze(long: DataFrame, dim: str) -> DataFrame:
+    """C-51: a new dimension of size one."""
+    if dim in long.columns:
+        raise ValueError(f"the tensor has a dimension {dim!r}")
+    return long.withColumn(dim, F.lit(0).cast("long"))
+
+
+def squeeze(long: DataFrame, dim: str, val: str = "val") -> DataFrame:
+    """C-51: without a dimension of size one; an element elsewhere than at 0 of it is an error when evaluated."""
+    bad = F.raise_error(F.concat(F.lit(f"dimension {dim} is larger than one: index "), F.col(dim).cast("string")))
+    return long.withColumn(val, F.when(F.col(dim) == 0, F.col(val)).otherwise(bad)).drop(dim)
+
+
 def chunk_ids(long: DataFrame, dim: str, size: int) -> DataFrame:
     """C-56/C-57: split ``dim`` into pieces of ``size`` (last may be short): adds ``chunk``, rebases ``dim``."""
     return long.withColumns({"chunk": F.floor(F.col(dim) / size).cast("long"), dim: F.col(dim) % size})

@@ -190,7 +190,7 @@ def c49_all_close(spark, sf_dir):
 
 # --- C4 shape ops -----------------------------------------------------------------
 
-@register("c50_reshape", "C-50 C-51", sql=f"""WITH {EL_SQL}
+@register("c50_reshape", "C-50", sql=f"""WITH {EL_SQL}
 SELECT CAST((vec_id * 64 + j) // 32 AS BIGINT) AS i, CAST((vec_id * 64 + j) % 32 AS BIGINT) AS j, {r('val')} AS val FROM el""")
 def c50_reshape(spark, sf_dir):
     el = TS.to_long(emb(spark, sf_dir).drop("label"), "vec_id", "v", "j", "val")
@@ -216,6 +216,17 @@ def c54_narrow_chunk(spark, sf_dir):
     return TS.chunk_ids(n, "j", 20).select("i", "chunk", F.col("j").cast("long").alias("j"), R(F.col("val")).alias("val"))
 
 
+@register("c51_squeeze_slice", "C-51 C-54", sql=f"""WITH {EL_SQL}
+SELECT CAST(0 AS BIGINT) AS b, vec_id - 10 AS i, CAST(j - 8 AS INTEGER) AS j, {r('val')} AS val FROM el WHERE vec_id >= 10 AND j >= 8 AND j < 40""")
+def c51_squeeze_slice(spark, sf_dir):
+    """Two ranges sliced at once from the matrix of all embeddings, under a leading dimension of size one that is
+    put on, taken off and put on again."""
+    el = TS.to_long(emb(spark, sf_dir).drop("label"), "vec_id", "v", "j", "val").withColumnRenamed("vec_id", "i")
+    part = TS.slice_ranges(el, {"i": (10, None), "j": (8, 40)})
+    part = TS.unsqueeze(TS.squeeze(TS.unsqueeze(part, "b"), "b"), "b")
+    return part.select("b", "i", F.col("j").cast("int").alias("j"), R(F.col("val")).alias("val"))
+
+
 @register("c58_cat_stack", "C-58 C-59", sql=f"""WITH {EL_SQL}
 SELECT CAST(0 AS BIGINT) AS s, vec_id AS i, j, {r('val')} AS val FROM el WHERE j < 24
 UNION ALL SELECT 0, vec_id, j + 24, {r('val * 2')} FROM el WHERE j < 24
