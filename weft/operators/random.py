@@ -81,3 +81,20 @@ def argmax_sample(logits: Column) -> Column:
     """D-14 at temperature 0: the lowest index of the maximum."""
     x = logits.cast("array<double>")
     return (F.array_position(x, F.array_max(x)) - 1).cast("int")
+
+
+def sample_next(df: DataFrame, logits: str, temperature: float, seed: int, id_col: str) -> DataFrame:
+    """D-14: ``(id_col, next_token)``: the largest logit (the first of equals) at temperature 0, else one draw from
+    softmax(logits / temperature), decided by ``seed`` and the id alone.
+
+    Logits are taken relative to the row's largest, so no exponent overflows; an empty or null row has no
+    next token.  A negative temperature is an error."""
+    if temperature < 0:
+        raise ValueError("temperature must not be negative")
+    if temperature == 0:
+        return df.select(id_col, argmax_sample(F.col(logits)).alias("next_token"))
+    x = F.col(logits).cast("array<double>")
+    top = F.array_max(x)
+    weights = df.where(F.size(logits) > 0).select(id_col, F.transform(x, lambda v: F.exp((v - top) / temperature)).alias("_w"))
+    drawn = multinomial_rows(weights, "_w", 1, seed, id_col=id_col)
+    return drawn.select(id_col, F.col("sample").alias("next_token"))

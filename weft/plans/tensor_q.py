@@ -531,6 +531,17 @@ def c95_multinomial(spark, sf_dir):
     return multinomial_rows(e, "w", 3, SEED, id_col="vec_id")
 
 
+@register("d14_sample_temperature", "D-14", sql=f"""WITH {EL_SQL},
+p AS (SELECT vec_id, j, exp((val - MAX(val) OVER (PARTITION BY vec_id)) / 0.7) AS w FROM el),
+c AS (SELECT vec_id, j, SUM(w) OVER (PARTITION BY vec_id ORDER BY j) AS cum, SUM(w) OVER (PARTITION BY vec_id) AS tot FROM p),
+d AS (SELECT vec_id, {uniform_sql(SEED, 'vec_id', '0')} AS u FROM (SELECT DISTINCT vec_id FROM el))
+SELECT d.vec_id, CAST(MIN(c.j) AS INTEGER) AS next_token FROM d JOIN c ON c.vec_id = d.vec_id AND c.cum >= d.u * c.tot GROUP BY d.vec_id""")
+def d14_sample_temperature(spark, sf_dir):
+    """The next token of every embedding taken as logits, at temperature 0.7."""
+    from weft.operators.random import sample_next
+    return sample_next(emb(spark, sf_dir).select("vec_id", "v"), "v", 0.7, SEED, "vec_id").select("vec_id", F.col("next_token").cast("int").alias("next_token"))
+
+
 @register("c96_quantize", "C-96 C-97 C-98", sql=f"""WITH {EL_SQL},
 b AS (SELECT vec_id, j // 32 AS blk, MAX(abs(val)) AS amax FROM el GROUP BY vec_id, j // 32),
 q AS (SELECT el.vec_id, el.j, el.val, b.blk, b.amax / 127.0 AS d8, b.amax / 7.0 AS d4 FROM el JOIN b ON el.vec_id = b.vec_id AND el.j // 32 = b.blk),
