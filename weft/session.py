@@ -43,7 +43,12 @@ def get_spark(master: str | None = None, app: str = "weft", shuffle_partitions:
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.startswith("local"):
+        # workers of this machine find the package wherever the program was started
+        env = spark.sparkContext.environment
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        env["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *filter(None, env.get("PYTHONPATH", "").split(os.pathsep))]))
+    else:
         ship_package(spark)
     return spark
 
