@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import ODD, docs, plain_components, plain_near
 from weft.llm import digest_index, queries, simhash
-from weft.llm.common import rows_that_stay
+from weft.llm.common import rows_that_stay, shared_path
 from weft.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -136,3 +136,40 @@ def test_index_persists_over_batches(spark):
     plan = again.rows().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan  # the buckets are the partitioning
     spark.sql("DROP TABLE seen_texts_test")
+
+
+def test_index_outlives_a_session_and_repeats_a_batch(spark):
+    path = shared_path(spark, "index-test")
+    rows = docs(spark, [(5, "a b"), (6, "a  b"), (7, "c")])
+    told = lambda df: {r.doc_id: tuple(r)[1:4] for r in df.collect()}
+    index = digest_index.DigestIndex(spark, "seen_path_one", buckets=3, path=path)
+    first = told(index.add(rows, batch_id="monday"))
+    assert told(index.add(rows, batch_id="monday")) == first == {5: (5, 2, True), 6: (5, 2, False), 7: (7, 1, True)}
+    later = spark.newSession()
+    later.sql("DROP TABLE seen_path_one")  # a catalogue that knows nothing of the index
+    again = digest_index.DigestIndex(later, "seen_path_two", buckets=8, path=path)
+    assert again.buckets == 3 and sorted(r.keep_id for r in again.rows().collect()) == [5, 7]
+    new = docs(later, [(1, "c"), (2, "d")])
+    want = {1: (7, 1, False), 2: (2, 1, True)}
+    assert told(again.add(new, batch_id="tuesday")) == want == told(again.add(new, batch_id="tuesday"))
+    # an attempt that left part of its batch in the index
+    part = digest_index.digests(docs(later, [(8, "e")])).select("digest", F.col("doc_id").alias("keep_id"), F.lit("wednesday").alias("batch"))
+    again._write(part)
+    assert told(again.add(docs(later, [(8, "e"), (9, "f"), (10, "a b")]), batch_id="wednesday")) == \
+        {8: (8, 1, True), 9: (9, 1, True), 10: (5, 1, False)}
+    assert again.rows().count() == again.rows().select("digest").distinct().count() == 5
+    later.sql("DROP TABLE seen_path_two")
+
+
+def test_exact_one_id_and_no_ids(spark):
+    for i in (None, 3):
+        df = digest_index.exact_duplicates(docs(spark, [(i, t) for t in ("a", "a", "b", None, "")]))
+        got = sorted((r.group_size, r.kept, r.keep_id) for r in df.collect())
+        assert got == [(1, True, i), (2, False, i), (2, False, i), (2, True, i), (2, True, i)]
+
+
+def test_rows_that_stay_with_columns_without_order(spark):
+    rows = docs(spark, [(1, "x"), (1, "x"), (2, "y")]).withColumn("tags", F.create_map(F.lit("k"), F.col("doc_id"))) \
+        .withColumn("extra", F.parse_json(F.lit('{"a":1}')))
+    stay = rows_that_stay(rows, digest_index.exact_duplicates(rows), "kept")
+    assert stay.columns == rows.columns and sorted((r.doc_id, r.tags["k"]) for r in stay.collect()) == [(1, 1), (2, 2)]

@@ -34,7 +34,7 @@ def text_or_empty(col="text"):
 def rows_that_stay(docs: DataFrame, answer: DataFrame, stays, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` (all its columns) for which a deduplication's ``answer`` (``doc_id,
     text_hash`` for every row) has ``stays`` true.  Rows that agree in id and text cannot be
-    told apart: of those one stays, the smallest by its other columns."""
+    told apart: of those one stays, the smallest by its JSON (so columns of any type will do)."""
     key = [F.col(id_col).cast("long").alias("k_id"), F.xxhash64(text_col).alias("k_text")]
     many = answer.groupBy("doc_id", "text_hash").count().where("count > 1")
     keep = answer.where(stays).select(F.col("doc_id").alias("keep_doc"), F.col("text_hash").alias("keep_text")).distinct()
@@ -43,5 +43,5 @@ def rows_that_stay(docs: DataFrame, answer: DataFrame, stays, id_col: str = "doc
     on = F.col("k_id").eqNullSafe(F.col("keep_doc")) & (F.col("k_text") == F.col("keep_text"))
     kept = inner.join(keep, on, "left_semi")
     if not many.isEmpty():
-        kept = kept.groupBy("k_id", "k_text").agg(F.min("row").alias("row"))
+        kept = kept.groupBy("k_id", "k_text").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return kept.select("row.*")
