@@ -213,3 +213,6 @@ def test_scan_of_foreign_files(spark, tmp_path):
     for block in (1, 2, 100):
         got = sorted((r.nth, r.start, r.n_tokens) for r in token_scan.scan_flat(spark, files, 9, block).collect())
         assert got == [(0, 0, 0), (1, 1, 0), (2, 2, 1), (3, 4, 3)]
+    gone = spark.createDataFrame([(f"file://{tmp_path}/none.bin", 4)], "file string, width int")
+    with pytest.raises(Exception, match="token files are gone"):
+        token_scan.scan_flat(spark, gone, 9)

@@ -65,12 +65,16 @@ def scan_flat(spark: SparkSession, files: DataFrame, end_id: int, block_ids: int
     file, the place of its first id and its ids without the end id.
 
     Ids after a file's last end id are one more document; an empty file has none; equal end
-    ids side by side bound empty documents.
+    ids side by side bound empty documents.  A file that is not there is an error.
     """
     def sizes(batches):
         for b in batches:
             got = [filesystem(f) for f in b.column(0).to_pylist()]
-            size = [fs.get_file_info(p).size or 0 for fs, p in got]
+            info = [fs.get_file_info(p) for fs, p in got]
+            gone = [i.path for i in info if not i.is_file]
+            if gone:
+                raise FileNotFoundError(f"token files are gone: {gone[:3]}")
+            size = [i.size for i in info]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(size, pa.int64())], names=["file", "width", "bytes"])
 
     blocks = (files.select("file", "width").mapInArrow(sizes, "file string, width int, bytes long")
