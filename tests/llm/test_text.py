@@ -184,6 +184,21 @@ def test_chat_odd_rows(spark):
         chat_format.turns_of_table(df.drop("turn"))
 
 
+def test_record_layouts_with_further_keys(spark):
+    rows = [(1, '{"id":7,"messages":[{"role":"user","content":"q","name":"x"},{"role":"assistant","content":"a"}]}'),
+            (2, '{"id":7,"messages":[],"meta":{"text":"t"}}'), (3, '{"prompt":"q","completion":"a","score":0.5,"text":"z"}'),
+            (4, '{"messages":[{"role":"user"},{"content":"a"}]}'), (5, '{"messages":"q"}'), (6, '{"prompt":"q","answer":"a"}'),
+            (7, '["messages"]'), (8, '{"messages":[{"from":"user","value":"q"}]}')]
+    found = chat_format.turns_of_records(spark.createDataFrame(rows, "id long, rec string"), "id", "rec")
+    got = {}
+    for r in found.orderBy("conv_id", "turn").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == {1: [("user", "q"), ("assistant", "a")], 3: [("user", "q"), ("assistant", "a")], 4: [("user", None), (None, "a")],
+                   **{i: [(None, None)] for i in (5, 6, 7, 8)}}
+    layout = {r.conv_id: r.layout for r in found.collect()}
+    assert layout[1] == chat_format.fingerprint_of(["messages[].role", "messages[].content"])
+
+
 def test_mixed_record_layouts(spark):
     rows = [(1, '{"messages":[{"role":"user","content":"q"},{"content":"a","role":"assistant"}]}'),
             (2, '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}'),

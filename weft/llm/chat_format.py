@@ -1,10 +1,10 @@
 """Chat formatting by schema fingerprints, with DataFrame operations only.
 
-Layouts: a record's nested field paths (``messages[].role``, ``instruction`` ...) are hashed to
-a fingerprint, and the fingerprint selects a declarative mapping that says where turns come
-from.  Tables have one fingerprint, taken from their schema.  Columns of JSON records have
-one a row, taken from the schema of the parsed value, so mixed layouts are told apart row
-by row.  Either way the result is canonical turns ``(conv_id, turn, role, text)``.
+Layouts: those of a record's nested field paths (``messages[].role``, ``instruction`` ...) that
+any mapping knows are hashed to a fingerprint, and a declarative mapping that says where turns
+come from is looked up by it.  Tables have one fingerprint, taken from their schema.  Columns
+of JSON records have one a row, taken from the parsed value, so mixed layouts are told apart
+row by row.  Either way the result is canonical turns ``(conv_id, turn, role, text)``.
 
 Template: ``<turn:ROLE>TEXT</turn>`` and a line feed, one rendered row a turn, so a
 conversation of any length is never one row here.  In roles and texts a backslash becomes
@@ -14,6 +14,8 @@ change is reversible.  The loss mask is the span of the escaped assistant text.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,30 +55,33 @@ def field_paths(schema: T.StructType) -> list[str]:
     return list(walk(schema, ""))
 
 
-def _variant_text(paths) -> str:
-    """How Spark writes the schema of a variant with these paths (types aside, names sorted)."""
-    tree: dict = {}
-    for p in paths:
-        node = tree
-        *steps, leaf = p.split(".")
-        for s in steps:
-            node = node.setdefault(s, {})
-        node[leaf] = {}
+def fingerprint_of(paths) -> str:
+    """Fingerprint of a set of field paths: SHA-256 of the sorted paths, one a line."""
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
+
+
+#: Fingerprint -> mapping: of tables of turns and of records.
+TABLES = {fingerprint_of(m["paths"]): m for m in MAPPINGS if "rows" in m}
+RECORDS = {fingerprint_of(m["paths"]): m for m in MAPPINGS if "rows" not in m}
+
 
-    def show(node):
-        inner = ", ".join(f"{k.removesuffix('[]')}: {f'ARRAY<{show(v)}>' if k.endswith('[]') else show(v) if v else '*'}"
-                          for k, v in sorted(node.items()))
-        return f"OBJECT<{inner}>"
-    return show(tree)
+def _known(mappings) -> list[str]:
+    return sorted({p for m in mappings.values() for p in m["paths"]})
 
 
-def _finger(text):
-    return F.xxhash64(F.lit(text) if isinstance(text, str) else text)
+def _has(record, path: str):
+    """Whether a variant column has a field path; an empty list has every path below it."""
+    if "[]." not in path:
+        return F.try_variant_get(record, f"$.{path}", "variant").isNotNull()
+    at, field = path.split("[].")
+    items = F.try_variant_get(record, f"$.{at}", "array<variant>")
+    return F.coalesce((F.size(items) == 0) | F.exists(items, lambda x: F.try_variant_get(x, f"$.{field}", "variant").isNotNull()), F.lit(False))
 
 
-def fingerprint(record) -> object:
-    """Fingerprint of a variant column: the hash of its field paths, scalar types left out."""
-    return _finger(F.regexp_replace(F.schema_of_variant(record), r": [A-Z]+(\(\d+,\s*\d+\))?(?=[,>])", ": *"))
+def fingerprint(record):
+    """Fingerprint of a variant column: of those field paths that any mapping of records knows."""
+    paths = F.array_compact(F.array(*[F.when(_has(record, p), F.lit(p)) for p in _known(RECORDS)]))
+    return F.sha2(F.array_join(paths, "\n"), 256)
 
 
 def _role(col):
@@ -94,24 +99,21 @@ def _listed(at: str, role: str, text: str):
 def turns_of_records(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """Mixed JSON records, one conversation a row -> ``(conv_id, turn, role, text, layout)``.
 
-    ``layout`` is the fingerprint.  Records of no known layout, nulls and malformed JSON give one
+    ``layout`` is the fingerprint; further keys do not matter.  Records of no known layout, nulls and malformed JSON give one
     turn with null role and text, so that nothing is lost unseen; empty lists give no turn.
     """
     v = df.select(F.col(id_col).cast("long").alias("conv_id"), F.try_parse_json(json_col).alias("v")) \
         .withColumn("layout", fingerprint("v"))
     empty = F.array(F.struct(F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text")))
-    pick = None
-    for m in MAPPINGS:
-        if "rows" in m:
-            continue
+    pick = F.when(F.lit(False), empty)
+    for layout, m in RECORDS.items():
         if "list" in m:
             turns = _listed(*m["list"])
         else:
             turns = F.array(*[F.struct(F.lit(r).alias("role"), F.concat_ws("\n\n", *[
                 F.nullif(F.try_variant_get("v", f"$.{f}", "string"), F.lit("")) for f in fields]).alias("text"))
                 for r, fields in m["fields"]])
-        when = F.col("layout") == _finger(_variant_text(m["paths"]))
-        pick = F.when(when, turns) if pick is None else pick.when(when, turns)
+        pick = pick.when(F.col("layout") == layout, turns)
     return v.select("conv_id", "layout", F.posexplode(F.coalesce(pick.otherwise(empty), empty)).alias("turn", "t")).select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.when(F.col("t.role").isNotNull(), _role(F.col("t.role"))).alias("role"),
         "t.text", "layout")
@@ -120,14 +122,13 @@ def turns_of_records(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
 def turns_of_table(df: DataFrame) -> DataFrame:
     """A table of turns -> ``(conv_id, turn, role, text)``: the mapping is selected by the fingerprint
     of the schema's known paths, so further columns don't matter.  Raises for other layouts."""
-    rows = {tuple(sorted(m["paths"])): m["rows"] for m in MAPPINGS if "rows" in m}
-    known = {p for m in rows for p in m}
-    have = tuple(sorted(set(field_paths(df.schema)) & known))
-    if have not in rows and "text" in have:  # both names of the text: the plain one counts
-        have = tuple(p for p in have if p != "content")
-    if have not in rows:
-        raise ValueError(f"no mapping for the layout {have}")
-    conv, turn, role, text = rows[have]
+    have = set(field_paths(df.schema)) & set(_known(TABLES))
+    if "text" in have:  # both names of the text: the plain one counts
+        have.discard("content")
+    layout = TABLES.get(fingerprint_of(have))
+    if layout is None:
+        raise ValueError(f"no mapping for the layout {sorted(have)}")
+    conv, turn, role, text = layout["rows"]
     return df.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"),
                      F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
                      F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
