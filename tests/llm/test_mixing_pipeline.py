@@ -37,7 +37,7 @@ def plain_targets(sizes, share=1.5, most=2.0):
 
 def plain_mix(rows):
     """[(doc_id, text, source)] -> [(doc_id, size, source_size, target, taken)] by sorting hashes."""
-    h = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16)
+    h = lambda i, t: int(hashlib.md5(f"{'' if i is None else i} {t or ''}".encode()).hexdigest()[:15], 16)
     size = {}
     for _, t, s in rows:
         size[s] = size.get(s, 0) + words(t)
@@ -47,14 +47,14 @@ def plain_mix(rows):
         need, groups = target[s] - passes[s] * size[s], {}
         for i, t, x in rows:
             if x == s and words(t):
-                groups[h(i)] = groups.get(h(i), 0) + words(t)
+                groups[h(i, t)] = groups.get(h(i, t), 0) + words(t)
         done, below[s] = 0, 0
         for k in sorted(groups):
             if done + groups[k] > need:
                 below[s] = k + 1 if done + groups[k] - need < need - done else k
                 break
             done += groups[k]
-    copies = [passes[s] + (h(i) < below[s]) for i, _, s in rows]
+    copies = [passes[s] + (h(i, t) < below[s]) for i, t, s in rows]
     return [(i, words(t), size[s], target[s], c * words(t)) for (i, t, s), c in zip(rows, copies)], copies
 
 
@@ -97,6 +97,16 @@ def test_mix_comes_near_and_stays_below_twice(spark):
     assert all(abs(taken[s] - target[s]) <= 20 for s in taken)
 
 
+def test_mix_comes_near_where_ids_are_missing_or_repeated(spark):
+    rows = [(None if i % 3 == 0 else i % 7 if i % 3 == 1 else i, f"t{i} " * (1 + i * 7919 % 40), f"s{i % 2}") for i in range(1200)]
+    got = mixed(spark, rows)
+    near_equal(got, plain_mix(rows)[0])
+    by_source = {(r[2], r[3]) for r in got}
+    assert len(by_source) == 2
+    for size, target in by_source:
+        assert abs(sum(r[4] for r in got if (r[2], r[3]) == (size, target)) - target) <= 20
+
+
 def plain_pipeline(spark, rows, model):
     """rows (doc_id, text, lang, source) -> rows of run()."""
     rows = [r for r in rows if not model.predict(r[1] or "")[2]]

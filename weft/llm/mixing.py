@@ -1,10 +1,10 @@
 """Mixing sources to target weights by hash-threshold histograms, DataFrame operations only.
 
-Every document has a 60-bit hash of its id.  A source's budget is met by whole passes over
+Every document has a 60-bit hash of its id and text.  A source's budget is met by whole passes over
 its documents plus those below a hash threshold.  The threshold is found without sorting:
 the words of a source are summed by the hash's top bits, the bucket in which the budget ends
-is refined by the next bits, and so on; each round reads only (source, hash, size) of the
-boundary buckets of the round before.  Histograms are partial aggregates of at most
+is refined by the next bits, and so on; from the second round on only (source, hash, size)
+of the first round's boundary buckets is read.  Histograms are partial aggregates of at most
 ``2 ** BITS`` rows a source and task.  The filter is then row-local.
 """
 
@@ -23,9 +23,10 @@ def n_words(col="text"):
     return F.regexp_count(text_or_empty(col), F.lit(WORD)).cast("long")
 
 
-def id_hash(id_col="doc_id"):
-    """60 bits of the id's MD5 as a number; the same in any engine.  A null id hashes as empty."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
+def row_hash(id_col="doc_id", text_col="text"):
+    """60 bits of the MD5 of id, space and text as a number; the same in any engine.  Nulls hash as empty."""
+    key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(" "), text_or_empty(text_col))
+    return F.conv(F.substring(F.md5(key), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -70,6 +71,9 @@ def thresholds(docs: DataFrame, target: DataFrame) -> DataFrame:
         inside = left.alias("d").join(
             state.select(F.col("source").alias("s"), "at"),
             F.col("source").eqNullSafe(F.col("s")) & (F.shiftrightunsigned("h", shift + BITS) == F.col("at")))
+        if r == 1:  # some 1 / 2 ** BITS of the rows; the later rounds read no others
+            left = staged(inside.select("source", "h", "size"), "mix-boundary")
+            inside = left
         hist = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
         run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         hist = hist.withColumn("upto", F.sum("words").over(run)).alias("x").join(
@@ -94,12 +98,12 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     """All rows and columns of ``docs`` plus a struct ``mix`` of ``size, source_size, target,
     copies, taken``: how often the mix takes the row and the words that gives.
 
-    A null text has size 0; a null source is a source of its own; rows with one doc_id are
-    taken together; a source without words has no budget and none of its rows is taken; an
+    A null text has size 0; a null source is a source of its own; rows with one doc_id
+    and text are taken together; a source without words has no budget and none of its rows is taken; an
     empty table gives no rows.
     """
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                        F.col(source_col).cast("string").alias("source"), id_hash(id_col).alias("h"),
+                        F.col(source_col).cast("string").alias("source"), row_hash(id_col, text_col).alias("h"),
                         n_words(text_col).alias("size"))
     slim = staged(inner.select("source", "h", "size"), "mix-sizes")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
