@@ -9,9 +9,14 @@ for characters outside the BMP.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weft.functions.arrays import let
+
 # fixed values: char vocabulary of the character-level path
 CHAR_EOS = 256          # end-of-sequence id (bos = eos = 256)
 CHAR_MASK = 257         # <mask>, making the vocabulary 258 with mask
@@ -153,6 +158,45 @@ def normalize_text(x, lowercase: bool = False, strip_left: bool = False, strip_r
     return c
 
 
+UNICODE_FORMS = ("NFC", "NFD", "NFKC", "NFKD")
+
+
+def unicode_form(x, form: str) -> Column:
+    """A-09: a Unicode normal form; null stays null.  Spark has none of its own, so texts go through
+    Arrow batches."""
+    if form not in UNICODE_FORMS:
+        raise ValueError(f"unknown Unicode form {form!r}")
+
+    @F.pandas_udf("string")
+    def normal(texts: pd.Series) -> pd.Series:
+        return texts.str.normalize(form) if len(texts) else texts
+    return normal(_c(x))
+
+
+def _prepended(text: str):
+    return lambda t: F.when(F.length(t) > 0, F.concat(F.lit(text), t)).otherwise(t)
+
+
+def normalize_sequence(x, steps: Sequence[str | tuple[str, str]]) -> Column:
+    """A-09: normaliser steps one after the other, in the order given.
+
+    A step is a Unicode form, ``"lower"``, ``"strip_left"``, ``"strip_right"``, ``"strip"`` or the
+    pair ``("prepend", text)``, which leaves an empty text alone."""
+    c = _c(x)
+    for step in steps:
+        if step in UNICODE_FORMS:
+            c = unicode_form(c, step)
+        elif step == "lower":
+            c = F.lower(c)
+        elif step in ("strip_left", "strip_right", "strip"):
+            c = normalize_text(c, strip_left=step != "strip_right", strip_right=step != "strip_left")
+        elif isinstance(step, tuple) and len(step) == 2 and step[0] == "prepend":
+            c = let(c, _prepended(step[1]))
+        else:
+            raise ValueError(f"unknown normaliser step {step!r}")
+    return c
+
+
 def split_added_tokens(x, tokens: list[str]) -> Column:
     """A-15: split a text into sections around added (special) tokens, longest match first;
     special tokens become their own sections and empty sections are dropped."""

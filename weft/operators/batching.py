@@ -64,6 +64,20 @@ def batch_ids(df: DataFrame, idx: str, size: int, drop_last: bool = False, out:
     return x
 
 
+def batch_results(df: DataFrame, idx: str, fields: Sequence[str], error: str, size: int = 16, drop_last: bool = True) -> DataFrame:
+    """B-05: batches of results: ``(batch, n_rows, columns, error)``.
+
+    Items whose ``error`` is not null failed.  Failed items take their places in the batch; once
+    it is full, its first error stands for it and it has no columns.  The short tail batch is
+    dropped by default, failed items or not."""
+    b = batch_ids(df, idx, size, drop_last)
+    item = F.struct(F.col(idx), *[F.col(f) for f in fields])
+    g = b.groupBy("batch").agg(F.count("*").alias("n_rows"), F.min_by(error, F.when(F.col(error).isNotNull(), F.col(idx))).alias("error"),
+                               F.array_sort(F.collect_list(item)).alias("_items"))
+    cols = F.struct(*[F.col(f"_items.{f}").alias(f) for f in fields])
+    return g.select("batch", "n_rows", F.when(F.col("error").isNull(), cols).alias("columns"), "error")
+
+
 def loader_length(df: DataFrame, size: int, drop_last: bool) -> Column:
     """B-06: number of batches (floor or ceil of n / size) as a scalar expression."""
     n = df.agg(F.count("*")).scalar()
@@ -337,3 +351,12 @@ def parse_seed(text) -> Column:
                     lambda a, c: (a * 31 + c).bitwiseAND(F.lit(M32)))
     signed = F.when(h >= 2 ** 31, h - 2 ** 32).otherwise(h)
     return F.coalesce(lead.try_cast("long"), F.abs(signed))
+
+
+FORK = 0x5EED  # the stream that child seeds are drawn from
+
+
+def fork_seed(parent, nth=0) -> Column:
+    """B-22: the ``nth`` child seed of a parent seed, a signed 32-bit number.  A child is drawn from its
+    parent alone, so it can be taken again anywhere, and forked in turn."""
+    return (F.floor(uniform(FORK, _c(parent), F.lit(nth) if isinstance(nth, int) else nth) * 4294967296.0) - 2147483648).cast("long")

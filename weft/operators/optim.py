@@ -172,15 +172,31 @@ def count_parameters(params: DataFrame, shape: str = "shape", values: str | None
     return params.agg(*aggs)
 
 
-def param_groups(params: DataFrame, name: str = "param_name", kind: str = "kind", module_type: str = "type_name") -> DataFrame:
-    """D-39: decay / no_decay membership: buffers are not optimised; biases and the weights of
-    normalisation modules are not decayed; everything else is.  Adds ``group`` and flags
-    ``overlap`` (both rules) and ``missing`` (neither) — both must be false."""
-    is_buf = F.col(kind) == "buffer"
-    no_decay = F.col(name).endswith("bias") | F.col(module_type).contains("Norm")
-    decay = ~no_decay
-    return params.filter(~is_buf).withColumn("group", F.when(no_decay, "no_decay").otherwise("decay")).withColumn(
-        "overlap", no_decay & decay).withColumn("missing", ~no_decay & ~decay)
+def param_groups(params: DataFrame, name: str = "param_name", kind: str = "kind", module_type: str = "type_name",
+                 decayed: Sequence[str] | None = None, undecayed: Sequence[str] | None = None) -> DataFrame:
+    """D-39: decay / no_decay membership; buffers are not optimised.
+
+    No decay: biases, and weights of modules of the types ``undecayed``.  Decay: weights of the
+    types ``decayed``, and what is neither weight nor bias.  Without type lists a module whose
+    type contains ``Norm`` is undecayed with all its parameters and every other one decayed.
+    Adds ``group`` (null if neither rule holds) and the flags ``overlap`` (both rules hold;
+    decay counts then) and ``missing`` (neither): :func:`check_param_groups` refuses both."""
+    n, t = F.coalesce(F.col(name), F.lit("")), F.coalesce(F.col(module_type), F.lit(""))
+    bias, weight, norm = n.endswith("bias"), n.endswith("weight"), t.contains("Norm")
+    of = lambda types: t.isin(list(types)) if types else F.lit(False)
+    no_decay = bias | (norm if undecayed is None else weight & of(undecayed))
+    decay = ~bias & (~norm if decayed is None else ~weight | of(decayed))
+    return params.filter(~F.col(kind).eqNullSafe(F.lit("buffer"))).withColumn("overlap", no_decay & decay).withColumn("missing", ~no_decay & ~decay).withColumn(
+        "group", F.when(decay, "decay").when(no_decay, "no_decay"))
+
+
+def check_param_groups(groups: DataFrame, path: str = "path", name: str = "param_name", shown: int = 5) -> None:
+    """D-39: raises if a parameter is in both groups or in none; one aggregate tells their numbers and the first few names."""
+    full = F.concat_ws(".", path, name)
+    bad = groups.filter("overlap OR missing").groupBy("overlap").agg(F.count("*").alias("n"))
+    for r in bad.orderBy("overlap").collect():  # two rows at most
+        some = [x[0] for x in groups.filter("overlap" if r.overlap else "missing").select(full).orderBy(full).limit(shown).collect()]
+        raise ValueError(f"{r.n} parameters are in {'both decay groups' if r.overlap else 'no decay group'}: {', '.join(some)}")
 
 
 def lr_sequential(t, schedules: Sequence, milestones: Sequence[int], base: float) -> Column:

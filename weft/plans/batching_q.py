@@ -274,6 +274,39 @@ def b08_collate_nested(spark, sf_dir):
                     F.md5(F.concat(text(F.get(pair, F.lit(0))), F.lit("|"), text(F.get(pair, F.lit(1))))).alias("pair_md5"))
 
 
+def _fork_sql(parent, nth):
+    return f"(CAST(floor({uniform_sql(B.FORK, parent, nth)} * 4294967296.0) AS BIGINT) - 2147483648)"
+
+
+@register("b22_fork_seeds", "B-22", sql=f"""
+WITH s AS (SELECT doc_id, CAST({_parse_seed_sql('source')} AS BIGINT) AS p FROM documents),
+c AS (SELECT *, {_fork_sql('p', '0')} AS c0, {_fork_sql('p', '1')} AS c1, {_fork_sql('p', 'doc_id')} AS own FROM s)
+SELECT doc_id, c0 AS child_0, c1 AS child_1, own AS child_of_doc, {_fork_sql('own', '0')} AS grandchild FROM c""")
+def b22_fork_seeds(spark, sf_dir):
+    """Seeds forked from each document's source seed, and once more from the child of the document."""
+    s = Tables(spark, sf_dir).documents.select("doc_id", B.parse_seed(F.col("source")).alias("p"))
+    s = s.select("doc_id", B.fork_seed("p").alias("child_0"), B.fork_seed("p", 1).alias("child_1"),
+                 B.fork_seed("p", F.col("doc_id")).alias("child_of_doc"))
+    return s.withColumn("grandchild", B.fork_seed("child_of_doc"))
+
+
+@register("b05_batch_results", "B-05", sql="""
+WITH l AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_totalprice > 400000 THEN 'too dear: ' || o_orderkey END AS error,
+                  row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders),
+b AS (SELECT idx // 16 AS batch, count(*) AS n_rows, arg_min(error, idx) FILTER (error IS NOT NULL) AS error,
+             list(o_orderkey ORDER BY idx) AS k, list(o_orderstatus ORDER BY idx) AS s FROM l GROUP BY idx // 16)
+SELECT CAST(batch AS BIGINT) AS batch, n_rows, error, CASE WHEN error IS NULL THEN md5(array_to_string(k, ',')) END AS keys_md5,
+       CASE WHEN error IS NULL THEN array_to_string(s, '') END AS statuses
+FROM b WHERE batch < (SELECT count(*) // 16 FROM orders)""")
+def b05_batch_results(spark, sf_dir):
+    """Orders in batches of 16, where an order above 400,000 is a failed item."""
+    bad = F.when(F.col("o_totalprice") > 400000, F.concat(F.lit("too dear: "), F.col("o_orderkey").cast("string")))
+    o = Tables(spark, sf_dir).orders.select("o_orderkey", "o_orderstatus", bad.alias("error"))
+    b = B.batch_results(B.sequential_index(o, ["o_orderkey"]), "idx", ["o_orderkey", "o_orderstatus"], "error")
+    return b.select("batch", "n_rows", "error", ids_md5(F.col("columns.o_orderkey")).alias("keys_md5"),
+                    F.array_join("columns.o_orderstatus", "").alias("statuses"))
+
+
 # --- synthetic tasks (one sample per order: idx = o_orderkey) -------------------------------
 
 from weft.operators import tasks as TK  # noqa: E402
@@ -422,3 +455,82 @@ def b36_two_sum(spark, sf_dir):
         F.sequence(F.lit(0), F.lit(3)), lambda j: F.when((i < j) & (F.element_at(nums, i + 1) + F.element_at(nums, j + 1) == t), 1).otherwise(0))))
     return g.select("o_orderkey", ids_md5(F.col("s.prompt")).alias("prompt_md5"), ids_md5(F.col("s.target")).alias("target_md5"),
                     (F.aggregate(pairs, F.lit(0), lambda a, x: a + x) == 1).alias("unique_solution"))
+
+
+# --- tasks as tokens with their switches ----------------------------------------------------
+
+from weft.operators import task_tokens as TT  # noqa: E402
+
+SWITCHED = [("addition", "plain", {"expression": False}), ("addition", "expression", {}), ("copy_memory", "commas", {"distractors": 4, "commas": True}),
+            ("copy_memory", "silent", {"distractors": 4, "recall": False}), ("parity", "colon", {}), ("parity", "plain", {"colon": False}),
+            ("repeat", "commas", {"commas": True}), ("slapjack", "doubles", {"sandwiches": False}),
+            ("slapjack", "sandwiches", {"doubles": False, "colon": False}), ("two_sum", "commas", {"commas": True}),
+            ("two_sum", "plain", {"expression": False})]
+
+
+def _pad_sql(x, width=2):
+    return f"list_transform({x}, lambda v: lpad(CAST(v AS VARCHAR), {width}, '0'))"
+
+
+def _comma_sql(x):
+    return f"flatten(list_transform({x}, lambda v, i: CASE WHEN i = 1 THEN [v] ELSE [',', v] END))"
+
+
+def _switch_sql():
+    """Prompt, target, vocabulary and inner columns of every setting."""
+    number = _pad_sql("range(21)")
+    add = f"CAST(floor({_u_sql(0)} * 21) AS INTEGER) AS s, CASE WHEN s = 0 THEN 0 ELSE CAST(floor({_u_sql(1)} * s) AS INTEGER) END AS a, {_pad_sql('[a, s - a, s]')} AS w"
+    letter = "list_transform({}, lambda v: 'L' || v)"
+    copy = f"{letter.format(_pad_sql(_draws_sql(0, 7, 10)))} AS w"
+    copy_vocab = letter.format(_pad_sql("range(11)"))
+    bits = f"{_draws_sql(0, 4, 2)} AS b, list_transform(b, lambda v: CAST(v AS VARCHAR)) AS w, [CASE WHEN list_sum(b) % 2 = 0 THEN 'even' ELSE 'odd' END] AS t"
+    rep = f"list_transform({_draws_sql(0, 3, 5)}, lambda v: substr('ABCDE', CAST(v + 1 AS BIGINT), 1)) AS w"
+    cards = f"list_transform({_draws_sql(0, 5, 12)}, lambda v: substr('{TT.CARDS}', CAST(v + 1 AS BIGINT), 1)) AS w"
+    act = f"list_transform(w, lambda c, i: CASE WHEN c = 'J' OR (i > {{0}} AND c = w[i - {{0}}]) THEN '{TT.SLAP}' ELSE '{TT.NO_SLAP}' END)"
+    deck = f"string_split('{','.join(TT.CARDS)}', ',')"
+    acts = f"['{TT.SLAP}', '{TT.NO_SLAP}']"
+    ab = f"""CAST(floor({_u_sql('0')} * 8) AS INTEGER) AS a, CAST(floor({_u_sql('1')} * 8) AS INTEGER) AS b, a + b AS t,
+      CAST(floor({_u_sql('2')} * 4) AS INTEGER) AS i, (i + 1 + CAST(floor({_u_sql('3')} * 3) AS INTEGER)) % 4 AS j,
+      list_filter(range(8), lambda v: v <> a AND v <> b AND v <> t - v AND (t - v < 0 OR t - v > 7
+        OR ({_u_sql('(least(v, t - v) + 1000)')} < 0.5) = (v < t - v))) AS f,
+      {_pad_sql(f"list_transform(range(4), lambda p: CASE WHEN p = i THEN a WHEN p = j THEN b ELSE f[CAST(floor({_u_sql('(p + 4)')} * len(f)) AS INTEGER) + 1] END)")} AS w,
+      lpad(CAST(t AS VARCHAR), 2, '0') AS g, {_pad_sql('[a, b]')} AS pair"""
+    low = _pad_sql("range(16)")
+    return {
+        ("addition", "plain"): ("w[1:2]", "w[3:3]", number, add),
+        ("addition", "expression"): ("[w[1], '+', w[2], '=']", "w[3:3]", f"list_concat({number}, ['+', '='])", add),
+        ("copy_memory", "commas"): (_comma_sql("list_append(w, '?')"), "w[1:3]", f"list_concat({copy_vocab}, [',', '?'])", copy),
+        ("copy_memory", "silent"): ("w", "w[1:3]", copy_vocab, copy),
+        ("parity", "colon"): ("list_append(w, ':')", "t", "['0', '1', ':', 'even', 'odd']", bits),
+        ("parity", "plain"): ("w", "t", "['0', '1', 'even', 'odd']", bits),
+        ("repeat", "commas"): (f"list_append({_comma_sql('w')}, ':')", _comma_sql("w"), "['A', 'B', 'C', 'D', 'E', ':', ',']", rep),
+        ("slapjack", "doubles"): ("list_append(w, ':')", act.format(1), f"list_concat({deck}, [':'], {acts})", cards),
+        ("slapjack", "sandwiches"): ("w", act.format(2), f"list_concat({deck}, {acts})", cards),
+        ("two_sum", "commas"): (f"list_concat({_comma_sql('w')}, [':', g, '='])", _comma_sql("pair"), f"list_concat({low}, [':', '=', ','])", ab),
+        ("two_sum", "plain"): ("list_append(w, g)", "pair", low, ab),
+    }
+
+
+def _switched_sql():
+    parts = [f"SELECT '{task}' AS task, '{setting}' AS setting, o_orderkey AS idx, {p} AS p, {t} AS t, {vocab} AS vocab FROM (SELECT o_orderkey, {inner} FROM orders)"
+             for (task, setting), (p, t, vocab, inner) in _switch_sql().items()]
+    return ("SELECT task, setting, idx, array_to_string(p, ' ') AS prompt, array_to_string(t, ' ') AS target, "
+            + md5_sql("list_transform(list_concat(p, t), lambda x: list_position(vocab, x) - 1)")
+            + " AS ids_md5, CAST(len(vocab) + 3 AS INTEGER) AS vocab_size FROM (" + "\nUNION ALL\n".join(parts) + ")")
+
+
+@register("b38_task_switches", "B-23 B-26 B-29 B-31 B-34 B-36 B-38", sql=_switched_sql())
+def b38_task_switches(spark, sf_dir):
+    """Eleven settings of six tasks, one sample per order, as tokens and as ids of the setting's vocabulary."""
+    o = Tables(spark, sf_dir).orders.select("o_orderkey")
+    rows = []
+    for task, setting, switches in SWITCHED:
+        p, t = TT.TOKEN_TASKS[task](F.col("o_orderkey"), TASK_SEED, **switches)
+        kinds = {k: v for k, v in switches.items() if k in ("expression", "recall", "commas", "colon")}
+        vocab = TT.vocabulary(task, **({"max_value": 15} if task == "two_sum" else {}), **kinds)
+        rows.append(F.struct(F.lit(task).alias("task"), F.lit(setting).alias("setting"), p.alias("p"), t.alias("t"),
+                             F.lit(vocab).alias("vocab")))
+    x = o.select("o_orderkey", F.explode(F.array(*rows)).alias("r"))
+    return x.select("r.task", "r.setting", F.col("o_orderkey").alias("idx"), F.array_join("r.p", " ").alias("prompt"),
+                    F.array_join("r.t", " ").alias("target"), ids_md5(TT.token_ids(F.concat("r.p", "r.t"), F.col("r.vocab"))).alias("ids_md5"),
+                    (F.size("r.vocab") + len(TT.SPECIALS)).alias("vocab_size"))

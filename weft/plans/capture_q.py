@@ -256,6 +256,26 @@ def d39_param_groups(spark, sf_dir):
     return g.select("path", "param_name", "group")
 
 
+DECAYED, UNDECAYED = ("Building", "Machinery", "Automobile"), ("Automobile", "Household")
+
+
+@register("d39_group_flags", "D-39", sql=f"""WITH {TREE_SQL},
+p AS (SELECT nodes.path, n.name AS param_name, nodes.type_name FROM nodes JOIN customer ON nodes.key = customer.c_custkey,
+      (SELECT unnest(['weight', 'bias', 'scale']) AS name) n),
+f AS (SELECT *, ends_with(param_name, 'bias') OR (param_name = 'weight' AND type_name IN {UNDECAYED}) AS no_decay,
+      param_name = 'scale' OR (param_name = 'weight' AND type_name IN {DECAYED}) AS decay FROM p)
+SELECT path, param_name, CASE WHEN decay THEN 'decay' WHEN no_decay THEN 'no_decay' END AS "group",
+       decay AND no_decay AS overlap, NOT decay AND NOT no_decay AS missing FROM f""")
+def d39_group_flags(spark, sf_dir):
+    """Three parameters of every customer module under type lists that overlap in one type and miss another."""
+    from weft.operators.optim import param_groups
+    m, _ = tree(spark, sf_dir, with_closure=False)
+    cu = Tables(spark, sf_dir).customer.select(F.col("c_custkey").alias("key"))
+    p = m.filter(F.col("key").isNotNull()).join(cu, "key").select(
+        "path", "type_name", F.explode(F.array(F.lit("weight"), F.lit("bias"), F.lit("scale"))).alias("param_name"), F.lit("parameter").alias("kind"))
+    return param_groups(p, decayed=DECAYED, undecayed=UNDECAYED).select("path", "param_name", "group", "overlap", "missing")
+
+
 @register("d43_fit_linear", "D-43 D-41 D-42 D-35")
 def d43_fit_linear(spark, sf_dir):
     """20 full-batch steps fitting extendedprice/1e5 ~ w * quantity/50 + b over every line item."""

@@ -166,6 +166,18 @@ def a09_normalize_text(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(n).alias("norm_md5"))
 
 
+@register("a09_unicode_forms", "A-09", sql=f"""
+WITH n AS (SELECT doc_id, nfc_normalize('e' || chr(769) || coalesce(text, '') || chr(8491)) AS c FROM documents)
+SELECT doc_id, md5(c) AS nfc_md5, md5(c) AS through_nfd_md5, md5('▁' || regexp_replace(lower(c), '^{Q.JS_SPACE}+', '')) AS steps_md5 FROM n
+""")
+def a09_unicode_forms(spark, sf_dir):
+    """Documents between two composable characters: composed, decomposed and composed again, and a sequence of steps."""
+    t = F.concat(F.lit("e\u0301"), F.coalesce("text", F.lit("")), F.lit("\u212b"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(T.unicode_form(t, "NFC")).alias("nfc_md5"),
+                                      F.md5(T.normalize_sequence(t, ["NFD", "NFC"])).alias("through_nfd_md5"),
+                                      F.md5(T.normalize_sequence(t, ["NFC", "lower", "strip_left", ("prepend", "▁")])).alias("steps_md5"))
+
+
 def _pieces_sql(expr):
     return f"SELECT doc_id, CAST(len(p) AS INTEGER) AS n_pieces, md5(array_to_string(p, '|')) AS pieces_md5 FROM (SELECT doc_id, {expr} AS p FROM documents)"
 
