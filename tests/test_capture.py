@@ -90,3 +90,17 @@ def test_slice_capture(spark):
 def test_select_site(spark):
     caps = spark.createDataFrame([("model/a", "input", 1.0), ("model/a", "output", 2.0)], "path string, site string, v double")
     assert [r.v for r in CP.select_site(caps, "output").collect()] == [2.0]
+
+
+def test_facets_pipe_before_slice_and_gradients(spark):
+    df = spark.createDataFrame([("m/a", [1.0, 2.0, 3.0, 4.0], [0.0, -1.0, 5.0, 7.0]), ("m/b", [9.0, 9.0, 9.0, 9.0], None)],
+                               "path string, values array<double>, gradients array<double>")
+
+    def last_two(**kw):
+        return {r.path: (r.label, r["values"]) for r in CP.capture_values(df, [4], [(2, 4)], **kw).collect()}
+    assert last_two() == {"m/a": ("m/a", [3.0, 4.0]), "m/b": ("m/b", [9.0, 9.0])}
+    turned = last_two(pipe=F.reverse, scale="200%", label="end")  # the pipe sees the whole tensor
+    assert turned["m/a"] == ("end", [4.0, 2.0])
+    assert last_two(grad=True) == {"m/a": ("m/a", [5.0, 7.0]), "m/b": ("m/b", None)}
+    whole = CP.capture_values(df, [4], grad=True, normalize=True).collect()
+    assert abs(sum(whole[0]["values"])) < 1e-9 and whole[1]["values"] is None

@@ -388,6 +388,24 @@ def capture_facets(values: Column, scale: float | str | None = None, normalize:
     return v
 
 
+def capture_values(matches: DataFrame, shape: Sequence[int], spec: Sequence = (), pipe=None, scale: float | str | None = None,
+                   normalize: bool = False, grad: bool = False, label: str | None = None, values: str = "values",
+                   gradients: str = "gradients") -> DataFrame:
+    """E-20 / E-21: matches with what a selector's facets make of their captured tensors, in ``values``.
+
+    ``grad`` takes the gradient instead of the value (null where none was kept); ``pipe``, a
+    function of the whole array column, comes before the slice ``spec``; then scale and norm.
+    ``label`` is a column of its own, by default the match's path."""
+    captured = v = F.col(gradients if grad else values)
+    if pipe is not None:
+        v = pipe(v)
+    if spec:
+        v = slice_capture(v, shape, spec)
+    rest = [c for c in matches.columns if c not in (values, gradients, "label")]
+    return matches.select(*rest, (F.col("path") if label is None else F.lit(label)).alias("label"),
+                          F.when(captured.isNotNull(), capture_facets(v, scale, normalize)).alias(values))
+
+
 def flatten_matches(matches: DataFrame, values: str = "values", query_idx: str = "query_idx") -> DataFrame:
     """E-22: one row per captured element with id ``path:index:query`` (array-of-array matches skipped)."""
     m = matches.filter(~F.col(values).isNull())

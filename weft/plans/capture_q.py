@@ -230,6 +230,20 @@ def e19_slice_capture(spark, sf_dir):
     return e.select("vec_id", F.posexplode(y).alias("k", "val")).select("vec_id", "k", F.round("val", 6).alias("val"))
 
 
+@register("e20_facets", "E-20 E-21", sql=f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT vec_id, list_transform({[i + 1 for i in SLICE_IDX]}, lambda p: greatest(2 * v[p], 0) * 0.5) AS y FROM e)
+SELECT vec_id, 'half the rising slope' AS label, CAST(unnest(range(len(y))) AS INTEGER) AS k, round(unnest(y), 6) AS val FROM s""")
+def e20_facets(spark, sf_dir):
+    """Gradients of each vector's squared length, piped through relu, sliced as 8x8, scaled and labelled."""
+    v = F.col("embedding").cast("array<double>")
+    m = Tables(spark, sf_dir).embeddings.select("vec_id", F.col("vec_id").cast("string").alias("path"), v.alias("values"),
+                                                F.transform(v, lambda x: x * 2).alias("gradients"))
+    relu = lambda a: F.transform(a, lambda x: F.greatest(x, F.lit(0.0)))
+    c = CP.capture_values(m, [8, 8], SLICE_SPEC, pipe=relu, scale="50%", grad=True, label="half the rising slope")
+    return c.select("vec_id", "label", F.posexplode("values").alias("k", "val")).select("vec_id", "label", "k", F.round("val", 6).alias("val"))
+
+
 @register("e24_module_index", "E-24", sql=f"""WITH {TREE_SQL}, {OPLOG_SQL}
 SELECT module_path, CAST(COUNT(*) AS BIGINT) AS n_ops, array_to_string(list_sort(list(DISTINCT op)), ',') AS ops,
        MIN(seq) AS first_seq, MAX(seq) AS last_seq FROM ops GROUP BY module_path""")
