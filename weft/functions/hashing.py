@@ -12,6 +12,10 @@ Every builder has a twin that emits the same expression as SQL text
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,6 +92,42 @@ def uniform(seed, *parts) -> Column:
     return hash32(seed, *parts).cast("double") / F.lit(4294967296.0)
 
 
+def _mix32_array(x: np.ndarray) -> np.ndarray:
+    """The finaliser on an array of uint64 below 2^32."""
+    m = np.uint64(M32)
+    x = ((x ^ (x >> np.uint64(16))) * np.uint64(FMIX_C1)) & m
+    x = ((x ^ (x >> np.uint64(13))) * np.uint64(FMIX_C2)) & m
+    return x ^ (x >> np.uint64(16))
+
+
+def uniform_array(seed: int, ids: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """``uniform(seed, id, position)`` for every id (rows) and position (columns)."""
+    h = np.uint64(mix32_int(seed))
+    for p in (ids[:, None], positions[None, :]):
+        v = p.astype(np.int64)
+        folded = ((v & M32) ^ ((v >> 32) & M32)).astype(np.uint64)
+        h = _mix32_array((h ^ (folded + np.uint64(GOLDEN))) & np.uint64(M32))
+    return h / 4294967296.0
+
+
+def draws(seed: int, idx: Column, positions: Sequence[int], n: int | None = None) -> Column:
+    """ARRAY<DOUBLE> of ``uniform(seed, idx, k)`` for the given positions k or, with ``n``, ARRAY<INT> of
+    ``floor(uniform * n)``; a null idx has null elements.
+
+    A hash as a column expression is interpreted node by node in every lambda; here a whole Arrow batch of ids
+    is hashed at once.  Not for use inside a lambda (bind the array with ``let``)."""
+    ks = np.array(list(positions), np.int64)
+
+    @F.arrow_udf("array<double>" if n is None else "array<int>")
+    def drawn(ids: pa.Array) -> pa.Array:
+        x = uniform_array(seed, ids.fill_null(0).to_numpy(zero_copy_only=False), ks)
+        x = x if n is None else np.floor(x * n).astype(np.int32)
+        none = np.repeat(ids.is_null().to_numpy(zero_copy_only=False), len(ks))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * len(ks), pa.int32()), pa.array(x.ravel(), mask=none))
+
+    return drawn(idx.cast("long"))
+
+
 # ---- SQL twins (DuckDB / ANSI text; DuckDB spells XOR as xor()) -------------
 
 def imul32_sql(a: str, b: int) -> str:

@@ -3,7 +3,8 @@
 Each generator is a pure function of (seed, sample index): draw k of sample i is
 ``uniform(seed, i, k)``, so any index regenerates its sample on its own (B-39),
 whatever the partitioning, and generation is a narrow projection over an index
-column (one sample per input row).  The reference's Mersenne-Twister streams are
+column (one sample per input row).  The draws of a sample are one array, made in Arrow
+batches (``hashing.draws``); the task rules are column expressions over it.  The reference's Mersenne-Twister streams are
 not reproduced; the task rules are.
 """
 
@@ -13,27 +14,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weft.functions.arrays import let
-from weft.functions.hashing import uniform
+from weft.functions.hashing import draws
 
 
-def _u(seed: int, idx: Column, k) -> Column:
-    return uniform(seed, idx, k if isinstance(k, Column) else F.lit(k))
-
-
-def _draw(seed, idx, k, n) -> Column:
-    """Integer in [0, n) from draw k."""
-    return F.floor(_u(seed, idx, k) * n).cast("int")
+def _draws(seed, idx, start: int, length: int, n: int) -> Column:
+    """Integers in [0, n) from the draws start, start + 1, .."""
+    return draws(seed, idx, range(start, start + length), n)
 
 
-def _draws(seed, idx, start: int, length: int, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(start), F.lit(start + length - 1)), lambda k: F.floor(_u(seed, idx, k) * n).cast("int"))
+def _below(u: Column, n) -> Column:
+    """Integer in [0, n) from a uniform draw."""
+    return F.floor(u * n).cast("int")
 
 
 def addition(idx: Column, seed: int, max_value: int = 20) -> tuple[Column, Column]:
     """B-23: sum in [0, max], a in [0, sum-1] (0 when sum = 0), b = sum - a; prompt ``a + b =``
     (ids: numbers 0..max, '+' = max+1, '=' = max+2); target [sum]."""
-    s = _draw(seed, idx, 0, max_value + 1)
-    a = F.when(s == 0, F.lit(0)).otherwise(F.floor(_u(seed, idx, 1) * s).cast("int"))
+    u = draws(seed, idx, range(2))
+    s = _below(u[0], max_value + 1)
+    a = F.when(s == 0, F.lit(0)).otherwise(_below(u[1], s))
     return F.array(a, F.lit(max_value + 1), s - a, F.lit(max_value + 2)), F.array(s)
 
 
@@ -82,9 +81,9 @@ JACK = 10  # card 'J' among 13 card ranks 0..12
 
 def slap_rule(cards: Column) -> Column:
     """B-34 / B-40: slap (1) at a position whose card is J, equals the previous card, or the one two back."""
-    return F.transform(cards, lambda c, i: F.when(
-        (c == JACK) | ((i >= 1) & (c == F.try_element_at(cards, i))) | ((i >= 2) & (c == F.try_element_at(cards, i - 1))),
-        F.lit(1)).otherwise(F.lit(0)))
+    return let(cards, lambda all_: F.transform(all_, lambda c, i: F.when(
+        (c == JACK) | ((i >= 1) & (c == F.try_element_at(all_, i))) | ((i >= 2) & (c == F.try_element_at(all_, i - 1))),
+        F.lit(1)).otherwise(F.lit(0))))
 
 
 def slapjack(idx: Column, seed: int, length: int = 5) -> tuple[Column, Column]:
@@ -113,11 +112,12 @@ def temporal_order(idx: Column, seed: int, length: int = 13, vocab: int = 10) ->
     target [X, Y] or [Y, X] by order of appearance.  Needs length >= 2."""
     if length < 2:
         raise ValueError("temporal order needs length >= 2")
-    px = _draw(seed, idx, 0, length)
-    q = _draw(seed, idx, 1, length - 1)
+    u, fill = draws(seed, idx, range(2)), _draws(seed, idx, 2, length, vocab)
+    px = _below(u[0], length)
+    q = _below(u[1], length - 1)
     py = F.when(q >= px, q + 1).otherwise(q)
-    fill = _draws(seed, idx, 2, length, vocab)
-    prompt = F.transform(fill, lambda f, i: F.when(i == px, F.lit(vocab)).when(i == py, F.lit(vocab + 1)).otherwise(f))
+    prompt = let(F.struct(fill.alias("fill"), px.alias("px"), py.alias("py")), lambda c: F.transform(
+        c["fill"], lambda f, i: F.when(i == c["px"], F.lit(vocab)).when(i == c["py"], F.lit(vocab + 1)).otherwise(f)))
     tgt = F.when(px < py, F.array(F.lit(vocab), F.lit(vocab + 1))).otherwise(F.array(F.lit(vocab + 1), F.lit(vocab)))
     return prompt, tgt
 
@@ -129,19 +129,20 @@ def dyck(idx: Column, seed: int, length: int = 10, order: int = 2) -> tuple[Colu
     (``dyck_mask``) marks closing positions."""
     n = length - (length % 2)
 
-    def step(acc, k):
+    def step(acc, k, u):
         stack, out = acc["stack"], acc["out"]
         depth = F.size(stack)
         remaining = F.lit(n) - k
         must_close = depth >= remaining
-        close = (depth > 0) & (must_close | (_u(seed, idx, k * 2) < 0.5))
-        t = F.floor(_u(seed, idx, k * 2 + 1) * order).cast("int")
+        close = (depth > 0) & (must_close | (u[k * 2] < 0.5))
+        t = F.floor(u[k * 2 + 1] * order).cast("int")
         top = F.try_element_at(stack, F.lit(-1))
         new_stack = F.when(close, F.slice(stack, 1, depth - 1)).otherwise(F.concat(stack, F.array(t)))
         tok = F.when(close, top * 2 + 1).otherwise(t * 2)
         return F.struct(new_stack.alias("stack"), F.concat(out, F.array(tok)).alias("out"))
     init = F.struct(F.array().cast("array<int>").alias("stack"), F.array().cast("array<int>").alias("out"))
-    seq = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), init, step)["out"] if n > 0 else F.array().cast("array<int>")
+    seq = let(draws(seed, idx, range(2 * n)), lambda u: F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), init, lambda acc, k: step(acc, k, u))[
+        "out"]) if n > 0 else F.array().cast("array<int>")
     return F.array().cast("array<int>"), seq
 
 
@@ -235,9 +236,9 @@ def _elman_templates_literal() -> Column:
 def elman(idx: Column, seed: int) -> tuple[Column, Column]:
     """B-28: a template (draw 0), then one word per slot (draw 1 + slot); PAD for empty slots.
     Returns (words, ids) with ids = positions in ``elman_vocab()``."""
-    tpl = F.element_at(_elman_templates_literal(), _draw(seed, idx, 0, len(ELMAN_TEMPLATES)) + 1)
-    words = F.transform(tpl, lambda s, j: F.when(s.isNull(), F.lit("PAD")).otherwise(
-        F.element_at(s, (F.floor(_u(seed, idx, j + 1) * F.size(s)) + 1).cast("int"))))
+    words = let(draws(seed, idx, range(1 + len(ELMAN_TEMPLATES[0]))), lambda u: F.transform(
+        F.element_at(_elman_templates_literal(), _below(u[0], len(ELMAN_TEMPLATES)) + 1),
+        lambda s, j: F.when(s.isNull(), F.lit("PAD")).otherwise(F.element_at(s, _below(u[j + 1], F.size(s)) + 1))))
     vocab = elman_vocab()
     m = F.create_map(*[x for i, w in enumerate(vocab) for x in (F.lit(w), F.lit(i))])
     return words, F.transform(words, lambda w: m[w])
@@ -271,21 +272,22 @@ def two_sum(idx: Column, seed: int, length: int = 4, max_number: int = 15) -> tu
     a, b and t / 2; whatever fills the free places, no other pair makes t.  Raises if nothing
     is left to fill with (very small ``max_number``)."""
     top = max_number // 2
-    a, b = _draw(seed, idx, 0, top + 1), _draw(seed, idx, 1, top + 1)
-    i = _draw(seed, idx, 2, length)
-    j = (i + 1 + _draw(seed, idx, 3, length - 1)) % length
-
-    def may_fill(v, a, b):
-        other = a + b - v
-        heads = _u(seed, idx, F.least(v, other) + 1000) < 0.5
-        return (v != a) & (v != b) & (v != other) & ((other < 0) | (other > top) | (heads == (v < other)))
-
-    fill = let(F.struct(a.alias("a"), b.alias("b")), lambda c: F.filter(
-        F.sequence(F.lit(0), F.lit(top)), lambda v: may_fill(v, c["a"], c["b"])))
-    fill = let(fill, lambda f: F.when(F.size(f) > 0, f).otherwise(
-        F.raise_error(F.lit("two_sum: max_number leaves no filler")).cast("array<int>")))
-
-    numbers = let(F.struct(fill.alias("fill"), a.alias("a"), b.alias("b"), i.alias("i"), j.alias("j")), lambda c: F.transform(
-        F.sequence(F.lit(0), F.lit(length - 1)), lambda p: F.when(p == c["i"], c["a"]).when(p == c["j"], c["b"]).otherwise(
-            F.element_at(c["fill"], (F.floor(_u(seed, idx, p + 4) * F.size(c["fill"])) + 1).cast("int")))))
-    return F.concat(numbers, F.array(a + b)), F.array(a, b)
+    u, coins = draws(seed, idx, range(4 + length)), draws(seed, idx, range(1000, 1001 + top))
+    given = F.struct(u.alias("u"), coins.alias("coins"), _below(u[0], top + 1).alias("a"), _below(u[1], top + 1).alias("b"),
+                     _below(u[2], length).alias("i"), _below(u[3], length - 1).alias("step"))
+
+    def may_fill(v, c):
+        other = c["a"] + c["b"] - v
+        heads = F.get(c["coins"], F.least(v, other)) < 0.5
+        return (v != c["a"]) & (v != c["b"]) & (v != other) & ((other < 0) | (other > top) | (heads == (v < other)))
+
+    def numbers(c):
+        fill = F.filter(F.sequence(F.lit(0), F.lit(top)), lambda v: may_fill(v, c))
+        fill = let(fill, lambda f: F.when(F.size(f) > 0, f).otherwise(
+            F.raise_error(F.lit("two_sum: max_number leaves no filler")).cast("array<int>")))
+        j = (c["i"] + 1 + c["step"]) % length
+        return let(F.struct(fill.alias("fill"), j.alias("j")), lambda d: F.transform(
+            F.sequence(F.lit(0), F.lit(length - 1)), lambda p: F.when(p == c["i"], c["a"]).when(p == d["j"], c["b"]).otherwise(
+                F.element_at(d["fill"], _below(c["u"][p + 4], F.size(d["fill"])) + 1))))
+    a, b = _below(u[0], top + 1), _below(u[1], top + 1)
+    return F.concat(let(given, numbers), F.array(a + b)), F.array(a, b)

@@ -22,7 +22,7 @@ SEED = 99
 
 
 def ids_md5(c):
-    return F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
+    return F.md5(F.array_join(c.cast("array<string>"), ","))
 
 
 def md5_sql(x):
@@ -346,6 +346,16 @@ TASK_SQL = {
 }
 
 
+#: Samples of one task at most: a table file of few bytes a row is read by few tasks, and the work is in the samples.
+SAMPLES_A_TASK = 50_000
+
+
+def _sample_ids(spark, sf_dir):
+    """Sample indices, dealt evenly."""
+    o = Tables(spark, sf_dir).orders.select("o_orderkey")
+    return o.repartition(max(spark.sparkContext.defaultParallelism, -(-o.count() // SAMPLES_A_TASK)))
+
+
 def _task_sql():
     parts = []
     for name, (p, t, defs) in TASK_SQL.items():
@@ -357,21 +367,19 @@ def _task_sql():
 @register("b23_toy_tasks", "B-23 B-24 B-25 B-26 B-29 B-30 B-31 B-32 B-33 B-34 B-35 B-37 B-39", sql=_task_sql())
 def b23_toy_tasks(spark, sf_dir):
     """Twelve task generators, one sample per order (any index regenerates on its own)."""
-    o = Tables(spark, sf_dir).orders.select("o_orderkey")
-    idx = F.col("o_orderkey")
-    out = None
+    o = _sample_ids(spark, sf_dir)
+    rows = []
     for name in TASK_SQL:
-        p, t = TK.TASKS[name](idx, TASK_SEED)
-        q = o.select(F.lit(name).alias("task"), F.col("o_orderkey").alias("idx"), ids_md5(p).alias("prompt_md5"),
-                     ids_md5(t).alias("target_md5"))
-        out = q if out is None else out.unionByName(q)
-    return out
+        p, t = TK.TASKS[name](F.col("o_orderkey"), TASK_SEED)
+        rows.append(F.struct(F.lit(name).alias("task"), ids_md5(p).alias("prompt_md5"), ids_md5(t).alias("target_md5")))
+    x = o.select("o_orderkey", F.explode(F.array(*rows)).alias("r"))
+    return x.select("r.task", F.col("o_orderkey").alias("idx"), "r.prompt_md5", "r.target_md5")
 
 
 @register("b27_dyck", "B-27 B-38")
 def b27_dyck(spark, sf_dir):
     """Dyck-2 words of length 10, one per order, with a balance check and the task vocabulary size."""
-    o = Tables(spark, sf_dir).orders.select("o_orderkey")
+    o = _sample_ids(spark, sf_dir)
     _, seq = TK.dyck(F.col("o_orderkey"), TASK_SEED, 10, 2)
     s = o.select("o_orderkey", seq.alias("seq"))
     depth = F.aggregate("seq", F.struct(F.lit(0).alias("d"), F.lit(0).alias("lo")), lambda a, t: F.struct(
@@ -522,7 +530,7 @@ def _switched_sql():
 @register("b38_task_switches", "B-23 B-26 B-29 B-31 B-34 B-36 B-38", sql=_switched_sql())
 def b38_task_switches(spark, sf_dir):
     """Eleven settings of six tasks, one sample per order, as tokens and as ids of the setting's vocabulary."""
-    o = Tables(spark, sf_dir).orders.select("o_orderkey")
+    o = _sample_ids(spark, sf_dir)
     rows = []
     for task, setting, switches in SWITCHED:
         p, t = TT.TOKEN_TASKS[task](F.col("o_orderkey"), TASK_SEED, **switches)

@@ -22,7 +22,7 @@ SHARD = C.TOKENS_PER_SHARD_UPLOAD
 
 def ids_md5(c):
     """md5 of the comma-joined ids (same text as DuckDB's array_to_string)."""
-    return F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
+    return F.md5(F.array_join(c.cast("array<string>"), ","))
 
 
 def docs(spark, sf_dir):
