@@ -9,9 +9,10 @@ for characters outside the BMP.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,31 +71,42 @@ def split_lines(x) -> Column:
 
 def chars(x) -> Column:
     """ARRAY<STRING> of code points (none of the empty text)."""
-    return F.filter(F.split(_c(x), ""), lambda ch: ch != "")
+    return F.array_remove(F.split(_c(x), ""), "")
+
+
+def latin(x) -> Column:
+    """The text with every code point from 256 on as '?' (``CHAR_UNKNOWN``)."""
+    return F.regexp_replace(_c(x), r"[^\x00-\xff]", chr(CHAR_UNKNOWN))
+
+
+def code_points(x) -> Column:
+    """ARRAY<INT> of code points."""
+    return F.transform(chars(x), lambda ch: F.ascii(ch))
 
 
 def encode_char(x, eos: int = CHAR_EOS, trailing_eos: bool = True) -> Column:
     """A-08: code point < 256 -> itself else 63; eos after every '\\n' that is followed by '\\n';
-    a trailing eos unless the sequence already ends with one."""
-    cs = chars(x)
-    n = F.size(cs)
-    per_char = F.transform(
-        cs,
-        lambda ch, i: F.when(
-            (ch == "\n") & (i + 1 < n) & (F.element_at(cs, i + 2) == "\n"),
-            F.array(F.lit(10), F.lit(eos)),
-        ).otherwise(F.array(F.when(F.ascii(ch) < 256, F.ascii(ch)).otherwise(F.lit(CHAR_UNKNOWN)))),
-    )
-    ids = F.flatten(per_char)
-    if not trailing_eos:
-        return ids
-    return F.when((F.size(ids) > 0) & (F.element_at(ids, -1) == eos), ids).otherwise(
-        F.concat(ids, F.array(F.lit(eos))))
+    a trailing eos unless the sequence already ends with one.
+
+    The rules are applied to the text, where U+0100 stands for eos; every character is looked at once."""
+    mark = chr(256)
+    t = F.regexp_replace(latin(x), "\n(?=\n)", f"\n{mark}")
+    if trailing_eos:
+        t = F.concat(t, F.lit(mark)) if eos > 255 else let(t, lambda c: F.when(
+            c.endswith(chr(eos)), c).otherwise(F.concat(c, F.lit(mark))))
+    if eos == 256:
+        return code_points(t)
+    return F.transform(chars(t), lambda ch: F.when(ch == mark, F.lit(eos)).otherwise(F.ascii(ch)))
 
 
 def char_ids(x) -> Column:
     """Plain char-level ids (code point < 256 else 63), no eos rules."""
-    return F.transform(chars(x), lambda ch: F.when(F.ascii(ch) < 256, F.ascii(ch)).otherwise(F.lit(CHAR_UNKNOWN)))
+    return code_points(latin(x))
+
+
+def char_text(x, eos: int | None = None) -> Column:
+    """``char_ids`` (and ``eos``) as text of one code point an id; ``code_points`` gives the ids."""
+    return latin(x) if eos is None else F.concat(latin(x), F.lit(chr(eos)))
 
 
 def decode_char(ids, show_space: bool = True) -> Column:
@@ -158,18 +170,22 @@ def normalize_text(x, lowercase: bool = False, strip_left: bool = False, strip_r
     return c
 
 
+#: Texts of an Arrow batch that are Python strings at the same time.
+TEXTS_AT_ONCE = 64
 UNICODE_FORMS = ("NFC", "NFD", "NFKC", "NFKD")
 
 
 def unicode_form(x, form: str) -> Column:
     """A-09: a Unicode normal form; null stays null.  Spark has none of its own, so texts go through
-    Arrow batches."""
+    Arrow batches, of which ``TEXTS_AT_ONCE`` texts at a time are Python strings."""
     if form not in UNICODE_FORMS:
         raise ValueError(f"unknown Unicode form {form!r}")
 
-    @F.pandas_udf("string")
-    def normal(texts: pd.Series) -> pd.Series:
-        return texts.str.normalize(form) if len(texts) else texts
+    @F.arrow_udf("string")
+    def normal(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([None if t is None else unicodedata.normalize(form, t) for t in texts.slice(k, TEXTS_AT_ONCE).to_pylist()], texts.type)
+                 for k in range(0, len(texts), TEXTS_AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else texts
     return normal(_c(x))
 
 
