@@ -116,11 +116,10 @@ def byte_level_pieces(text, add_prefix_space: bool = False, use_regex: bool = Tr
     if add_prefix_space:
         c = F.when(c.startswith(" "), c).otherwise(F.concat(F.lit(" "), c))
     pieces = F.regexp_extract_all(c, F.lit(BYTE_LEVEL_PATTERN), 0) if use_regex else F.array(c)
-    table = F.array(*[F.lit(ch) for ch in byte_to_unicode()])
-    def bytes_of(p):
-        hexes = F.regexp_extract_all(F.hex(F.encode(p, "UTF-8")), F.lit("[0-9A-F]{2}"), 0)
-        return F.array_join(F.transform(hexes, lambda h: F.element_at(table, F.conv(h, 16, 10).cast("int") + 1)), "")
-    return F.transform(pieces, bytes_of)
+    # bytes read as Latin-1 are code points 0 to 255, of which those that are not printable have other letters
+    moved = [(chr(b), ch) for b, ch in enumerate(byte_to_unicode()) if chr(b) != ch]
+    old, new = "".join(b for b, _ in moved), "".join(ch for _, ch in moved)
+    return F.transform(pieces, lambda p: F.translate(F.decode(F.encode(p, "UTF-8"), "ISO-8859-1"), old, new))
 
 
 def byte_level_decode(tokens: Column) -> Column:

@@ -16,10 +16,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions.arrays import let
 from weft.operators.bpe import byte_level_pieces, byte_to_unicode, merge_queue
 
 #: Words whose ids a task keeps between batches, and the longest of them.
 MOST_WORDS, LONGEST = 100_000, 256
+#: Rows of an Arrow batch whose words or ids are Python objects at the same time.
+ROWS_AT_ONCE = 64
+
+
+def _slices(batches):
+    """The rows of Arrow batches, a few at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, ROWS_AT_ONCE):
+            yield b.slice(k, ROWS_AT_ONCE)
 
 
 @dataclass(frozen=True)
@@ -127,17 +137,17 @@ def added_sections(text, added: Sequence[str], lstrip: Sequence[str] = (), rstri
     if not added:
         return F.filter(F.array(c), lambda s: F.length(s) > 0)
     alt = "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))
-    found = F.regexp_extract_all(c, F.lit(f"(?:{alt})"), F.lit(0))
-    rest = F.split(c, alt, -1)
 
-    def trimmed(s, i):
+    def trimmed(s, i, found):
         if lstrip:  # the token after this section
             s = F.when(F.get(found, i).isin(list(lstrip)), F.regexp_replace(s, r"\s+$", "")).otherwise(s)
         if rstrip:  # the token before it
             s = F.when(F.get(found, i - 1).isin(list(rstrip)), F.regexp_replace(s, r"^\s+", "")).otherwise(s)
         return F.array(s, F.get(found, i))
 
-    return F.filter(F.flatten(F.transform(rest, trimmed)), lambda s: F.length(s) > 0)
+    sections = let(F.regexp_extract_all(c, F.lit(f"(?:{alt})"), F.lit(0)), lambda found: F.flatten(
+        F.transform(F.split(c, alt, -1), lambda s, i: trimmed(s, i, found))))
+    return F.filter(sections, lambda s: F.length(s) > 0)
 
 
 def words_of(text, model: BpeModel, pretokenize: Callable = byte_level_pieces, normalize: Callable | None = None,
@@ -159,7 +169,7 @@ def encode_words(df: DataFrame, model: BpeModel, words: str = "words", out: str
 
     def run(batches):
         encoder = shared.value.encoder()
-        for b in batches:
+        for b in _slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], encoder.encode(b.column(len(rest)))], names=[*rest, out])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[F.col(f"`{c}`") for c in rest]).schema.fields),
@@ -235,7 +245,7 @@ def ids_to_tokens(df: DataFrame, model: BpeModel, ids: str = "ids", out: str = "
     def run(batches):
         tokens = pa.array(vocab.value, pa.string())
         known = len(vocab.value) - 1
-        for b in batches:
+        for b in _slices(batches):
             lists = b.column(len(rest))
             lists = lists if lists.null_count == 0 else pa.array([x or [] for x in lists.to_pylist()], lists.type)
             at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -328,7 +338,7 @@ def decode_byte_level(df: DataFrame, model: BpeModel, ids: str = "ids", out: str
         back = {ch: b for b, ch in enumerate(byte_to_unicode())}
         raw = [t.encode() if t in m.added or any(c not in back for c in t) else bytes(back[c] for c in t) for t in (*m.vocab, m.unk or "")]
         last, gone = len(raw) - 1, set(skip)
-        for b in batches:
+        for b in _slices(batches):
             text = [b"".join([raw[i if 0 <= i < last else last] for i in row or () if i not in gone]).decode("utf-8", "replace")
                     for row in b.column(len(rest)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(text, pa.string())], names=[*rest, out])
