@@ -7,7 +7,9 @@ rows ``(keys..., start, ids ARRAY<INT>)`` where ``start`` is the position of
 the piece's first token inside the stream of its key (dataset).  Shards and
 windows are cut from piece slices and re-assembled with a bounded
 ``collect_list`` (a shard holds at most ``tokens_per_shard`` tokens, a window
-``width`` tokens), so no group grows with the corpus.
+``width`` tokens), so no group grows with the corpus.  The ids of a char-level stream are
+kept as text, one code point an id (``T.char_text``), until shards and windows are whole: a byte or two
+instead of four for each id written and shuffled.
 
 Shuffles: one range exchange for the stream offsets (two-level prefix sum,
 see ``ordering``), one hash exchange to assemble shards or windows.
@@ -96,10 +98,10 @@ def flatten_tokens(pieces: DataFrame, keys: Sequence[str], order: Sequence[str],
                    eos: int | None = T.CHAR_EOS) -> DataFrame:
     """A-28 + A-29: append ``eos`` after every piece and give each piece its
     ``start`` position in the token stream of its key.  Adds ``n_tokens``."""
-    p = pieces
+    p, text = pieces, _is_text(pieces, ids)
     if eos is not None:
-        p = p.withColumn(ids, F.concat(F.col(ids), F.array(F.lit(eos))))
-    p = p.withColumn("n_tokens", F.size(ids).cast("long"))
+        p = p.withColumn(ids, F.concat(F.col(ids), F.lit(chr(eos)) if text else F.array(F.lit(eos))))
+    p = p.withColumn("n_tokens", (F.char_length if text else F.size)(ids).cast("long"))
     return prefix_sum(p, keys, order, "n_tokens", "start", exclusive=True)
 
 
@@ -109,8 +111,26 @@ def encoded_stream(pieces: DataFrame, keys: Sequence[str], order: Sequence[str],
     in order as text and encoded once, where they lie."""
     p = pieces.withColumn("n_tokens", (F.char_length(piece) + (0 if eos is None else 1)).cast("long"))
     p = prefix_sum(p, keys, order, "n_tokens", "start", exclusive=True)
-    ids = T.char_ids(F.col(piece))
-    return p.withColumn("ids", ids if eos is None else F.concat(ids, F.array(F.lit(eos)))).drop(piece)
+    return p.withColumn("ids", T.char_text(F.col(piece), eos)).drop(piece)
+
+
+def _is_text(rows: DataFrame, col: str = "ids") -> bool:
+    return rows.schema[col].dataType.simpleString() == "string"
+
+
+def _cut(rows: DataFrame, start: Column, length: Column) -> Column:
+    """``length`` ids from place ``start`` (1-based) of the column ``ids``, which is an array or text."""
+    return (F.substring if _is_text(rows) else F.slice)("ids", start.cast("int"), length.cast("int"))
+
+
+def id_arrays(rows: DataFrame, col: str) -> DataFrame:
+    """The column as ARRAY<INT>, if it is text."""
+    return rows.withColumn(col, T.code_points(F.col(col))) if _is_text(rows, col) else rows
+
+
+def _whole(parts: DataFrame, rows: DataFrame, keys: Sequence[str], ids: Column) -> DataFrame:
+    """(keys..., tokens): the collected pieces ``ids`` one after the other, in the form that ``rows`` has."""
+    return parts.select(*keys, (F.array_join(ids, "") if _is_text(rows) else F.flatten(ids)).alias("tokens"))
 
 
 def stream_lengths(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -124,7 +144,7 @@ def _slice_rows(stream: DataFrame, lo: Column, hi: Column) -> DataFrame:
     a = F.greatest(s, lo)
     b = F.least(e, hi)
     return stream.filter(b > a).withColumns({  # evaluated together, on the input row
-        "ids": F.slice("ids", (a - s + 1).cast("int"), (b - a).cast("int")),
+        "ids": _cut(stream, a - s + 1, b - a),
         "start": a,
         "n_tokens": b - a})
 
@@ -164,7 +184,7 @@ def shard_pieces(stream: DataFrame, tokens_per_shard: int = TOKENS_PER_SHARD) ->
     lo = F.greatest(s, F.col("shard") * S)
     hi = F.least(e, (F.col("shard") + 1) * S)
     return x.withColumns({
-        "ids": F.slice("ids", (lo - s + 1).cast("int"), (hi - lo).cast("int")),
+        "ids": _cut(x, lo - s + 1, hi - lo),
         "offset": lo - F.col("shard") * S,
         "n_tokens": hi - lo}).drop("start")
 
@@ -174,9 +194,8 @@ def assemble_shards(shard_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     A group holds at most ``tokens_per_shard`` tokens; slices are ordered by
     their offset before concatenation (collect order is not data order)."""
-    return (shard_rows.groupBy(*keys, "shard")
-            .agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("_parts"))
-            .select(*keys, "shard", F.flatten(F.col("_parts.ids")).alias("tokens")))
+    parts = shard_rows.groupBy(*keys, "shard").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("_parts"))
+    return id_arrays(_whole(parts, shard_rows, [*keys, "shard"], F.col("_parts.ids")), "tokens")
 
 
 def shard_lengths(shard_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -202,16 +221,23 @@ def slice_windows(shard_rows: DataFrame, keys: Sequence[str], stride: int, width
     lo = F.greatest(o, ws)
     hi = F.least(e, ws + F.lit(width))
     x = x.select(*keys, "shard", "win", (lo - ws).alias("_pos"),
-                 F.slice("ids", (lo - o + 1).cast("int"), (hi - lo).cast("int")).alias("_ids"))
-    return (x.groupBy(*keys, "shard", "win")
-            .agg(F.array_sort(F.collect_list(F.struct("_pos", "_ids"))).alias("_parts"))
-            .select(*keys, "shard", "win", F.flatten(F.col("_parts._ids")).alias("tokens")))
-
-
-def context_windows(shard_rows: DataFrame, keys: Sequence[str], context: int) -> DataFrame:
-    """A-36: non-overlapping windows of ``context`` tokens per shard; the shard
-    tail shorter than ``context`` is dropped and no window crosses shards."""
-    return slice_windows(shard_rows, keys, context, context, F.floor(F.col("shard_len") / F.lit(context)))
+                 _cut(x, lo - o + 1, hi - lo).alias("_ids"))
+    parts = x.groupBy(*keys, "shard", "win").agg(F.array_sort(F.collect_list(F.struct("_pos", "_ids"))).alias("_parts"))
+    return id_arrays(_whole(parts, shard_rows, [*keys, "shard", "win"], F.col("_parts._ids")), "tokens")
+
+
+def context_windows(shard_rows: DataFrame, keys: Sequence[str], context: int, arrays: bool = True) -> DataFrame:
+    """A-36: non-overlapping windows of ``context`` tokens per shard (as text, without ``arrays``, if the stream is); the shard
+    tail shorter than ``context`` is dropped and no window crosses shards.
+
+    Of a stream kept as text the shards are put together first and cut where they lie."""
+    if not _is_text(shard_rows):
+        return slice_windows(shard_rows, keys, context, context, F.floor(F.col("shard_len") / F.lit(context)))
+    parts = shard_rows.groupBy(*keys, "shard").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("_parts"))
+    whole = F.array_join("_parts.ids", "")
+    w = parts.select(*keys, "shard", F.posexplode(F.regexp_extract_all(whole, F.lit(f"(?s).{{{int(context)}}}"), 0)).alias("win", "tokens"))
+    w = w.withColumn("win", F.col("win").cast("long"))
+    return id_arrays(w, "tokens") if arrays else w
 
 
 def next_token_windows(shard_rows: DataFrame, keys: Sequence[str], seq_len: int, seed: int | None = None

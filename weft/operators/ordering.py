@@ -17,6 +17,9 @@ The helpers here use a two-level scheme instead:
    partitioned on those columns, so only the small table moves (AQE broadcasts
    it when small; with no keys it has ``n`` rows and is broadcast outright).
 
+Rows that carry texts or arrays are staged with a row number; only their keys, order and value go through the
+steps, and a join on the row number brings the sums back: the payload is shuffled once and written once.
+
 Order expressions must be ascending (negate a numeric column for descending).
 """
 
@@ -77,7 +80,24 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value, out:
     """
     keys = list(keys)
     val = F.col(value) if isinstance(value, str) else value
-    b = blocked(df.withColumn("_v", val), keys, order, n)
+    df = df.withColumn("_v", val)
+    if _carries(df, [*keys, "_v", *[o for o in order if isinstance(o, str)]]):
+        # texts and arrays are staged with a row number and moved once, to meet their sum; narrow rows are put in order
+        rows = stage_table(df.withColumn("_row", F.monotonically_increasing_id()), "ordered")
+        narrow = rows.select("_row", "_v", *[F.col(k) for k in keys], *[c.alias(f"_ord{i}") for i, c in enumerate(_cols(order))])
+        run = _running(blocked(narrow, keys, [f"_ord{i}" for i in range(len(order))], n), keys, [f"_ord{i}" for i in range(len(order))], out, exclusive)
+        return rows.drop("_v", *([out] if out in rows.columns else [])).join(run.select("_row", out), "_row").drop("_row")
+    return _running(blocked(df, keys, order, n), keys, order, out, exclusive).drop("_v")
+
+
+def _carries(df: DataFrame, known: Sequence[str]) -> bool:
+    """Whether rows hold texts, arrays or the like besides the columns ``known``."""
+    wide = ("string", "binary", "array", "map", "struct", "variant")
+    return any(t.startswith(wide) for c, t in df.dtypes if c not in known)
+
+
+def _running(b: DataFrame, keys: list, order: Sequence, out: str, exclusive: bool) -> DataFrame:
+    """Blocks with the running sum ``out`` of their column ``_v``."""
     w_local = Window.partitionBy(BLK, *keys).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
     local = b.withColumn("_loc", F.sum("_v").over(w_local))
     totals = b.groupBy(BLK, *keys).agg(F.sum("_v").alias("_bt"))
@@ -87,7 +107,7 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value, out:
     run = F.col("_off") + F.col("_loc")
     if exclusive:
         run = run - F.col("_v")
-    return res.withColumn(out, run).drop("_v", "_loc", "_off", BLK)
+    return res.withColumn(out, run).drop("_loc", "_off", BLK)
 
 
 def prefix_agg(df: DataFrame, keys: Sequence[str], order: Sequence, value, out: str, fn: str = "max",

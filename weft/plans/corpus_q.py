@@ -154,7 +154,7 @@ def a08_encode_char(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", T.encode_char(F.col("text")).alias("ids"))
     return d.select("doc_id", F.size("ids").alias("n_ids"),
                     F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
-                    F.size(F.filter("ids", lambda x: x == 256)).alias("n_eos"), ids_md5(F.col("ids")).alias("ids_md5"))
+                    (F.size("ids") - F.size(F.array_remove("ids", 256))).alias("n_eos"), ids_md5(F.col("ids")).alias("ids_md5"))
 
 
 @register("a09_normalize_text", "A-09", sql=f"""
@@ -311,7 +311,7 @@ SELECT source, split, CAST(COUNT(*) AS BIGINT) AS n_tokens, CAST(SUM(tok) AS BIG
 def a30_train_val_split(spark, sf_dir):
     s = C.train_val_split(char_stream(spark, sf_dir), KEYS)
     return s.groupBy("source", "split").agg(F.sum("n_tokens").alias("n_tokens"),
-                                            F.sum(F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)).alias("token_sum"))
+                                            F.sum(F.aggregate(T.code_points("ids"), F.lit(0).cast("long"), lambda a, x: a + x)).alias("token_sum"))
 
 
 @register("a31_shard_tokens", "A-31", sql=f"""{SPLIT_SQL}

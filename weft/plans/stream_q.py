@@ -144,10 +144,11 @@ def s01_stream_shards(spark, sf_dir):
 
     def pieces(batch):
         p = C.paragraph_pieces(C.drop_blank(batch))
-        return p.withColumn("ids", T.char_ids(F.col("piece"))).drop("piece")
+        return p.withColumn("ids", T.char_text(F.col("piece"))).drop("piece")
 
     for stream in _arrivals(d, _ranges(d, F.col("doc_id")), base):
-        query = EP.shard_query(spark, base, pieces, CORPUS.KEYS, CORPUS.ORDER, CORPUS.SHARD, "source string", eos=T.CHAR_EOS).run(stream)
+        query = EP.shard_query(spark, base, pieces, CORPUS.KEYS, CORPUS.ORDER, CORPUS.SHARD, "source string", eos=T.CHAR_EOS,
+                               ids_type="string").run(stream)
     sh = EP.shards(query, closed=True)
     return sh.select("source", "shard", F.size("tokens").cast("long").alias("n_tokens"), BQ.ids_md5(F.col("tokens")).alias("tokens_md5"))
 
@@ -156,7 +157,7 @@ def s01_stream_shards(spark, sf_dir):
 def s02_resumable_windows(spark, sf_dir):
     """Context windows handed out a third of the longest corpus at a time, each time by a new reader that goes on
     from the committed cursor."""
-    w = C.context_windows(C.shard_pieces(CORPUS.char_stream(spark, sf_dir), CORPUS.SHARD), CORPUS.KEYS, CORPUS.CONTEXT)
+    w = C.context_windows(C.shard_pieces(CORPUS.char_stream(spark, sf_dir), CORPUS.SHARD), CORPUS.KEYS, CORPUS.CONTEXT, arrays=False)
     base = _base(spark, "windows")
     reader = EP.WindowReader(w.select("source", "shard", "win", "tokens"), CORPUS.KEYS, base)
     n = reader.windows.agg(F.max("nth")).first()[0]
@@ -166,7 +167,8 @@ def s02_resumable_windows(spark, sf_dir):
         if got.isEmpty():
             break
         out.append(got)
-    return reduce(lambda a, b: a.unionByName(b), out or [reader.windows]).select("source", "shard", "win", BQ.ids_md5(F.col("tokens")).alias("tokens_md5"))
+    got = C.id_arrays(reduce(lambda a, b: a.unionByName(b), out or [reader.windows]), "tokens")
+    return got.select("source", "shard", "win", BQ.ids_md5(F.col("tokens")).alias("tokens_md5"))
 
 
 @register("s03_stream_batches_with_tail", "S-03", sql=f"""WITH {RQ.LOG_SQL}

@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.operators import corpus as C
-from weft.operators.ordering import row_index
+from weft.operators.ordering import prefix_sum, row_index
 from weft.operators.runs import logged_steps
 from weft.session import stage_table
 
@@ -97,10 +97,10 @@ def _next(rows: DataFrame, state: DataFrame, keys: Sequence[str], amount: Column
 
 
 def shard_query(spark: SparkSession, base: str, pieces: Callable[[DataFrame], DataFrame], keys: Sequence[str], order: Sequence[str],
-                per_shard: int, key_types: str, eos: int | None = None) -> EpochQuery:
+                per_shard: int, key_types: str, eos: int | None = None, ids_type: str = "array<int>") -> EpochQuery:
     """S-01: documents arriving in order become token shards of ``per_shard`` tokens for each corpus.
 
-    ``pieces`` makes ``(keys..., order..., ids)`` of a micro-batch; within a micro-batch ``order`` decides,
+    ``pieces`` makes ``(keys..., order..., ids)`` of a micro-batch, ids being arrays or (``ids_type`` string) text; within a micro-batch ``order`` decides,
     and later micro-batches follow earlier ones.  State: the next offset of each corpus and the
     pieces of its open shard (fewer than ``per_shard`` tokens).  Outputs: :func:`shards`."""
     keys = list(keys)
@@ -109,10 +109,10 @@ def shard_query(spark: SparkSession, base: str, pieces: Callable[[DataFrame], Da
         before = query.before("offsets", epoch, f"{key_types}, next long")
         start = C.flatten_tokens(pieces(batch), keys, list(order), eos=eos)
         begun = stage_table(_with_state(start.select(*keys, "start", "ids", "n_tokens"), before, keys).select(
-            *keys, (F.col("start") + F.coalesce("next", F.lit(0))).cast("long").alias("start"), F.col("ids").cast("array<int>").alias("ids"),
+            *keys, (F.col("start") + F.coalesce("next", F.lit(0))).cast("long").alias("start"), F.col("ids").cast(ids_type).alias("ids"),
             F.col("n_tokens").cast("long").alias("n_tokens")), "arrived")
         now = query.put("offsets", _next(begun, before, keys, F.col("n_tokens")), epoch)
-        held = query.before("open", epoch, f"{key_types}, start long, ids array<int>, n_tokens long")
+        held = query.before("open", epoch, f"{key_types}, start long, ids {ids_type}, n_tokens long")
         cut = C.shard_pieces(begun.unionByName(held), per_shard)
         cut = stage_table(_with_state(cut, now, keys).withColumn("full", F.col("shard") < F.floor(F.col("next") / per_shard)), "cut")
         query.put("shards", C.assemble_shards(cut.where("full").drop("full", "next"), keys).select(*keys, "shard", "tokens"), epoch)
@@ -120,7 +120,7 @@ def shard_query(spark: SparkSession, base: str, pieces: Callable[[DataFrame], Da
             *keys, (F.col("shard") * per_shard + F.col("offset")).cast("long").alias("start"), "ids", "n_tokens"), epoch)
 
     query = EpochQuery(spark, base, step)
-    query.keys, query.key_types, query.per_shard = keys, key_types, per_shard
+    query.keys, query.key_types, query.per_shard, query.ids_type = keys, key_types, per_shard, ids_type
     return query
 
 
@@ -129,7 +129,7 @@ def shards(query: EpochQuery, closed: bool = False) -> DataFrame:
     full = query.rows("shards", f"{query.key_types}, shard long, tokens array<int>")
     if not closed:
         return full
-    held = query.left("open", f"{query.key_types}, start long, ids array<int>, n_tokens long")
+    held = query.left("open", f"{query.key_types}, start long, ids {query.ids_type}, n_tokens long")
     last = C.assemble_shards(C.shard_pieces(held, query.per_shard), query.keys)
     return full.unionByName(last.select(*query.keys, F.col("shard").cast("long").alias("shard"), "tokens"))
 
@@ -140,7 +140,8 @@ def shards(query: EpochQuery, closed: bool = False) -> DataFrame:
 class WindowReader:
     """S-02: the windows of a table, a number at a time, from a cursor that survives restarts.
 
-    The windows ``(keys..., shard, win, ...)`` are numbered once for each corpus and staged.  Every
+    The windows ``(keys..., shard, win, ...)`` are numbered once for each corpus and staged: each within its shard,
+    which is bounded, where the windows lie, and a small table has the windows before each shard.  Every
     :meth:`take` hands out the next ``n`` windows of each corpus: it writes them, then the new cursor (corpus,
     next window).  A take that failed before its cursor was written is simply made again."""
 
@@ -148,9 +149,14 @@ class WindowReader:
         self.keys, self.base, self.spark = list(keys), base.rstrip("/"), windows.sparkSession
         self.tables = EpochQuery(self.spark, self.base, None)
         self.types = _types(windows, self.keys)
-        if not self.tables._epochs(f"{self.base}/numbered", "epoch=*/_SUCCESS"):
-            self.tables.put("numbered", row_index(windows, self.keys, ["shard", "win"], "nth"), 0)
-        self.windows = self.spark.read.parquet(f"{self.base}/numbered/epoch=0")
+        if not self.tables._epochs(f"{self.base}/before", "epoch=*/_SUCCESS"):
+            in_shard = F.row_number().over(Window.partitionBy(*self.keys, "shard").orderBy("win"))
+            rows = self.tables.put("numbered", windows.withColumn("_nth", in_shard), 0)
+            sizes = rows.groupBy(*self.keys, "shard").agg(F.count("*").alias("_n"))
+            self.tables.put("before", prefix_sum(sizes, self.keys, ["shard"], "_n", "_before", exclusive=True).select(*self.keys, "shard", "_before"), 0)
+        numbered, before = (self.spark.read.parquet(f"{self.base}/{name}/epoch=0") for name in ("numbered", "before"))
+        self.windows = _with_state(numbered, before, [*self.keys, "shard"]).select(
+            *windows.columns, (F.col("_before") + F.col("_nth") - 1).alias("nth"))
 
     def taken(self) -> int:
         """Takes whose cursor is written as a whole."""
