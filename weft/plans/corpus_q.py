@@ -478,7 +478,7 @@ def a01_read_text_corpus(spark, sf_dir):
     root = f"{checkpoint_dir(spark)}/text-{uuid.uuid4().hex[:8]}"
     d = docs(spark, sf_dir).select("doc_id", "text")
     write_text_files(d, root, "doc_id", "text").write.format("noop").mode("overwrite").save()
-    back = read_text_corpus(spark, f"{root}/*.txt")
+    back = read_text_corpus(spark, f"{root}/*/*.txt")
     did = F.regexp_extract("path", "/([0-9]+)[.]txt$", 1).cast("long")
     return back.select(did.alias("doc_id"), F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
 

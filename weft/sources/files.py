@@ -42,16 +42,75 @@ def _put(path: str, data: bytes) -> None:
     fs.move(own, at)
 
 
+#: Folders of written text files, and bytes of file content in one Arrow batch.
+TEXT_FOLDERS, BATCH_BYTES = 256, 4_000_000
+
+
+def _folders(spark: SparkSession, pattern: str) -> list[str]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    return [s.getPath().toString() for s in found if s.isDirectory()]
+
+
 def read_text_corpus(spark: SparkSession, path: str, max_chars: int | None = None) -> DataFrame:
     """A-01: whole files decoded as UTF-8 (malformed bytes -> U+FFFD), optionally cut to
-    the first ``max_chars`` code points.  Returns (path, text)."""
-    b = spark.read.format("binaryFile").load(path)
+    the first ``max_chars`` code points.  Returns (path, text).
+
+    For a pattern of files (``folder/*.txt``, ``*/*.txt``) the driver looks up the folders only and every task lists
+    and reads the files of its folders, so small files cost neither driver memory nor a task for a few of them.
+    Hidden files (``.`` and ``_``) are left out, as by Spark.  Other paths, and file systems that
+    only Spark knows, go through Spark's own file source."""
+    folder, _, names = path.rpartition("/")
+    plain = set("*?").isdisjoint
+    if folder and not plain(names) and not set(names) & set("[]{}\\") and _known(folder):
+        b = _read_files(spark, _folders(spark, folder), names)
+    else:
+        b = spark.read.format("binaryFile").load(path)
     t = F.decode(F.col("content"), "UTF-8")
     if max_chars is not None:
         t = F.substring(t, 1, max_chars)
     return b.select("path", t.alias("text"))
 
 
+def _known(path: str) -> bool:
+    """Whether pyarrow can open files there."""
+    try:
+        _fs(path.split("*")[0])
+        return True
+    except Exception:  # noqa: BLE001 - pyarrow has an error of its own for each cause
+        return False
+
+
+def _read_files(spark: SparkSession, folders: list[str], names: str) -> DataFrame:
+    """``(path, content)`` of the files named so in the folders, which tasks list and read."""
+    def read(batches):
+        from fnmatch import fnmatchcase
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.binary())], names=["path", "content"])
+
+        rows, size = [], 0
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                fs, at = _fs(folder)
+                for f in fs.get_file_info(pafs.FileSelector(at)):
+                    if not f.is_file or f.base_name[0] in "._" or not fnmatchcase(f.base_name, names):
+                        continue
+                    with fs.open_input_file(f.path) as stream:
+                        rows.append((f"{folder}/{f.base_name}", stream.read()))
+                    size += len(rows[-1][1])
+                    if size > BATCH_BYTES or len(rows) >= 10_000:
+                        yield batch(rows)
+                        rows, size = [], 0
+        if rows:
+            yield batch(rows)
+
+    there = spark.createDataFrame([(f,) for f in folders], "folder string")
+    return there.repartition(max(1, len(folders))).mapInArrow(read, "path string, content binary")
+
+
 def shard_bytes(tokens) -> bytes:
     """Header of 256 little-endian int32 (magic, version, count, zeros) + uint16 tokens."""
     arr = np.asarray(tokens, dtype=np.int64)
@@ -144,12 +203,14 @@ def read_npy(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_text_files(df: DataFrame, root: str, name: str, text: str) -> DataFrame:
-    """One UTF-8 file ``{root}/{name}.txt`` per row, written by the task that holds the row."""
+    """One UTF-8 file ``{root}/{folder}/{name}.txt`` per row, written by the task that holds the row; the names
+    are spread over ``TEXT_FOLDERS`` folders, so no folder holds all files of a large table."""
     def write(it):
+        from zlib import crc32
         for pdf in it:
             paths = []
             for n, t in zip(pdf[name], pdf[text]):
-                p = f"{root.rstrip('/')}/{n}.txt"
+                p = f"{root.rstrip('/')}/{crc32(str(n).encode()) % TEXT_FOLDERS:03d}/{n}.txt"
                 _put(p, (t or "").encode("utf-8"))
                 paths.append(p)
             yield pd.DataFrame({"path": paths})
