@@ -233,7 +233,8 @@ def context_windows(shard_rows: DataFrame, keys: Sequence[str], context: int, ar
     Of a stream kept as text the shards are put together first and cut where they lie."""
     if not _is_text(shard_rows):
         return slice_windows(shard_rows, keys, context, context, F.floor(F.col("shard_len") / F.lit(context)))
-    parts = shard_rows.groupBy(*keys, "shard").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("_parts"))
+    named = shard_rows.dropna(subset=list(keys))  # as in slice_windows, a null key has no windows
+    parts = named.groupBy(*keys, "shard").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("_parts"))
     whole = F.array_join("_parts.ids", "")
     w = parts.select(*keys, "shard", F.posexplode(F.regexp_extract_all(whole, F.lit(f"(?s).{{{int(context)}}}"), 0)).alias("win", "tokens"))
     w = w.withColumn("win", F.col("win").cast("long"))

@@ -58,7 +58,7 @@ def read_text_corpus(spark: SparkSession, path: str, max_chars: int | None = Non
 
     For a pattern of files (``folder/*.txt``, ``*/*.txt``) the driver looks up the folders only and every task lists
     and reads the files of its folders, so small files cost neither driver memory nor a task for a few of them.
-    Hidden files (``.`` and ``_``) are left out, as by Spark.  Other paths, and file systems that
+    Hidden files (``.`` and ``_``) and empty ones are left out, as by Spark.  Other paths, and file systems that
     only Spark knows, go through Spark's own file source."""
     folder, _, names = path.rpartition("/")
     plain = set("*?").isdisjoint
@@ -96,7 +96,7 @@ def _read_files(spark: SparkSession, folders: list[str], names: str) -> DataFram
             for folder in b.column(0).to_pylist():
                 fs, at = _fs(folder)
                 for f in fs.get_file_info(pafs.FileSelector(at)):
-                    if not f.is_file or f.base_name[0] in "._" or not fnmatchcase(f.base_name, names):
+                    if not f.is_file or not f.size or f.base_name[0] in "._" or not fnmatchcase(f.base_name, names):
                         continue
                     with fs.open_input_file(f.path) as stream:
                         rows.append((f"{folder}/{f.base_name}", stream.read()))
