@@ -179,3 +179,42 @@ def test_heldout_guard_counts_across_micro_batches(spark, tmp_path):
     with pytest.raises(Exception, match="6 rows in a row"):
         EP.heldout_query(spark, f"{tmp_path}/other", held, "key", ["g"], ["at"], types, max_skips=6).run(
             Feed(spark, tmp_path, types).add(rows("d", 0, "nxxyyxxn")))
+
+
+def test_shard_files_are_small_and_epochs_leave_no_staged_tables(spark, tmp_path, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from weft.session import checkpoint_dir
+    monkeypatch.setattr(EP, "IDS_PER_FILE", 60, raising=False)
+    staged = lambda: set(glob.glob(checkpoint_dir(spark).removeprefix("file:") + "/stage/*"))
+    were, base = staged(), f"{tmp_path}/q"
+    feed = Feed(spark, tmp_path, "corpus string, doc_id long, ids string")
+    for k in range(2):
+        query = EP.shard_query(spark, base, lambda b: b, ["corpus"], ["doc_id"], 20, "corpus string", eos=256, ids_type="string").run(
+            feed.add([("a" if i % 3 else None, 100 * k + i, "é" * (i % 50)) for i in range(100)]))
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{base}/shards/*/*.parquet")]
+    assert sum(f.num_rows for f in files) == EP.shards(query).count() > 100
+    assert max(f.num_rows for f in files) <= 3  # a reader's batch holds the long values of a file
+    assert query.spark.read.parquet(f"{base}/shards").schema["tokens"].dataType.simpleString() == "string"
+    assert staged() == were
+    lengths = [len(r["tokens"]) for r in EP.shards(query, closed=True).collect()]
+    assert sum(lengths) == 2 * sum(i % 50 + 1 for i in range(100)) and sorted(lengths)[2:] == [20] * (len(lengths) - 2)
+
+
+def test_parts_arrive_once_and_whole(spark, tmp_path):
+    from weft.plans import stream_q
+    df = spark.createDataFrame([(i if i else None, f"t{i}") for i in range(40)], "n long, t string")
+    part = F.when(F.col("n") < 20, 0).when(F.col("n") < 30, 2).otherwise(4)  # parts 1 and 3 have no row
+    seen, sizes = [], []
+    for k, stream in enumerate(stream_q._arrivals(df, part, f"{tmp_path}/q")):
+        q = (stream.writeStream.foreachBatch(lambda b, _: seen.extend(map(tuple, b.collect())))
+             .option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start())
+        q.awaitTermination()
+        assert q.exception() is None
+        sizes.append(len(seen))
+    assert sizes == [19, 19, 29, 29, 40]
+    assert sorted(seen, key=str) == sorted(map(tuple, df.collect()), key=str)
+    none = df.limit(0)
+    assert all(s.schema == df.schema for s in stream_q._arrivals(none, part, f"{tmp_path}/none"))

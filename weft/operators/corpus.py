@@ -194,8 +194,13 @@ def assemble_shards(shard_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     A group holds at most ``tokens_per_shard`` tokens; slices are ordered by
     their offset before concatenation (collect order is not data order)."""
+    return id_arrays(joined_shards(shard_rows, keys), "tokens")
+
+
+def joined_shards(shard_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """:func:`assemble_shards` with the ``tokens`` in the form of the slices, which may be text."""
     parts = shard_rows.groupBy(*keys, "shard").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("_parts"))
-    return id_arrays(_whole(parts, shard_rows, [*keys, "shard"], F.col("_parts.ids")), "tokens")
+    return _whole(parts, shard_rows, [*keys, "shard"], F.col("_parts.ids"))
 
 
 def shard_lengths(shard_rows: DataFrame, keys: Sequence[str]) -> DataFrame:

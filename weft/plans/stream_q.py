@@ -119,13 +119,13 @@ def _base(spark, name):
 
 
 def _arrivals(df, part, base):
-    """The table's rows in ``PARTS`` parts (column expression 0..PARTS-1): yields the folder's stream after each has arrived."""
-    from weft.session import stage_table
+    """The table's rows in ``PARTS`` parts (column expression 0..PARTS-1): yields the stream of the parts so far after each has arrived.
+
+    The rows are written once, each part to a folder of its own."""
     spark, path = df.sparkSession, f"{base}/in"
-    dealt = stage_table(df.withColumn("_part", part), "parts")
+    df.withColumn("_part", part).write.partitionBy("_part").parquet(path)
     for k in range(PARTS):
-        dealt.where(F.col("_part") == k).drop("_part").write.mode("append").parquet(path)
-        yield spark.readStream.schema(df.schema).parquet(path)
+        yield spark.readStream.schema(df.schema).parquet(f"{path}/_part={{{','.join(map(str, range(k + 1)))}}}")
 
 
 def _ranges(df, col):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,5 +88,27 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     later branches share, and of which they read only the columns they use."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/stage/{name}-{uuid.uuid4().hex}"
+    if opened := getattr(_STAGED, "paths", None):
+        opened[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: The tables staged in each open :func:`staged_until` of a thread.
+_STAGED = threading.local()
+
+
+@contextlib.contextmanager
+def staged_until(spark: SparkSession):
+    """The tables that are staged inside the ``with`` block are deleted at its end.
+
+    For steps that end with all their results written or collected: no frame that reads one of those
+    tables may be evaluated later.  A block inside another deletes its own tables only."""
+    opened = _STAGED.paths = getattr(_STAGED, "paths", None) or []
+    opened.append([])
+    try:
+        yield
+    finally:
+        for path in opened.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from weft.operators import corpus as C
 from weft.operators.ordering import prefix_sum, row_index
 from weft.operators.runs import logged_steps
-from weft.session import stage_table
+from weft.session import stage_table, staged_until
 
 
 class EpochQuery:
@@ -44,9 +44,9 @@ class EpochQuery:
         done = self._epochs(f"{self.base}/checkpoint/commits", "[0-9]*")
         return done[-1] + 1 if done else 0
 
-    def put(self, name: str, df: DataFrame, epoch: int) -> DataFrame:
-        """``df`` as the epoch's table ``name``; returns the written rows."""
-        df.write.mode("overwrite").parquet(self._path(name, epoch))
+    def put(self, name: str, df: DataFrame, epoch: int, **options) -> DataFrame:
+        """``df`` as the epoch's table ``name``; returns the written rows.  ``options`` are the writer's."""
+        df.write.mode("overwrite").options(**options).parquet(self._path(name, epoch))
         return self.spark.read.schema(df.schema).parquet(self._path(name, epoch))
 
     def before(self, name: str, epoch: int, schema: str) -> DataFrame:
@@ -95,6 +95,9 @@ def _next(rows: DataFrame, state: DataFrame, keys: Sequence[str], amount: Column
 
 # --- S-01 shards ---------------------------------------------------------------------------
 
+#: Ids in a file of shards at most.
+IDS_PER_FILE = 4_000_000
+
 
 def shard_query(spark: SparkSession, base: str, pieces: Callable[[DataFrame], DataFrame], keys: Sequence[str], order: Sequence[str],
                 per_shard: int, key_types: str, eos: int | None = None, ids_type: str = "array<int>") -> EpochQuery:
@@ -102,22 +105,29 @@ def shard_query(spark: SparkSession, base: str, pieces: Callable[[DataFrame], Da
 
     ``pieces`` makes ``(keys..., order..., ids)`` of a micro-batch, ids being arrays or (``ids_type`` string) text; within a micro-batch ``order`` decides,
     and later micro-batches follow earlier ones.  State: the next offset of each corpus and the
-    pieces of its open shard (fewer than ``per_shard`` tokens).  Outputs: :func:`shards`."""
+    pieces of its open shard (fewer than ``per_shard`` tokens).  Outputs: :func:`shards`, kept in the form of the ids.
+
+    A shard is one long value, and a reader holds a file's rows by the batch: so a file has at most
+    ``IDS_PER_FILE`` ids (or one shard) and a page one shard, whatever a task got.  What an epoch stages is gone at its end."""
     keys = list(keys)
+    wide = {"maxRecordsPerFile": max(1, IDS_PER_FILE // per_shard), "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 
     def step(query: EpochQuery, batch: DataFrame, epoch: int) -> None:
-        before = query.before("offsets", epoch, f"{key_types}, next long")
-        start = C.flatten_tokens(pieces(batch), keys, list(order), eos=eos)
-        begun = stage_table(_with_state(start.select(*keys, "start", "ids", "n_tokens"), before, keys).select(
-            *keys, (F.col("start") + F.coalesce("next", F.lit(0))).cast("long").alias("start"), F.col("ids").cast(ids_type).alias("ids"),
-            F.col("n_tokens").cast("long").alias("n_tokens")), "arrived")
-        now = query.put("offsets", _next(begun, before, keys, F.col("n_tokens")), epoch)
-        held = query.before("open", epoch, f"{key_types}, start long, ids {ids_type}, n_tokens long")
-        cut = C.shard_pieces(begun.unionByName(held), per_shard)
-        cut = stage_table(_with_state(cut, now, keys).withColumn("full", F.col("shard") < F.floor(F.col("next") / per_shard)), "cut")
-        query.put("shards", C.assemble_shards(cut.where("full").drop("full", "next"), keys).select(*keys, "shard", "tokens"), epoch)
-        query.put("open", cut.where("not full").select(
-            *keys, (F.col("shard") * per_shard + F.col("offset")).cast("long").alias("start"), "ids", "n_tokens"), epoch)
+        with staged_until(spark):
+            before = query.before("offsets", epoch, f"{key_types}, next long")
+            start = C.flatten_tokens(pieces(batch), keys, list(order), eos=eos)
+            begun = _with_state(start.select(*keys, "start", "ids", "n_tokens"), before, keys).select(
+                *keys, (F.col("start") + F.coalesce("next", F.lit(0))).cast("long").alias("start"), F.col("ids").cast(ids_type).alias("ids"),
+                F.col("n_tokens").cast("long").alias("n_tokens"))
+            held = query.before("open", epoch, f"{key_types}, start long, ids {ids_type}, n_tokens long")
+            cut = stage_table(C.shard_pieces(begun.unionByName(held), per_shard), "cut")
+            # a corpus goes on where its last slice ends
+            ends = cut.select(*keys, (F.col("shard") * per_shard + F.col("offset") + F.col("n_tokens")).cast("long").alias("next"))
+            now = query.put("offsets", ends.unionByName(before.select(*keys, "next")).groupBy(*keys).agg(F.max("next").alias("next")), epoch)
+            cut = _with_state(cut, now, keys).withColumn("full", F.col("shard") < F.floor(F.col("next") / per_shard))
+            query.put("shards", C.joined_shards(cut.where("full").drop("full", "next"), keys).select(*keys, "shard", "tokens"), epoch, **wide)
+            query.put("open", cut.where("not full").select(
+                *keys, (F.col("shard") * per_shard + F.col("offset")).cast("long").alias("start"), "ids", "n_tokens"), epoch)
 
     query = EpochQuery(spark, base, step)
     query.keys, query.key_types, query.per_shard, query.ids_type = keys, key_types, per_shard, ids_type
@@ -126,7 +136,7 @@ def shard_query(spark: SparkSession, base: str, pieces: Callable[[DataFrame], Da
 
 def shards(query: EpochQuery, closed: bool = False) -> DataFrame:
     """``(keys..., shard, tokens)``: the full shards so far; with ``closed`` also each corpus's last, open one."""
-    full = query.rows("shards", f"{query.key_types}, shard long, tokens array<int>")
+    full = C.id_arrays(query.rows("shards", f"{query.key_types}, shard long, tokens {query.ids_type}"), "tokens")
     if not closed:
         return full
     held = query.left("open", f"{query.key_types}, start long, ids {query.ids_type}, n_tokens long")
