@@ -187,3 +187,44 @@ def test_normalised_sections_before_pretokenizing(spark):
     docs = spark.createDataFrame([(0, "AB <M> b")], "id long, text string")
     enc = TK.encode(docs, "text", model, ["id"], pretokenize=T.pretokenize_whitespace, normalize=F.lower)
     assert ids_of(enc) == [[2, 1, 4]]
+
+
+def test_rows_are_merged_together_as_one_by_one():
+    import random
+
+    import numpy as np
+    rng = random.Random(5)
+    for _ in range(60):
+        pairs = [(rng.randrange(8), rng.randrange(8)) for _ in range(12)]
+        merges = {p: (rank, rng.choice([8 + rank, 8 + rank, rng.randrange(8)])) for rank, p in enumerate(dict.fromkeys(pairs))}  # some make a known symbol
+        rows = [[rng.randrange(rng.choice([2, 8])) for _ in range(rng.choice([0, 1, 2, 7, 30, B.SHORT_ROW + 9]))] for _ in range(rng.randrange(1, 30))]
+        flat, sizes = B.RowMerges(merges)(np.array([x for r in rows for x in r], np.int64), np.array([len(r) for r in rows], np.int64))
+        ends = np.cumsum(sizes).tolist()
+        assert [flat[e - n:e].tolist() for e, n in zip(ends, sizes.tolist())] == [B.merge_queue(r, merges) for r in rows]
+
+
+def test_words_are_counted_before_their_bytes_are_mapped(spark):
+    docs = spark.createDataFrame([(t,) for t in ("été  naïve x", "l'été 東京 12½", "", None, " été\n", "é́ été")], "text string")
+    assert sorted(map(tuple, B.byte_level_word_counts(docs).collect())) == sorted(map(tuple, B.word_counts(docs, B.byte_level_pieces).collect()))
+
+
+def test_raw_pieces_become_the_ids_of_their_letters(spark):
+    texts = ["été  naïve x", "l'été 東京 12½ <bos>été", "", None, "x" * 300, "zz\U0001f600 <bos><bos>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    vocab, merges = B.train_bpe(words_table(docs), vocab_size=290)
+    for model in (TK.BpeModel(tuple(vocab[:-9]), tuple(merges)), TK.BpeModel(tuple(vocab), tuple(merges), added=("<bos>",), ignore_merges=True)):
+        late = TK.encode(docs, "text", model, ["id"])
+        early = TK.encode(docs, "text", model, ["id"], pretokenize=lambda c: B.byte_level_pieces(c))
+        assert sorted(map(str, late.collect())) == sorted(map(str, early.collect()))
+        encoder = model.encoder()
+        for w in ("Ġx", "<bos>", "xÃ©xxÃ©", "?"):
+            assert encoder.words_ids([w, w + "x"]) == [encoder.word_ids(w), encoder.word_ids(w + "x")]
+
+
+def test_bytes_that_are_no_utf8_are_replaced_row_by_row(spark):
+    letters = B.byte_to_unicode()
+    model = TK.BpeModel(("<e>", letters[0xC3], letters[0xA9], "a", letters[0xC3] + letters[0xA9]), (), unk=None, added=("<e>",))
+    rows = spark.createDataFrame([(1, [1, 2, 3]), (2, [1, 3, 0]), (3, []), (4, None), (5, [0, 4, 99, -1, 0])], "id long, ids array<int>")
+    got = dict(map(tuple, TK.decode_byte_level(rows, model, skip=(0,)).collect()))
+    assert got == {1: "éa", 2: "�a", 3: "", 4: "", 5: "é"}
+    assert dict(map(tuple, TK.decode_byte_level(rows, model).collect()))[5] == "<e>é<e>"

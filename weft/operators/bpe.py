@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,8 +93,9 @@ def pad_truncate(ids: Column, max_len: int, pad_id: int = PAD_ID, side: str = "r
 
 # --- byte-level BPE (A-10, A-18 .. A-21, A-25) ---------------------------------------
 
-# fixed value: the GPT-2 pre-tokenisation pattern (contractions, letters, numbers, other, spaces)
-BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# fixed value: the GPT-2 pre-tokenisation pattern (contractions, letters, numbers, other, spaces); a run that
+# nothing follows is taken whole (possessive), which matches the same
+BYTE_LEVEL_PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 
 
 def byte_to_unicode() -> list[str]:
@@ -115,11 +117,26 @@ def byte_level_pieces(text, add_prefix_space: bool = False, use_regex: bool = Tr
     c = F.col(text) if isinstance(text, str) else text
     if add_prefix_space:
         c = F.when(c.startswith(" "), c).otherwise(F.concat(F.lit(" "), c))
-    pieces = F.regexp_extract_all(c, F.lit(BYTE_LEVEL_PATTERN), 0) if use_regex else F.array(c)
+    return F.transform(raw_pieces(c) if use_regex else F.array(c), byte_letters)
+
+
+def raw_pieces(text) -> Column:
+    """The pieces of :func:`byte_level_pieces` as they are in the text."""
+    return F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(BYTE_LEVEL_PATTERN), 0)
+
+
+def byte_letters(piece: Column) -> Column:
+    """A piece's UTF-8 bytes as printable code points; different pieces have different ones."""
     # bytes read as Latin-1 are code points 0 to 255, of which those that are not printable have other letters
     moved = [(chr(b), ch) for b, ch in enumerate(byte_to_unicode()) if chr(b) != ch]
     old, new = "".join(b for b, _ in moved), "".join(ch for _, ch in moved)
-    return F.transform(pieces, lambda p: F.translate(F.decode(F.encode(p, "UTF-8"), "ISO-8859-1"), old, new))
+    return F.translate(F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1"), old, new)
+
+
+def byte_level_word_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """``word_counts(df, byte_level_pieces)``: pieces are counted as they are in the text, and only the distinct
+    ones mapped."""
+    return word_counts(df, raw_pieces, text).select(byte_letters(F.col("word")).alias("word"), "freq")
 
 
 def byte_level_decode(tokens: Column) -> Column:
@@ -162,12 +179,77 @@ def merge_queue(symbols: list, merges: dict) -> list:
     return [x for x in symbols if x is not None]
 
 
+#: Symbols of a row that is merged with others at once; longer ones go through :func:`merge_queue`.
+SHORT_ROW = 64
+#: Ids up to which the pairs to merge are a table of all pairs.
+MOST_IDS = 2048
+
+
+class RowMerges:
+    """``merge_queue`` of many rows of ids at once: ``merges`` gives (left, right) -> (rank, merged).
+
+    Each pass over the rows merges the pair that is first in every row (lowest rank, then leftmost); rows
+    without one are done and leave."""
+
+    def __init__(self, merges: dict):
+        self.merges = merges
+        table = sorted((l << 32 | r, rank, new) for (l, r), (rank, new) in merges.items())
+        self.pairs, self.rank, self.new = (np.array([t[k] for t in table], np.int64) for k in range(3))
+        #: ids from here on are in no pair; of few ids, the place of each pair in the table or -1
+        self.other = 1 + max((max(p) for p in merges), default=-1)
+        self.places = None
+        if self.other < MOST_IDS:
+            self.places = np.full((self.other + 1) ** 2, -1, np.int32)
+            self.places[(self.pairs >> 32) * (self.other + 1) + (self.pairs & 0xFFFFFFFF)] = np.arange(len(self.pairs))
+
+    def __call__(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merged ids and sizes of the rows."""
+        if not len(self.pairs) or not len(flat):
+            return flat, sizes
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        long = sizes > SHORT_ROW
+        done = []
+        if long.any():
+            ends = np.cumsum(sizes)
+            for i in np.flatnonzero(long):
+                got = merge_queue(flat[ends[i] - sizes[i]:ends[i]].tolist(), self.merges)
+                done.append((np.full(len(got), i), np.array(got, np.int64)))
+            flat, row = flat[~long[row]], row[~long[row]]
+        flat = flat.copy()
+        while len(flat) > 1:
+            if self.places is None:
+                pair = flat[:-1] << 32 | flat[1:]
+                k = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+                found = self.pairs[k] == pair
+            else:
+                own = np.minimum(flat, self.other)
+                k = self.places[own[:-1] * (self.other + 1) + own[1:]]
+                found = k >= 0
+            at = np.flatnonzero(found & (row[:-1] == row[1:]))
+            if not len(at):
+                break
+            of = row[at]
+            starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            first = np.minimum.reduceat(self.rank[k[at]] << 32 | at, starts) & 0xFFFFFFFF
+            flat[first] = self.new[k[first]]
+            live = np.zeros(len(sizes), bool)
+            live[of[starts]] = True
+            stay = live[row]
+            if not stay.all():
+                done.append((row[~stay], flat[~stay]))
+            stay[first + 1] = False
+            flat, row = flat[stay], row[stay]
+        done.append((row, flat))
+        row, flat = (np.concatenate([d[k] for d in done]) for k in range(2))
+        return flat[np.argsort(row, kind="stable")], np.bincount(row, minlength=len(sizes))
+
+
 class _Segments:
     """Symbol sequences with frequencies, whose pair counts follow each merge: only the sequences that
     hold the merged pair are looked at."""
 
     def __init__(self, rows):
-        self.parts = [[int(x) for x in seq.split(" ")] for seq, _ in rows]
+        self.parts = [np.frombuffer(seq, "<i4").tolist() for seq, _ in rows]
         self.freq = [n for _, n in rows]
         self.count: dict[tuple, int] = defaultdict(int)
         self.where: dict[tuple, set] = defaultdict(set)
@@ -213,21 +295,63 @@ class _Segments:
                 heapq.heappush(self.queue, (-self.count[p], *p))
 
 
-def _pairs(symbols: Column) -> Column:
-    """Neighbouring ids as one number each."""
-    return F.transform(F.sequence(F.lit(1), F.size(symbols) - 1),
-                       lambda i: F.shiftleft(F.element_at(symbols, i), 32).bitwiseOR(F.element_at(symbols, i + 1)))
+def _rows(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all lists one after the other, and the lists' sizes."""
+    return column.flatten().to_numpy(), column.value_lengths().to_numpy().astype(np.int64)
+
+
+def _neighbours(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ids that another id of their row follows, and the two as one number each."""
+    at = np.ones(len(flat), bool)
+    at[np.cumsum(sizes)[sizes > 0] - 1] = False
+    at = np.flatnonzero(at)
+    return at, flat[at] << 32 | flat[at + 1]
+
+
+def _pair_totals(w: DataFrame) -> DataFrame:
+    """``(pair, n)``: neighbouring ids as one number with the frequencies of their words; each batch sums its own first."""
+    def run(batches):
+        for b in batches:
+            flat, sizes = _rows(b.column(0))
+            at, pairs = _neighbours(flat, sizes)
+            if len(at):
+                order = np.argsort(pairs, kind="stable")
+                pairs, freq = pairs[order], np.repeat(b.column(1).to_numpy(), sizes)[at][order]
+                starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[starts]), pa.array(np.add.reduceat(freq, starts))], names=["pair", "n"])
+
+    return w.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def _hot_segments(w: DataFrame, hot: list[int]) -> DataFrame:
     """``(seq, freq)``: words cut between neighbours that are no hot pair; equal stretches of two
-    symbols and more are counted together."""
-    s = F.col("symbols")
-    parts = F.transform(s, lambda x, i: F.concat(
-        x.cast("string"), F.when(i + 1 < F.size(s), F.when(
-            F.shiftleft(x, 32).bitwiseOR(F.get(s, i + 1)).isin(hot), F.lit(" ")).otherwise(F.lit("|"))).otherwise(F.lit(""))))
-    return (w.where(F.size(s) > 1).select(F.explode(F.split(F.array_join(parts, ""), r"\|")).alias("seq"), "freq")
-            .where(F.contains("seq", F.lit(" "))).groupBy("seq").agg(F.sum("freq").alias("freq")))
+    symbols and more (as bytes of four each) are counted together."""
+    def run(batches):
+        known = np.sort(np.array(hot, np.int64))
+        for b in batches:
+            flat, sizes = _rows(b.column(0))
+            at, pairs = _neighbours(flat, sizes)
+            at = at[known[np.minimum(np.searchsorted(known, pairs), len(known) - 1)] == pairs]  # ids whose next one is in their stretch
+            if not len(at):
+                continue
+            first = np.r_[True, at[1:] != at[:-1] + 1]
+            begin, end = at[first], at[np.r_[first[1:], True]] + 2
+            freq = np.repeat(b.column(1).to_numpy(), sizes)[begin]
+            raw, total = flat.astype("<i4").tobytes(), defaultdict(int)
+            for i, j, n in zip((begin * 4).tolist(), (end * 4).tolist(), freq.tolist()):
+                total[raw[i:j]] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["seq", "freq"])
+
+    return w.mapInArrow(run, "seq binary, freq long").groupBy("seq").agg(F.sum("freq").alias("freq"))
+
+
+def _letters(words: DataFrame) -> list[str]:
+    """The characters of all words, by code point; a task hands on each of its own once a batch."""
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(set("".join(b.column(0).to_pylist()))), pa.string())], names=["c"])
+
+    return sorted(r[0] for r in words.select("word").mapInArrow(run, "c string").distinct().collect())
 
 
 def train_bpe(words: DataFrame, vocab_size: int | None = None, min_frequency: int = 2,
@@ -248,12 +372,12 @@ def train_bpe(words: DataFrame, vocab_size: int | None = None, min_frequency: in
     ``max_segments`` of them (else the round takes a quarter of the hot pairs) reach the driver, where
     counts follow each merge through the stretches that hold its pair.  A merge that makes a
     symbol known before ends its round, since the bound fails for it.  The round's merges are then
-    applied to the words in Arrow batches and the words staged; so jobs grow with rounds, not with merges,
+    applied to the words in Arrow batches, all words of a batch at once, and the words staged; so jobs grow with rounds, not with merges,
     and nothing that grows with the words is collected."""
     checkpoint_dir(words.sparkSession)
     w = words.where(F.length("word") > 0).select("word", F.col("freq").cast("long").alias("freq"))
     w = stage_table(w, "bpe-words")
-    alphabet = sorted(r[0] for r in w.select(F.explode(F.filter(F.split("word", ""), lambda c: c != "")).alias("c")).distinct().collect())
+    alphabet = _letters(w)
     vocab = list(special_tokens) + [a for a in alphabet if a not in special_tokens]
     ids = {t: i for i, t in enumerate(vocab)}
     merges: list[tuple[str, str]] = []
@@ -261,25 +385,34 @@ def train_bpe(words: DataFrame, vocab_size: int | None = None, min_frequency: in
     def room() -> bool:
         return (vocab_size is None or len(vocab) < vocab_size) and (max_merges is None or len(merges) < max_merges)
 
-    def rewritten(df: DataFrame, first: str, of, passes: list) -> DataFrame:
+    def spelled(batches):
+        table = np.zeros(0x110000, np.int64)
+        table[[ord(c) for c in letters]] = list(letters.values())
+        for b in batches:
+            words = b.column(0).to_pylist()
+            sizes = [len(word) for word in words]
+            flat = table[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")]
+            yield _symbols(flat, sizes, b.column(1))
+
+    def rewritten(passes: list):
         def run(batches):
+            merged = [RowMerges(p) for p in passes]
             for b in batches:
-                out = []
-                for seq in b.column(0).to_pylist():
-                    seq = of(seq)
-                    for p in passes:
-                        seq = merge_queue(seq, p)
-                    out.append(seq)
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64())), b.column(1)], names=["symbols", "freq"])
-
-        return stage_table(df.select(first, "freq").mapInArrow(run, "symbols array<long>, freq long"), "bpe-symbols")
-
-    letters = dict(ids)
-    w = rewritten(w, "word", lambda word: [letters[c] for c in word], [])
+                flat, sizes = _rows(b.column(0))
+                for p in merged:
+                    flat, sizes = p(flat, sizes)
+                yield _symbols(flat, sizes, b.column(1))
+        return run
+
+    def _symbols(flat, sizes, freq):
+        ends = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64())), freq], names=["symbols", "freq"])
+
+    kind = "symbols array<long>, freq long"
+    letters = {a: ids[a] for a in alphabet}
+    w = stage_table(w.mapInArrow(spelled, kind), "bpe-symbols")
     while room():
-        pc = w.where(F.size("symbols") > 1).select(F.explode(_pairs(F.col("symbols"))).alias("pair"), "freq") \
-            .groupBy("pair").agg(F.sum("freq").alias("n"))
-        top = pc.orderBy(F.desc("n"), "pair").limit(hot_pairs + 1).collect()
+        top = _pair_totals(w).orderBy(F.desc("n"), "pair").limit(hot_pairs + 1).collect()
         if not top or top[0]["n"] < min_frequency:
             break
         while True:
@@ -304,7 +437,7 @@ def train_bpe(words: DataFrame, vocab_size: int | None = None, min_frequency: in
             merges.append((vocab[l], vocab[r]))
             parts.merge(l, r, ids[new])
         if room():
-            w = rewritten(w, "symbols", lambda seq: seq, passes)
+            w = stage_table(w.mapInArrow(rewritten(passes), kind), "bpe-symbols")
     return vocab, merges
 
 
@@ -313,5 +446,6 @@ def bpe_encode(docs: DataFrame, key: str, text: str, vocab: list[str], merges: l
     """A-20 in short: byte-level ids of every document between ``bos`` and ``eos`` as (key, ids); see
     :func:`weft.operators.tokenizer.encode` for the policies, pairs and masks."""
     from weft.operators import tokenizer as TK
-    words = TK.encode_words(docs.select(key, TK.words_of(text, model := TK.BpeModel(tuple(vocab), tuple(merges))).alias("words")), model)
+    model = TK.BpeModel(tuple(vocab), tuple(merges))
+    words = TK.encode_words(docs.select(key, TK.words_of(text, model, raw_pieces).alias("words")), model, byte_level=True)
     return words.select(key, post_process(F.col("ids"), bos, eos).alias("ids"))

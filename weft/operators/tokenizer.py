@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.arrays import let
-from weft.operators.bpe import byte_level_pieces, byte_to_unicode, merge_queue
+from weft.operators.bpe import RowMerges, byte_level_pieces, byte_to_unicode, merge_queue, raw_pieces
 
 #: Words whose ids a task keeps between batches, and the longest of them.
 MOST_WORDS, LONGEST = 100_000, 256
@@ -52,20 +53,35 @@ class BpeModel:
     continuing_suffix: str | None = None
     added: tuple[str, ...] = ()
 
-    def encoder(self) -> WordEncoder:
-        return WordEncoder(self)
+    def encoder(self, byte_level: bool = False) -> WordEncoder:
+        return WordEncoder(self, byte_level)
 
 
 class WordEncoder:
-    """word -> ids of one model; built in each task, remembers words in bounded memory."""
+    """word -> ids of one model; built in each task, remembers words in bounded memory.  With ``byte_level``
+    the words are pieces of the text, whose bytes become letters here."""
 
-    def __init__(self, model: BpeModel):
+    def __init__(self, model: BpeModel, byte_level: bool = False):
         self.model = model
         self.ids = {t: i for i, t in enumerate(model.vocab)}
         self.merges = {p: (rank, p[0] + p[1]) for rank, p in enumerate(model.merges)}
         self.unk = self.ids.get(model.unk, -1)
         self.bytes = [self.ids.get(f"<0x{b:02X}>") for b in range(256)]
         self.known: dict[str, list[int]] = {}
+        self.letters = {b: ch for b, ch in enumerate(byte_to_unicode())} if byte_level else None
+        self.added = frozenset(model.added)
+        self.simple = not (model.ignore_merges or model.end_of_word_suffix or model.continuing_suffix)
+        if self.simple:  # symbols as numbers: those of the merges, and characters as they come
+            self.symbols: dict[str, int] = {}
+            numbered = {(self.number(l), self.number(r)): (rank, self.number(new)) for (l, r), (rank, new) in self.merges.items()}
+            self.rows = RowMerges(numbered)
+            if byte_level:
+                self.of_byte = np.array([self.number(ch) for ch in byte_to_unicode()], np.int64)
+            else:
+                self.of_char = np.full(0x110000, -1, np.int64)
+
+    def number(self, symbol: str) -> int:
+        return self.symbols.setdefault(symbol, len(self.symbols))
 
     def pieces(self, word: str) -> list[str]:
         """A-19: the word's symbols after all merges."""
@@ -91,17 +107,49 @@ class WordEncoder:
             out += [self.unk] if None in codes else codes
         return out
 
+    def words_ids(self, words: list[str]) -> list[list[int]]:
+        """``word_ids`` of many words: merged together where the model has no more than merges; a word with
+        an unknown piece goes alone."""
+        if not self.simple:
+            return [self.word_ids(self.spelled(w)) for w in words]
+        text = "".join(words)
+        chars, lengths = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), np.array([len(w) for w in words], np.int64)
+        if self.letters is None:
+            flat = self.of_char[chars]
+            if len(new := np.unique(chars[flat < 0])):
+                self.of_char[new] = [self.number(chr(c)) for c in new.tolist()]
+                flat = self.of_char[chars]
+        else:
+            flat = self.of_byte[np.frombuffer(text.encode(), np.uint8)]
+            if len(flat) > len(chars):  # bytes of each word
+                before = np.r_[0, np.cumsum(1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000))]
+                lengths = np.diff(before[np.r_[0, np.cumsum(lengths)]])
+        flat, sizes = self.rows(flat, lengths)
+        ids = np.array([self.ids.get(s, -1) for s in self.symbols], np.int64)[flat]
+        ends, odd, ids = np.r_[0, np.cumsum(sizes)].tolist(), np.flatnonzero(ids < 0), ids.tolist()
+        out = [ids[i:j] for i, j in zip(ends, ends[1:])]
+        alone = set(np.repeat(np.arange(len(words)), sizes)[odd].tolist())
+        if self.added:
+            alone.update(i for i, w in enumerate(words) if w in self.added)
+        for i in alone:
+            out[i] = self.word_ids(self.spelled(words[i]))
+        return out
+
+    def spelled(self, word: str) -> str:
+        """The word in the letters of the vocabulary."""
+        if self.letters is None or word in self.added:
+            return word
+        return word.encode().decode("latin-1").translate(self.letters)
+
     def codes(self, words: list[str]) -> list[list[int]]:
-        out = []
-        for w in words:
-            got = self.known.get(w)
-            if got is None:
-                got = self.word_ids(w)
-                if len(w) <= LONGEST:
-                    if len(self.known) >= MOST_WORDS:
-                        self.known.clear()
-                    self.known[w] = got
-            out.append(got)
+        out = [self.known.get(w) for w in words]
+        fresh = [i for i, c in enumerate(out) if c is None]
+        for i, got in zip(fresh, self.words_ids([words[i] for i in fresh]) if fresh else []):
+            out[i] = got
+            if len(words[i]) <= LONGEST:
+                if len(self.known) >= MOST_WORDS:
+                    self.known.clear()
+                self.known[words[i]] = got
         return out
 
     def encode(self, lists: pa.ListArray) -> pa.ListArray:
@@ -111,7 +159,7 @@ class WordEncoder:
         codes = self.codes(words.dictionary.to_pylist())
         width = np.array([len(c) for c in codes], np.int64)
         begin = np.cumsum(width) - width
-        flat = np.fromiter((i for c in codes for i in c), np.int32, int(width.sum()))
+        flat = np.fromiter(chain.from_iterable(codes), np.int32, int(width.sum()))
         at = words.indices.to_numpy()
         n = width[at]  # ids of each word in place
         total = np.r_[0, np.cumsum(n)]
@@ -162,13 +210,14 @@ def words_of(text, model: BpeModel, pretokenize: Callable = byte_level_pieces, n
         s.isin(list(model.added)), F.array(s)).otherwise(pretokenize(norm(s)))))
 
 
-def encode_words(df: DataFrame, model: BpeModel, words: str = "words", out: str = "ids") -> DataFrame:
-    """A-19 / A-21: ``df`` with its array column ``words`` replaced by the ids ``out``, row by row."""
+def encode_words(df: DataFrame, model: BpeModel, words: str = "words", out: str = "ids", byte_level: bool = False) -> DataFrame:
+    """A-19 / A-21: ``df`` with its array column ``words`` replaced by the ids ``out``, row by row.  With ``byte_level``
+    the words are ``raw_pieces``; a task maps each distinct one of its own to the byte alphabet."""
     rest = [c for c in df.columns if c != words]
     shared = df.sparkSession.sparkContext.broadcast(model)  # a vocabulary
 
     def run(batches):
-        encoder = shared.value.encoder()
+        encoder = shared.value.encoder(byte_level)
         for b in _slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], encoder.encode(b.column(len(rest)))], names=[*rest, out])
 
@@ -201,13 +250,15 @@ def encode(df: DataFrame, text: str, model: BpeModel, keep: Sequence[str], parts
 
     A null or empty text has no ids but the template's special ones."""
     kept = [F.col(f"`{c}`") for c in keep]
-    words = lambda c: words_of(c, model, pretokenize, normalize, lstrip, rstrip)
+    # without a normaliser no piece can turn into an added token, so the bytes can be mapped word by word later
+    late = pretokenize is byte_level_pieces and (normalize is None or not model.added)
+    words = lambda c: words_of(c, model, raw_pieces if late else pretokenize, normalize, lstrip, rstrip)
     src = df.select(*kept, words(F.col(text)).alias("_a"), *([words(F.col(pair)).alias("_b")] if pair else []))
-    done = encode_words(src, model, "_a", "_a_ids")
+    done = encode_words(src, model, "_a", "_a_ids", late)
     if pair:
-        done = encode_words(done, model, "_b", "_b_ids")
+        done = encode_words(done, model, "_b", "_b_ids", late)
     ids, types = template(parts, F.col("_a_ids"), F.col("_b_ids") if pair else None, add_special_tokens)
-    return done.select(*kept, ids.alias("ids"), F.transform(ids, lambda _: F.lit(1)).alias("attention_mask"), types.alias("type_ids"))
+    return done.select(*kept, ids.alias("ids"), F.array_repeat(F.lit(1), F.size(ids)).alias("attention_mask"), types.alias("type_ids"))
 
 
 def pad_batches(df: DataFrame, batch: str, pad_id: int, model_max: int | None = None, side: str = "right", padding=True,
@@ -337,11 +388,23 @@ def decode_byte_level(df: DataFrame, model: BpeModel, ids: str = "ids", out: str
         m = shared.value
         back = {ch: b for b, ch in enumerate(byte_to_unicode())}
         raw = [t.encode() if t in m.added or any(c not in back for c in t) else bytes(back[c] for c in t) for t in (*m.vocab, m.unk or "")]
-        last, gone = len(raw) - 1, set(skip)
+        last, gone, tokens = len(raw) - 1, np.array(sorted(skip), np.int64), pa.array(raw, pa.large_binary())
         for b in _slices(batches):
-            text = [b"".join([raw[i if 0 <= i < last else last] for i in row or () if i not in gone]).decode("utf-8", "replace")
-                    for row in b.column(len(rest)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(text, pa.string())], names=[*rest, out])
+            lists = b.column(len(rest))
+            sizes = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            stay = ~np.isin(ids, gone)
+            ends = np.r_[0, np.cumsum(stay)][np.r_[0, np.cumsum(sizes)]]
+            ids = ids[stay]
+            taken = tokens.take(pa.array(np.where((ids < 0) | (ids >= last), last, ids)))  # its bytes lie one after the other
+            _, at, data = taken.buffers()
+            cut = np.frombuffer(at, np.int64)[taken.offset:][ends] if len(ids) else np.zeros(len(ends), np.int64)
+            text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(cut), data if data is not None else pa.py_buffer(b"")])
+            try:
+                text = text.cast(pa.large_string()).cast(pa.string())
+            except pa.ArrowInvalid:  # bytes that are no UTF-8
+                text = pa.array([t.decode("utf-8", "replace") for t in text.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], text], names=[*rest, out])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[F.col(f"`{c}`") for c in rest]).schema.fields),
                         f"`{out}` string"])

@@ -10,7 +10,7 @@ from weft.operators import bpe as B
 from weft.operators import tokenizer as TK
 from weft.plans import sqlfrag as Q
 from weft.plans.catalog import REGISTRY, register
-from weft.session import checkpoint_dir, stage_table
+from weft.session import checkpoint_dir, stage_table, staged_until
 from weft.sources.tables import Tables
 
 KEYS = ["source"]
@@ -407,7 +407,8 @@ _SQL_BYTES = (f"list_transform({_SQL_PIECES}, lambda p: array_to_string(list_tra
 
 def _bpe_model(spark, sf_dir):
     d = docs(spark, sf_dir)
-    vocab, merges = B.train_bpe(B.word_counts(d, B.byte_level_pieces), vocab_size=BPE_VOCAB)
+    with staged_until(spark):
+        vocab, merges = B.train_bpe(B.byte_level_word_counts(d), vocab_size=BPE_VOCAB)
     return TK.BpeModel(tuple(vocab), tuple(merges), added=tuple(B.SPECIAL_TOKENS))
 
 
@@ -434,7 +435,7 @@ def a20_bpe_encode_decode(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "text")
     enc = TK.encode(d, "text", model, ("doc_id", "text_md5"), parts=(([B.BOS_ID], 0), ("A", 0), ([B.EOS_ID], 0)))
     enc = enc.select("doc_id", "text_md5", F.size("ids").alias("n_ids"), ids_md5(F.col("ids")).alias("ids_md5"),
-                     F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_attended"), "ids")
+                     F.size(F.array_remove("attention_mask", 0)).alias("n_attended"), "ids")
     back = TK.decode_byte_level(enc, model, skip=(B.BOS_ID, B.EOS_ID))
     return back.select("doc_id", "n_ids", "n_attended", "ids_md5", (F.md5("decoded") == F.col("text_md5")).alias("roundtrip_ok"))
 
