@@ -49,3 +49,16 @@ def test_char_keys_are_equal_where_sequences_are(spark):
     for x in rows:
         for y in rows:
             assert (x.k == y.k) == (x.s == y.s), (x.t, y.t)
+
+
+def test_passes_leave_shards_and_manifest_but_no_staged_tables(spark, tmp_path):
+    import glob
+
+    from weft.session import checkpoint_dir
+    staged = lambda: set(glob.glob(checkpoint_dir(spark).removeprefix("file:") + "/stage/*"))
+    docs = spark.createDataFrame([(i, "ab"[i % 2], f"one two three {i} " * 20) for i in range(8)], "id long, lang string, text string")
+    were = staged()
+    made = prepare.prepare_datasets(docs, ("char", "270"), f"{tmp_path}/out", "lang", ["id"]).collect()
+    assert staged() == were
+    files = glob.glob(f"{tmp_path}/out/shards/*/*/*.bin")
+    assert {(r.dataset, r.vocab) for r in made} == {(d, v) for d in "ab" for v in ("char", "270")} and sum(r.n_shards for r in made) == len(files)
